@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_signal_file
-from ..functions.text import has_any, is_code_line, jrx, matches, ws_trim
+from ..functions.text import has_any, is_code_line, jrx, matches, matches_any, ws_trim
 from . import packs as P
-from .scan import explode_lines
+from .scan import explode_lines, explode_tests
 
 EVIDENCE_CHARS = 240
 GAP = 12
@@ -40,19 +40,20 @@ def behavior_points(files: DataFrame) -> DataFrame:
     row, so duplicates can only arise inside it and are removed in its array.
     """
     line = F.col("line")
-    cells = []
-    for cat in P.BEHAVIOR_CATEGORIES:
-        test = touches_credentials(line) if cat == "credential" else matches(line, P.BEHAVIOR_RX[cat])
-        cells.append(F.when(test, F.struct(F.lit(cat).alias("category"), _evidence(line).alias("evidence"))))
+    tests = {cat: touches_credentials(line) if cat == "credential" else matches(line, P.BEHAVIOR_RX[cat]) for cat in P.BEHAVIOR_CATEGORIES}
+    cells = [F.when(test, F.struct(F.lit(cat).alias("category"), _evidence(line).alias("evidence"))) for cat, test in tests.items()]
+    # plain OR first, in generated code; the arrays are built for the few lines that pass
+    some = matches_any(line, [*P.BEHAVIOR_RX.values(), P.CREDENTIAL_PATH_RX, P.CREDENTIAL_ACCESS_RX, P.URL_RX, P.IPV4_RX])
     targets = F.transform(line_targets(line), lambda t: F.struct(F.lit("outbound").alias("category"), _evidence(t).alias("evidence")))
     pts = F.array_distinct(F.concat(F.array_compact(F.array(*cells)), targets))
-    return _signal_lines(files).select("skill_id", "path", "line_no", F.explode(pts).alias("p")).select(
+    return _signal_lines(files).where(some).select("skill_id", "path", "line_no", F.explode(pts).alias("p")).select(
         "skill_id", "path", "line_no", "p.category", "p.evidence")
 
 
 def extract_targets(files: DataFrame) -> DataFrame:
     """Network targets with their lines: skill_id, path, line_no, target."""
-    return _signal_lines(files).select("skill_id", "path", "line_no", F.explode(F.array_distinct(line_targets(F.col("line")))).alias("target"))
+    some = F.col("line").contains("http") | matches(F.col("line"), P.IPV4_RX)
+    return _signal_lines(files).where(some).select("skill_id", "path", "line_no", F.explode(F.array_distinct(line_targets(F.col("line")))).alias("target"))
 
 
 def distinct_targets(targets: DataFrame) -> DataFrame:
@@ -75,11 +76,10 @@ def evasion_signals(files: DataFrame, delay_secs: int = 300) -> DataFrame:
     line, low = F.col("line"), F.lower("line")
     secs = F.transform(F.regexp_extract_all(line, F.lit(jrx(P.SLEEP_RX)), F.lit(1)), lambda s: s.try_cast("long"))
     first_long = F.try_element_at(F.filter(secs, lambda s: s >= delay_secs), F.lit(1))
-    cells = [F.when(matches(line, rx), F.lit(f"fingerprint {k}")) for k, rx in P.EVASION_FINGERPRINTS.items()]
-    cells.append(F.when(first_long.isNotNull(), F.concat(F.lit(f"delay {delay_secs} hit "), first_long.cast("string"))))
-    cells.append(F.when(has_any(low, ["if", "switch"]) & has_any(low, ["docker", "vm", "sandbox"]) & has_any(low, ["exec", "powershell", "curl", "wget"]),
-                        F.lit("environment guarded execution")))
-    return _signal_lines(files).select("skill_id", F.explode(F.array_compact(F.array(*cells))).alias("signal")).distinct()
+    tests = [(matches(line, rx), F.lit(f"fingerprint {k}")) for k, rx in P.EVASION_FINGERPRINTS.items()]
+    tests.append((low.contains("sleep(") & first_long.isNotNull(), F.concat(F.lit(f"delay {delay_secs} hit "), first_long.cast("string"))))
+    tests.append((has_any(low, ["docker", "vm", "sandbox"]) & has_any(low, ["if", "switch"]) & has_any(low, ["exec", "powershell", "curl", "wget"]), F.lit("environment guarded execution")))
+    return explode_tests(_signal_lines(files), tests, ["skill_id"], "signal").distinct()
 
 
 # --- segments ------------------------------------------------------------------------------------

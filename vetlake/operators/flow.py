@@ -50,7 +50,8 @@ def _all(c: Column, rx: str, group: int) -> Column:
 
 def encoded_tokens(files: DataFrame) -> DataFrame:
     """Base64-like and hex-like tokens per file, with the long flag."""
-    cells = F.concat(*[F.transform(_all(F.col("content"), rx, 0), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("token"))) for k, rx in (("base64", BASE64_TOKEN), ("hex", HEX_TOKEN))])
+    tagged = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token"))
+    cells = F.concat(*[F.transform(_all(F.col("content"), rx, 0), tagged(k)) for k, rx in (("base64", BASE64_TOKEN), ("hex", HEX_TOKEN))])
     return files.select("skill_id", "path", F.explode(F.array_distinct(cells)).alias("t")).select("skill_id", "path", "t.kind", "t.token", (F.length("t.token") >= LONG_TOKEN).alias("is_long"))
 
 
@@ -170,7 +171,8 @@ def variables(c: Column) -> Column:
 
     order = ["concat", "template", "alias", "wrapper", "call"]
     seeds = F.filter(items, lambda a: a["kind"].isin("literal", "join", "template"))
-    later = F.concat(*[F.filter(items, lambda a, k=k: a["kind"] == k) for k in order])
+    of_kind = lambda kind: lambda a: a["kind"] == kind
+    later = F.concat(*[F.filter(items, of_kind(k)) for k in order])
     start = F.aggregate(seeds, empty, seed)
     return F.aggregate(F.flatten(F.array_repeat(later, 4)), start, resolve)
 

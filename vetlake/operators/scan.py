@@ -14,7 +14,7 @@ from ..functions.decode import any_prompt_override, has_hidden_chars
 from ..functions.paths import base_name, is_excluded_file, is_low_signal_path, is_manifest
 from ..functions.text import (
     all_of, any_of, byte_entropy, code_snippet, contains_any, has_any, hit_islands, hit_lines, is_code_line,
-    jrx, matches, ws_trim,
+    jrx, matches, matches_any, ws_trim,
 )
 from . import packs as P
 from .rules import Rule
@@ -34,6 +34,16 @@ def explode_lines(files: DataFrame, text: Column | None = None, keep: list[str]
     )
 
 
+def explode_tests(df: DataFrame, tests: list[tuple[Column, Column]], keep: list[str], alias: str = "h", guard: Column | None = None) -> DataFrame:
+    """One row per (row, passing test) carrying the test's value.
+
+    ``guard`` (default: the OR of the tests) filters first inside generated code; only the few
+    rows that pass build the array of values, which is interpreted.
+    """
+    cells = F.array_compact(F.array(*[F.when(cond, value) for cond, value in tests]))
+    return df.where(guard if guard is not None else any_of(cond for cond, _ in tests)).select(*keep, F.explode(cells).alias(alias))
+
+
 def first_label(c: Column, patterns: list[tuple[str, str]]) -> Column:
     """Label of the first matching pattern, else null; later patterns are not evaluated."""
     out = F.when(matches(c, patterns[0][0]), F.lit(patterns[0][1]))
@@ -60,19 +70,21 @@ def scan_packs(files: DataFrame, chosen: list[P.Pack]) -> DataFrame:
         if all(p.skip_low_signal for p in group):
             src = src.where(~F.col("_low"))
         lines = explode_lines(src, F.col("_text"), ["skill_id", "path", "_low"])
-        cells = []
+        tests = []
         for p in group:
-            gate = [is_code_line(F.col("line"))] if p.code_only else []
+            # pattern first: lines without a hit skip the gate regexes.  No pack pattern is
+            # anchored, so the untrimmed line gives the same answer as the trimmed one.
+            cond = [matches_any(F.col("line"), [rx for rx, _ in p.patterns])]
+            if p.code_only:
+                cond.append(is_code_line(F.col("line")))
             if p.skip_low_signal:
-                gate.append(~F.col("_low"))
+                cond.append(~F.col("_low"))
             if p.exclude:
-                gate.append(~has_any(F.lower("line"), p.exclude))
-            label = first_label(ws_trim(F.col("line")) if p.code_only else F.col("line"), list(p.patterns))
-            # the label test comes first: lines without a hit skip the gate regexes
-            hit = F.when(label.isNotNull() & all_of(gate), label) if gate else label
-            cells.append(F.struct(F.lit(p.key).alias("pack"), F.lit(p.rule_id).alias("rule_id"),
-                                  F.lit(p.severity).alias("severity"), hit.alias("label")))
-        hits = lines.select("skill_id", "path", "line_no", "line", F.explode(F.filter(F.array(*cells), lambda s: s["label"].isNotNull())).alias("h"))
+                cond.append(~has_any(F.lower("line"), p.exclude))
+            value = F.struct(F.lit(p.key).alias("pack"), F.lit(p.rule_id).alias("rule_id"), F.lit(p.severity).alias("severity"),
+                             first_label(F.col("line"), list(p.patterns)).alias("label"))
+            tests.append((all_of(cond), value))
+        hits = explode_tests(lines, tests, ["skill_id", "path", "line_no", "line"], guard=matches_any(F.col("line"), [rx for p in group for rx, _ in p.patterns]))
         part = hits.select("skill_id", "path", "line_no", "h.pack", "h.rule_id", "h.severity", "h.label", "line")
         out = part if out is None else out.unionByName(part)
     return out
@@ -82,13 +94,13 @@ def scan_patterns(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Pattern rules of every layer: one row per (rule, line), first pattern wins."""
     chosen = [r for r in rules if r.dtype == "pattern" and r.patterns]
     lines = explode_lines(files, analysis_text(files))
-    cells = [
-        F.when(any_of(matches(F.col("line"), p) for p in r.patterns),
-               F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.name).alias("title"),
-                        F.lit(r.action).alias("action"), F.lit(r.reason).alias("description")))
+    tests = [
+        (matches_any(F.col("line"), r.patterns),
+         F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.name).alias("title"),
+                  F.lit(r.action).alias("action"), F.lit(r.reason).alias("description")))
         for r in chosen
     ]
-    return lines.select("*", F.explode(F.array_compact(F.array(*cells))).alias("r")).select(
+    return explode_tests(lines, tests, ["*"], "r", matches_any(F.col("line"), [p for r in chosen for p in r.patterns])).select(
         "skill_id", "path", "line_no", "r.rule_id", "r.severity", "r.title", "r.action", "r.description", "line"
     )
 
@@ -103,7 +115,7 @@ def hit_intervals(files: DataFrame, rules: list[Rule], radius: int = 2) -> DataF
     src = files.select("skill_id", "path", analysis_text(files).alias("_text"))
     out = None
     for r in chosen:
-        hits = hit_lines(F.col("lines"), lambda l, r=r: any_of(matches(l, p) for p in r.patterns))
+        hits = hit_lines(F.col("lines"), lambda l, r=r: matches_any(l, r.patterns))
         part = (
             src.where(may_match(F.col("_text"), r.patterns))
             .select("skill_id", "path", F.split("_text", "\n", -1).alias("lines"))
@@ -129,7 +141,7 @@ def may_match(text: Column, patterns) -> Column:
     """
     if any(r"\A" in p or r"\z" in p for p in patterns):
         return F.lit(True)
-    return any_of(text.rlike("(?m)" + jrx(p)) for p in patterns)
+    return matches_any(text, ["(?m)" + p for p in patterns])
 
 
 def location(path: Column, start: Column, end: Column | None = None) -> Column:
@@ -165,7 +177,7 @@ def credential_formats(lines: DataFrame, learned: list[str] | None = None) -> Da
 
     ``learned`` holds false-positive tokens pooled over all rules (a reviewer's list).
     """
-    cells = []
+    tests = []
     for rx, kind, exclusions in P.CREDENTIAL_FORMATS:
         m = F.regexp_extract("line", jrx(rx), 0)
         muted = []
@@ -176,9 +188,9 @@ def credential_formats(lines: DataFrame, learned: list[str] | None = None) -> Da
         ok = matches(F.col("line"), rx)
         if muted:
             ok = ok & ~any_of(muted)
-        cells.append(F.when(ok, F.struct(F.lit(kind).alias("kind"), m.alias("match"))))
+        tests.append((ok, F.struct(F.lit(kind).alias("kind"), m.alias("match"))))
     keep = [c for c in lines.columns if c != "line"]
-    return lines.select(*keep, F.explode(F.array_compact(F.array(*cells))).alias("c")).select(*keep, "c.kind", "c.match")
+    return explode_tests(lines, tests, keep, "c", matches_any(F.col("line"), [rx for rx, _, _ in P.CREDENTIAL_FORMATS])).select(*keep, "c.kind", "c.match")
 
 
 def learned_exclusions(hits: DataFrame, feedback: DataFrame, per_rule: bool = False) -> DataFrame:
@@ -194,7 +206,7 @@ def learned_exclusions(hits: DataFrame, feedback: DataFrame, per_rule: bool = Fa
     tok = tok.select(*scope, "token", F.substring("token", 1, 3).alias("gram")).distinct()
     m = hits.select(*([F.upper("rule_id").alias("t_rule")] if per_rule else []), F.lower("match").alias("m")).distinct()
     starts = F.sequence(F.lit(1), F.greatest(F.length("m"), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.array(*[F.transform(starts, lambda i, n=n: F.substring(F.col("m"), i, F.lit(n))) for n in (1, 2, 3)])))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("m"), i, F.lit(n)) for n in (1, 2, 3)]))))
     muted = (
         m.select(*scope, "m", F.explode(grams).alias("gram")).join(tok, [*scope, "gram"]).where(F.col("m").contains(F.col("token"))).select(*scope, "m").distinct()
     )
@@ -230,12 +242,13 @@ def obfuscated_files(files: DataFrame, threshold: float = 6.0) -> DataFrame:
 
 def dangerous_calls(lines: DataFrame) -> DataFrame:
     """Risky calls by category; one row per (pattern, category, line)."""
-    cells = [
-        F.when(matches(F.col("line"), rx), F.struct(F.lit(cat).alias("category"), F.lit(rx).alias("function"), F.lit(sev).alias("severity")))
+    guard = matches_any(F.col("line"), [rx for items in P.DANGEROUS_CALLS.values() for rx, _ in items])
+    tests = [
+        (matches(F.col("line"), rx), F.struct(F.lit(cat).alias("category"), F.lit(rx).alias("function"), F.lit(sev).alias("severity")))
         for cat, items in P.DANGEROUS_CALLS.items() for rx, sev in items
     ]
     keep = [c for c in lines.columns if c != "line"]
-    return lines.select(*keep, F.explode(F.array_compact(F.array(*cells))).alias("d")).select(*keep, "d.category", "d.function", "d.severity")
+    return explode_tests(lines, tests, keep, "d", guard).select(*keep, "d.category", "d.function", "d.severity")
 
 
 def injection_lines(lines: DataFrame) -> DataFrame:
@@ -244,12 +257,13 @@ def injection_lines(lines: DataFrame) -> DataFrame:
     Patterns with capital letters can therefore never match; kept as the reference behaves.
     """
     low = F.lower("line")
-    cells = [
-        F.when(matches(low, rx), F.struct(F.lit(cat).alias("category"), F.lit(rx).alias("function"), F.lit(sev).alias("severity")))
+    guard = matches_any(low, [rx for cat in ("prompt_injection", "agent_context") for rx, _ in P.DANGEROUS_CALLS[cat]])
+    tests = [
+        (matches(low, rx), F.struct(F.lit(cat).alias("category"), F.lit(rx).alias("function"), F.lit(sev).alias("severity")))
         for cat in ("prompt_injection", "agent_context") for rx, sev in P.DANGEROUS_CALLS[cat]
     ]
     keep = [c for c in lines.columns if c != "line"]
-    return lines.select(*keep, F.explode(F.array_compact(F.array(*cells))).alias("d")).select(*keep, "d.category", "d.function", "d.severity")
+    return explode_tests(lines, tests, keep, "d", guard).select(*keep, "d.category", "d.function", "d.severity")
 
 
 # --- line classifiers --------------------------------------------------------------------
@@ -324,13 +338,13 @@ def hidden_content(files: DataFrame) -> DataFrame:
     """Findings of skills whose hidden-content score dropped."""
     scores = hidden_content_scores(files).where("score < 5")
     lines = explode_lines(files.where(~is_low_signal_path(F.col("path"))))
-    cells = [
-        F.when(has_hidden_chars(F.col("line")), F.struct(F.lit("low").alias("severity"), F.lit("hidden control character").alias("label"))),
-        F.when(any_prompt_override(F.col("line")), F.struct(F.lit("medium").alias("severity"), F.lit("prompt override").alias("label"))),
-        F.when(F.col("line").contains("btoa"), F.struct(F.lit("low").alias("severity"), F.lit("btoa encoding").alias("label"))),
-        F.when(F.col("line").contains("atob"), F.struct(F.lit("low").alias("severity"), F.lit("atob decoding").alias("label"))),
+    line = F.col("line")
+    value = lambda sev, label: F.struct(F.lit(sev).alias("severity"), F.lit(label).alias("label"))
+    tests = [
+        (line.contains("btoa"), value("low", "btoa encoding")), (line.contains("atob"), value("low", "atob decoding")),
+        (has_hidden_chars(line), value("low", "hidden control character")), (any_prompt_override(line), value("medium", "prompt override")),
     ]
-    hits = lines.select("skill_id", "path", "line_no", F.explode(F.array_compact(F.array(*cells))).alias("h"))
+    hits = explode_tests(lines, tests, ["skill_id", "path", "line_no"])
     per_line = _finding(hits.join(scores.select("skill_id"), "skill_id", "left_semi"), "V7-029", F.col("h.severity"), F.col("h.label"))
     dense = _finding(scores.where("dense_path is not null").select("skill_id", F.col("dense_path").alias("path"), F.lit(0).alias("line_no")),
                      "V7-029", "low", "high file entropy")

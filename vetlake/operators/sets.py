@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import base_name, file_ext, is_declaration, is_low_signal_path, is_plugin_script, is_production_source, is_script
 from ..functions.text import any_of, contains_any, has_any, is_code_line, is_log_only_line, matches, ws_trim
 from . import packs as P
-from .scan import analysis_text, calls_network, destroys_data, explode_lines, persists_or_beacons, runs_command, touches_secrets
+from .scan import analysis_text, calls_network, destroys_data, explode_lines, explode_tests, persists_or_beacons, runs_command, touches_secrets
 
 
 def _declared(files: DataFrame, skills: DataFrame | None, is_decl: Column, flags: dict[str, list[str]]) -> DataFrame:
@@ -37,8 +37,7 @@ def intent_alignment(files: DataFrame, skills: DataFrame | None = None) -> DataF
     line = F.col("line")
     tests = {"command": runs_command(line), "network": calls_network(line), "sensitive": touches_secrets(line) & is_code_line(line)}
     seen = (
-        explode_lines(src, analysis_text(src))
-        .select("skill_id", "path", "line_no", F.explode(F.array_compact(F.array(*[F.when(tests[k], F.lit(i)) for i, k in enumerate(ALIGNMENT)]))).alias("cap"))
+        explode_tests(explode_lines(src, analysis_text(src)), [(tests[k], F.lit(i)) for i, k in enumerate(ALIGNMENT)], ["skill_id", "path", "line_no"], "cap")
         .groupBy("skill_id", "cap").agg(F.min(F.struct("path", "line_no")).alias("at"))
     )
     undeclared = any_of((F.col("cap") == i) & ~F.coalesce(F.col(k), F.lit(False)) for i, k in enumerate(ALIGNMENT))
@@ -98,8 +97,8 @@ def plugin_audit(files: DataFrame) -> DataFrame:
 
 
 def _audit(lines: DataFrame, tests: list, declared: DataFrame, eligible: DataFrame) -> DataFrame:
-    cells = [F.when(test, F.struct(F.lit(label).alias("label"), F.lit(sev).alias("severity"))) for label, _, sev, test in tests]
-    hits = lines.select("skill_id", "path", "line_no", F.explode(F.array_compact(F.array(*cells))).alias("h")).select("skill_id", "path", "line_no", "h.label", "h.severity")
+    values = [(test, F.struct(F.lit(label).alias("label"), F.lit(sev).alias("severity"))) for label, _, sev, test in tests]
+    hits = explode_tests(lines, values, ["skill_id", "path", "line_no"]).select("skill_id", "path", "line_no", "h.label", "h.severity")
     muted = any_of((F.col("label") == label) & F.coalesce(F.col(flag), F.lit(False)) for label, flag, _, _ in tests if flag)
     return (
         hits.join(eligible, "skill_id", "left_semi").join(declared, "skill_id", "left").where(~muted)
@@ -157,12 +156,9 @@ def irreversible_ops(files: DataFrame, skills: DataFrame) -> DataFrame:
     desc = skills.select("skill_id", matches(F.lower("description"), P.IRREVERSIBLE_SCOPE_RX).alias("desc_scope"),
                          contains_any(F.col("description"), P.APPROVAL_MARKERS).alias("approved"))
     low = F.lower(ws_trim(F.col("line")))
-    cells = [F.when(matches(low, rx), F.struct(F.lit(label).alias("op"), F.lit(conf).alias("conf"))) for label, conf, rx in P.IRREVERSIBLE_ACTIONS]
-    hits = (
-        explode_lines(files)
-        .where(is_code_line(F.col("line")) & ~is_log_only_line(F.col("line")))
-        .select("skill_id", "path", "line_no", matches(low, P.IRREVERSIBLE_SCOPE_RX).alias("line_scope"), F.explode(F.array_compact(F.array(*cells))).alias("c"))
-    )
+    tests = [(matches(low, rx), F.struct(F.lit(label).alias("op"), F.lit(conf).alias("conf"))) for label, conf, rx in P.IRREVERSIBLE_ACTIONS]
+    hits = explode_tests(explode_lines(files), tests, ["skill_id", "path", "line_no", "line"], "c").where(is_code_line(F.col("line")) & ~is_log_only_line(F.col("line")))
+    hits = hits.withColumn("line_scope", matches(low, P.IRREVERSIBLE_SCOPE_RX))
     # reduced to at most (actions x scope) rows per skill before the join with descriptions
     per_op = hits.groupBy("skill_id", "c.op", "c.conf", "line_scope").agg(F.count("*").alias("n"), F.min(F.struct("path", "line_no")).alias("at"))
     text = analysis_text(files)
@@ -212,7 +208,8 @@ def declaration_parts(text: Column) -> Column:
     return F.transform(F.filter(F.transform(parts, strip), lambda p: p != ""), lambda p: F.substring(p, 1, 500))
 
 
-INTENTS = list(P.INTENT_SIGNALS)
+def _mentions(keys: list[str]):
+    return lambda text: has_any(text, keys)
 
 
 def declared_intent(skills: DataFrame) -> DataFrame:
@@ -225,7 +222,7 @@ def declared_intent(skills: DataFrame) -> DataFrame:
     texts = F.concat(safe, F.transform(F.coalesce("permissions", F.array().cast("array<string>")), F.lower))
     df = skills.select("skill_id", "description", "permissions", texts.alias("_t"), F.exists(parts, lambda p: has_any(p, P.INTENT_INJECTION)).alias("unsafe"))
     return df.select("skill_id", "description", "permissions", "unsafe",
-                     *[F.exists("_t", lambda p, keys=keys: has_any(p, keys)).alias(k) for k, keys in P.INTENT_SIGNALS.items()])
+                     *[F.exists("_t", _mentions(keys)).alias(k) for k, keys in P.INTENT_SIGNALS.items()])
 
 
 DIFF_RULES = [  # diff, observed column, declared column

@@ -134,14 +134,14 @@ _ISLANDS = f"""WITH {S.SEED_LINES}, h AS ({_RULE_SQL}), i AS (SELECT *, line_no
 
 
 @query("hit_intervals", "skill_id:str path:str rule_id:str severity:str line_start:int line_end:int code_snippet:str", _ISLANDS + """
-  SELECT g.skill_id, g.path, g.rule_id, 'high' AS severity, line_start, line_end, string_agg(CASE WHEN l.line_no BETWEEN line_start AND line_end THEN '> ' ELSE '  ' END || lpad(l.line_no::VARCHAR, greatest(4, len(l.line_no::VARCHAR)), ' ') || ' | ' || l.line || chr(10), '' ORDER BY l.line_no) AS code_snippet
+  SELECT g.skill_id, g.path, g.rule_id, 'high' AS severity, line_start, line_end, string_agg(CASE WHEN l.line_no BETWEEN line_start AND line_end THEN '> ' ELSE '  ' END || lpad(l.line_no::VARCHAR, greatest(4, len(l.line_no::VARCHAR))::INT, ' ') || ' | ' || l.line || chr(10), '' ORDER BY l.line_no) AS code_snippet
   FROM g JOIN l ON g.skill_id = l.skill_id AND g.path = l.path AND l.line_no BETWEEN line_start - 2 AND line_end + 2 GROUP BY g.skill_id, g.path, g.rule_id, line_start, line_end""")
 def hit_intervals(spark, d):
     return scan.hit_intervals(C.seeded_files(spark, d), R.default_rules())
 
 
 @query("code_context", "skill_id:str path:str line_no:int code_snippet:str", f"""WITH {S.DOC_LINES}, h AS ({_pack_sql(P.HARDCODED_CREDENTIALS, 'doc_l')})
-  SELECT h.skill_id, h.path, h.line_no, string_agg(CASE WHEN l.line_no = h.line_no THEN '> ' ELSE '  ' END || lpad(l.line_no::VARCHAR, greatest(4, len(l.line_no::VARCHAR)), ' ') || ' | ' || l.line || chr(10), '' ORDER BY l.line_no) AS code_snippet
+  SELECT h.skill_id, h.path, h.line_no, string_agg(CASE WHEN l.line_no = h.line_no THEN '> ' ELSE '  ' END || lpad(l.line_no::VARCHAR, greatest(4, len(l.line_no::VARCHAR))::INT, ' ') || ' | ' || l.line || chr(10), '' ORDER BY l.line_no) AS code_snippet
   FROM h JOIN doc_l l ON h.skill_id = l.skill_id AND h.path = l.path AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2 GROUP BY 1, 2, 3""")
 def code_context(spark, d):
     files = C.document_files(spark, d)

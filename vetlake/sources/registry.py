@@ -67,5 +67,6 @@ def explode_results(reports: DataFrame, payload: str = "payload", key: str = "sk
     Unparseable payloads yield no rows.
     """
     b = F.from_json(F.col(payload), PAYLOAD_SCHEMA)["result"]["behavior"]
-    cells = F.concat(*[F.transform(F.coalesce(b[c], F.array().cast("array<string>")), lambda x, c=c: F.struct(F.lit(c.removesuffix("_iocs")).alias("category"), x.alias("item"))) for c in _BEHAVIOR])
+    tagged = lambda name: lambda x: F.struct(F.lit(name).alias("category"), x.alias("item"))
+    cells = F.concat(*[F.transform(F.coalesce(b[c], F.array().cast("array<string>")), tagged(c.removesuffix("_iocs"))) for c in _BEHAVIOR])
     return reports.select(key, F.explode(cells).alias("r")).select(key, "r.category", "r.item")
