@@ -34,7 +34,7 @@ SAMPLE_LINES = [
     # context rules
     "return session token", "logger.warn(api_key)", "cache.set(credential)", "store token in redis", "memory.write(note)", "context.get(state)", "resp = requests.get(user_url)",
     "fetch(query.url)", "call 169.254.169.254 metadata", "validate host against allowlist", "mask(value)", "encrypt with kms", "namespace = tenant", "messages.append(tool_response)",
-    "license server verify at http://localhost:8080", "license verification skip on error", "validate license return true", "allow_origins = ['*']", "allow_credentials = true",
+    "license server verify at http://localhost:8080", "license verification skip on error", "validate license return true", "allow_origins = ['*']; allow_credentials = true", "allow_credentials = true",
     # behaviour
     "wget https://files.example.com/a.bin", "chmod +x a.bin", "crontab -l", "sudo setcap x", "id_rsa", "history -c", "scp a b@host", "tar -czf out.tgz data", "heartbeat()", "exec.Command(\"bash\")",
     "requests.post(url, data)", "os.getenv('API_TOKEN')", "systemctl enable svc", "pg_dump db", "psexec \\\\host",

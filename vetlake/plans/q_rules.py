@@ -165,8 +165,8 @@ _IRR = " UNION ALL ".join(f"SELECT skill_id, path, line_no, {S.s(n)} AS op, {c}
 @query("irreversible_ops", "skill_id:str ops:str n_effective:int has_scope:bool path:str line_no:int rule_id:str severity:str", f"""WITH {S.SEED_LINES}, {S.SEED_SKILLS}, h AS ({_IRR}),
   ap AS (SELECT skill_id FROM sk WHERE {S.any_in('lower(description)', P.APPROVAL_MARKERS)} UNION SELECT skill_id FROM l WHERE {S.code_line('line')} AND {S.any_in('lower(line)', P.APPROVAL_MARKERS)}),
   e AS (SELECT h.*, ls OR {S.rx('lower(description)', P.IRREVERSIBLE_SCOPE_RX)} AS scoped FROM h JOIN sk ON h.skill_id = sk.skill_id WHERE h.skill_id NOT IN (SELECT skill_id FROM ap)),
-  g AS (SELECT skill_id, string_agg(DISTINCT op, ',' ORDER BY op) AS ops, count(*) FILTER (conf >= 2 OR scoped) AS n_effective, bool_or((conf >= 2 OR scoped) AND scoped) AS has_scope, min({{'p': path, 'n': line_no}}) FILTER (conf >= 2 OR scoped) AS at FROM e GROUP BY 1)
-  SELECT skill_id, ops, n_effective, has_scope, at.p AS path, at.n AS line_no, 'V7-019' AS rule_id, 'high' AS severity FROM g WHERE n_effective > 0""")
+  g AS (SELECT skill_id, string_agg(DISTINCT op, ',' ORDER BY op) AS ops, count(*) FILTER (conf >= 2 OR scoped) AS n_effective, bool_or((conf >= 2 OR scoped) AND scoped) AS has_scope, min({{'p': path, 'n': line_no}}) FILTER (conf >= 2 OR scoped) AS loc FROM e GROUP BY 1)
+  SELECT skill_id, ops, n_effective, has_scope, loc.p AS path, loc.n AS line_no, 'V7-019' AS rule_id, 'high' AS severity FROM g WHERE n_effective > 0""")
 def irreversible_ops(spark, d):
     return sets.irreversible_ops(C.seeded_files(spark, d), C.seeded_skills(spark, d))
 
