@@ -115,7 +115,7 @@ def group_findings(findings: DataFrame, order: list[str] | None = None, max_evid
     keyed = findings.select("*", F.when(title == LICENSE_TITLE, F.lit("license-config")).otherwise(ws_trim(F.col("rule_id"))).alias("g_rule"),
                             ws_trim(F.col("severity")).alias("g_sev"), title.alias("g_title"))
     g = ["skill_id", "g_rule", "g_sev", "g_title"]
-    first = F.min(F.struct(*order, "rule_id", "severity", "title", "description", "source"))
+    first = F.min(F.struct(*dict.fromkeys([*order, "rule_id", "severity", "title", "description", "source"])))
     groups = keyed.groupBy(*g).agg(F.count("*").alias("n"), first.alias("m"))
     item = F.when(F.col("path") == "", F.col("description")).otherwise(F.concat("path", F.lit(":"), F.col("line_start").cast("string"), F.lit(" "), F.coalesce("code_snippet", F.lit(""))))
     w = Window.partitionBy(*g).orderBy(*order)

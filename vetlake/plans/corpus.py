@@ -105,7 +105,7 @@ def seeded_files(spark: SparkSession, sf_dir: str, manifests: bool = True) -> Da
     doc, g, k = F.col("doc_id"), F.col("g"), F.col("k")
     line = lambda l, i: (
         F.when((k == 0) & (i == 0), _pick(DECLARATIONS, g % len(DECLARATIONS)))
-        .when((doc * 7 + i * 3) % 4 == 0, _pick(SAMPLE_LINES, (doc * 13 + i * 29) % len(SAMPLE_LINES))).otherwise(l)
+        .when((doc * 7 + i * 3) % 4 == 0, _pick(SAMPLE_LINES, (doc * 13 + i * 29 + g * 7) % len(SAMPLE_LINES))).otherwise(l)
     )
     content = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
     skill = lambda c: F.concat(F.lit("skill_"), c.cast("string"))

@@ -202,8 +202,8 @@ def version_locking_deps(spark, d):
 
 
 _SENT = rf"""st AS (SELECT skill_id, substr(x, 1, 500) AS x FROM (SELECT skill_id, {S.trim("regexp_replace(" + S.trim("p") + ", '^[#>*\\- `\\t]+', '')")} AS x FROM (SELECT skill_id, unnest(regexp_split_to_array(replace(description, chr(13) || chr(10), chr(10)), '[\n。；;]+')) AS p FROM sk)) WHERE x <> ''),
-  tx AS (SELECT skill_id, lower(x) AS x, {S.any_in('lower(x)', P.INTENT_INJECTION)} AS bad, TRUE AS sent FROM st UNION ALL SELECT skill_id, lower(p), FALSE, FALSE FROM (SELECT skill_id, unnest(permissions) AS p FROM sk)),
-  di AS (SELECT sk.skill_id, sk.description, sk.permissions, coalesce(bool_or(bad), FALSE) AS unsafe, {', '.join(f'coalesce(bool_or(NOT bad AND {S.any_in("x", k)}), FALSE) AS {n}' for n, k in P.INTENT_SIGNALS.items())} FROM sk LEFT JOIN tx ON sk.skill_id = tx.skill_id GROUP BY ALL)"""
+  itx AS (SELECT skill_id, lower(x) AS x, {S.any_in('lower(x)', P.INTENT_INJECTION)} AS bad, TRUE AS sent FROM st UNION ALL SELECT skill_id, lower(p), FALSE, FALSE FROM (SELECT skill_id, unnest(permissions) AS p FROM sk)),
+  di AS (SELECT sk.skill_id, sk.description, sk.permissions, coalesce(bool_or(bad), FALSE) AS unsafe, {', '.join(f'coalesce(bool_or(NOT bad AND {S.any_in("x", k)}), FALSE) AS {n}' for n, k in P.INTENT_SIGNALS.items())} FROM sk LEFT JOIN itx ON sk.skill_id = itx.skill_id GROUP BY ALL)"""
 
 
 @query("declared_intent", "skill_id:str unsafe:bool network:bool file:bool exec:bool data:bool external_deps:bool", f"WITH {S.SEED_LINES}, {S.SEED_SKILLS}, {_SENT} SELECT * EXCLUDE (description, permissions) FROM di")

@@ -90,7 +90,7 @@ seed_t AS (SELECT 'skill_' || g AS skill_id,
     ELSE 'src/lib_' || doc_id || '.go' END AS path,
   i AS line_no,
   CASE WHEN k = 0 AND i = 1 THEN ({lst(C.DECLARATIONS)})[(g % {_D}) + 1]
-       WHEN (doc_id * 7 + (i - 1) * 3) % 4 = 0 THEN ({lst(C.SAMPLE_LINES)})[((doc_id * 13 + (i - 1) * 29) % {_N}) + 1] ELSE l END AS line FROM seed0),
+       WHEN (doc_id * 7 + (i - 1) * 3) % 4 = 0 THEN ({lst(C.SAMPLE_LINES)})[((doc_id * 13 + (i - 1) * 29 + g * 7) % {_N}) + 1] ELSE l END AS line FROM seed0),
 man0 AS (SELECT doc_id // 5 AS g, sum(n_chars)::BIGINT AS n FROM documents GROUP BY 1),
 man_f AS (SELECT 'skill_' || g AS skill_id, CASE WHEN g % 2 = 0 THEN 'package.json' ELSE 'go.mod' END AS path,
   CASE WHEN g % 2 = 0 THEN '{{"dependencies":{{"lib' || (n % 97) || '":"' || ({lst(C.MANIFEST_VERSIONS)})[(g % {len(C.MANIFEST_VERSIONS)}) + 1] || '","pkg' || g || '":"1.2.' || (n % 10) || '"}}}}'
