@@ -33,23 +33,56 @@ def touches_credentials(line: Column) -> Column:
     return matches(line, P.CREDENTIAL_PATH_RX) | (matches(line, P.CREDENTIAL_ACCESS_RX) & matches(line, P.CREDENTIAL_SECRET_RX))
 
 
-def behavior_points(files: DataFrame) -> DataFrame:
-    """Distinct evidence points: skill_id, path, line_no, category, evidence.
+def behavior_facts(files: DataFrame, delay_secs: int = 300) -> DataFrame:
+    """Everything the behaviour scan sees, in one pass over the lines: skill_id, path, line_no, category, evidence.
 
-    Target hits count as outbound evidence.  Distinctness needs no shuffle: a line is one
-    row, so duplicates can only arise inside it and are removed in its array.
+    Categories: the eleven of ``BEHAVIOR_CATEGORIES`` plus network_targets, file_targets,
+    exec_targets and evasion_signals.  Target hits also count as outbound evidence.  A line is
+    one row, so duplicates can only arise inside its own array: distinctness needs no shuffle.
     """
-    line = F.col("line")
+    line, low = F.col("line"), F.lower("line")
+    item = lambda cat, ev: F.struct(F.lit(cat).alias("category"), ev.alias("evidence"))
     tests = {cat: touches_credentials(line) if cat == "credential" else matches(line, P.BEHAVIOR_RX[cat]) for cat in P.BEHAVIOR_CATEGORIES}
-    cells = [F.when(test, F.struct(F.lit(cat).alias("category"), _evidence(line).alias("evidence"))) for cat, test in tests.items()]
-    # plain OR first, in generated code; the arrays are built for the few lines that pass
-    some = matches_any(line, [*P.BEHAVIOR_RX.values(), P.CREDENTIAL_PATH_RX, P.CREDENTIAL_ACCESS_RX, P.URL_RX, P.IPV4_RX])
-    targets = F.transform(line_targets(line), lambda t: F.struct(F.lit("outbound").alias("category"), _evidence(t).alias("evidence")))
-    pts = F.array_distinct(F.concat(F.array_compact(F.array(*cells)), targets))
-    return _signal_lines(files).where(some).select("skill_id", "path", "line_no", F.explode(pts).alias("p")).select(
+    cells = [F.when(test, item(cat, _evidence(line))) for cat, test in tests.items()]
+    cells.append(F.when(tests["execute"], item("exec_targets", line)))
+    cells.append(F.when(_opens_file(line), item("file_targets", F.col("path"))))
+    cells += [F.when(cond, item("evasion_signals", value)) for cond, value in _evasion_tests(line, low, delay_secs)]
+    urls = line_targets(line)
+    as_item = lambda cat: lambda t: item(cat, _evidence(t))
+    facts = F.array_distinct(F.concat(F.array_compact(F.array(*cells)), F.transform(urls, as_item("outbound")), F.transform(urls, as_item("network_targets"))))
+    # one alternation first, in generated code; the arrays are built for the few lines that pass
+    some = matches_any(line, [*P.BEHAVIOR_RX.values(), P.CREDENTIAL_PATH_RX, P.CREDENTIAL_ACCESS_RX, P.URL_RX, P.IPV4_RX, *P.EVASION_FINGERPRINTS.values(), P.SLEEP_RX,
+                              r"open\(|os\.ReadFile|os\.WriteFile", r"(?i)docker|vm|sandbox"])
+    return _signal_lines(files).where(some).select("skill_id", "path", "line_no", F.explode(facts).alias("p")).select(
         "skill_id", "path", "line_no", "p.category", "p.evidence")
 
 
+def behavior_points(files: DataFrame) -> DataFrame:
+    """Distinct evidence points of the eleven behaviour categories."""
+    return points_of(behavior_facts(files))
+
+
+def points_of(facts: DataFrame) -> DataFrame:
+    return facts.where(F.col("category").isin(P.BEHAVIOR_CATEGORIES))
+
+
+def signals_of(facts: DataFrame) -> DataFrame:
+    return facts.where("category = 'evasion_signals'").select("skill_id", F.col("evidence").alias("signal")).distinct()
+
+
+def _opens_file(line: Column) -> Column:
+    return line.contains("open(") | line.contains("os.ReadFile") | line.contains("os.WriteFile")
+
+
+def _evasion_tests(line: Column, low: Column, delay_secs: int) -> list[tuple[Column, Column]]:
+    secs = F.transform(F.regexp_extract_all(line, F.lit(jrx(P.SLEEP_RX)), F.lit(1)), lambda s: s.try_cast("long"))
+    first_long = F.try_element_at(F.filter(secs, lambda s: s >= delay_secs), F.lit(1))
+    tests = [(matches(line, rx), F.lit(f"fingerprint {k}")) for k, rx in P.EVASION_FINGERPRINTS.items()]
+    tests.append((low.contains("sleep(") & first_long.isNotNull(), F.concat(F.lit(f"delay {delay_secs} hit "), first_long.cast("string"))))
+    tests.append((has_any(low, ["docker", "vm", "sandbox"]) & has_any(low, ["if", "switch"]) & has_any(low, ["exec", "powershell", "curl", "wget"]), F.lit("environment guarded execution")))
+    return tests
+
+
 def extract_targets(files: DataFrame) -> DataFrame:
     """Network targets with their lines: skill_id, path, line_no, target."""
     some = F.col("line").contains("http") | matches(F.col("line"), P.IPV4_RX)
@@ -62,8 +95,7 @@ def distinct_targets(targets: DataFrame) -> DataFrame:
 
 def file_targets(files: DataFrame) -> DataFrame:
     """Files with open or read/write calls: skill_id, path, n_lines."""
-    hit = F.col("line").contains("open(") | F.col("line").contains("os.ReadFile") | F.col("line").contains("os.WriteFile")
-    return _signal_lines(files).where(hit).groupBy("skill_id", "path").agg(F.count("*").alias("n_lines"))
+    return _signal_lines(files).where(_opens_file(F.col("line"))).groupBy("skill_id", "path").agg(F.count("*").alias("n_lines"))
 
 
 def exec_targets(files: DataFrame) -> DataFrame:
@@ -73,12 +105,7 @@ def exec_targets(files: DataFrame) -> DataFrame:
 
 def evasion_signals(files: DataFrame, delay_secs: int = 300) -> DataFrame:
     """Distinct evasion signals per skill: fingerprints, long sleeps, environment-guarded execution."""
-    line, low = F.col("line"), F.lower("line")
-    secs = F.transform(F.regexp_extract_all(line, F.lit(jrx(P.SLEEP_RX)), F.lit(1)), lambda s: s.try_cast("long"))
-    first_long = F.try_element_at(F.filter(secs, lambda s: s >= delay_secs), F.lit(1))
-    tests = [(matches(line, rx), F.lit(f"fingerprint {k}")) for k, rx in P.EVASION_FINGERPRINTS.items()]
-    tests.append((low.contains("sleep(") & first_long.isNotNull(), F.concat(F.lit(f"delay {delay_secs} hit "), first_long.cast("string"))))
-    tests.append((has_any(low, ["docker", "vm", "sandbox"]) & has_any(low, ["if", "switch"]) & has_any(low, ["exec", "powershell", "curl", "wget"]), F.lit("environment guarded execution")))
+    tests = _evasion_tests(F.col("line"), F.lower("line"), delay_secs)
     return explode_tests(_signal_lines(files), tests, ["skill_id"], "signal").distinct()
 
 

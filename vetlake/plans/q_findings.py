@@ -14,10 +14,11 @@ from ..operators import scan, scoring, sets
 from ..sources import sinks
 from . import corpus as C
 from . import sqltext as S
-from .q_behavior import _ALERT, _CHAIN, _DED, _SIG, _VETO, BEHAVIOR_CTE, FILE_SEG, file_segments
-from .q_rules import _DIFF, _OBS, _SENT, observed_flags
+from .q_behavior import _ALERT, _CHAIN, _DED, _SIG, _VETO, BEHAVIOR_CTE, FILE_SEG
+from .q_rules import _DIFF, _OBS, _SENT
 from .q_scan import _CALL_SQL, _pack_sql
 from .registry import query
+from .stage import Stage
 
 _NAMES = "CASE rule_id " + " ".join(f"WHEN {S.s(r.rule_id)} THEN {S.s(r.name)}" for r in RU.RULES.values()) + " ELSE rule_id END"
 FIND_CTE = "fd AS (SELECT x.skill_id, x.path, x.line_no AS line_start, rule_id, severity, " + _NAMES + " AS title, label AS description, l.line AS code FROM (" + " UNION ALL ".join(
@@ -118,24 +119,13 @@ CONF_CTE = f"""cf0 AS (SELECT gr.*, coalesce(has_chain, FALSE) AS has_chain, coa
   cg AS (SELECT *, CASE WHEN confidence_score >= 4 THEN 'high' WHEN confidence_score >= 2 THEN 'medium' ELSE 'review' END AS confidence FROM cf)"""
 
 
-def skill_flags(spark, d):
-    files, skills = C.seeded_files(spark, d), C.seeded_skills(spark, d)
-    obs = observed_flags(spark, d)
-    n = sets.intent_diffs(skills, obs).groupBy("skill_id").agg(F.count("*").alias("n_diffs"))
-    ev = B.evasion_signals(files).select("skill_id").distinct().withColumn("evasion", F.lit(True))
-    return skills.select("skill_id").join(obs.select("skill_id", F.col("network_targets").alias("has_ti")), "skill_id", "left").join(n, "skill_id", "left").join(ev, "skill_id", "left").fillna(
-        {"has_ti": False, "n_diffs": 0, "evasion": False})
 
 
-def confident(spark, d):
-    segs = file_segments(spark, d)
-    support = FD.behavior_support(B.chains(segs), B.sequence_alerts(segs))
-    return FD.finding_confidence(FD.with_support(groups(spark, d), support, skill_flags(spark, d)))
 
 
 @query("finding_confidence", "skill_id:str finding_id:str category:str confidence_score:int confidence:str basis:str", f"WITH {_BASE}, {CONF_CTE} SELECT skill_id, finding_id, category, confidence_score, confidence, array_to_string(basis, ';') AS basis FROM cg")
 def finding_confidence(spark, d):
-    return confident(spark, d).withColumn("basis", F.array_join("basis", ";"))
+    return Stage(spark, d).confident.withColumn("basis", F.array_join("basis", ";"))
 
 
 def _forall(words) -> str:
@@ -151,13 +141,11 @@ ASSESS_CTE = f"""{CONF_CTE}, as0 AS (SELECT *, has_chain OR has_alert AS has_beh
   asd AS (SELECT *, CASE WHEN internal_only AND NOT threat_like THEN 'likely_false_positive' WHEN strength = 'strong' AND exploitability = 'elevated' AND NOT docs_only THEN 'likely_real' WHEN docs_only AND NOT threat_like THEN 'likely_false_positive' ELSE 'manual' END AS fp_verdict FROM as2)"""
 
 
-def assessed(spark, d):
-    return R.assess(confident(spark, d))
 
 
 @query("fp_review", "skill_id:str finding_id:str exploitability:str impact:str strength:str fp_verdict:str", f"WITH {_BASE}, {ASSESS_CTE} SELECT * FROM asd")
 def fp_review(spark, d):
-    return R.fp_review(assessed(spark, d))
+    return R.fp_review(Stage(spark, d).assessed)
 
 
 _MISS = f"list_filter([CASE WHEN len(evidence) = 0 THEN {S.s(R.MISSING[0])} END, CASE WHEN strength <> 'strong' AND NOT has_behavior THEN {S.s(R.MISSING[1])} END, CASE WHEN docs_only AND NOT threat_like THEN {S.s(R.MISSING[2])} END, CASE WHEN internal_only AND NOT threat_like THEN {S.s(R.MISSING[3])} END], lambda x: x IS NOT NULL)"
@@ -169,14 +157,9 @@ VERDICT_CTE = f"""{ASSESS_CTE}, vm AS (SELECT *, {_MISS} AS missing FROM asd), d
 
 @query("deterministic_verdict", "skill_id:str finding_id:str verdict:str confidence:str missing:str", f"WITH {_BASE}, {VERDICT_CTE} SELECT skill_id, finding_id, split_part(v, '|', 1) AS verdict, split_part(v, '|', 2) AS confidence, array_to_string(missing, ';') AS missing FROM dv")
 def deterministic_verdict(spark, d):
-    return R.deterministic_verdict(assessed(spark, d)).withColumn("missing", F.array_join("missing", ";"))
+    return R.deterministic_verdict(Stage(spark, d).assessed).withColumn("missing", F.array_join("missing", ";"))
 
 
-def external_analyses(spark, d):
-    """Model analyses stand-in: one row per finding, graded by its evidence count and category."""
-    a = groups(spark, d)
-    sev = F.when(F.col("n") > 3, F.array(F.lit("High"))).when(F.col("n") > 1, F.array(F.lit("medium"))).otherwise(F.array().cast("array<string>"))
-    return a.select("skill_id", "finding_id", sev.alias("risk_severities"), F.when(F.col("category") == "static", F.lit("none")).otherwise(F.lit("unclear")).alias("intent_risk_level"), (F.col("n") * 30 + 40).alias("intent_consistency"))
 
 
 EXT_CTE = """ex AS (SELECT skill_id, finding_id, CASE WHEN n > 3 THEN 'confirmed' WHEN n <= 1 AND (category = 'static' OR n * 30 + 40 >= 80) THEN 'likely_false_positive' ELSE 'needs_manual_review' END AS verdict,
@@ -185,7 +168,7 @@ EXT_CTE = """ex AS (SELECT skill_id, finding_id, CASE WHEN n > 3 THEN 'confirmed
 
 @query("external_verdicts", "skill_id:str finding_id:str verdict:str confidence:str reviewer:str", f"WITH {S.SEED_LINES}, {FIND_CTE}, {GROUP_CTE}, {EXT_CTE} SELECT * FROM ex")
 def external_verdicts(spark, d):
-    return R.external_verdicts(external_analyses(spark, d))
+    return R.external_verdicts(Stage(spark, d).analyses)
 
 
 # consensus of the two reviewers of a finding: rank by confidence, then the rule-based reviewer
@@ -197,17 +180,13 @@ REV_CTE = f"""{CONS_CTE}, rv AS (SELECT asd.*, final_verdict, CASE WHEN strength
   FROM asd JOIN cn ON asd.skill_id = cn.skill_id AND asd.finding_id = cn.finding_id)"""
 
 
-def consensus(spark, d):
-    return R.verdict_consensus(R.union_verdicts(R.external_verdicts(external_analyses(spark, d)), R.deterministic_verdict(assessed(spark, d))))
 
 
-def reviewed(spark, d):
-    return R.reviewed(assessed(spark, d), consensus(spark, d))
 
 
 @query("finding_consensus", "skill_id:str finding_id:str verdict:str confidence:str reviewer:str", f"WITH {_BASE}, {CONS_CTE} SELECT skill_id, finding_id, final_verdict AS verdict, final_confidence AS confidence, final_reviewer AS reviewer FROM cn")
 def finding_consensus(spark, d):
-    return consensus(spark, d)
+    return Stage(spark, d).consensus
 
 
 _CLASS = """CASE WHEN final_verdict = 'likely_false_positive' AND tier <> 'strong' THEN 'low' WHEN severity = 'high' AND tier = 'strong' AND final_verdict = 'confirmed' THEN 'high' WHEN final_verdict = 'needs_manual_review' AND severity = 'high' THEN 'medium'
@@ -216,23 +195,23 @@ _CLASS = """CASE WHEN final_verdict = 'likely_false_positive' AND tier <> 'stron
 
 @query("reviewed_counts", "skill_id:str high:int medium:int low:int", f"WITH {_BASE}, {REV_CTE} SELECT skill_id, count(*) FILTER (c = 'high') AS high, count(*) FILTER (c = 'medium') AS medium, count(*) FILTER (c = 'low') AS low FROM (SELECT skill_id, {_CLASS} AS c FROM rv) GROUP BY 1")
 def reviewed_counts(spark, d):
-    return R.reviewed_counts(reviewed(spark, d))
+    return R.reviewed_counts(Stage(spark, d).reviewed)
 
 
 @query("ordered_findings", "skill_id:str review_rank:int severity_rank:int finding_id:str tier:str", f"""WITH {_BASE}, {REV_CTE} SELECT skill_id, CASE final_verdict WHEN 'confirmed' THEN 0 WHEN 'needs_manual_review' THEN 1 ELSE 3 END AS review_rank, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS severity_rank, finding_id, tier FROM rv""")
 def ordered_findings(spark, d):
-    return R.order_findings(reviewed(spark, d))
+    return R.order_findings(Stage(spark, d).reviewed)
 
 
 @query("source_labels", "skill_id:str finding_id:str labels:str", f"""WITH {_BASE}, {REV_CTE} SELECT skill_id, finding_id, array_to_string(list_filter(['rule', CASE WHEN contains(lower(array_to_string(basis, ' ')), 'intent difference') THEN 'semantic' END, CASE WHEN contains(lower(array_to_string(evidence, ' ')), 'sandbox') OR contains(lower(array_to_string(evidence, ' ')), 'runtime') THEN 'dynamic' END,
   CASE WHEN contains(array_to_string(basis, ' '), 'reputation') THEN 'reputation' END, CASE final_verdict WHEN 'confirmed' THEN 'verified' WHEN 'likely_false_positive' THEN 'suspected false positive' ELSE 'unverified' END, CASE WHEN final_verdict = 'needs_manual_review' THEN 'needs manual review' END, 'double checked'], lambda x: x IS NOT NULL), ',') AS labels FROM rv""")
 def source_labels(spark, d):
-    return reviewed(spark, d).select("skill_id", "finding_id", F.array_join(R.source_labels(F.col("source"), F.col("basis"), F.col("evidence"), F.col("final_verdict"), F.lit(2)), ",").alias("labels"))
+    return Stage(spark, d).reviewed.select("skill_id", "finding_id", F.array_join(R.source_labels(F.col("source"), F.col("basis"), F.col("evidence"), F.col("final_verdict"), F.lit(2)), ",").alias("labels"))
 
 
 @query("learned_feedback", "rule_id:str token:str", f"WITH {_BASE}, {REV_CTE}, t AS (SELECT rule_id, lower(array_to_string(evidence, chr(10))) AS e FROM rv WHERE final_verdict = 'likely_false_positive') " + " UNION ".join(f"SELECT DISTINCT rule_id, {S.s(t)} AS token FROM t WHERE contains(e, {S.s(t)})" for t in R.FEEDBACK_TOKENS))
 def learned_feedback(spark, d):
-    return R.learn_feedback(reviewed(spark, d))
+    return R.learn_feedback(Stage(spark, d).reviewed)
 
 
 _STATE = """ss AS (SELECT sk.skill_id, count(fd.rule_id) FILTER (fd.rule_id = 'V7-003') > 0 AS blocked, sk.skill_id IN (SELECT skill_id FROM sgn) AND sk.name LIKE '%7' AS evasion, count(*) FILTER (fd.severity = 'high') AS high, count(*) FILTER (fd.severity = 'medium') AS medium FROM sk LEFT JOIN fd ON sk.skill_id = fd.skill_id GROUP BY ALL)"""
@@ -242,11 +221,12 @@ _STATE = """ss AS (SELECT sk.skill_id, count(fd.rule_id) FILTER (fd.rule_id = 'V
   sg2 AS (SELECT skill_id, bool_or(NOT fp AND hi0) AS hi, bool_or(NOT fp AND NOT hi0 AND (severity = 'high' OR (severity = 'medium' AND tier IN ('strong', 'moderate')))) AS med FROM k GROUP BY 1)
   SELECT ss.skill_id, CASE WHEN blocked OR evasion THEN 'high' WHEN sg2.skill_id IS NULL THEN CASE WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' ELSE 'low' END WHEN hi THEN 'high' WHEN med THEN 'medium' WHEN high > 0 OR medium > 1 THEN 'medium' ELSE 'low' END AS decision FROM ss LEFT JOIN sg2 ON ss.skill_id = sg2.skill_id""")
 def reviewed_decision(spark, d):
-    f = seeded_findings(spark, d).groupBy("skill_id").agg(F.bool_or(F.col("rule_id") == "V7-003").alias("blocked"), F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("severity") == "medium").alias("medium"))
-    ev = B.evasion_signals(C.seeded_files(spark, d)).select("skill_id").distinct().withColumn("_e", F.lit(True))
-    st = C.seeded_skills(spark, d).select("skill_id", "name").join(f, "skill_id", "left").join(ev, "skill_id", "left").select(
+    st = Stage(spark, d)
+    f = st.findings.groupBy("skill_id").agg(F.bool_or(F.col("rule_id") == "V7-003").alias("blocked"), F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("severity") == "medium").alias("medium"))
+    ev = st.signals.select("skill_id").distinct().withColumn("_e", F.lit(True))
+    state = st.skills.select("skill_id", "name").join(f, "skill_id", "left").join(ev, "skill_id", "left").select(
         "skill_id", F.coalesce("blocked", F.lit(False)).alias("blocked"), (F.coalesce("_e", F.lit(False)) & F.col("name").endswith("7")).alias("evasion"), F.coalesce("high", F.lit(0)).alias("high"), F.coalesce("medium", F.lit(0)).alias("medium"))
-    return R.reviewed_decision(reviewed(spark, d), st)
+    return R.reviewed_decision(st.reviewed, state)
 
 
 # --- consensus over the label table -------------------------------------------------------------------------
@@ -279,9 +259,6 @@ def deduped_evidence(spark, d):
 
 # --- calibration, synthesized findings --------------------------------------------------------------------------------
 
-def _behavior_inputs(spark, d):
-    pts = B.behavior_points(C.seeded_files(spark, d))
-    return B.behavior_counts(pts, B.segments(pts))
 
 
 _BC = f"""bc AS (SELECT p.skill_id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in P.BEHAVIOR_CATEGORIES)}, (SELECT count(*) FROM ch WHERE ch.skill_id = p.skill_id AND rank <= 12) AS chains, (SELECT count(*) FROM al WHERE al.skill_id = p.skill_id) AS alerts,
@@ -289,18 +266,18 @@ _BC = f"""bc AS (SELECT p.skill_id, {', '.join(f"count(*) FILTER (category = '{c
 _MOD = "(alerts > 0 OR chains > 0 OR credential > 0 OR priv_esc > 0 OR c2_beacon > 0 OR collection > 0)"
 
 
-@query("calibrated_risk", "skill_id:str ics:int " + RISK_COLS, f"""WITH {_BASE}, {_BC}, q AS (SELECT sk.skill_id, coalesce(100 - least({_DED}, 100), 100) AS ics, coalesce({_VETO}, FALSE) AS veto0, coalesce({_MOD}, FALSE) AS moderate,
+@query("calibrated_risk", "skill_id:str ics:int " + RISK_COLS, f"""WITH {_BASE}, {_BC}, q AS (SELECT sk.skill_id, CASE WHEN bc.skill_id IS NULL THEN 100 ELSE 100 - least({_DED}, 100) END AS ics, coalesce({_VETO}, FALSE) AS veto0, coalesce({_MOD}, FALSE) AS moderate,
     (SELECT count(*) FROM df WHERE df.skill_id = sk.skill_id) AS nd, coalesce((SELECT bool_or(diff IN ({', '.join(S.s(x) for x in P.HIGH_RISK_DIFFS)})) FROM df WHERE df.skill_id = sk.skill_id), FALSE) AS hd, sk.skill_id IN (SELECT skill_id FROM sgn) AS ev,
     (SELECT count(*) FROM fd WHERE fd.skill_id = sk.skill_id AND severity = 'high') AS h, (SELECT count(*) FROM fd WHERE fd.skill_id = sk.skill_id AND severity = 'medium') AS m, (SELECT count(*) FROM fd WHERE fd.skill_id = sk.skill_id AND severity = 'low') AS low FROM sk LEFT JOIN bc ON sk.skill_id = bc.skill_id),
   c AS (SELECT skill_id, ics, h + hd::INT + (veto0 OR ev)::INT AS high, m + (NOT hd AND nd > 0)::INT + moderate::INT AS medium, low, veto0 OR ev AS veto FROM q), {_risk_sql('c')}""")
 def calibrated_risk(spark, d):
     """Findings, intent differences, behaviour and evasion combined to one level per skill."""
-    files, skills = C.seeded_files(spark, d), C.seeded_skills(spark, d)
-    counts = _behavior_inputs(spark, d)
+    st = Stage(spark, d)
+    counts = st.counts
     risk = B.behavior_risk(counts).select("skill_id", "ics", F.col("veto").alias("bveto"), B.moderate_signals(counts).alias("moderate"))
-    score = sets.intent_score(skills, observed_flags(spark, d))
-    ev = B.evasion_signals(files).select("skill_id").distinct().withColumn("evasion", F.lit(True))
-    j = score.join(risk, "skill_id", "left").join(ev, "skill_id", "left").join(scoring.count_risks(seeded_findings(spark, d)), "skill_id", "left").fillna(
+    score = sets.intent_score(st.skills, st.observed)
+    ev = st.signals.select("skill_id").distinct().withColumn("evasion", F.lit(True))
+    j = score.join(risk, "skill_id", "left").join(ev, "skill_id", "left").join(scoring.count_risks(st.findings), "skill_id", "left").fillna(
         {"ics": 100, "bveto": False, "moderate": False, "evasion": False, "high": 0, "medium": 0, "low": 0})
     j = j.withColumns({"veto": F.col("bveto") | F.col("evasion"), "malicious": F.col("bveto") | F.col("evasion"), "suspicious": F.lit(False)})
     return scoring.risk_by_counts(scoring.calibrated_counts(j))
@@ -313,15 +290,16 @@ _SYN = "skill_id:str source:str rule_id:str severity:str title:str description:s
   UNION ALL SELECT skill_id, 'EvasionGuard', 'V7-008', 'high', {S.s(RU.RULES['V7-008'].name)}, signal FROM sgn """ + " ".join(
     f"UNION ALL SELECT skill_id, 'BehaviorGuard', '{rid}', '{sev}', {S.s(RU.RULES[rid].name)}, 'behavior evidence ' || ({' + '.join(c if c != 'evasion' else '0' for c in ins)}) FROM bc WHERE ({' + '.join(c if c != 'evasion' else '0' for c in ins)}) > 0" for rid, sev, ins in FD.BEHAVIOR_SUMMARIES))
 def synthesized_findings(spark, d):
-    diffs = sets.intent_diffs(C.seeded_skills(spark, d), observed_flags(spark, d))
-    return FD.union_findings([FD.synthesize_intent(diffs), FD.synthesize_evasion(B.evasion_signals(C.seeded_files(spark, d))), FD.synthesize_behavior(_behavior_inputs(spark, d))])
+    st = Stage(spark, d)
+    return FD.union_findings([FD.synthesize_intent(st.diffs), FD.synthesize_evasion(st.signals), FD.synthesize_behavior(st.counts)])
 
 
 @query("concrete_findings", "skill_id:str source:str rule_id:str n:int", f"""WITH {_BASE}, {_BC}, sy AS (""" + " UNION ALL ".join(f"SELECT skill_id, '{rid}' AS rule_id FROM bc WHERE ({' + '.join(c if c != 'evasion' else '0' for c in ins)}) > 0" for rid, _, ins in FD.BEHAVIOR_SUMMARIES) + """)
   SELECT skill_id, 'SecurityEngine' AS source, rule_id, count(*) AS n FROM fd GROUP BY ALL UNION ALL SELECT skill_id, 'BehaviorGuard', rule_id, count(*) FROM sy WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.skill_id = sy.skill_id AND fd.rule_id = sy.rule_id) GROUP BY ALL""")
 def concrete_findings(spark, d):
     """Behaviour summaries disappear where a concrete finding of the rule exists."""
-    f = FD.union_findings([seeded_findings(spark, d), FD.synthesize_behavior(_behavior_inputs(spark, d))])
+    st = Stage(spark, d)
+    f = FD.union_findings([st.findings, FD.synthesize_behavior(st.counts)])
     return FD.drop_summary_findings(f).groupBy("skill_id", "source", "rule_id").agg(F.count("*").alias("n"))
 
 
@@ -331,11 +309,11 @@ def concrete_findings(spark, d):
   UNION ALL SELECT skill_id, 'StaticAnalyzer', 'DAN-001', '危险函数调用: ' || function, count(*) FROM (""" + _CALL_SQL + f""") GROUP BY ALL
   UNION ALL SELECT DISTINCT skill_id, 'StaticAnalyzer', 'SEC-001', '发现硬编码凭证', 1 FROM fd WHERE rule_id = 'V7-004'""")
 def result_findings(spark, d):
-    f = seeded_findings(spark, d)
-    files = C.seeded_files(spark, d)
+    st = Stage(spark, d)
+    f = st.findings
     reason = F.when(F.col("rule_id") == "V7-003", F.lit(RU.RULES["V7-009"].reason)).when(F.col("rule_id") == "V7-013", F.lit(RU.RULES["V7-013"].reason)).otherwise(F.lit("unlisted reason"))
     reasons = f.where("severity = 'high'").select("skill_id", reason.alias("reason"))
-    out = FD.findings_from_results(f, reasons, scan.dangerous_calls(scan.explode_lines(files)), f.where("rule_id = 'V7-004'").select("skill_id"))
+    out = FD.findings_from_results(f, reasons, scan.dangerous_calls(scan.explode_lines(st.files)), f.where("rule_id = 'V7-004'").select("skill_id"))
     return out.groupBy("skill_id", "source", "rule_id", "title").agg(F.count("*").alias("n"))
 
 
@@ -343,7 +321,8 @@ def result_findings(spark, d):
   j AS (SELECT i.skill_id, i.external, i.exec, i.credential AS cred, coalesce(outbound OR network_targets, FALSE) AS oe, coalesce(execute, FALSE) AS ox, coalesce(ob.credential, FALSE) AS oc FROM i LEFT JOIN ob ON i.skill_id = ob.skill_id)
   SELECT skill_id, 'static external not observed' AS warning FROM j WHERE external AND NOT oe UNION ALL SELECT skill_id, 'static exec not observed' FROM j WHERE exec AND NOT ox UNION ALL SELECT skill_id, 'static credential not observed' FROM j WHERE cred AND NOT oc""")
 def cross_check(spark, d):
-    return sets.cross_check(seeded_findings(spark, d), observed_flags(spark, d))
+    st = Stage(spark, d)
+    return sets.cross_check(st.findings, st.observed)
 
 
 # --- rules, coverage --------------------------------------------------------------------------------------------------------
@@ -407,11 +386,11 @@ def external_intent_findings(spark, d):
 @query("audit_events", "skill_id:str type:str step_id:str status:str detail:str", f"""WITH {_BASE} SELECT skill_id, 'resultUpdate' AS type, 'result-structured-findings' AS step_id, 'completed' AS status, count(*)::VARCHAR AS detail FROM gr GROUP BY 1 UNION ALL SELECT skill_id, 'statusUpdate', 'pipeline-intent', 'completed', count(*)::VARCHAR FROM df GROUP BY skill_id
   UNION ALL SELECT skill_id, 'error', 'probe-warning', 'completed', signal FROM sgn""")
 def audit_events(spark, d):
+    st = Stage(spark, d)
     row = lambda df, step, detail: df.select("skill_id", F.lit(step).alias("step_id"), F.lit("completed").alias("status"), detail.cast("string").alias("detail"))
-    g = groups(spark, d).groupBy("skill_id").agg(F.count("*").alias("n"))
-    diffs = sets.intent_diffs(C.seeded_skills(spark, d), observed_flags(spark, d)).groupBy("skill_id").agg(F.count("*").alias("n"))
-    sig = B.evasion_signals(C.seeded_files(spark, d))
-    return FD.audit_events({"resultUpdate": row(g, "result-structured-findings", F.col("n")), "statusUpdate": row(diffs, "pipeline-intent", F.col("n")), "error": row(sig, "probe-warning", F.col("signal"))})
+    per_skill = lambda df: df.groupBy("skill_id").agg(F.count("*").alias("n"))
+    return FD.audit_events({"resultUpdate": row(per_skill(st.groups), "result-structured-findings", F.col("n")), "statusUpdate": row(per_skill(st.diffs), "pipeline-intent", F.col("n")),
+                            "error": row(st.signals, "probe-warning", F.col("signal"))})
 
 
 # --- capability matrix ----------------------------------------------------------------------------------------------------------
@@ -424,17 +403,15 @@ _CAPM = f"{_CAPSRC}, cm AS (" + " UNION ALL ".join(
   cs AS (SELECT *, CASE WHEN declared AND behavior_seen THEN 'declared, verified' WHEN declared AND static_seen THEN 'declared, not run-verified' WHEN behavior_seen THEN 'undeclared, observed' WHEN static_seen THEN 'undeclared, static only' WHEN declared THEN 'declared, not seen' ELSE 'not observed' END AS status FROM cm)"""
 
 
-def matrix(spark, d):
-    skills = C.seeded_skills(spark, d).select("skill_id", F.concat_ws(" ", "description", F.array_join("permissions", " ")).alias("declared_text"), F.lit("").alias("model_text"))
-    f = seeded_findings(spark, d).select("skill_id", F.concat_ws(" ", "rule_id", "title", "description", "code_snippet").alias("text"))
-    files = C.seeded_files(spark, d)
-    obs = B.behavior_points(files).select("skill_id", "category").unionByName(B.evasion_signals(files).select("skill_id", F.lit("evasion_signals").alias("category")))
-    return R.capability_matrix(skills, f, obs)
+def matrix(st):
+    skills = st.skills.select("skill_id", F.concat_ws(" ", "description", F.array_join("permissions", " ")).alias("declared_text"), F.lit("").alias("model_text"))
+    text = st.findings.select("skill_id", F.concat_ws(" ", "rule_id", "title", "description", "code_snippet").alias("text"))
+    return R.capability_matrix(skills, text, st.facts.where("category not in ('network_targets', 'exec_targets', 'file_targets')").select("skill_id", "category"))
 
 
 @query("capability_matrix", "skill_id:str capability:str declared:bool static_seen:bool behavior_seen:bool status:str", f"WITH {_BASE}, {_CAPM} SELECT * FROM cs")
 def capability_matrix(spark, d):
-    return matrix(spark, d)
+    return matrix(Stage(spark, d))
 
 
 _AFF = f"af AS (SELECT * FROM (VALUES {_values((k, c) for k, v in R.CAPABILITY_AFFINITY.items() for c in v)}) v(capability, category))"
@@ -442,12 +419,14 @@ _AFF = f"af AS (SELECT * FROM (VALUES {_values((k, c) for k, v in R.CAPABILITY_A
 
 @query("finding_capabilities", "skill_id:str finding_id:str category:str capability:str status:str", f"WITH {_BASE}, {_CAPM}, {_AFF} SELECT gr.skill_id, finding_id, gr.category, cs.capability, status FROM gr JOIN af ON gr.category = af.category JOIN cs ON cs.skill_id = gr.skill_id AND cs.capability = af.capability")
 def finding_capabilities(spark, d):
-    return R.finding_capability_join(matrix(spark, d), groups(spark, d))
+    st = Stage(spark, d)
+    return R.finding_capability_join(matrix(st), st.groups)
 
 
 @query("unmatched_capabilities", "skill_id:str capability:str status:str", f"WITH {_BASE}, {_CAPM}, {_AFF} SELECT skill_id, capability, status FROM cs WHERE NOT EXISTS (SELECT 1 FROM gr JOIN af ON gr.category = af.category WHERE gr.skill_id = cs.skill_id AND af.capability = cs.capability)")
 def unmatched_capabilities(spark, d):
-    return R.unmatched_capabilities(matrix(spark, d), groups(spark, d))
+    st = Stage(spark, d)
+    return R.unmatched_capabilities(matrix(st), st.groups)
 
 
 @query("findings_payload", "skill_id:str n_fields:int rule_id:str", f"WITH {S.SEED_LINES}, {FIND_CTE} SELECT skill_id, 9 AS n_fields, rule_id FROM fd")

@@ -369,7 +369,7 @@ def evict_snapshot(spark, d):
     return INC.evict_snapshot(t, 500)
 
 
-@query("content_cache", "cache_key:str cached:bool level:str", "SELECT sha256(text) AS cache_key, bool_or(l.quality = 1) AS cached, max(CASE WHEN l.quality = 1 THEN 'reviewed' END) AS level FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id, text")
+@query("content_cache", "cache_key:str cached:bool level:str", "SELECT sha256(text) AS cache_key, coalesce(bool_or(l.quality = 1), FALSE) AS cached, max(CASE WHEN l.quality = 1 THEN 'reviewed' END) AS level FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id, text")
 def content_cache(spark, d):
     """Documents whose labelled result has not expired reuse it."""
     docs, labels = C.table(spark, d, "documents"), C.table(spark, d, "labels")

@@ -14,6 +14,7 @@ from . import corpus as C
 from . import sqltext as S
 from .q_scan import _CLS, _uncertain
 from .registry import query
+from .stage import observed_of
 
 HIT = "skill_id:str path:str line_no:int rule_id:str severity:str label:str"
 
@@ -212,18 +213,8 @@ def declared_intent(spark, d):
 
 
 def observed_flags(spark, d):
-    """Behaviour flags per skill from the seeded corpus."""
-    files = C.seeded_files(spark, d)
-    rows = None
-    parts = {
-        "network_targets": B.extract_targets(files).select("skill_id"), "file_targets": B.file_targets(files).select("skill_id"), "exec_targets": B.exec_targets(files).select("skill_id"),
-    }
-    for name, df in parts.items():
-        p = df.select("skill_id", F.lit(name).alias("category"))
-        rows = p if rows is None else rows.unionByName(p)
-    rows = rows.unionByName(B.behavior_points(files).select("skill_id", "category"))
-    cats = ["network_targets", "file_targets", "exec_targets", "collection", "download", "outbound", "execute", "credential"]
-    return rows.groupBy("skill_id").agg(*[F.bool_or(F.col("category") == c).alias(c) for c in cats])
+    """Behaviour flags per skill from one pass over the seeded corpus."""
+    return observed_of(B.behavior_facts(C.seeded_files(spark, d)))
 
 
 _SIGL = f"sl AS (SELECT * FROM l WHERE {S.signal_file('path')} AND {S.code_line('line')})"
