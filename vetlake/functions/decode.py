@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import HIDDEN_CHARS, has_any, matches, prompt_override, rot13, ws_trim
+from .text import HIDDEN_CHARS, has_any, let, matches, prompt_override, rot13, ws_trim
 
 # Token shapes.
 BASE64_TOKEN = r"[A-Za-z0-9+/]{20,}={0,2}"
@@ -36,22 +36,23 @@ def hex_bytes(token: Column) -> Column:
 
 def readable(raw: Column) -> Column:
     """Bytes -> trimmed text of 8..400 bytes, valid UTF-8 and at least 85 % printable; else null."""
-    text = ws_trim(raw.cast("string"))
-    size = F.octet_length(text)
-    printable = F.length(F.regexp_replace(text, NOT_PRINTABLE, ""))
-    ok = (F.octet_length(raw) >= 8) & F.is_valid_utf8(raw.cast("string")) & (size >= 8) & (size <= 400) & (
-        printable * 100 >= F.length(text) * 85
-    )
-    return F.when(ok, F.replace(text, F.lit("\x00"), F.lit("")))
+    def check(text: Column) -> Column:
+        size = F.octet_length(text)
+        printable = F.length(F.regexp_replace(text, NOT_PRINTABLE, ""))
+        ok = (size >= 8) & (size <= 400) & (printable * 100 >= F.length(text) * 85)
+        return F.when(ok, F.replace(text, F.lit("\x00"), F.lit("")))
+
+    valid = lambda b: F.when((F.octet_length(b) >= 8) & F.is_valid_utf8(b.cast("string")), let(ws_trim(b.cast("string")), check))
+    return let(raw, valid)
 
 
 def decode_once(token: Column) -> Column:
     """One layer: struct(technique, text); both null when nothing decodes. Base64 wins over hex."""
-    b64, hexed = readable(base64_bytes(token)), readable(hex_bytes(token))
-    return F.struct(
-        F.when(b64.isNotNull(), F.lit("base64")).when(hexed.isNotNull(), F.lit("hex")).alias("technique"),
-        F.coalesce(b64, hexed).alias("text"),
-    )
+    both = F.struct(readable(base64_bytes(token)).alias("b64"), readable(hex_bytes(token)).alias("hexed"))
+    return let(both, lambda x: F.struct(
+        F.when(x["b64"].isNotNull(), F.lit("base64")).when(x["hexed"].isNotNull(), F.lit("hex")).alias("technique"),
+        F.coalesce(x["b64"], x["hexed"]).alias("text"),
+    ))
 
 
 def decode_layers(token: Column) -> Column:
@@ -62,13 +63,12 @@ def decode_layers(token: Column) -> Column:
     start = F.struct(ws_trim(token).alias("cur"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, depth: Column) -> Column:
-        d = F.when(acc["cur"].isNotNull(), decode_once(acc["cur"]))
-        entry = F.concat(d["technique"], F.lit("["), depth.cast("string"), F.lit("]: "), d["text"])
-        keep = d["text"].isNotNull() & ((depth > 1) | interesting(d["text"]))
-        return F.struct(
-            d["text"].alias("cur"),
-            F.when(keep, F.array_append(acc["out"], entry)).otherwise(acc["out"]).alias("out"),
-        )
+        def grow(d: Column) -> Column:
+            entry = F.concat(d["technique"], F.lit("["), depth.cast("string"), F.lit("]: "), d["text"])
+            keep = d["text"].isNotNull() & ((depth > 1) | interesting(d["text"]))
+            return F.struct(d["text"].alias("cur"), F.when(keep, F.array_append(acc["out"], entry)).otherwise(acc["out"]).alias("out"))
+
+        return F.when(acc["cur"].isNotNull(), let(decode_once(acc["cur"]), grow)).otherwise(acc)
 
     return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, step, lambda acc: acc["out"]))
 

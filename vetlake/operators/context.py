@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_low_signal_path
-from ..functions.text import LICENSE_WORDS, all_of, code_window, has_any, is_code_line, is_license_config, is_log_only_line, matches
+from ..functions.text import LICENSE_WORDS, all_of, code_window, has_any, is_code_line, is_license_config, is_log_only_line, let, matches
 from . import packs as P
 from .scan import analysis_text
 
@@ -20,30 +20,40 @@ def _actions(rule: P.ContextRule, low: Column) -> Column:
     return all_of(has_any(low, group) for group in rule.action)
 
 
+def _over_lines(text: Column, code, keep) -> Column:
+    """Array of verdict structs for the 1-based line numbers that pass ``code``.
+
+    The split lines are bound once (``let``): referring to a column would let the optimizer
+    copy the split into every step of the lambda.
+    """
+    def body(lines: Column) -> Column:
+        numbers = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: code(lines, i))
+        return F.transform(numbers, lambda i: keep(lines, i))
+
+    return let(F.split(text, "\n", -1), body)
+
+
 def context_hits(files: DataFrame, rule: P.ContextRule) -> DataFrame:
     """Action lines with their window verdicts: skill_id, path, line_no, guarded, scoped."""
     text = analysis_text(files) if rule.analysis else F.col("content")
-    src = files.select("skill_id", "path", text.alias("_text"))
     # whole-content guard: each word group must occur somewhere in the file
-    src = src.where(_actions(rule, F.lower("_text")))
-    src = src.select("skill_id", "path", F.split("_text", "\n", -1).alias("lines"))
+    src = files.select("skill_id", "path", text.alias("_text")).where(_actions(rule, F.lower("_text")))
 
-    def is_action(i: Column) -> Column:
-        line = F.get("lines", i - 1)
+    def is_action(lines: Column, i: Column) -> Column:
+        line = F.get(lines, i - 1)
         ok = _actions(rule, F.lower(line)) & is_code_line(line)
         if rule.skip_log_only:
             ok = ok & ~is_log_only_line(line)
         if rule.window_required:
-            ok = ok & has_any(F.lower(code_window(F.col("lines"), i, rule.radius)), rule.window_required)
+            ok = ok & has_any(F.lower(code_window(lines, i, rule.radius)), rule.window_required)
         return ok
 
-    def verdict(i: Column) -> Column:
-        window = F.lower(code_window(F.col("lines"), i, rule.radius))
-        scope_text = window if rule.scope_in_window else F.lower(F.get("lines", i - 1))
+    def verdict(lines: Column, i: Column) -> Column:
+        window = F.lower(code_window(lines, i, rule.radius))
+        scope_text = window if rule.scope_in_window else F.lower(F.get(lines, i - 1))
         return F.struct(i.alias("line_no"), has_any(window, rule.control).alias("guarded"), has_any(scope_text, rule.scope).alias("scoped"))
 
-    hits = F.transform(F.filter(F.sequence(F.lit(1), F.size("lines")), is_action), verdict)
-    return src.select("skill_id", "path", F.inline(hits))
+    return src.select("skill_id", "path", F.inline(_over_lines(F.col("_text"), is_action, verdict)))
 
 
 def scan_context(files: DataFrame, rule: P.ContextRule) -> DataFrame:
@@ -73,10 +83,9 @@ def license_config(files: DataFrame) -> DataFrame:
     text = F.col("content")
     src = files.where(~is_low_signal_path(F.col("path")))
     src = src.where(has_any(F.lower(text), LICENSE_WORDS) | matches(text, P.LICENSE_FIXED_RX))
-    src = src.select("skill_id", "path", F.split(text, "\n", -1).alias("lines"))
 
-    def case(i: Column) -> Column:
-        w = F.lower(code_window(F.col("lines"), i, 2))
+    def case(lines: Column, i: Column) -> Column:
+        w = F.lower(code_window(lines, i, 2))
         candidate = is_license_config(w)
         label = (
             F.when(candidate & matches(w, P.LICENSE_LOCAL_RX), F.lit("local or plain license server"))
@@ -85,27 +94,23 @@ def license_config(files: DataFrame) -> DataFrame:
         )
         return F.struct(i.alias("line_no"), label.alias("label"))
 
-    code = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: is_code_line(F.get("lines", i - 1)))
-    hits = F.filter(F.transform(code, case), lambda s: s["label"].isNotNull())
+    cells = _over_lines(text, lambda lines, i: is_code_line(F.get(lines, i - 1)), case)
+    hits = F.filter(cells, lambda s: s["label"].isNotNull())
     return src.select("skill_id", "path", F.inline(hits)).select(
         "skill_id", "path", "line_no", F.lit("V7-005").alias("rule_id"), F.lit("high").alias("severity"), "label")
 
 
-
-
-
 def cors_wildcard(files: DataFrame) -> DataFrame:
     """First window per file allowing any origin together with credentials and no allow list."""
     text = analysis_text(files)
     src = files.where(~is_low_signal_path(F.col("path"))).select("skill_id", "path", text.alias("_text"))
     src = src.where(matches(F.col("_text"), P.CORS_CREDENTIALS_RX) & matches(F.col("_text"), P.CORS_WILDCARD_RX))
-    src = src.select("skill_id", "path", F.split("_text", "\n", -1).alias("lines"))
 
-    def risky(i: Column) -> Column:
-        w = code_window(F.col("lines"), i, 4)
-        return (is_code_line(F.get("lines", i - 1)) & matches(w, P.CORS_WILDCARD_RX) & matches(w, P.CORS_CREDENTIALS_RX)
+    def risky(lines: Column, i: Column) -> Column:
+        w = code_window(lines, i, 4)
+        return (is_code_line(F.get(lines, i - 1)) & matches(w, P.CORS_WILDCARD_RX) & matches(w, P.CORS_CREDENTIALS_RX)
                 & ~matches(w, P.CORS_GUARD_RX))
 
-    hits = F.filter(F.sequence(F.lit(1), F.size("lines")), risky)
+    hits = _over_lines(F.col("_text"), risky, lambda _, i: i)
     return src.select("skill_id", "path", F.try_element_at(hits, F.lit(1)).alias("line_no")).where("line_no is not null").select(
         "skill_id", "path", "line_no", F.lit("V7-023").alias("rule_id"), F.lit("medium").alias("severity"), F.lit("cors wildcard with credentials").alias("label"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_any, is_license_notice, normalize_severity, ws_trim
+from ..functions.text import has_any, is_license_notice, let, normalize_severity, ws_trim
 from .packs import HIGH_RISK_DIFFS
 from .rules import RULES, Rule
 
@@ -227,18 +227,25 @@ def merge_evidence_windows(hits: DataFrame, files: DataFrame, radius: int = 3) -
 
     Hit numbers are gathered per file (bounded by its lines) and merged inside one row.
     """
-    per_file = hits.groupBy("skill_id", "path").agg(F.sort_array(F.collect_set("line_no")).alias("h"))
+    per_file = hits.groupBy("skill_id", "path").agg(F.sort_array(F.collect_set("line_no")).alias("_h"))
+    src = per_file.join(files.select("skill_id", "path", "content"), ["skill_id", "path"])
     reach = 2 * radius + 1
-    starts = F.filter("h", lambda x, i: (i == 0) | (x - F.get("h", i - 1) > reach))
-    ends = F.filter("h", lambda x, i: (i == F.size("h") - 1) | (F.get("h", i + 1) - x > reach))
+
+    def window(lines: Column, h: Column, a: Column, b: Column) -> Column:
+        s, e = F.greatest(a - radius, F.lit(1)), F.least(b + radius, F.size(lines))
+        number = lambda i: F.when(i < 10000, F.lpad(i.cast("string"), 4, " ")).otherwise(i.cast("string"))
+        body = F.transform(F.sequence(s, e), lambda i: F.concat(F.when(F.array_contains(h, i), F.lit("> ")).otherwise(F.lit("  ")), number(i), F.lit(" | "), F.get(lines, i - 1)))
+        return F.struct(s.alias("win_start"), e.alias("win_end"), F.size(F.filter(h, lambda x: (x >= a) & (x <= b))).alias("n_hits"), F.array_join(body, "\n").alias("body"))
+
+    def merged(lines: Column, h: Column) -> Column:
+        starts = F.filter(h, lambda x, i: (i == 0) | (x - F.get(h, i - 1) > reach))
+        ends = F.filter(h, lambda x, i: (i == F.size(h) - 1) | (F.get(h, i + 1) - x > reach))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: window(lines, h, g["a"], g["b"]))
+
+    # lines and hit numbers are bound once per file, see ``let``
     text = F.split(F.replace(F.col("content"), F.lit("\r\n"), F.lit("\n")), "\n", -1)
-    src = per_file.join(files.select("skill_id", "path", "content"), ["skill_id", "path"]).select("skill_id", "path", "h", text.alias("lines"))
-    src = src.withColumn("h", F.filter("h", lambda x: (x > 0) & (x <= F.size("lines")))).where(F.size("h") > 0)
-    win = src.select("skill_id", "path", "h", "lines", F.inline(F.arrays_zip(starts.alias("a"), ends.alias("b"))))
-    s, e = F.greatest(F.col("a") - radius, F.lit(1)), F.least(F.col("b") + radius, F.size("lines"))
-    body = F.transform(F.sequence(s, e), lambda i: F.concat(
-        F.when(F.array_contains("h", i), F.lit("> ")).otherwise(F.lit("  ")), F.when(i < 10000, F.lpad(i.cast("string"), 4, " ")).otherwise(i.cast("string")), F.lit(" | "), F.get("lines", i - 1)))
-    return win.select("skill_id", "path", s.alias("win_start"), e.alias("win_end"), F.size(F.filter("h", lambda x: (x >= F.col("a")) & (x <= F.col("b")))).alias("n_hits"), F.array_join(body, "\n").alias("body"))
+    cells = let(text, lambda lines: let(F.filter("_h", lambda x: (x > 0) & (x <= F.size(lines))), lambda h: merged(lines, h)))
+    return src.select("skill_id", "path", F.inline(cells))
 
 
 def dedupe_evidence(windows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decode import BASE64_TOKEN, HEX_TOKEN, LONG_TOKEN, decode_layers, interesting
-from ..functions.text import has_any, jrx, ws_trim
+from ..functions.text import has_any, jrx, let, ws_trim
 from ..session import cut_lineage
 
 # Construct patterns.
@@ -142,7 +142,6 @@ def unwrapped(expr: Column) -> Column:
 
 def variables(c: Column) -> Column:
     """Variable -> text value after four rounds of concat, template, alias and wrapper resolution."""
-    items = assignments(c)
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
 
     def put(m: Column, k: Column, v: Column) -> Column:
@@ -170,11 +169,15 @@ def variables(c: Column) -> Column:
         return F.when(v.isNotNull() & (v != ""), put(m, a["name"], v)).otherwise(m)
 
     order = ["concat", "template", "alias", "wrapper", "call"]
-    seeds = F.filter(items, lambda a: a["kind"].isin("literal", "join", "template"))
     of_kind = lambda kind: lambda a: a["kind"] == kind
-    later = F.concat(*[F.filter(items, of_kind(k)) for k in order])
-    start = F.aggregate(seeds, empty, seed)
-    return F.aggregate(F.flatten(F.array_repeat(later, 4)), start, resolve)
+
+    def solve(items: Column) -> Column:
+        seeds = F.filter(items, lambda a: a["kind"].isin("literal", "join", "template"))
+        later = F.concat(*[F.filter(items, of_kind(k)) for k in order])
+        return F.aggregate(F.flatten(F.array_repeat(later, 4)), F.aggregate(seeds, empty, seed), resolve)
+
+    # most files assign nothing
+    return F.when(c.rlike(r"(?:const|let|var)\s+[A-Za-z_]\w*\s*="), let(assignments(c), solve)).otherwise(empty)
 
 
 def template_texts(c: Column, vars_: Column) -> Column:
@@ -201,17 +204,25 @@ SECTION_GUARD = r"(?is)[A-Za-z0-9+/]{20}|[\"']\s*\+\s*[\"']|\.join\(|fromcharcod
 def decoded_sections(files: DataFrame) -> DataFrame:
     """Files with recovered text: skill_id, path, sections (sorted distinct, prefixed by technique).
 
-    Row-local; files without any candidate construct are skipped by one pattern test.
+    Row-local; files without any candidate construct are skipped by one pattern test.  Every
+    intermediate list is bound once, so nothing is decoded twice.
     """
     c = F.col("content")
-    src = files.where(c.rlike(SECTION_GUARD)).select("skill_id", "path", "content", variables(c).alias("vars"))
-    char, tmpl = charcode_texts(c), template_texts(c, F.col("vars"))
-    var = F.filter(F.map_values("vars"), lambda v: (F.octet_length(v) >= 8) & interesting(v))
-    src = src.select("skill_id", "path", merged_literals(c).alias("m"), joined_literals(c).alias("j"), char.alias("ch"), tmpl.alias("t"), F.transform(var, ws_trim).alias("v"),
-                     F.concat(_all(c, BASE64_TOKEN, 0), _all(c, HEX_TOKEN, 0)).alias("tok"))
-    parts = F.concat(_tagged(F.col("ch"), "charcode"), _tagged(F.col("t"), "template"), _tagged(F.col("v"), "variable"),
-                     _layers_of(F.array_distinct(F.concat("m", "j", "ch", "t", "v", "tok"))))
-    return src.select("skill_id", "path", F.array_sort(F.array_distinct(parts)).alias("sections")).where(F.size("sections") > 0)
+
+    def assemble(t: Column) -> Column:
+        texts = F.array_distinct(F.concat(t["m"], t["j"], t["ch"], t["t"], t["v"], t["tok"]))
+        return F.array_sort(F.array_distinct(F.concat(_tagged(t["ch"], "charcode"), _tagged(t["t"], "template"), _tagged(t["v"], "variable"), _layers_of(texts))))
+
+    def parts(vars_: Column) -> Column:
+        values = F.filter(F.map_values(vars_), lambda v: (F.octet_length(v) >= 8) & interesting(v))
+        tokens = F.concat(_all(c, BASE64_TOKEN, 0), _all(c, HEX_TOKEN, 0))
+        bound = F.struct(merged_literals(c).alias("m"), joined_literals(c).alias("j"), charcode_texts(c).alias("ch"), template_texts(c, vars_).alias("t"),
+                         F.transform(values, ws_trim).alias("v"), tokens.alias("tok"))
+        return let(bound, assemble)
+
+    # exploding a one-element array keeps the size test below from repeating the whole expression
+    sections = let(variables(c), parts)
+    return files.where(c.rlike(SECTION_GUARD)).select("skill_id", "path", F.explode(F.array(sections)).alias("sections")).where(F.size("sections") > 0)
 
 
 def with_analysis(files: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.decode import any_prompt_override, has_hidden_chars
 from ..functions.paths import base_name, is_excluded_file, is_low_signal_path, is_manifest
 from ..functions.text import (
     all_of, any_of, byte_entropy, code_snippet, contains_any, has_any, hit_islands, hit_lines, is_code_line,
-    jrx, matches, matches_any, ws_trim,
+    jrx, let, matches, matches_any, ws_trim,
 )
 from . import packs as P
 from .rules import Rule
@@ -60,8 +60,9 @@ def scan_pack(files: DataFrame, pack: P.Pack) -> DataFrame:
 def scan_packs(files: DataFrame, chosen: list[P.Pack]) -> DataFrame:
     """Several packs over one pass of the lines per text variant."""
     out = None
+    decoded = "analysis_content" in files.columns  # without decoded text both variants are the same pass
     for analysis in (False, True):
-        group = [p for p in chosen if p.analysis == analysis]
+        group = [p for p in chosen if (p.analysis and decoded) == analysis]
         if not group:
             continue
         src = files.select("skill_id", "path", (analysis_text(files) if analysis else F.col("content")).alias("_text"))
@@ -112,25 +113,22 @@ def hit_intervals(files: DataFrame, rules: list[Rule], radius: int = 2) -> DataF
     Blocking-layer rules always report severity high; custom rules of other layers keep theirs.
     """
     chosen = [r for r in rules if r.dtype == "pattern" and r.patterns]
-    src = files.select("skill_id", "path", analysis_text(files).alias("_text"))
-    out = None
-    for r in chosen:
-        hits = hit_lines(F.col("lines"), lambda l, r=r: matches_any(l, r.patterns))
-        part = (
-            src.where(may_match(F.col("_text"), r.patterns))
-            .select("skill_id", "path", F.split("_text", "\n", -1).alias("lines"))
-            .withColumn("hits", hits)
-            .select("skill_id", "path", "lines", F.inline(hit_islands(F.col("hits"))))
-            .select(
-                "skill_id", "path", F.lit(r.rule_id).alias("rule_id"),
-                F.lit("high" if r.layer == "P0" else r.severity).alias("severity"),
-                F.lit(r.name).alias("title"), F.lit(r.reason).alias("description"), F.lit(r.action).alias("action"),
-                "line_start", "line_end",
-                code_snippet(F.col("lines"), F.col("line_start"), F.col("line_end"), radius).alias("code_snippet"),
-            )
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    text = F.col("_text")
+    src = files.select("skill_id", "path", analysis_text(files).alias("_text")).where(may_match(text, [p for r in chosen for p in r.patterns]))
+
+    def intervals(r: Rule):
+        def body(lines: Column) -> Column:
+            islands = let(hit_lines(lines, lambda l: matches_any(l, r.patterns)), hit_islands)
+            return F.transform(islands, lambda g: F.struct(
+                F.lit(r.rule_id).alias("rule_id"), F.lit("high" if r.layer == "P0" else r.severity).alias("severity"), F.lit(r.name).alias("title"),
+                F.lit(r.reason).alias("description"), F.lit(r.action).alias("action"), g["line_start"].alias("line_start"), g["line_end"].alias("line_end"),
+                code_snippet(lines, g["line_start"], g["line_end"], radius).alias("code_snippet")))
+
+        return body
+
+    # lines are split once per file and bound; a rule without a match in the file skips its lambda
+    per_rule = lambda lines: F.array_compact(F.array(*[F.when(may_match(text, r.patterns), intervals(r)(lines)) for r in chosen]))
+    return src.select("skill_id", "path", F.inline(let(F.split(text, "\n", -1), lambda lines: F.flatten(per_rule(lines)))))
 
 
 def may_match(text: Column, patterns) -> Column:

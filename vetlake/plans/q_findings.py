@@ -41,7 +41,7 @@ GROUP_CTE = f"""g0 AS (SELECT skill_id, rule_id, severity, title, count(*) AS n,
 
 
 def groups(spark, d):
-    return FD.group_findings(seeded_findings(spark, d))
+    return FD.group_findings(Stage(spark, d).findings)
 
 
 @query("finding_groups", "skill_id:str finding_id:str rule_id:str severity:str title:str category:str n:int evidence:str",
