@@ -122,7 +122,7 @@ def segment_points(points: DataFrame, gap: int = GAP, keys: tuple[str, ...] = ("
     holds at most ``bucket`` × categories rows.  Segments crossing bucket borders are stitched
     from one summary row per non-empty bucket.
     """
-    width = bucket or max(gap * 512, 4096)
+    width = bucket or max(gap * 8, 4096)
     k = list(keys)
     combined = points.groupBy(*k, F.floor(F.col(pos) / width).alias("_b"), F.col(pos).alias("pos"), "category").agg(F.count("*").alias("n"))
     in_bucket = Window.partitionBy(*k, "_b").orderBy("pos")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import LICENSE_NOTICE, LICENSE_NOTICE_BLOCKERS
 from ..operators import behavior as B
 from ..operators import findings as FD
+from ..operators import intel as I
 from ..operators import packs as P
 from ..operators import review as R
 from ..operators import rules as RU
@@ -14,7 +15,7 @@ from ..operators import scan, scoring, sets
 from ..sources import sinks
 from . import corpus as C
 from . import sqltext as S
-from .q_behavior import _ALERT, _CHAIN, _DED, _SIG, _VETO, BEHAVIOR_CTE, FILE_SEG
+from .q_behavior import _ALERT, _CHAIN, _DED, _SIG, _TI_CTE, _VETO, _local_sql, BEHAVIOR_CTE, FILE_SEG, page_and_seed_targets
 from .q_rules import _DIFF, _OBS, _SENT
 from .q_scan import _CALL_SQL, _pack_sql
 from .registry import query
@@ -294,6 +295,20 @@ def synthesized_findings(spark, d):
     return FD.union_findings([FD.synthesize_intent(st.diffs), FD.synthesize_evasion(st.signals), FD.synthesize_behavior(st.counts)])
 
 
+@query("synthesized_ti", _SYN, f"""WITH {_TI_CTE}, {_local_sql('pt')}, z AS (SELECT skill_id, pt.target, reputation, reputation = 'policy' OR {S.any_in('lower(pt.target)', ['polymarket', 'usdc'])} AS pol FROM pt JOIN lr ON pt.target = lr.target WHERE reputation IN ('suspicious', 'policy'))
+  SELECT skill_id, 'ThreatIntel' AS source, 'V7-003' AS rule_id, CASE WHEN pol THEN 'medium' ELSE 'high' END AS severity, CASE WHEN pol THEN {S.s(FD.POLICY_TITLE)} ELSE {S.s(RU.RULES['V7-003'].name)} END AS title, 'reputation ' || reputation AS description FROM z""")
+def synthesized_ti(spark, d):
+    t = page_and_seed_targets(spark, d)
+    return FD.synthesize_ti(t.join(I.local_reputation(t.select("target").distinct()), "target"))
+
+
+@query("synthesized_coverage", _SYN, f"""WITH {S.SEED_LINES}, {S.SEED_SKILLS}, {FIND_CTE}, u AS (SELECT sk.skill_id, i, name AS n FROM (SELECT skill_id FROM sk) sk CROSS JOIN (VALUES {', '.join(f"({i}, {S.s(r.rule_id)}, {S.s(r.name)})" for i, r in enumerate(RU.default_rules()))}) v(i, rule_id, name)
+    WHERE sk.skill_id IN (SELECT skill_id FROM fd) AND NOT EXISTS (SELECT 1 FROM fd WHERE fd.skill_id = sk.skill_id AND fd.rule_id = v.rule_id) UNION ALL SELECT skill_id, 999, 'unknown rule' FROM sk)
+  SELECT skill_id, 'V7Coverage' AS source, 'V7-AUTO-COVERAGE' AS rule_id, 'high' AS severity, 'V7 可自动评估项覆盖不足' AS title, '未覆盖项: ' || string_agg(n, ';' ORDER BY i) AS description FROM u GROUP BY 1""")
+def synthesized_coverage(spark, d):
+    return FD.synthesize_coverage(FD.coverage(_MATRIX, RU.default_rules(), seeded_findings(spark, d).select("skill_id", "rule_id"), C.seeded_skills(spark, d)))
+
+
 @query("concrete_findings", "skill_id:str source:str rule_id:str n:int", f"""WITH {_BASE}, {_BC}, sy AS (""" + " UNION ALL ".join(f"SELECT skill_id, '{rid}' AS rule_id FROM bc WHERE ({' + '.join(c if c != 'evasion' else '0' for c in ins)}) > 0" for rid, _, ins in FD.BEHAVIOR_SUMMARIES) + """)
   SELECT skill_id, 'SecurityEngine' AS source, rule_id, count(*) AS n FROM fd GROUP BY ALL UNION ALL SELECT skill_id, 'BehaviorGuard', rule_id, count(*) FROM sy WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.skill_id = sy.skill_id AND fd.rule_id = sy.rule_id) GROUP BY ALL""")
 def concrete_findings(spark, d):

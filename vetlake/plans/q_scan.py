@@ -275,12 +275,16 @@ _DEC_OVER = f"""(list_bool_or(list_transform(regexp_extract_all(X, '{_B64}'), la
 _OVER = f"({S.any_in('lower(X)', FT.PROMPT_OVERRIDE)} OR coalesce({_DEC_OVER}, FALSE))"
 
 
-@query("hidden_content", HIT, f"""WITH {S.SEED_LINES}, s AS (SELECT skill_id, path, {S.rx('content', FT.HIDDEN_CHARS)} AS ctl, {_OVER.replace('X', 'content')} AS ov, (contains(content, 'btoa')::INT + contains(content, 'atob')::INT) AS b64 FROM f WHERE NOT {S.low_signal('path')}),
-  sc AS (SELECT skill_id FROM s GROUP BY 1 HAVING bool_or(ctl) OR 5 - 4 * count(*) FILTER (ov) - CASE WHEN sum(b64) >= 2 THEN 3 ELSE 0 END < 5),
+_DENSE = """en AS (SELECT skill_id, path, -sum((k / b) * log2(k / b)) > 5.0 AS dense FROM (SELECT skill_id, path, any_value(strlen(content))::DOUBLE AS b, ch, count(*)::DOUBLE AS k FROM (SELECT skill_id, path, content, unnest(string_split(content, '')) AS ch FROM f) WHERE ch <> '' GROUP BY skill_id, path, ch) GROUP BY 1, 2)"""
+
+
+@query("hidden_content", HIT, f"""WITH {S.SEED_LINES}, {_DENSE}, s AS (SELECT f.skill_id, f.path, {S.rx('content', FT.HIDDEN_CHARS)} AS ctl, {_OVER.replace('X', 'content')} AS ov, (contains(content, 'btoa')::INT + contains(content, 'atob')::INT) AS b64, coalesce(dense, FALSE) AS dense
+    FROM f LEFT JOIN en ON f.skill_id = en.skill_id AND f.path = en.path WHERE NOT {S.low_signal('f.path')}),
+  sc AS (SELECT skill_id, min(path) FILTER (dense) AS dense_path FROM s GROUP BY 1 HAVING bool_or(ctl) OR 5 - 4 * count(*) FILTER (ov) - CASE WHEN sum(b64) >= 2 THEN 3 ELSE 0 END - CASE WHEN bool_or(dense) THEN 2 ELSE 0 END < 5),
   h AS (SELECT skill_id, path, line_no, {S.rx('line', FT.HIDDEN_CHARS)} AS ctl, {_OVER.replace('X', 'line')} AS ov, contains(line, 'btoa') AS b, contains(line, 'atob') AS a FROM l WHERE NOT {S.low_signal('path')} AND skill_id IN (SELECT skill_id FROM sc))
-  SELECT skill_id, path, line_no, 'V7-029' AS rule_id, v.severity, v.label FROM h, LATERAL (SELECT 'low' AS severity, 'hidden control character' AS label WHERE ctl UNION ALL SELECT 'medium', 'prompt override' WHERE ov UNION ALL SELECT 'low', 'btoa encoding' WHERE b UNION ALL SELECT 'low', 'atob decoding' WHERE a) v""")
+  SELECT skill_id, path, line_no, 'V7-029' AS rule_id, v.severity, v.label FROM h, LATERAL (SELECT 'low' AS severity, 'hidden control character' AS label WHERE ctl UNION ALL SELECT 'medium', 'prompt override' WHERE ov UNION ALL SELECT 'low', 'btoa encoding' WHERE b UNION ALL SELECT 'low', 'atob decoding' WHERE a) v
+  UNION ALL SELECT skill_id, dense_path, 0, 'V7-029', 'low', 'high file entropy' FROM sc WHERE dense_path IS NOT NULL""")
 def hidden_content(spark, d):
-    """Prose files stay below entropy 5, so no dense-file finding appears; that branch has its own test."""
     return scan.hidden_content(C.seeded_files(spark, d))
 
 
@@ -369,3 +373,12 @@ def decoded_tokens(spark, d):
 def decoded_sections(spark, d):
     """All recovery techniques; the variable resolution has no plain SQL form, so it is tested on fixtures."""
     return flow.decoded_sections(C.seeded_files(spark, d)).select("skill_id", "path", F.size("sections").alias("n_sections"), F.array_join("sections", "\n").alias("sections"))
+
+
+@query("scan_decoded_text", HIT)
+def scan_decoded_text(spark, d):
+    """Packs and pattern rules over raw plus decoded text, as the full scan runs them."""
+    files = flow.with_analysis(C.seeded_files(spark, d))
+    packs = scan.scan_packs(files, list(P.LINE_PACKS.values())).select("skill_id", "path", "line_no", "rule_id", "severity", "label")
+    rules = scan.scan_patterns(files, R.default_rules()).select("skill_id", "path", "line_no", "rule_id", "severity", F.col("title").alias("label"))
+    return packs.unionByName(rules)
