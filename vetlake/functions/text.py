@@ -54,6 +54,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(value: Column) -> Column:
+    """Generator form of a computed column: later expressions see an attribute, not a formula.
+
+    Use as ``df.select(..., bound(expr).alias("c"))`` for a costly column that many predicates
+    read; otherwise filters pushed through the projection repeat the formula once per use.
+    """
+    return F.explode(F.array(value))
+
+
 def any_of(preds: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, preds)
 

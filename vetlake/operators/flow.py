@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decode import BASE64_TOKEN, HEX_TOKEN, LONG_TOKEN, decode_layers, interesting
-from ..functions.text import has_any, jrx, let, ws_trim
+from ..functions.text import bound, has_any, jrx, let, ws_trim
 from ..session import cut_lineage
 
 # Construct patterns.
@@ -229,7 +229,8 @@ def with_analysis(files: DataFrame) -> DataFrame:
     """Add ``preprocessed`` and ``analysis_content`` (raw + decoded text) to files."""
     sec = decoded_sections(files).withColumn("preprocessed", F.concat(F.lit("\n[preprocessed-decoded]\n"), F.array_join("sections", "\n"))).drop("sections")
     out = files.join(sec, ["skill_id", "path"], "left")
-    return out.withColumn("analysis_content", F.when(F.col("preprocessed").isNull(), F.col("content")).otherwise(F.concat("content", F.lit("\n\n"), "preprocessed")))
+    text = F.when(F.col("preprocessed").isNull(), F.col("content")).otherwise(F.concat("content", F.lit("\n\n"), "preprocessed"))
+    return out.select("*", bound(text).alias("analysis_content"))
 
 
 # --- data flow -------------------------------------------------------------------------------------------
@@ -260,8 +261,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, hops: int = 4, keys: tuple[str
     an empty frontier ends the loop early.
     """
     k = list(keys)
-    e = edges.select(*k, "src", "dst").distinct()
-    frontier = seeds.select(*k, "name").distinct().withColumn("hop", F.lit(0))
+    # edges and seeds are read every round: computed once, so the text behind them is scanned once
+    e = cut_lineage(edges.select(*k, "src", "dst").distinct())
+    frontier = cut_lineage(seeds.select(*k, "name").distinct().withColumn("hop", F.lit(0)))
     known = frontier
     for hop in range(1, hops + 1):
         nxt = e.join(frontier.withColumnRenamed("name", "src").drop("hop"), [*k, "src"]).select(*k, F.col("dst").alias("name")).distinct()

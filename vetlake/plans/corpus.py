@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..sources.artifacts import artifacts_from_table
 
 # Sample code lines planted into documents, one group per rule family.
@@ -82,7 +83,8 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     for ent, ch in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         html = F.replace(html, F.lit(ent), F.lit(ch))
-    return artifacts_from_table(p, F.regexp_extract("url", r"^https?://([^/]+)", 1), F.concat(F.lit("scripts/page_"), F.col("page_id").cast("string")), html)
+    p = p.select("url", "page_id", bound(html).alias("content"))
+    return artifacts_from_table(p, F.regexp_extract("url", r"^https?://([^/]+)", 1), F.concat(F.lit("scripts/page_"), F.col("page_id").cast("string")), F.col("content"))
 
 
 def _pick(items: list[str], index) -> F.Column:
@@ -109,7 +111,8 @@ def seeded_files(spark: SparkSession, sf_dir: str, manifests: bool = True) -> Da
     )
     content = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
     skill = lambda c: F.concat(F.lit("skill_"), c.cast("string"))
-    files = artifacts_from_table(d, skill(g), _seed_path(doc, g, k), content)
+    d = d.select("doc_id", "g", "k", bound(content).alias("content"))
+    files = artifacts_from_table(d, skill(g), _seed_path(doc, g, k), F.col("content"))
     return files.unionByName(manifest_files(spark, sf_dir)) if manifests else files
 
 
