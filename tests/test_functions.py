@@ -74,3 +74,26 @@ def test_vectors(spark):
     r = df.select(V.cosine(F.col("a"), F.col("b")), V.euclidean(F.col("a"), F.col("b"))).collect()
     assert [round(x[0], 9) for x in r] == [0.0, -1.0, 0.0, 1.0]
     assert math.isinf(r[1][1]) and r[3][1] == 0.0
+
+
+def test_required_literals_are_necessary():
+    import random
+    import re
+
+    from vetlake.functions.literals import required_literals
+    from vetlake.operators import packs as P
+    from vetlake.operators import rules as R
+    from vetlake.plans.corpus import SAMPLE_LINES
+
+    pats = [rx for p in P.LINE_PACKS.values() for rx, _ in p.patterns] + [p for r in R.default_rules() for p in r.patterns] + list(P.BEHAVIOR_RX.values()) + [r for r, _, _ in P.CREDENTIAL_FORMATS]
+    rnd = random.Random(3)
+    lines = SAMPLE_LINES + [a[: rnd.randint(0, len(a))] + b.upper() for a in SAMPLE_LINES for b in rnd.sample(SAMPLE_LINES, 5)]
+    n = 0
+    for p in pats:
+        need = required_literals(p)
+        for line in lines:
+            if re.search(p, line):
+                n += 1
+                assert need is None or any(w in line.lower() for w in need), (p, need, line)
+    assert n > 200
+    assert required_literals("(?i)(foo|bar)+x?") == {"foo", "bar"} and required_literals("a|bcd") is None and required_literals(r"\d+") is None

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import guarded_match
 from ..functions.paths import is_signal_file
-from ..functions.text import has_any, is_code_line, jrx, matches, matches_any, ws_trim
+from ..functions.text import has_any, is_code_line, jrx, matches, ws_trim
 from . import packs as P
 from .scan import explode_lines, explode_tests
 
@@ -51,8 +52,8 @@ def behavior_facts(files: DataFrame, delay_secs: int = 300) -> DataFrame:
     as_item = lambda cat: lambda t: item(cat, _evidence(t))
     facts = F.array_distinct(F.concat(F.array_compact(F.array(*cells)), F.transform(urls, as_item("outbound")), F.transform(urls, as_item("network_targets"))))
     # one alternation first, in generated code; the arrays are built for the few lines that pass
-    some = matches_any(line, [*P.BEHAVIOR_RX.values(), P.CREDENTIAL_PATH_RX, P.CREDENTIAL_ACCESS_RX, P.URL_RX, P.IPV4_RX, *P.EVASION_FINGERPRINTS.values(), P.SLEEP_RX,
-                              r"open\(|os\.ReadFile|os\.WriteFile", r"(?i)docker|vm|sandbox"])
+    some = guarded_match(line, [*P.BEHAVIOR_RX.values(), P.CREDENTIAL_PATH_RX, P.CREDENTIAL_ACCESS_RX, P.URL_RX, *P.EVASION_FINGERPRINTS.values(), P.SLEEP_RX,
+                              r"open\(|os\.ReadFile|os\.WriteFile", r"(?i)docker|vm|sandbox"]) | matches(line, P.IPV4_RX)
     return _signal_lines(files).where(some).select("skill_id", "path", "line_no", F.explode(facts).alias("p")).select(
         "skill_id", "path", "line_no", "p.category", "p.evidence")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decode import any_prompt_override, has_hidden_chars
+from ..functions.literals import guarded_match
 from ..functions.paths import base_name, is_excluded_file, is_low_signal_path, is_manifest
 from ..functions.text import (
     all_of, any_of, byte_entropy, code_snippet, contains_any, has_any, hit_islands, hit_lines, is_code_line,
@@ -85,7 +86,7 @@ def scan_packs(files: DataFrame, chosen: list[P.Pack]) -> DataFrame:
             value = F.struct(F.lit(p.key).alias("pack"), F.lit(p.rule_id).alias("rule_id"), F.lit(p.severity).alias("severity"),
                              first_label(F.col("line"), list(p.patterns)).alias("label"))
             tests.append((all_of(cond), value))
-        hits = explode_tests(lines, tests, ["skill_id", "path", "line_no", "line"], guard=matches_any(F.col("line"), [rx for p in group for rx, _ in p.patterns]))
+        hits = explode_tests(lines, tests, ["skill_id", "path", "line_no", "line"], guard=guarded_match(F.col("line"), [rx for p in group for rx, _ in p.patterns]))
         part = hits.select("skill_id", "path", "line_no", "h.pack", "h.rule_id", "h.severity", "h.label", "line")
         out = part if out is None else out.unionByName(part)
     return out
@@ -101,7 +102,7 @@ def scan_patterns(files: DataFrame, rules: list[Rule]) -> DataFrame:
                   F.lit(r.action).alias("action"), F.lit(r.reason).alias("description")))
         for r in chosen
     ]
-    return explode_tests(lines, tests, ["*"], "r", matches_any(F.col("line"), [p for r in chosen for p in r.patterns])).select(
+    return explode_tests(lines, tests, ["*"], "r", guarded_match(F.col("line"), [p for r in chosen for p in r.patterns])).select(
         "skill_id", "path", "line_no", "r.rule_id", "r.severity", "r.title", "r.action", "r.description", "line"
     )
 
@@ -139,7 +140,7 @@ def may_match(text: Column, patterns) -> Column:
     """
     if any(r"\A" in p or r"\z" in p for p in patterns):
         return F.lit(True)
-    return matches_any(text, ["(?m)" + p for p in patterns])
+    return guarded_match(text, patterns, "(?m)")
 
 
 def location(path: Column, start: Column, end: Column | None = None) -> Column:
@@ -188,7 +189,7 @@ def credential_formats(lines: DataFrame, learned: list[str] | None = None) -> Da
             ok = ok & ~any_of(muted)
         tests.append((ok, F.struct(F.lit(kind).alias("kind"), m.alias("match"))))
     keep = [c for c in lines.columns if c != "line"]
-    return explode_tests(lines, tests, keep, "c", matches_any(F.col("line"), [rx for rx, _, _ in P.CREDENTIAL_FORMATS])).select(*keep, "c.kind", "c.match")
+    return explode_tests(lines, tests, keep, "c", guarded_match(F.col("line"), [rx for rx, _, _ in P.CREDENTIAL_FORMATS])).select(*keep, "c.kind", "c.match")
 
 
 def learned_exclusions(hits: DataFrame, feedback: DataFrame, per_rule: bool = False) -> DataFrame:
@@ -240,7 +241,7 @@ def obfuscated_files(files: DataFrame, threshold: float = 6.0) -> DataFrame:
 
 def dangerous_calls(lines: DataFrame) -> DataFrame:
     """Risky calls by category; one row per (pattern, category, line)."""
-    guard = matches_any(F.col("line"), [rx for items in P.DANGEROUS_CALLS.values() for rx, _ in items])
+    guard = guarded_match(F.col("line"), [rx for items in P.DANGEROUS_CALLS.values() for rx, _ in items])
     tests = [
         (matches(F.col("line"), rx), F.struct(F.lit(cat).alias("category"), F.lit(rx).alias("function"), F.lit(sev).alias("severity")))
         for cat, items in P.DANGEROUS_CALLS.items() for rx, sev in items
