@@ -12,6 +12,7 @@ from ..operators import flow
 from ..operators import incremental as INC
 from ..operators import packs as P
 from ..operators import scoring, similarity
+from ..session import cut_lineage
 from ..sources import registry as RG
 from ..sources import sinks
 from ..sources.artifacts import extract_dependencies
@@ -37,6 +38,11 @@ def profiles(spark, d):
     return A.capability_profiles(C.supplier_behavior(spark, d))
 
 
+def staged_profiles(spark, d):
+    """Profiles written once: combination steps read them several times (one row per skill)."""
+    return cut_lineage(profiles(spark, d))
+
+
 @query("capability_profiles", _PROFILE_COLS + " tags:str evidence:str", f"WITH {PROFILE_CTE} SELECT * REPLACE (array_to_string(tags, ',') AS tags, array_to_string(evidence, chr(10)) AS evidence) FROM pr")
 def capability_profiles(spark, d):
     return profiles(spark, d).withColumns({"tags": F.array_join("tags", ","), "evidence": F.array_join("evidence", "\n")})
@@ -51,10 +57,10 @@ _BF = "bf AS (SELECT skill_id, bool_or(category = 'behavior_chains') AS has_chai
 RISK_CTE = f"{PROFILE_CTE}, {_BF}, rk AS (" + " UNION ALL ".join(f"SELECT pr.skill_id, {S.s(i)} AS risk_id, {S.s(c)} AS category, {S.s(lv)} AS level, {S.s(t)} AS title FROM pr JOIN bf ON pr.skill_id = bf.skill_id WHERE {f}" for i, c, lv, t, f in A.RESIDUAL) + ")"
 
 
-def risks(spark, d):
+def risks(spark, d, p=None):
     b = C.supplier_behavior(spark, d)
     flags = b.groupBy("skill_id").agg(F.bool_or(F.col("category") == "behavior_chains").alias("has_chains"), F.bool_or(F.col("category") == "sequence_alerts").alias("has_alerts"))
-    return A.residual_risks(profiles(spark, d), flags)
+    return A.residual_risks(p if p is not None else profiles(spark, d), flags)
 
 
 @query("residual_risks", "skill_id:str risk_id:str category:str level:str title:str", f"WITH {RISK_CTE} SELECT * FROM rk")
@@ -77,8 +83,8 @@ def purpose_summary(spark, d):
 
 # --- combination ---------------------------------------------------------------------------------------
 
-def selected(spark, d):
-    return CB.selected_profiles(C.supplier_selection(spark, d), profiles(spark, d))
+def selected(spark, d, p=None):
+    return cut_lineage(CB.selected_profiles(C.supplier_selection(spark, d), p if p is not None else profiles(spark, d)))
 
 
 _MERGED = f"mg AS (SELECT selection_id, {', '.join(f'bool_or({c}) AS {c}' for c in A.CAPABILITIES)}, count(*) AS n_skills, (SELECT count(DISTINCT e) FROM (SELECT s2.selection_id AS s, unnest(evidence) AS e FROM sel s2 JOIN pr p2 ON s2.skill_id = p2.skill_id) WHERE s = sel.selection_id) AS n_evidence FROM sel JOIN pr ON sel.skill_id = pr.skill_id GROUP BY 1)"
@@ -124,7 +130,7 @@ _TECH = "CASE chain_id " + " ".join(f"WHEN {S.s(r)} THEN {S.s(','.join(dict.from
 
 @query("fold_chains", _CHAINC + " attack_path:str techniques:str", f"WITH {PROFILE_CTE}, {_IC}, {_FOLD} SELECT *, {_PATHS} AS attack_path, {_TECH} AS techniques FROM fc")
 def fold_chains(spark, d):
-    return CB.fold_chains(CB.infer_chains(selected(spark, d))).withColumns({"attack_path": F.array_join(CB.attack_path(F.col("chain_id")), " > "), "techniques": F.array_join(CB.chain_techniques(F.col("chain_id")), ",")})
+    return CB.fold_chains(cut_lineage(CB.infer_chains(selected(spark, d)))).withColumns({"attack_path": F.array_join(CB.attack_path(F.col("chain_id")), " > "), "techniques": F.array_join(CB.chain_techniques(F.col("chain_id")), ",")})
 
 
 @query("conclusion", "selection_id:str n_skills:int n_capabilities:int n_sensitive:int high_risks:int medium_risks:int low_risks:int n_chains:int confident_chains:int risk_level:str", f"""WITH {RISK_CTE}, {_MR}, {_IC}, {_FOLD}, q AS (SELECT s.selection_id, coalesce(n_skills, 0) AS n_skills, coalesce({' + '.join(f'{c}::INT' for c in A.CAPABILITIES)}, 0) AS n_capabilities, coalesce(network_access::INT + command_exec::INT + sensitive_data_access::INT + privilege_use::INT, 0) AS n_sensitive,
@@ -132,9 +138,9 @@ def fold_chains(spark, d):
     (SELECT count(*) FROM fc WHERE fc.selection_id = s.selection_id) AS n_chains, (SELECT count(*) FROM fc WHERE fc.selection_id = s.selection_id AND n_skills >= 2 AND n_evidence >= 2) AS confident_chains FROM (SELECT DISTINCT selection_id FROM sel) s LEFT JOIN mg ON s.selection_id = mg.selection_id)
   SELECT *, CASE WHEN high_risks > 0 OR confident_chains > 0 THEN 'high' WHEN medium_risks > 0 OR n_sensitive >= 3 OR (n_sensitive >= 2 AND n_chains > 0) THEN 'medium' ELSE 'low' END AS risk_level FROM q""")
 def conclusion(spark, d):
-    sel = C.supplier_selection(spark, d)
-    s = selected(spark, d)
-    return CB.conclusion(sel, CB.merge_profiles(s), CB.merge_risks(sel, risks(spark, d)), CB.fold_chains(CB.infer_chains(s)))
+    sel, p = C.supplier_selection(spark, d), staged_profiles(spark, d)
+    s = selected(spark, d, p)
+    return CB.conclusion(sel, CB.merge_profiles(s), CB.merge_risks(sel, risks(spark, d, p)), CB.fold_chains(cut_lineage(CB.infer_chains(s))))
 
 
 @query("selection_keys", "o_custkey:int key:str", "SELECT o_custkey, sha1(string_agg(k, ',' ORDER BY k)) AS key FROM (SELECT DISTINCT o_custkey, 'R' || o_orderkey AS k FROM orders) GROUP BY 1")
@@ -225,8 +231,8 @@ def save_profiles(spark, d):
   a AS (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY created_at, report_id) AS r FROM fr) SELECT skill_id, report_id, 'order_' || seq AS name, 'order_' || seq AS display_name, CASE WHEN status = 'F' THEN 'calls the http api' ELSE file_name || ' 审查导入' END AS description, CASE WHEN status = 'F' THEN 'network_access' ELSE '' END AS declared, created_at FROM a WHERE r = 1""")
 def import_reports(spark, d):
     rep = C.order_reports(spark, d).select("report_id", "skill_id", "file_name", F.when(F.col("status") == "F", F.lit("calls the http api")).alias("description"), F.lit(" ").alias("display_name"), F.col("username").alias("operator"), "created_at")
-    p = profiles(spark, d)
-    out = A.import_reports(rep, p, A.risk_tags(p, risks(spark, d)), C.customer_registry(spark, d).where("admission_status = 'approved'"))
+    p = staged_profiles(spark, d)
+    out = A.import_reports(rep, p, A.risk_tags(p, risks(spark, d, p)), C.customer_registry(spark, d).where("admission_status = 'approved'"))
     return out.withColumn("declared", F.array_join("declared_capabilities", ","))
 
 
