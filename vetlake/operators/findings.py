@@ -423,16 +423,19 @@ LICENSE_WEAK = ["localhost", "127.0.0.1", "http://", "license_server", "license
 def risk_to_rule(text: Column, rules: list[Rule] | None = None, risk_words: list[tuple[str, list[str]]] | None = None) -> Column:
     """Rule of a free-text risk: license check, policy target, rule name, then the first keyword list; null if none."""
     known = {r.rule_id: r for r in (rules if rules is not None else RULES.values())}
-    low = F.lower(ws_trim(text))
-    lic = (low.contains("license") | low.contains("许可证")) & ~is_license_notice(low) & has_any(low, LICENSE_CHECK) & has_any(low, LICENSE_WEAK)
-    out = F.when(lic, F.lit("V7-005" if "V7-005" in known else None)).when(has_any(low, CRYPTO_WORDS), F.lit("V7-003" if "V7-003" in known else None))
-    for r in sorted(known.values(), key=lambda r: r.rule_id):
-        if r.name.strip():
-            out = out.when(low.contains(r.name.strip().lower()), F.lit(r.rule_id))
-    for rid, words in risk_words or RISK_WORDS:
-        if rid in known:
-            out = out.when(has_any(low, words), F.lit(rid))
-    return out
+
+    def body(low: Column) -> Column:
+        lic = (low.contains("license") | low.contains("许可证")) & ~is_license_notice(low) & has_any(low, LICENSE_CHECK) & has_any(low, LICENSE_WEAK)
+        out = F.when(lic, F.lit("V7-005" if "V7-005" in known else None)).when(has_any(low, CRYPTO_WORDS), F.lit("V7-003" if "V7-003" in known else None))
+        for r in sorted(known.values(), key=lambda r: r.rule_id):
+            if r.name.strip():
+                out = out.when(low.contains(r.name.strip().lower()), F.lit(r.rule_id))
+        for rid, words in risk_words or RISK_WORDS:
+            if rid in known:
+                out = out.when(has_any(low, words), F.lit(rid))
+        return out
+
+    return let(F.lower(ws_trim(text)), body)  # trimmed and lower-cased once for all lists
 
 
 def intent_level(level: Column) -> Column:
