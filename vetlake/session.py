@@ -1,11 +1,14 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults, the shared working folder and lineage cutting."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def build_session(app: str = "vetlake", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Session with the settings every operator assumes (UTC, AQE, Arrow)."""
@@ -17,6 +20,8 @@ def build_session(app: str = "vetlake", master: str | None = None, shuffle_parti
         # session aggregates combine before the shuffle, so a hot key sends few rows per task
         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoint files go when the frame that reads them is collected
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -27,19 +32,51 @@ def build_session(app: str = "vetlake", master: str | None = None, shuffle_parti
     return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a private one only when none is set.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    ``spark.checkpoint.dir`` is read from the session.  The temporary folder is the
-    fallback for local tests, where driver and executors share one disk.
+    A private temporary folder stands in only where driver and executors are one process
+    (``local[*]``, as in tests).  On a cluster without the setting this is an error: files in a
+    machine's own folder are lost with the machine.
     """
-    if spark.sparkContext.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vetlake-ckpt-"))
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="vetlake-ckpt-")
+    return _LOCAL_DIRS[app]
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Point reliable checkpoints at the shared folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike localCheckpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Like a checkpoint it survives lost executors and cuts lineage; unlike one it is compressed,
+    column-pruned when read, and its size is known to the planner, which therefore broadcasts it
+    only below the session's threshold.  Several readers do not repeat the work above it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete every staged table of this application (call it when results have been written)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
