@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_llr, sharding
+from . import mixing, packing, quality_llr, sharding, simhash_bk
 from .common import table
 
 
@@ -25,10 +25,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_bk.components(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and their places."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op5_sharding, op6_quality, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op5_sharding, op6_quality, op9_simhash, op10_packing)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.MIX_SQL, "op5_sharding": sharding.SHARD_SQL}
