@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_llr, sharding, simhash_bk
+from . import mixing, packing, quality_llr, sharding, simhash_bk, suffix_dedup
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed bytes and the hash of the rest of every document."""
+    return suffix_dedup.measure(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
@@ -35,5 +40,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op5_sharding, op6_quality, op9_simhash, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op9_simhash, op10_packing)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.MIX_SQL, "op5_sharding": sharding.SHARD_SQL}
