@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_llr, sharding, simhash_bk, suffix_dedup
+from . import license_join, mixing, packing, quality_llr, sharding, simhash_bk, suffix_dedup
 from .common import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    found = license_join.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies and taken words of every document in the mix."""
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
@@ -40,5 +47,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op9_simhash, op10_packing)}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.MIX_SQL, "op5_sharding": sharding.SHARD_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_scan, op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op9_simhash, op10_packing)}
+ORACLES: dict[str, str] = {"op2_license_scan": license_join.LICENSE_SQL, "op3_mixing": mixing.MIX_SQL, "op5_sharding": sharding.SHARD_SQL}
