@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_join, mixing, packing, quality_llr, sharding, simhash_bk, suffix_dedup
+from . import license_join, mixing, packing, quality_llr, sharding, simhash_bk, suffix_dedup, toxicity_kn
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity_kn.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_bk.components(table(spark, sf_dir, "documents"))
@@ -47,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_scan, op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op9_simhash, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_scan, op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op8_toxicity, op9_simhash, op10_packing)}
 ORACLES: dict[str, str] = {"op2_license_scan": license_join.LICENSE_SQL, "op3_mixing": mixing.MIX_SQL, "op5_sharding": sharding.SHARD_SQL}
