@@ -21,7 +21,7 @@ the ratio only depends on its context.  If these numbers are at most ``MODEL_ROW
 sent to the tasks, which score each text where it is read.  A larger model stays a table: the
 words of the texts are joined with it.  Both ways give the same ratios.
 
-*Decision.*  Where training rows are split best (false alarms plus misses), the score is 0.5; it is a
+*Decision.*  Where training rows are split best (rate of false alarms, at twice the cost, plus rate of misses), the score is 0.5; it is a
 logistic function of the ratio around that point.
 
 Defined cases.  Null or empty text: ratio 0, an ordinary document's score.  Null ``doc_id``: scored, never a
@@ -51,6 +51,7 @@ CLASS_DISCOUNT = 3.0
 SHARE = 0.02
 MODEL_ROWS = 1 << 22
 FOLDS = 5
+FALSE_ALARM_COST = 2
 DEFAULT_SPLIT, DEFAULT_SCALE = 0.01, 0.005
 START, END = "\x02", "\x03"
 _CACHE_WORDS = 600_000
@@ -269,7 +270,7 @@ def split_point(scored: DataFrame, labels: DataFrame) -> tuple[float, float]:
         return DEFAULT_SPLIT, DEFAULT_SCALE
     points = np.unique(np.concatenate([clean, toxic]))
     middles = (points[1:] + points[:-1]) / 2 if len(points) > 1 else points
-    loss = (clean[:, None] > middles).mean(axis=0) + (toxic[:, None] <= middles).mean(axis=0)
+    loss = FALSE_ALARM_COST * (clean[:, None] > middles).mean(axis=0) + (toxic[:, None] <= middles).mean(axis=0)
     best = middles[loss <= loss.min() + 1e-12]
     split = float((best[0] + best[-1]) / 2)
     return split, max(1e-6, float(np.median(toxic) - split) / 4)
