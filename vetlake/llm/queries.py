@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_join, mixing, packing, quality_llr, sharding, simhash_bk, suffix_dedup, toxicity_kn
+from . import license_join, mixing, packing, quality_llr, sharding, simhash_bk, suffix_dedup, token_attribution, toxicity_kn
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every sentence of every document."""
+    return token_attribution.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     found = license_join.scan_licenses(table(spark, sf_dir, "documents"))
@@ -52,5 +57,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_scan, op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op8_toxicity, op9_simhash, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op8_toxicity, op9_simhash, op10_packing)}
 ORACLES: dict[str, str] = {"op2_license_scan": license_join.LICENSE_SQL, "op3_mixing": mixing.MIX_SQL, "op5_sharding": sharding.SHARD_SQL}
