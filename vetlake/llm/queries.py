@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_join, mixing, packing, quality_llr, sharding, simhash_bk, suffix_dedup, token_attribution, toxicity_kn
+from . import license_join, mixing, packing, posting_lists, quality_llr, sharding, simhash_bk, suffix_dedup, token_attribution, toxicity_kn
 from .common import table
 
 
@@ -42,6 +42,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others of every vector whose id is divisible by 20."""
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity_kn.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -57,5 +62,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op8_toxicity, op9_simhash, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op7_nearest, op8_toxicity, op9_simhash, op10_packing)}
 ORACLES: dict[str, str] = {"op2_license_scan": license_join.LICENSE_SQL, "op3_mixing": mixing.MIX_SQL, "op5_sharding": sharding.SHARD_SQL}
