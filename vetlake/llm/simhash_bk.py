@@ -134,7 +134,7 @@ def _masks(blocks: int, same: int) -> list[int]:
 def _in_shards(nodes: DataFrame, blocks: int, same: int, radius: int, limit: int | None) -> DataFrame:
     """Links ``a, b`` within the shards of ``nodes(fp)``; rows with ``b`` null are members of shards over the limit."""
     masks = _masks(blocks, same)
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(masks)])).alias("key")
+    keys = F.explode(F.transform(F.lit(masks).cast("array<long>"), lambda m, k: F.struct(k.alias("k"), F.col("fp").bitwiseAND(m).alias("v")))).alias("key")
     dealt = nodes.select("fp", keys).select("fp", "key.k", "key.v")
     dealt = dealt.repartition("k", "v").sortWithinPartitions("k", "v", "fp")
 
@@ -196,15 +196,15 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT)
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, root, component_id`` for every row of ``docs``."""
-    rows = stage_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(whole_text()).alias("fp")), "simhash-rows")
+    """``doc_id, k1, fp, root, component_id`` for every row of ``docs``; ``k1`` is a hash of the text."""
+    rows = stage_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("k1"), fingerprint(whole_text()).alias("fp")), "simhash-rows")
     nodes = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = connected_components(near_links(nodes.select("fp")))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = stage_table(named, "simhash-roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
-    return rows.join(classes, rows["fp"] == F.col("__fp")).select("doc_id", "fp", "root", "component_id")
+    return rows.join(classes, rows["fp"] == F.col("__fp")).select("doc_id", "k1", "fp", "root", "component_id")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -215,16 +215,16 @@ def components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` per component, the one that names it, with all its columns.
 
-    Of rows that repeat that id one stays, as does one row of a component without any id.  The ids
-    to drop are written first: the join that leaves them out is planned from their known size, and
+    Of rows that repeat that id one stays, as does one row of a component without any id.  The rows
+    to drop (id and text hash) are written first: the join that leaves them out is planned from their known size, and
     the texts are shuffled only when that list is too long to broadcast.
     """
     groups = stage_table(_grouped(docs), "simhash-groups")
-    dropped = stage_table(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "simhash-dropped")
+    dropped = stage_table(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1")).distinct(), "simhash-dropped")
     twice = stage_table(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "simhash-twice")
     key = F.col("doc_id").cast("long") == F.col("__id")
     rows = docs.select(pack_row(docs), "doc_id", "text")
-    kept = rows.where("doc_id is not null").join(dropped, key, "left_anti")
+    kept = rows.where("doc_id is not null").join(dropped, key & (F.xxhash64(whole_text()) == F.col("__k1")), "left_anti")
 
     def one(df: DataFrame, by: str) -> DataFrame:
         first = Window.partitionBy(by).orderBy(F.xxhash64(ROW), F.to_json(ROW))
