@@ -12,7 +12,8 @@ class happen to contain is not evidence) and give what that frees to one pooled
 model of the same order (raw counts at the top, numbers of different left neighbours below, ``DISCOUNT``).  A spelling that one class has hardly seen thus costs no more than the two classes'
 backoff weights tell.  After a context that a class never saw, its model is the pooled one.
 
-*Training.*  Every labelled row outside the held-out fold is counted; word and n-gram counts are tables that
+*Training.*  Every labelled row outside the held-out fold is counted.  Rows that a bitmap of fixed size shows
+to be unlabelled stay out of the join with the labels, which therefore moves hardly any other text.  Word and n-gram counts are tables that
 grow with the input and are combined before each shuffle.  The pooled model is a chain of joins over
 n-gram types, one per order.
 
@@ -51,6 +52,7 @@ CLASS_DISCOUNT = 3.0
 SHARE = 0.02
 MODEL_ROWS = 1 << 22
 FOLDS = 5
+FILTER_BITS = 1 << 23
 FALSE_ALARM_COST = 2
 DEFAULT_SPLIT, DEFAULT_SCALE = 0.01, 0.005
 START, END = "\x02", "\x03"
@@ -73,9 +75,33 @@ def _label(labels: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
 
 
+def _likely_labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the rows whose id may be in ``marks``, so that the join shuffles few other texts.
+
+    A bitmap of ``FILTER_BITS`` bits, whatever the number of ids: one bit per id hash, built by a
+    grouped OR of at most ``FILTER_BITS / 64`` rows.  A full bitmap lets every row through.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    cells = marks.select(bit(F.col("__id").cast("string")).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in cells.collect():
+        bitmap[r["w"]] = r["bits"]
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column("b").to_numpy().astype(np.uint64)
+            hit = sent.value[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"), bit(F.col("doc_id").cast("string")).alias("b"))
+    return rows.mapInArrow(keep, T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType())]))
+
+
 def count_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``word, t, o``: how often toxic and ordinary training documents have a word."""
-    rows = docs.select("doc_id", whole_text().alias("text")).join(_label(labels), F.col("doc_id") == F.col("__id")).select("text", "toxic")
+    marks = stage_table(_label(labels), "kn-labels")
+    rows = _likely_labelled(docs, marks).join(marks, F.col("doc_id") == F.col("__id")).select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
