@@ -45,6 +45,11 @@ def test_registry_and_sinks(spark, tmp_path):
     assert rows["s1"]["admission_status"] == "pending" and rows["s1"]["risk_tags"] == ["a"] and rows["s2"]["review_decision"] == "review"
     new = spark.createDataFrame([("s1", "r9", 1), ("s3", "r2", 2), ("s4", "r4", 3), ("s4", "r5", 4), ("s5", "r4", 5)], "skill_id string, report_id string, seq int")
     assert [tuple(r) for r in sinks.insert_registry(new, reg).collect()] == [("s4", "r4", 3)]
+    chain = spark.createDataFrame([("s2", "q1", 0), ("s7", "q1", 1), ("s7", "q2", 2), ("s8", "q2", 3), ("s8", "q3", 4)], "skill_id string, report_id string, seq int")
+    assert sorted(tuple(r) for r in sinks.insert_registry(chain, reg.where("skill_id = 's1'")).collect()) == [("s2", "q1", 0), ("s7", "q2", 2), ("s8", "q3", 4)]
+    twice = spark.createDataFrame([("s1", "one", 1), ("s1", "two", 2)], "skill_id string, name string, at int")
+    assert [r["name"] for r in sinks.update_registry(twice, reg.where("skill_id = 's1'"), order="at").collect()] == ["two"]
+    assert [r["name"] for r in sinks.save_profile(twice, twice.limit(0), order="at").collect()] == ["two"]
     old = spark.createDataFrame([("k", "run1", 10, 10)], "selection_key string, run_id string, created_at int, updated_at int")
     up = spark.createDataFrame([("k", "run2", 20, 20), ("", "x", 1, 1), ("n", "run3", 5, 5)], "selection_key string, run_id string, created_at int, updated_at int")
     assert sorted(tuple(r) for r in sinks.upsert_runs(up, old).collect()) == [("k", "run2", 10, 20), ("n", "run3", 5, 5)]

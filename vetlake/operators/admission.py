@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, clean_array, ws_trim
+from ..sources.sinks import first_come
 from .sets import declared_capabilities
 
 # Capability -> behaviour inputs that prove it, in listing order.
@@ -103,11 +104,8 @@ def import_reports(reports: DataFrame, profiles: DataFrame, tags: DataFrame, reg
     """
     fresh = reports.where(ws_trim(F.col("report_id")) != "").join(registry.select("report_id").distinct(), "report_id", "left_anti")
     fresh = fresh.join(registry.select("skill_id").distinct(), "skill_id", "left_anti")
-    # one report per skill and one skill per report; struct minima combine map-side
-    first = F.min(F.struct("created_at", "skill_id", "file_name", "description", "display_name", "operator"))
-    fresh = fresh.groupBy("report_id").agg(first.alias("m")).select("report_id", "m.*")
-    first = F.min(F.struct("created_at", "report_id", "file_name", "description", "display_name", "operator"))
-    fresh = fresh.groupBy("skill_id").agg(first.alias("m")).select("skill_id", "m.*")
+    # one report per skill and one skill per report, first come first served
+    fresh = first_come(fresh.withColumn("_order", F.struct("created_at", "report_id", "skill_id", "file_name", "description", "display_name", "operator")).dropDuplicates(["_order"]), "_order").drop("_order")
     j = fresh.join(profiles, "skill_id", "left").join(tags, "skill_id", "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     j = j.withColumns({c: flag(c) for c in CAPABILITIES})

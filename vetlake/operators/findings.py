@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_any, is_license_notice, let, normalize_severity, ws_trim
 from .packs import HIGH_RISK_DIFFS
+from .review import evidence_facts, seen_struct
 from .rules import RULES, Rule
 
 FINDING_COLS = ["skill_id", "source", "rule_id", "severity", "title", "description", "path", "line_start", "line_end", "code_snippet"]
@@ -107,8 +108,9 @@ ORDER = ["path", "line_start", "rule_id", "description"]
 def group_findings(findings: DataFrame, order: list[str] | None = None, max_evidence: int = 6) -> DataFrame:
     """Group by (rule, severity, title) per skill; license-config findings merge across rules.
 
-    Ids SF-001… follow first appearance.  ``evidence`` keeps the first ``max_evidence`` places;
-    they are ranked before they are collected, so no group is gathered whole.
+    Ids SF-001… follow first appearance.  ``seen`` says what all places of the group have in common
+    or name (see ``review.evidence_facts``); verdicts are judged on it.  ``evidence`` is a view for
+    reading: the first ``max_evidence`` places, ranked before they are collected.
     """
     order = order or ORDER
     title = ws_trim(F.col("title"))
@@ -116,8 +118,9 @@ def group_findings(findings: DataFrame, order: list[str] | None = None, max_evid
                             ws_trim(F.col("severity")).alias("g_sev"), title.alias("g_title"))
     g = ["skill_id", "g_rule", "g_sev", "g_title"]
     first = F.min(F.struct(*dict.fromkeys([*order, "rule_id", "severity", "title", "description", "source"])))
-    groups = keyed.groupBy(*g).agg(F.count("*").alias("n"), first.alias("m"))
     item = F.when(F.col("path") == "", F.col("description")).otherwise(F.concat("path", F.lit(":"), F.col("line_start").cast("string"), F.lit(" "), F.coalesce("code_snippet", F.lit(""))))
+    facts = keyed.select("*", F.lower(item).alias("_item")).groupBy(*g).agg(F.count("*").alias("n"), first.alias("m"), *evidence_facts(F.col("_item")))
+    groups = facts.select(*g, "n", "m", seen_struct().alias("seen"))
     w = Window.partitionBy(*g).orderBy(*order)
     ev = keyed.select(*g, *[c for c in order if c not in g], item.alias("item")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_evidence)
     ev = ev.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("rn", "item"))).alias("_e")).select(*g, F.array_distinct(F.transform("_e", lambda e: e["item"])).alias("evidence"))
@@ -127,7 +130,7 @@ def group_findings(findings: DataFrame, order: list[str] | None = None, max_evid
     return ranked.select(
         "skill_id", F.concat(F.lit("SF-"), F.when(F.length(num) < 3, F.lpad(num, 3, "0")).otherwise(num)).alias("finding_id"),
         F.col("m.rule_id").alias("rule_id"), F.col("m.severity").alias("severity"), F.col("m.title").alias("title"), F.col("m.description").alias("description"),
-        F.col("m.source").alias("source"), finding_category(F.col("m.rule_id"), F.col("m.title"), F.col("m.description")).alias("category"), "n", "evidence")
+        F.col("m.source").alias("source"), finding_category(F.col("m.rule_id"), F.col("m.title"), F.col("m.description")).alias("category"), "n", "evidence", "seen")
 
 
 # --- behaviour support ------------------------------------------------------------------------

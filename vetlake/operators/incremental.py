@@ -44,17 +44,20 @@ def evict_snapshot(snapshot: DataFrame, n: int = SNAPSHOT_LIMIT, order: str = "s
 
 
 def content_key(files: DataFrame, skills: DataFrame, deps: DataFrame) -> DataFrame:
-    """Cache key per skill from four hashes: name, description, files, dependencies.
+    """Cache key per skill from five hashes: name, description, permissions, files, dependencies.
 
-    File and dependency sets are folded by an order-free combination of row hashes, so a skill
-    with very many files needs no sorted list in one task.
+    File and dependency sets are folded by an order-free combination of row hashes, so a skill with
+    very many files needs no sorted list in one task.  All 256 bits of a row's hash enter the fold,
+    as four sums of 64 bits each.
     """
-    fold = lambda h: F.concat(F.sum(F.conv(F.substring(h, 1, 12), 16, 10).cast("decimal(38,0)")).cast("string"), F.lit("-"), F.count("*").cast("string"))
+    part = lambda h, i: F.sum(F.conv(F.substring(h, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).cast("string")
+    fold = lambda h: F.concat_ws("-", *[part(h, i) for i in range(4)], F.count("*").cast("string"))
     f = files.select("skill_id", F.sha2(F.concat_ws("\x1f", "path", "sha256"), 256).alias("h")).groupBy("skill_id").agg(fold(F.col("h")).alias("k_files"))
     d = deps.select("skill_id", F.sha2(F.concat_ws("\x1f", "name", "version"), 256).alias("h")).groupBy("skill_id").agg(fold(F.col("h")).alias("k_deps"))
     j = skills.join(f, "skill_id", "left").join(d, "skill_id", "left")
-    return j.select("skill_id", F.concat_ws(":", F.sha2(F.coalesce("name", F.lit("")), 256), F.sha2(F.coalesce("description", F.lit("")), 256), F.sha2(F.coalesce("k_files", F.lit("")), 256),
-                                            F.sha2(F.coalesce("k_deps", F.lit("")), 256)).alias("cache_key"))
+    grants = F.array_join(F.transform(F.sort_array(F.coalesce("permissions", F.array().cast("array<string>"))), lambda p: F.concat(F.length(p).cast("string"), F.lit(":"), p)), ",")
+    hashed = [F.sha2(c, 256) for c in (F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")), grants, F.coalesce("k_files", F.lit("")), F.coalesce("k_deps", F.lit("")))]
+    return j.select("skill_id", F.concat_ws(":", *hashed).alias("cache_key"))
 
 
 def content_cache(requests: DataFrame, results: DataFrame, now: int) -> DataFrame:

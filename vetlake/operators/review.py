@@ -35,6 +35,33 @@ def internal_only(evidence: Column) -> Column:
     return _all_mention(evidence, LOCAL_WORDS)
 
 
+RUNTIME_WORDS = ["sandbox", "runtime"]
+
+
+def evidence_facts(item: Column) -> list[Column]:
+    """Aggregates over all (lower-cased) evidence of a finding; each combines before the shuffle."""
+    return [
+        F.bool_and(has_any(item, DOC_WORDS)).alias("_docs"), F.bool_and(has_any(item, LOCAL_WORDS)).alias("_local"), F.bool_or(has_any(item, THREAT_WORDS)).alias("_threat"),
+        F.bool_or(has_any(item, RUNTIME_WORDS)).alias("_runtime"), *[F.bool_or(item.contains(t)).alias(f"_token{i}") for i, t in enumerate(FEEDBACK_TOKENS)],
+    ]
+
+
+def seen_struct() -> Column:
+    """The aggregates of ``evidence_facts`` as one column: docs, local, threat, runtime, tokens."""
+    tokens = F.array_compact(F.array(*[F.when(F.col(f"_token{i}"), F.lit(t)) for i, t in enumerate(FEEDBACK_TOKENS)]))
+    return F.struct(F.col("_docs").alias("docs"), F.col("_local").alias("local"), F.col("_threat").alias("threat"), F.col("_runtime").alias("runtime"), tokens.alias("tokens"))
+
+
+def with_seen(df: DataFrame) -> DataFrame:
+    """``df`` with ``seen``; findings that come with their whole evidence as a list get it from that."""
+    if "seen" in df.columns:
+        return df
+    text = F.lower(F.array_join("evidence", "\n"))
+    tokens = F.array_compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in FEEDBACK_TOKENS]))
+    return df.withColumn("seen", F.struct(
+        docs_only(F.col("evidence")).alias("docs"), internal_only(F.col("evidence")).alias("local"), has_any(text, THREAT_WORDS).alias("threat"), has_any(text, RUNTIME_WORDS).alias("runtime"), tokens.alias("tokens")))
+
+
 def attack_path(category: Column, description: Column) -> Column:
     out = F.when(category == "execution", F.lit(ATTACK_PATHS["execution"]))
     for c in ("credential", "outbound", "intent"):
@@ -48,12 +75,13 @@ def assess(df: DataFrame) -> DataFrame:
     Adds has_behavior, ti (semantics), docs_only, internal_only, threat_like, strength_score,
     strength, exploitability, impact, fp_verdict.  ``reputation`` is optional.
     """
+    df = with_seen(df)
     rep = F.coalesce("reputation", F.lit("")) if "reputation" in df.columns else F.lit("")
     out = df.withColumns({
-        "has_behavior": F.col("has_chain") | F.col("has_alert"), "ti": semantics(rep), "docs_only": docs_only(F.col("evidence")), "internal_only": internal_only(F.col("evidence")),
+        "has_behavior": F.col("has_chain") | F.col("has_alert"), "ti": semantics(rep), "docs_only": F.col("seen.docs"), "internal_only": F.col("seen.local"),
         # a chain text names every category and so always reads as a threat
-        "threat_like": F.col("has_chain") | F.col("threat_alert") | has_any(
-            F.lower(F.concat_ws(" ", "title", F.when(F.col("has_alert"), F.lit("")).otherwise(attack_path(F.col("category"), F.col("description"))), F.array_join("evidence", " "))), THREAT_WORDS),
+        "threat_like": F.col("has_chain") | F.col("threat_alert") | F.col("seen.threat") | has_any(
+            F.lower(F.concat_ws(" ", "title", F.when(F.col("has_alert"), F.lit("")).otherwise(attack_path(F.col("category"), F.col("description"))))), THREAT_WORDS),
     })
     i = lambda c: c.cast("int")
     score = (i(F.size("evidence") > 0) + i(F.size("basis") > 0) + i(F.col("n") > 1) + 2 * i(F.col("has_behavior")) + i(F.col("high_signal")) + i(F.col("ti") == "policy") - i(F.col("docs_only")))
@@ -212,10 +240,7 @@ def reviewed_decision(rev: DataFrame, skill_state: DataFrame) -> DataFrame:
 
 def learn_feedback(rev: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """New (rule_id, token) pairs from the evidence of likely false positives."""
-    # items are joined by a character no token holds, so the text test equals a test per item
-    ev = F.lower(F.array_join("evidence", "\n"))
-    cells = [F.when(ev.contains(t), F.lit(t)) for t in FEEDBACK_TOKENS]
-    out = rev.where(F.col("final_verdict") == "likely_false_positive").select("rule_id", F.explode(F.array_compact(F.array(*cells))).alias("token")).distinct()
+    out = with_seen(rev.where(F.col("final_verdict") == "likely_false_positive")).select("rule_id", F.explode("seen.tokens").alias("token")).distinct()
     return out.join(existing, ["rule_id", "token"], "left_anti") if existing is not None else out
 
 
@@ -295,14 +320,13 @@ def unmatched_capabilities(matrix: DataFrame, groups: DataFrame) -> DataFrame:
 
 # --- labels ------------------------------------------------------------------------------------------------
 
-def source_labels(source: Column, basis: Column, evidence: Column, final_verdict: Column, depth: Column) -> Column:
-    """Origin labels of a finding from its source, basis and evidence, then its review status."""
+def source_labels(source: Column, basis: Column, runtime: Column, final_verdict: Column, depth: Column) -> Column:
+    """Origin labels of a finding from its source, basis and evidence (``runtime``: some of it names a run), then its review status."""
     s, b = F.lower(ws_trim(F.coalesce(source, F.lit("")))), F.lower(F.array_join(basis, " "))
-    e = F.lower(F.array_join(evidence, " "))
     rule = (s == "") | any_of(s.contains(w) for w in ("static", "securityengine", "rule", "coverage"))
     semantic = s.contains("intent") | s.contains("semantic") | b.contains("intent difference")
     model = s.contains("intent") | s.contains("llm") | b.contains("llm")
-    dynamic = any_of(s.contains(w) for w in ("behaviorguard", "sandbox", "runtime")) | e.contains("sandbox") | e.contains("runtime")
+    dynamic = any_of(s.contains(w) for w in ("behaviorguard", "sandbox", "runtime")) | runtime
     ti = s.contains("threatintel") | b.contains("reputation")
     origin = F.array_compact(F.array(F.when(rule, F.lit("rule")), F.when(semantic, F.lit("semantic")), F.when(model, F.lit("model")), F.when(dynamic, F.lit("dynamic")), F.when(ti, F.lit("reputation"))))
     origin = F.when(F.size(origin) > 0, origin).otherwise(F.array(F.lit("rule")))

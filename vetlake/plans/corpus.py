@@ -61,25 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text table spread over the cores when its files split into fewer tasks than that.
-
-    Large inputs already have far more splits than cores and are left alone.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> files: source as skill, ``scripts/doc_<id>`` as path."""
-    d = text_table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents")
     return artifacts_from_table(d, F.col("source"), F.concat(F.lit("scripts/doc_"), F.col("doc_id").cast("string")), F.col("text"))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages -> files: host as skill; entities that hide quotes and angle brackets are restored."""
-    p = text_table(spark, sf_dir, "pages")
+    p = table(spark, sf_dir, "pages")
     html = F.col("html")
     for ent, ch in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         html = F.replace(html, F.lit(ent), F.lit(ch))
@@ -102,14 +92,18 @@ def _seed_path(doc, g, k):
 
 
 def seeded_files(spark: SparkSession, sf_dir: str, manifests: bool = True) -> DataFrame:
-    """Every document as a file of a five-file skill with planted lines, plus one manifest per skill."""
-    d = text_table(spark, sf_dir, "documents").withColumn("g", F.floor(F.col("doc_id") / 5).cast("long")).withColumn("k", F.col("doc_id") % 5)
+    """Every document as a file of a five-file skill, plus one manifest per skill.
+
+    Sample lines are planted after the document's own lines (a declaration before the first one);
+    every line of the document stays.
+    """
+    d = table(spark, sf_dir, "documents").withColumn("g", F.floor(F.col("doc_id") / 5).cast("long")).withColumn("k", F.col("doc_id") % 5)
     doc, g, k = F.col("doc_id"), F.col("g"), F.col("k")
-    line = lambda l, i: (
-        F.when((k == 0) & (i == 0), _pick(DECLARATIONS, g % len(DECLARATIONS)))
-        .when((doc * 7 + i * 3) % 4 == 0, _pick(SAMPLE_LINES, (doc * 13 + i * 29 + g * 7) % len(SAMPLE_LINES))).otherwise(l)
+    lines = lambda l, i: (
+        F.when((k == 0) & (i == 0), F.array(_pick(DECLARATIONS, g % len(DECLARATIONS)), l))
+        .when((doc * 7 + i * 3) % 4 == 0, F.array(l, _pick(SAMPLE_LINES, (doc * 13 + i * 29 + g * 7) % len(SAMPLE_LINES)))).otherwise(F.array(l))
     )
-    content = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
+    content = F.array_join(F.flatten(F.transform(F.split("text", "\n", -1), lines)), "\n")
     skill = lambda c: F.concat(F.lit("skill_"), c.cast("string"))
     d = d.select("doc_id", "g", "k", bound(content).alias("content"))
     files = artifacts_from_table(d, skill(g), _seed_path(doc, g, k), F.col("content"))

@@ -34,7 +34,9 @@ def _category_sql(text: str) -> str:
     return "CASE " + " ".join(f"WHEN {S.any_in(text, w)} THEN {S.s(n)}" for n, w in FD.CATEGORY_WORDS) + " ELSE 'static' END"
 
 
-GROUP_CTE = f"""g0 AS (SELECT skill_id, rule_id, severity, title, count(*) AS n, min({{'p': path, 'l': line_start, 'r': rule_id, 'd': description}}) AS m FROM fd GROUP BY 1, 2, 3, 4),
+GROUP_CTE = f"""g0 AS (SELECT skill_id, rule_id, severity, title, count(*) AS n, min({{'p': path, 'l': line_start, 'r': rule_id, 'd': description}}) AS m,
+    bool_and({S.any_in("lower(path || ':' || line_start || ' ' || code)", R.DOC_WORDS)}) AS all_docs, bool_and({S.any_in("lower(path || ':' || line_start || ' ' || code)", R.LOCAL_WORDS)}) AS all_local,
+    string_agg(lower(path || ':' || line_start || ' ' || code), chr(10)) AS all_items FROM fd GROUP BY 1, 2, 3, 4),
   ge AS (SELECT skill_id, rule_id, severity, title, list(item ORDER BY rn) AS evidence FROM (SELECT *, path || ':' || line_start || ' ' || code AS item, row_number() OVER (PARTITION BY skill_id, rule_id, severity, title ORDER BY path, line_start, rule_id, description) AS rn FROM fd) WHERE rn <= 6 GROUP BY 1, 2, 3, 4),
   gr AS (SELECT g0.*, m.d AS description, 'SecurityEngine' AS source, {_category_sql("lower(g0.rule_id || ' ' || g0.title || ' ' || m.d)")} AS category, evidence,
     'SF-' || lpad((row_number() OVER (PARTITION BY g0.skill_id ORDER BY m.p, m.l, m.r, m.d, g0.rule_id, g0.severity, g0.title))::VARCHAR, 3, '0') AS finding_id
@@ -129,13 +131,9 @@ def finding_confidence(spark, d):
     return Stage(spark, d).confident.withColumn("basis", F.array_join("basis", ";"))
 
 
-def _forall(words) -> str:
-    return f"(len(evidence) > 0 AND len(list_filter(evidence, lambda e: NOT {S.any_in('lower(e)', words)})) = 0)"
-
-
 _AP = "CASE category " + " ".join(f"WHEN {S.s(k)} THEN {S.s(v)}" for k, v in R.ATTACK_PATHS.items()) + " ELSE description END"
-ASSESS_CTE = f"""{CONF_CTE}, as0 AS (SELECT *, has_chain OR has_alert AS has_behavior, {_forall(R.DOC_WORDS)} AS docs_only, {_forall(R.LOCAL_WORDS)} AS internal_only,
-    has_chain OR threat_alert OR {S.any_in("lower(title || ' ' || CASE WHEN has_alert THEN '' ELSE " + _AP + " END || ' ' || array_to_string(evidence, ' '))", R.THREAT_WORDS)} AS threat_like FROM cg),
+ASSESS_CTE = f"""{CONF_CTE}, as0 AS (SELECT *, has_chain OR has_alert AS has_behavior, all_docs AS docs_only, all_local AS internal_only,
+    has_chain OR threat_alert OR {S.any_in("lower(title || ' ' || CASE WHEN has_alert THEN '' ELSE " + _AP + " END || ' ' || all_items)", R.THREAT_WORDS)} AS threat_like FROM cg),
   as1 AS (SELECT *, (len(evidence) > 0)::INT + (len(basis) > 0)::INT + (n > 1)::INT + 2 * has_behavior::INT + high_signal::INT - docs_only::INT AS strength_score FROM as0),
   as2 AS (SELECT *, CASE WHEN strength_score >= 4 THEN 'strong' WHEN strength_score >= 2 THEN 'medium' ELSE 'weak' END AS strength, CASE WHEN has_behavior THEN 'elevated' WHEN confidence = 'high' THEN 'medium_high' ELSE 'pending' END AS exploitability,
     CASE WHEN category IN ('execution', 'outbound', 'credential', 'persistence', 'evasion', 'intent') THEN category ELSE 'depends' END AS impact FROM as1),
@@ -204,13 +202,13 @@ def ordered_findings(spark, d):
     return R.order_findings(Stage(spark, d).reviewed)
 
 
-@query("source_labels", "skill_id:str finding_id:str labels:str", f"""WITH {_BASE}, {REV_CTE} SELECT skill_id, finding_id, array_to_string(list_filter(['rule', CASE WHEN contains(lower(array_to_string(basis, ' ')), 'intent difference') THEN 'semantic' END, CASE WHEN contains(lower(array_to_string(evidence, ' ')), 'sandbox') OR contains(lower(array_to_string(evidence, ' ')), 'runtime') THEN 'dynamic' END,
+@query("source_labels", "skill_id:str finding_id:str labels:str", f"""WITH {_BASE}, {REV_CTE} SELECT skill_id, finding_id, array_to_string(list_filter(['rule', CASE WHEN contains(lower(array_to_string(basis, ' ')), 'intent difference') THEN 'semantic' END, CASE WHEN contains(all_items, 'sandbox') OR contains(all_items, 'runtime') THEN 'dynamic' END,
   CASE WHEN contains(array_to_string(basis, ' '), 'reputation') THEN 'reputation' END, CASE final_verdict WHEN 'confirmed' THEN 'verified' WHEN 'likely_false_positive' THEN 'suspected false positive' ELSE 'unverified' END, CASE WHEN final_verdict = 'needs_manual_review' THEN 'needs manual review' END, 'double checked'], lambda x: x IS NOT NULL), ',') AS labels FROM rv""")
 def source_labels(spark, d):
-    return Stage(spark, d).reviewed.select("skill_id", "finding_id", F.array_join(R.source_labels(F.col("source"), F.col("basis"), F.col("evidence"), F.col("final_verdict"), F.lit(2)), ",").alias("labels"))
+    return Stage(spark, d).reviewed.select("skill_id", "finding_id", F.array_join(R.source_labels(F.col("source"), F.col("basis"), F.col("seen.runtime"), F.col("final_verdict"), F.lit(2)), ",").alias("labels"))
 
 
-@query("learned_feedback", "rule_id:str token:str", f"WITH {_BASE}, {REV_CTE}, t AS (SELECT rule_id, lower(array_to_string(evidence, chr(10))) AS e FROM rv WHERE final_verdict = 'likely_false_positive') " + " UNION ".join(f"SELECT DISTINCT rule_id, {S.s(t)} AS token FROM t WHERE contains(e, {S.s(t)})" for t in R.FEEDBACK_TOKENS))
+@query("learned_feedback", "rule_id:str token:str", f"WITH {_BASE}, {REV_CTE}, t AS (SELECT rule_id, all_items AS e FROM rv WHERE final_verdict = 'likely_false_positive') " + " UNION ".join(f"SELECT DISTINCT rule_id, {S.s(t)} AS token FROM t WHERE contains(e, {S.s(t)})" for t in R.FEEDBACK_TOKENS))
 def learned_feedback(spark, d):
     return R.learn_feedback(Stage(spark, d).reviewed)
 

@@ -385,7 +385,7 @@ def content_cache(spark, d):
     return out.withColumn("cache_key", F.substring_index("cache_key", ":", -1))
 
 
-@query("cache_keys", "skill_id:str key_len:int n_distinct:int", f"WITH {S.SEED_LINES} SELECT 'skill_' || g AS skill_id, 259 AS key_len, 1 AS n_distinct FROM man0")
+@query("cache_keys", "skill_id:str key_len:int n_distinct:int", f"WITH {S.SEED_LINES} SELECT 'skill_' || g AS skill_id, 324 AS key_len, 1 AS n_distinct FROM man0")
 def cache_keys(spark, d):
     files = C.seeded_files(spark, d)
     k = INC.content_key(files, C.seeded_skills(spark, d), extract_dependencies(files))

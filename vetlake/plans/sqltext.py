@@ -84,13 +84,14 @@ page_l AS (SELECT skill_id, path, unnest(string_split(content, chr(10))) AS line
 _N, _D = len(C.SAMPLE_LINES), len(C.DECLARATIONS)
 SEED_LINES = f"""
 seed0 AS (SELECT doc_id, doc_id // 5 AS g, doc_id % 5 AS k, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+seed1 AS (SELECT doc_id, g, k, i, CASE WHEN k = 0 AND i = 1 THEN [({lst(C.DECLARATIONS)})[(g % {_D}) + 1], l]
+    WHEN (doc_id * 7 + (i - 1) * 3) % 4 = 0 THEN [l, ({lst(C.SAMPLE_LINES)})[((doc_id * 13 + (i - 1) * 29 + g * 7) % {_N}) + 1]] ELSE [l] END AS two FROM seed0),
+seed2 AS (SELECT doc_id, g, k, i, unnest(two) AS line, generate_subscripts(two, 1) AS j FROM seed1),
 seed_t AS (SELECT 'skill_' || g AS skill_id,
   CASE k WHEN 0 THEN CASE WHEN g % 3 = 1 THEN 'README.md' ELSE 'SKILL.md' END WHEN 1 THEN 'scripts/run_' || doc_id || '.py' WHEN 2 THEN 'src/app_' || doc_id || '.js'
     WHEN 3 THEN CASE g % 4 WHEN 0 THEN 'docs/guide_' || doc_id || '.md' WHEN 1 THEN 'tests/test_' || doc_id || '.py' WHEN 2 THEN 'scripts/tool_' || doc_id || '.sh' ELSE 'requirements.txt' END
     ELSE 'src/lib_' || doc_id || '.go' END AS path,
-  i AS line_no,
-  CASE WHEN k = 0 AND i = 1 THEN ({lst(C.DECLARATIONS)})[(g % {_D}) + 1]
-       WHEN (doc_id * 7 + (i - 1) * 3) % 4 = 0 THEN ({lst(C.SAMPLE_LINES)})[((doc_id * 13 + (i - 1) * 29 + g * 7) % {_N}) + 1] ELSE l END AS line FROM seed0),
+  row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS line_no, line FROM seed2),
 man0 AS (SELECT doc_id // 5 AS g, sum(n_chars)::BIGINT AS n FROM documents GROUP BY 1),
 man_f AS (SELECT 'skill_' || g AS skill_id, CASE WHEN g % 2 = 0 THEN 'package.json' ELSE 'go.mod' END AS path,
   CASE WHEN g % 2 = 0 THEN '{{"dependencies":{{"lib' || (n % 97) || '":"' || ({lst(C.MANIFEST_VERSIONS)})[(g % {len(C.MANIFEST_VERSIONS)}) + 1] || '","pkg' || g || '":"1.2.' || (n % 10) || '"}}}}'

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_trim
+from ..session import cut_lineage
 
 
 def findings_payload(findings: DataFrame, key: str = "skill_id") -> DataFrame:
@@ -37,25 +38,57 @@ def upsert_runs(new: DataFrame, existing: DataFrame, key: str = "selection_key",
     return existing.join(fresh.select(key), key, "left_anti").unionByName(merged.select(*existing.columns))
 
 
+def first_come(rows: DataFrame, order: str, keys: tuple[str, str] = ("skill_id", "report_id")) -> DataFrame:
+    """Rows that insertion one by one in ``order`` accepts, when both keys must still be unused.
+
+    A row that is the first open one of both its keys is accepted; all other rows with one of its
+    keys are then refused, and the next round looks at what is left.  Rows are shuffled as keys and
+    order only; ``order`` must tell rows apart.  Most batches end after one or two rounds.
+    """
+    open_rows = cut_lineage(rows.select(*keys, order))
+    taken = None
+    while True:
+        low = open_rows
+        for key in keys:
+            low = low.join(open_rows.groupBy(key).agg(F.min(order).alias(f"_{key}")), key)
+        accepted = low.where(" and ".join(f"{order} = _{key}" for key in keys)).select(*keys, order)
+        accepted = cut_lineage(accepted)
+        if accepted.isEmpty():
+            return rows.limit(0) if taken is None else rows.join(taken.select(order), order, "left_semi").select(*rows.columns)
+        taken = accepted if taken is None else taken.unionByName(accepted)
+        for key in keys:
+            open_rows = open_rows.join(accepted.select(key), key, "left_anti")
+        open_rows = cut_lineage(open_rows)
+
+
 def insert_registry(new: DataFrame, existing: DataFrame, order: str = "seq") -> DataFrame:
-    """Rows of ``new`` whose skill_id and report_id are both unused, first of each inside the batch."""
+    """Rows of ``new`` that insertion in ``order`` accepts: skill_id and report_id both unused so far."""
     free = new.join(existing.select("skill_id").distinct(), "skill_id", "left_anti").join(existing.select("report_id").distinct(), "report_id", "left_anti")
-    for key in ("skill_id", "report_id"):
-        rest = [c for c in free.columns if c not in (key, order)]
-        free = free.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in (order, *rest)])
-    return free.select(*new.columns)
+    return first_come(free, order).select(*new.columns)
 
 
-def update_registry(updates: DataFrame, existing: DataFrame, key: str = "skill_id") -> DataFrame:
-    """Replace known keys field by field (null keeps the old value); unknown keys are skipped."""
-    u = updates.select(F.col(key), *[F.col(c).alias("_n_" + c) for c in updates.columns if c != key])
-    changed = [c for c in updates.columns if c != key and c in existing.columns]
+def _last_of_each(df: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One row per key: the last by ``order``, or the largest row where there is no order."""
+    if order:
+        return _later(df, key, order)
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in rest])
+
+
+def update_registry(updates: DataFrame, existing: DataFrame, key: str = "skill_id", order: str | None = None) -> DataFrame:
+    """Replace known keys field by field (null keeps the old value); unknown keys are skipped.
+
+    Of several updates for a key the last by ``order`` counts.
+    """
+    updates = _last_of_each(updates, key, order)
+    u = updates.select(F.col(key), *[F.col(c).alias("_n_" + c) for c in updates.columns if c not in (key, order)])
+    changed = [c for c in updates.columns if c not in (key, order) and c in existing.columns]
     return existing.join(u, key, "left").select(*[F.coalesce("_n_" + c, c).alias(c) if c in changed else F.col(c) for c in existing.columns])
 
 
-def save_profile(new: DataFrame, existing: DataFrame, key: str = "skill_id") -> DataFrame:
-    """Replace by key or insert."""
-    return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*existing.columns))
+def save_profile(new: DataFrame, existing: DataFrame, key: str = "skill_id", order: str | None = None) -> DataFrame:
+    """Replace by key or insert; of several new rows for a key the last by ``order`` counts."""
+    return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(_last_of_each(new, key, order).select(*existing.columns))
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
