@@ -22,6 +22,8 @@ MIN_LENGTH = 2
 
 def required_literals(pattern: str) -> frozenset[str] | None:
     """Lower-cased words of which every match contains at least one; None when there are none."""
+    if "[:" in pattern:  # a POSIX class, which Python reads as a set of letters
+        return None
     try:
         tree = sp.parse(pattern)
     except Exception:  # syntax of another dialect: no pre-test

@@ -7,6 +7,7 @@ uses).  ``jrx`` adapts them to java.util.regex so ``rlike`` gives the same answe
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -31,8 +32,32 @@ PROMPT_OVERRIDE = [
 ]
 
 
+# POSIX class -> java.util.regex name
+_POSIX = {
+    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}",
+    "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\p{Space}", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}",
+}
+
+
+def _posix(m: re.Match) -> str:
+    if m[2] not in _POSIX:
+        raise ValueError(f"unknown character class [:{m[2]}:]")
+    name = _POSIX[m[2]]
+    return name if not m[1] else name.swapcase()[:2] + name[2:]
+
+
 def jrx(pattern: str) -> str:
-    """RE2 pattern -> equivalent java.util.regex pattern."""
+    """RE2 pattern -> equivalent java.util.regex pattern; a ``ValueError`` where there is none.
+
+    POSIX classes get their Java names, named groups become plain ones, and ignoring case covers
+    letters beyond ASCII where the pattern has such letters.
+    """
+    if r"\C" in pattern or re.search(r"\(\?[a-zA-Z]*U", pattern):
+        raise ValueError(f"pattern uses syntax without an equivalent: {pattern}")
+    pattern = re.sub(r"\[:(\^?)(\w+):\]", _posix, pattern)
+    pattern = re.sub(r"\(\?P?<[A-Za-z_]\w*>", "(", pattern)
+    if not pattern.isascii():
+        pattern = re.sub(r"\(\?([ms]*)i([ms]*)(?=[:)-])", r"(?\1iu\2", pattern)
     return "(?d)" + pattern.replace(r"\b", ASCII_BOUNDARY)
 
 
@@ -162,11 +187,9 @@ def clean_array(arr: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(arr, ws_trim), lambda x: x != ""))
 
 
-def split_ids(c: Column, limit: int = 512, max_len: int = 64) -> Column:
-    """Comma list -> trimmed distinct ids of at most ``max_len`` bytes, first ``limit``."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ",", -1), ws_trim)
-    kept = F.filter(parts, lambda x: (x != "") & (F.octet_length(x) <= max_len))
-    return F.slice(F.array_distinct(kept), 1, limit)
+def split_ids(c: Column) -> Column:
+    """Comma list -> trimmed distinct ids in order of first occurrence."""
+    return clean_array(F.split(F.coalesce(c, F.lit("")), ",", -1))
 
 
 def split_permissions(c: Column) -> Column:

@@ -11,7 +11,6 @@ from ..functions.text import has_any, is_code_line, jrx, matches, ws_trim
 from . import packs as P
 from .scan import explode_lines, explode_tests
 
-EVIDENCE_CHARS = 240
 GAP = 12
 
 
@@ -21,8 +20,8 @@ def _signal_lines(files: DataFrame) -> DataFrame:
 
 
 def _evidence(c: Column) -> Column:
-    t = ws_trim(c)
-    return F.when(F.length(t) > EVIDENCE_CHARS, F.concat(F.substring(t, 1, EVIDENCE_CHARS), F.lit("..."))).otherwise(t)
+    """The whole line or target: two that differ late stay two, and a target meets its reputation."""
+    return ws_trim(c)
 
 
 def line_targets(line: Column) -> Column:
@@ -166,28 +165,34 @@ def _range(start: Column, end: Column) -> Column:
         F.concat(F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string")))
 
 
-def chains(segs: DataFrame, k: int = 12, owner: str = "skill_id", source: str = "path", categories: list[str] | None = None) -> DataFrame:
-    """Segments with at least two categories, strongest ``k`` per owner, with their text form."""
+def correlated(segs: DataFrame) -> DataFrame:
+    """Segments in which at least two categories meet: what counts and support are taken from."""
+    return segs.where("n_categories >= 2")
+
+
+def chains(segs: DataFrame, k: int | None = None, owner: str = "skill_id", source: str = "path", categories: list[str] | None = None) -> DataFrame:
+    """Segments with at least two categories, ranked per owner, with their text form; ``k`` keeps the strongest as a view."""
     cats = categories or P.BEHAVIOR_CATEGORIES
     counts = F.concat_ws(", ", *[F.concat(F.lit(c + "="), F.coalesce(F.col("cats")[c]["n"], F.lit(0)).cast("string")) for c in cats])
     w = Window.partitionBy(owner).orderBy(F.desc("score"), source, "range_start")
+    ranked = correlated(segs).withColumn("score", F.col("n_categories") * 100 + F.col("total")).withColumn("rank", F.row_number().over(w))
     # row_number <= k becomes a group limit below the shuffle: at most k rows per owner and task travel
+    ranked = ranked if k is None else ranked.where(F.col("rank") <= k)
     return (
-        segs.where("n_categories >= 2").withColumn("score", F.col("n_categories") * 100 + F.col("total"))
-        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        .withColumn("chain", F.concat(F.col(source), _range(F.col("range_start"), F.col("range_end")), F.lit(" | "), counts))
+        ranked.withColumn("chain", F.concat(F.col(source), _range(F.col("range_start"), F.col("range_end")), F.lit(" | "), counts))
         .select(owner, *([source] if source != owner else []), "range_start", "range_end", "n_categories", "total", "score", "rank", "chain", "cats")
     )
 
 
-def timelines(segs: DataFrame, k: int = 12, owner: str = "skill_id", source: str = "path") -> DataFrame:
-    """Category steps by first position then name; first ``k`` texts per owner in text order."""
+def timelines(segs: DataFrame, k: int | None = None, owner: str = "skill_id", source: str = "path") -> DataFrame:
+    """Category steps by first position then name; texts ranked per owner in text order, all or the first ``k``."""
     steps = F.array_sort(F.transform(F.map_entries("cats"), lambda e: F.struct(e["value"]["first"].alias("first"), e["key"].alias("name"), e["value"]["n"].alias("n"))))
     text = F.array_join(F.transform(steps, lambda s: F.concat(s["name"], F.lit("(L"), s["first"].cast("string"), F.lit(",x"), s["n"].cast("string"), F.lit(")"))), " -> ")
     df = segs.where("n_categories >= 2").select(
         owner, F.concat(F.col(source), _range(F.col("range_start"), F.col("range_end")), F.lit(" | "), text).alias("timeline"))
     w = Window.partitionBy(owner).orderBy("timeline")
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 # Alert -> ordered category pairs.
@@ -260,7 +265,7 @@ def behavior_counts(points: DataFrame, segs: DataFrame, warnings: DataFrame | No
     summed: no join, one small shuffle.
     """
     pts = points.groupBy("skill_id").agg(*[F.count_if(F.col("category") == c).alias(c) for c in P.BEHAVIOR_CATEGORIES])
-    ch = chains(segs).groupBy("skill_id").agg(F.count("*").alias("chains"))
+    ch = correlated(segs).groupBy("skill_id").agg(F.count("*").alias("chains"))
     al = sequence_alerts(segs).groupBy("skill_id").agg(F.count("*").alias("alerts"), F.count_if(F.col("alert").isin(VETO_ALERTS)).alias("veto_alerts"))
     parts = [pts, ch, al]
     if warnings is not None:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import jrx
+
 LAYER_BY_SEVERITY = {"high": "P0", "medium": "P1", "low": "P2"}
 SEVERITY_BY_LAYER = {v: k for k, v in LAYER_BY_SEVERITY.items()}
 ACTION_BY_SEVERITY = {"high": "block", "medium": "review", "low": "remediate"}
@@ -122,9 +124,14 @@ def rules_df(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
 
 
 def parse_custom_rules(raw: str) -> list[Rule]:
-    """JSON list of user rules -> validated rules; invalid entries are dropped."""
-    if not raw or not raw.strip() or len(raw.encode()) > MAX_PAYLOAD_BYTES:
+    """JSON list of user rules -> validated rules; entries without name, severity or pattern are dropped.
+
+    More or longer rules, patterns or names than the limits allow are an error, never dropped.
+    """
+    if not raw or not raw.strip():
         return []
+    if len(raw.encode()) > MAX_PAYLOAD_BYTES:
+        raise ValueError(f"custom rules have more than {MAX_PAYLOAD_BYTES} bytes")
     try:
         items = json.loads(raw)
     except ValueError:
@@ -132,14 +139,20 @@ def parse_custom_rules(raw: str) -> list[Rule]:
     if not isinstance(items, list):
         return []
     out: list[Rule] = []
-    for item in items[:MAX_CUSTOM_RULES]:
+    if len(items) > MAX_CUSTOM_RULES:
+        raise ValueError(f"more than {MAX_CUSTOM_RULES} custom rules")
+    for item in items:
         name = str(item.get("name", "")).strip()
         sev = _SPELLINGS.get(str(item.get("severity", "")).strip().lower(), "")
         sev = sev or SEVERITY_BY_LAYER.get(str(item.get("layer", "")).strip().upper(), "")
         pats = [p.strip() for p in item.get("patterns") or []]
-        pats = [p for p in pats if p and len(p.encode()) <= MAX_PATTERN_BYTES][:MAX_CUSTOM_PATTERNS]
-        if not name or not sev or len(name.encode()) > MAX_NAME_BYTES or not pats:
+        pats = [p for p in pats if p]
+        if not name or not sev or not pats:
             continue
+        if len(pats) > MAX_CUSTOM_PATTERNS or any(len(p.encode()) > MAX_PATTERN_BYTES for p in pats) or len(name.encode()) > MAX_NAME_BYTES:
+            raise ValueError(f"custom rule {name[:40]!r} exceeds the limits on names and patterns")
+        for p in pats:
+            jrx(p)  # an error here, not in the middle of a scan
         reason = (str(item.get("reason", "")).strip() or "命中自定义规则").encode()[:MAX_REASON_BYTES].decode(errors="ignore")
         rid = str(item.get("id", "")).strip() or f"CUSTOM-{len(out) + 1}"
         out.append(Rule(rid, name, sev, patterns=tuple(pats), action=ACTION_BY_SEVERITY[sev], reason=reason).normalized())

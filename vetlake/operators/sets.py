@@ -202,10 +202,10 @@ def dependency_risk(deps: DataFrame) -> DataFrame:
 # --- declared intent ---------------------------------------------------------------------------
 
 def declaration_parts(text: Column) -> Column:
-    """Sentences of a declaration: split, markdown controls stripped, at most 500 characters."""
+    """Sentences of a declaration: split, markdown controls stripped."""
     parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "[\n。；;]+", -1)
     strip = lambda p: ws_trim(F.regexp_replace(ws_trim(p), r"^[#>*\- `\t]+", ""))
-    return F.transform(F.filter(F.transform(parts, strip), lambda p: p != ""), lambda p: F.substring(p, 1, 500))
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
 def _mentions(keys: list[str]):
@@ -302,16 +302,16 @@ def skill_profile(files: DataFrame, deps: DataFrame) -> DataFrame:
     return prof.join(n_deps, "skill_id", "left").withColumn("dependency_count", F.coalesce("dependency_count", F.lit(0)))
 
 
-def skill_description(files: DataFrame, top: int = 3, max_chars: int = 4000) -> DataFrame:
-    """Up to three markdown declarations by priority then path, each cut to 4,000 characters."""
+def skill_description(files: DataFrame, top: int | None = None) -> DataFrame:
+    """The whole markdown declarations of a skill by priority then path; ``top`` keeps the first ones as a view."""
     base = F.lower(base_name(F.col("path")))
     prio = F.when(base == "skill.md", 0).when(base == "readme.md", 1).when(base.isin("description.md", "manifest.md"), 2).otherwise(3)
-    body = F.substring(ws_trim(F.col("content")), 1, max_chars)
+    body = ws_trim(F.col("content"))
     md = files.where(file_ext(F.col("path")) == ".md").select("skill_id", prio.alias("prio"), "path", body.alias("body")).where("body != ''")
-    # row_number <= k is planned as a group limit before the shuffle: each task sends at most k rows per skill
     w = Window.partitionBy("skill_id").orderBy("prio", "path")
+    ranked = md.withColumn("rn", F.row_number().over(w))
+    ranked = ranked if top is None else ranked.where(F.col("rn") <= top)
     return (
-        md.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
-        .groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct("rn", "path", "body"))).alias("docs"))
+        ranked.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct("rn", "path", "body"))).alias("docs"))
         .select("skill_id", F.array_join(F.transform("docs", lambda d: F.concat(base_name(d["path"]), F.lit(":\n"), d["body"])), "\n\n").alias("description"))
     )

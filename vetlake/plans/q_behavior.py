@@ -13,7 +13,7 @@ from . import sqltext as S
 from .q_rules import _SIGL
 from .registry import query
 
-_EVID = "CASE WHEN len({t}) > 240 THEN substr({t}, 1, 240) || '...' ELSE {t} END"
+_EVID = "{t}"
 _LINE_EV = _EVID.format(t=S.trim("line"))
 _CATS = {c: (f"({S.rx('line', P.CREDENTIAL_PATH_RX)} OR ({S.rx('line', P.CREDENTIAL_ACCESS_RX)} AND {S.rx('line', P.CREDENTIAL_SECRET_RX)}))" if c == "credential" else S.rx("line", P.BEHAVIOR_RX[c])) for c in P.BEHAVIOR_CATEGORIES}
 _TGT = f"unnest(list_concat(regexp_extract_all(line, {S.s(P.URL_RX)}), regexp_extract_all(line, {S.s(P.IPV4_RX)})))"
@@ -85,14 +85,14 @@ _CHAIN = f"""tx AS (SELECT skill_id, path, seg, {_COUNTS} AS counts FROM sc GROU
     FROM sg JOIN tx ON sg.skill_id = tx.skill_id AND sg.path = tx.path AND sg.seg = tx.seg WHERE n_categories >= 2)"""
 
 
-@query("behavior_chains", "skill_id:str rank:int score:int chain:str", f"WITH {S.EVENT_POINTS}, {_CHAIN} SELECT * FROM ch WHERE rank <= 12")
+@query("behavior_chains", "skill_id:str rank:int score:int chain:str", f"WITH {S.EVENT_POINTS}, {_CHAIN} SELECT * FROM ch")
 def behavior_chains(spark, d):
     return B.chains(event_segments(spark, d))
 
 
 @query("behavior_timelines", "skill_id:str rank:int timeline:str", f"""WITH {S.EVENT_POINTS}, st AS (SELECT skill_id, path, seg, string_agg(category || '(L' || first || ',x' || n || ')', ' -> ' ORDER BY first, category) AS t FROM sc GROUP BY 1, 2, 3),
   tl AS (SELECT sg.skill_id, sg.path || {_RANGE} || ' | ' || t AS timeline FROM sg JOIN st ON sg.skill_id = st.skill_id AND sg.path = st.path AND sg.seg = st.seg WHERE n_categories >= 2)
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY timeline) AS rank FROM tl) WHERE rank <= 12""")
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY timeline) AS rank FROM tl)""")
 def behavior_timelines(spark, d):
     return B.timelines(event_segments(spark, d))
 
@@ -107,7 +107,7 @@ def sequence_alerts(spark, d):
     return B.sequence_alerts(event_segments(spark, d))
 
 
-_RISK_IN = f"""rc AS (SELECT p.skill_id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in P.BEHAVIOR_CATEGORIES)}, (SELECT count(*) FROM ch WHERE ch.skill_id = p.skill_id AND rank <= 12) AS chains,
+_RISK_IN = f"""rc AS (SELECT p.skill_id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in P.BEHAVIOR_CATEGORIES)}, (SELECT count(*) FROM ch WHERE ch.skill_id = p.skill_id) AS chains,
   (SELECT count(*) FROM al WHERE al.skill_id = p.skill_id) AS alerts, (SELECT count(*) FROM al WHERE al.skill_id = p.skill_id AND alert IN ({', '.join(S.s(a) for a in B.VETO_ALERTS)})) AS veto_alerts, 0 AS warnings FROM pts p GROUP BY 1)"""
 _DED = " + ".join(f"least({c} * {per}, {cap})" for c, (per, cap) in B.DEDUCTIONS.items())
 _VETO = """((priv_esc > 0 AND (execute > 0 OR chains > 0)) OR (credential > 0 AND outbound > 0) OR (defense_evasion > 0 AND execute > 0) OR (lateral_move > 0 AND (c2_beacon > 0 OR execute > 0))
@@ -131,7 +131,7 @@ def file_segments(spark, d):
     return B.segments(B.behavior_points(C.seeded_files(spark, d)))
 
 
-@query("file_chains", "skill_id:str rank:int score:int chain:str", f"WITH {S.SEED_LINES}, {BEHAVIOR_CTE}, {FILE_SEG}, {_CHAIN} SELECT * FROM ch WHERE rank <= 12")
+@query("file_chains", "skill_id:str rank:int score:int chain:str", f"WITH {S.SEED_LINES}, {BEHAVIOR_CTE}, {FILE_SEG}, {_CHAIN} SELECT * FROM ch")
 def file_chains(spark, d):
     return B.chains(file_segments(spark, d))
 

@@ -110,7 +110,7 @@ def _values(pairs) -> str:
 
 
 _SUP = f"""sp AS (SELECT skill_id, category, bool_or(c) AS has_chain, bool_or(a) AS has_alert, bool_or(h) AS high_signal, bool_or(t) AS threat_alert FROM (
-  SELECT DISTINCT sc.skill_id, m.fc AS category, TRUE AS c, FALSE AS a, FALSE AS h, FALSE AS t FROM sc JOIN ch ON sc.skill_id = ch.skill_id AND sc.path = ch.path AND sc.seg = ch.seg AND ch.rank <= 12 JOIN (VALUES {_values((b, c) for c, bs in FD.SUPPORT_CATEGORIES.items() for b in bs)}) m(b, fc) ON sc.category = m.b
+  SELECT DISTINCT sc.skill_id, m.fc AS category, TRUE AS c, FALSE AS a, FALSE AS h, FALSE AS t FROM sc JOIN ch ON sc.skill_id = ch.skill_id AND sc.path = ch.path AND sc.seg = ch.seg JOIN (VALUES {_values((b, c) for c, bs in FD.SUPPORT_CATEGORIES.items() for b in bs)}) m(b, fc) ON sc.category = m.b
   UNION ALL SELECT skill_id, m.fc, FALSE, TRUE, alert IN ({', '.join(S.s(x) for x in FD.HIGH_SIGNAL_ALERTS)}), alert IN ({', '.join(S.s(x) for x in FD.THREAT_ALERTS)}) FROM al JOIN (VALUES {_values((b, c) for c, bs in FD.SUPPORT_ALERTS.items() for b in bs)}) m(b, fc) ON al.alert = m.b) GROUP BY 1, 2)"""
 _FLAGS = f"""{_DIFF}, {_SIG}, sf AS (SELECT sk.skill_id, coalesce(network_targets, FALSE) AS has_ti, (SELECT count(*) FROM df WHERE df.skill_id = sk.skill_id) AS n_diffs, sk.skill_id IN (SELECT skill_id FROM sgn) AS evasion FROM sk LEFT JOIN ob ON sk.skill_id = ob.skill_id)"""
 _BASE = f"{S.SEED_LINES}, {S.SEED_SKILLS}, {FIND_CTE}, {GROUP_CTE}, {BEHAVIOR_CTE}, {FILE_SEG}, {_CHAIN}, {_ALERT}, {_SUP}, {_SENT}, {_OBS[_OBS.index('ob AS'):]}, {_FLAGS}"
@@ -260,7 +260,7 @@ def deduped_evidence(spark, d):
 
 
 
-_BC = f"""bc AS (SELECT p.skill_id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in P.BEHAVIOR_CATEGORIES)}, (SELECT count(*) FROM ch WHERE ch.skill_id = p.skill_id AND rank <= 12) AS chains, (SELECT count(*) FROM al WHERE al.skill_id = p.skill_id) AS alerts,
+_BC = f"""bc AS (SELECT p.skill_id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in P.BEHAVIOR_CATEGORIES)}, (SELECT count(*) FROM ch WHERE ch.skill_id = p.skill_id) AS chains, (SELECT count(*) FROM al WHERE al.skill_id = p.skill_id) AS alerts,
   (SELECT count(*) FROM al WHERE al.skill_id = p.skill_id AND alert IN ({', '.join(S.s(a) for a in B.VETO_ALERTS)})) AS veto_alerts, 0 AS warnings FROM bp p GROUP BY 1)"""
 _MOD = "(alerts > 0 OR chains > 0 OR credential > 0 OR priv_esc > 0 OR c2_beacon > 0 OR collection > 0)"
 

@@ -394,18 +394,15 @@ def cache_keys(spark, d):
 
 # --- data flow ---------------------------------------------------------------------------------------------------------------
 
-_REACH_HOPS = 4
-
-
-@query("reachability", "skill_id:str name:str hop:int", """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || (l_orderkey // 100) AS skill_id, 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity >= 40 UNION SELECT DISTINCT 'c' || (l_orderkey // 100), 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity <= 10),
-  r AS (SELECT DISTINCT 'c' || (l_orderkey // 100) AS skill_id, 'p' || l_partkey AS name, 0 AS hop FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 UNION SELECT e.skill_id, e.dst, r.hop + 1 FROM r JOIN e ON r.skill_id = e.skill_id AND r.name = e.src WHERE r.hop < 4)
+@query("reachability", "skill_id:str name:str hop:int", """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || (l_orderkey // 100) AS skill_id, 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity >= 25 UNION SELECT DISTINCT 'c' || (l_orderkey // 100), 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity < 25),
+  r AS (SELECT DISTINCT 'c' || (l_orderkey // 100) AS skill_id, 'p' || l_partkey AS name, 0 AS hop FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 UNION SELECT e.skill_id, e.dst, r.hop + 1 FROM r JOIN e ON r.skill_id = e.skill_id AND r.name = e.src WHERE r.hop < 60)
   SELECT skill_id, name, min(hop) AS hop FROM r GROUP BY 1, 2""")
 def reachability(spark, d):
-    """Bounded reachability over part/supplier edges of order groups."""
+    """Reachability over part/supplier edges of order groups, to the end."""
     li = C.table(spark, d, "lineitem").select(F.concat(F.lit("c"), F.floor(F.col("l_orderkey") / 100).cast("string")).alias("skill_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"), "l_quantity", "l_discount")
-    edges = li.where("l_quantity >= 40").select("skill_id", F.col("p").alias("src"), F.col("s").alias("dst")).unionByName(li.where("l_quantity <= 10").select("skill_id", F.col("s").alias("src"), F.col("p").alias("dst")))
+    edges = li.where("l_quantity >= 25").select("skill_id", F.col("p").alias("src"), F.col("s").alias("dst")).unionByName(li.where("l_quantity < 25").select("skill_id", F.col("s").alias("src"), F.col("p").alias("dst")))
     seeds = li.where("l_quantity >= 50 and l_discount >= 0.1").select("skill_id", F.col("p").alias("name"))
-    return flow.propagate(edges, seeds, _REACH_HOPS, ("skill_id",))
+    return flow.propagate(edges, seeds, keys=("skill_id",))
 
 
 @query("assignment_edges", "skill_id:str path:str dst:str src:str kind:str")

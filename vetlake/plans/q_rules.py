@@ -202,7 +202,7 @@ def version_locking_deps(spark, d):
     return scan.version_locking_deps(artifacts.extract_dependencies(C.seeded_files(spark, d)))
 
 
-_SENT = rf"""st AS (SELECT skill_id, substr(x, 1, 500) AS x FROM (SELECT skill_id, {S.trim("regexp_replace(" + S.trim("p") + ", '^[#>*\\- `\\t]+', '')")} AS x FROM (SELECT skill_id, unnest(regexp_split_to_array(replace(description, chr(13) || chr(10), chr(10)), '[\n。；;]+')) AS p FROM sk)) WHERE x <> ''),
+_SENT = rf"""st AS (SELECT skill_id, x FROM (SELECT skill_id, {S.trim("regexp_replace(" + S.trim("p") + ", '^[#>*\\- `\\t]+', '')")} AS x FROM (SELECT skill_id, unnest(regexp_split_to_array(replace(description, chr(13) || chr(10), chr(10)), '[\n。；;]+')) AS p FROM sk)) WHERE x <> ''),
   itx AS (SELECT skill_id, lower(x) AS x, {S.any_in('lower(x)', P.INTENT_INJECTION)} AS bad, TRUE AS sent FROM st UNION ALL SELECT skill_id, lower(p), FALSE, FALSE FROM (SELECT skill_id, unnest(permissions) AS p FROM sk)),
   di AS (SELECT sk.skill_id, sk.description, sk.permissions, coalesce(bool_or(bad), FALSE) AS unsafe, {', '.join(f'coalesce(bool_or(NOT bad AND {S.any_in("x", k)}), FALSE) AS {n}' for n, k in P.INTENT_SIGNALS.items())} FROM sk LEFT JOIN itx ON sk.skill_id = itx.skill_id GROUP BY ALL)"""
 
@@ -259,7 +259,7 @@ def skill_profile(spark, d):
     return sets.skill_profile(files, artifacts.extract_dependencies(files))
 
 
-@query("skill_description", "skill_id:str description:str", f"""WITH {S.SEED_LINES}, md AS (SELECT skill_id, path, substr({S.trim('content')}, 1, 4000) AS body, CASE lower({S.base('path')}) WHEN 'skill.md' THEN 0 WHEN 'readme.md' THEN 1 WHEN 'description.md' THEN 2 WHEN 'manifest.md' THEN 2 ELSE 3 END AS prio FROM f WHERE {S.ext('path')} = '.md'),
-  r AS (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY prio, path) AS rn FROM md WHERE body <> '') SELECT skill_id, string_agg({S.base('path')} || ':' || chr(10) || body, chr(10) || chr(10) ORDER BY rn) AS description FROM r WHERE rn <= 3 GROUP BY 1""")
+@query("skill_description", "skill_id:str description:str", f"""WITH {S.SEED_LINES}, md AS (SELECT skill_id, path, {S.trim('content')} AS body, CASE lower({S.base('path')}) WHEN 'skill.md' THEN 0 WHEN 'readme.md' THEN 1 WHEN 'description.md' THEN 2 WHEN 'manifest.md' THEN 2 ELSE 3 END AS prio FROM f WHERE {S.ext('path')} = '.md'),
+  r AS (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY prio, path) AS rn FROM md WHERE body <> '') SELECT skill_id, string_agg({S.base('path')} || ':' || chr(10) || body, chr(10) || chr(10) ORDER BY rn) AS description FROM r GROUP BY 1""")
 def skill_description(spark, d):
     return sets.skill_description(C.seeded_files(spark, d))

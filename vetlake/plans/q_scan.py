@@ -58,9 +58,9 @@ def scan_license_notices(spark, d):
 
 
 @query("split_id_lists", "path:str n_ids:int ids:str", rf"""SELECT 'scripts/doc_' || doc_id AS path, len(ids) AS n_ids, array_to_string(ids, '|') AS ids FROM (
-  SELECT doc_id, (list_distinct_ordered)[1:512] AS ids FROM (SELECT doc_id, list(x ORDER BY p) AS list_distinct_ordered FROM (
+  SELECT doc_id, list_distinct_ordered AS ids FROM (SELECT doc_id, list(x ORDER BY p) AS list_distinct_ordered FROM (
     SELECT doc_id, x, min(p) AS p FROM (SELECT doc_id, {S.trim('part')} AS x, p FROM (SELECT doc_id, unnest(string_split(text, ',')) AS part, generate_subscripts(string_split(text, ','), 1) AS p FROM documents))
-    WHERE x <> '' AND strlen(x) <= 64 GROUP BY doc_id, x) GROUP BY doc_id))""")
+    WHERE x <> '' GROUP BY doc_id, x) GROUP BY doc_id))""")
 def split_id_lists(spark, d):
     ids = FT.split_ids(F.col("content"))
     return C.document_files(spark, d).select("path", ids.alias("_i")).select("path", F.size("_i").alias("n_ids"), F.array_join("_i", "|").alias("ids")).where("n_ids > 0")

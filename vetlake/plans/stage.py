@@ -79,7 +79,7 @@ class Stage:
 
     @cached_property
     def confident(self) -> DataFrame:
-        support = FD.behavior_support(B.chains(self.segments), B.sequence_alerts(self.segments))
+        support = FD.behavior_support(B.correlated(self.segments), B.sequence_alerts(self.segments))
         return FD.finding_confidence(FD.with_support(self.groups, support, self.skill_flags))
 
     @cached_property

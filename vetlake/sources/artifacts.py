@@ -26,10 +26,14 @@ def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """Walk ``root/<skill_id>/...`` and keep the recognised source files.
 
     The extension test runs on the path before content is decoded, so dropped files
-    never become strings.
+    never become strings.  The skill is the first folder below ``root``, wherever that name occurs
+    again further down.  Files over 2 GB are an error of the reader, never left out.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), "^/+", "")
+    # the reader gives qualified paths: the root qualified the same way is their prefix
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
+    rel = F.when(F.startswith("path", F.lit(top)), F.substring("path", len(top) + 1, 1 << 30)).otherwise(F.substring_index("path", root.rstrip("/") + "/", -1))
     df = raw.select(
         F.split_part(rel, F.lit("/"), F.lit(1)).alias("skill_id"),
         F.regexp_replace(rel, "^[^/]+/", "").alias("path"),
