@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_trim
-from ..functions.vectors import norm
+from ..functions.vectors import cosine, dot, norm
 from .scan import analysis_text
 
 
@@ -22,6 +22,41 @@ def centroids(df: DataFrame, key: str = "label", col: str = "embedding") -> Data
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+def bucket_planes(tables: int, bits: int, dim: int) -> list[list[list[float]]]:
+    """Fixed directions, ``bits`` for each table: small integers from a multiplicative rule."""
+    step = lambda n: float((n * 2654435761 % 4294967296) // 65536 % 201 - 100)
+    return [[[step(1 + i + dim * (b + bits * t)) for i in range(dim)] for b in range(bits)] for t in range(tables)]
+
+
+def _buckets(v: Column, planes: list[list[list[float]]]) -> Column:
+    """Per table the side of each direction a vector lies on, as bits of a number."""
+    side = lambda p: F.when(dot(v, F.lit(p)) >= 0, 1).otherwise(0)
+    codes = []
+    for bits in planes:
+        code = F.lit(0)
+        for b, p in enumerate(bits):
+            code = code + side(p) * (1 << b)
+        codes.append(code)
+    return F.array(*codes)
+
+
+def similar_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 8, bits: int = 4, dim: int = 64) -> DataFrame:
+    """The ``k`` most similar others of each query vector among those that share a bucket with it.
+
+    ``vectors`` and ``queries``: vec_id, embedding.  A vector has one bucket in each table; queries meet
+    vectors by bucket, pairs met in several tables count once, and similarity is the exact cosine.
+    Buckets have no size limit: a full one is a skewed join key, which Spark splits.
+    """
+    planes = bucket_planes(tables, bits, dim)
+    keyed = lambda df, names: df.select(F.col("vec_id").alias(names[0]), F.col("embedding").alias(names[1]), F.posexplode(_buckets(F.col("embedding"), planes)).alias("t", "bucket"))
+    met = keyed(queries, ("query_id", "q")).join(keyed(vectors, ("vec_id", "v")), ["t", "bucket"]).where("query_id <> vec_id")
+    # a pair is scored once: in the first table that brings it together
+    pairs = met.groupBy("query_id", "vec_id").agg(F.min_by(F.struct("q", "v"), "t").alias("p"))
+    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("p.q"), F.col("p.v")), 9).alias("cosine"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def code_summary(files: DataFrame) -> DataFrame:
     """Embedding input text per file: function names, imports, comments over 10 bytes, literals of 6..49 bytes."""
     text = analysis_text(files)

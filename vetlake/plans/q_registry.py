@@ -327,6 +327,20 @@ def alignment_bands(spark, d):
     return scoring.semantic_alignment(p, weight=10.0)
 
 
+_PLANES = similarity.bucket_planes(8, 4, 64)
+_BUCKETS = "[" + ", ".join(" + ".join(f"(list_inner_product(v, {[*map(float, p)]}::DOUBLE[]) >= 0)::INT * {1 << b}" for b, p in enumerate(t)) for t in _PLANES) + "]"
+
+
+@query("similar_vectors", "query_id:int rank:int vec_id:int cosine:float", f"""WITH em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT vec_id, v, {_BUCKETS} AS bs FROM em), b AS (SELECT vec_id, v, unnest(bs) AS code, generate_subscripts(bs, 1) AS t FROM k),
+  m AS (SELECT DISTINCT q.vec_id AS query_id, b.vec_id FROM b q JOIN b ON q.t = b.t AND q.code = b.code WHERE q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id),
+  s AS (SELECT query_id, m.vec_id, round(list_cosine_similarity(x.v, y.v), 9) AS cosine FROM m JOIN em x ON x.vec_id = query_id JOIN em y ON y.vec_id = m.vec_id)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank, vec_id, cosine FROM s QUALIFY rank <= 5""")
+def similar_vectors(spark, d):
+    """The five most similar vectors of every vector whose id is divisible by 20, searched among all."""
+    e = C.table(spark, d, "embeddings").select("vec_id", "embedding")
+    return similarity.similar_vectors(e, e.where("vec_id % 20 = 0"))
+
+
 @query("topk_similar", "label:int rank:int vec_id:int", f"WITH {_EMB}, s AS (SELECT em.label, vec_id, row_number() OVER (PARTITION BY em.label ORDER BY round({_COS}, 9) DESC, vec_id) AS rank FROM em JOIN ct ON em.label = ct.label) SELECT * FROM s WHERE rank <= 5")
 def topk_similar(spark, d):
     """Five vectors nearest to each label's centroid (a top-k report, exact)."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import decode as DE
 from ..functions import paths as FP
 from ..functions import text as FT
+from ..operators.detectors import Detectors
 from ..operators import flow, scan
 from ..operators import packs as P
 from ..operators import rules as R
@@ -108,6 +109,25 @@ def scan_all_packs(spark, d):
     return per_file.groupBy("pack", "severity").agg(F.sum("n").alias("n_hits"), F.count("*").alias("n_files"))
 
 
+_OFF = sorted(P.LINE_PACKS)[:2]
+
+
+def _reminders(files):
+    """A detector of one's own: lines with a to-do mark."""
+    lines = scan.explode_lines(files).where(F.lower("line").contains("manual approval"))
+    return lines.select("skill_id", "path", "line_no", F.lit("OWN-1").alias("rule_id"), F.lit("low").alias("severity"), F.lit("manual approval").alias("label"))
+
+
+@query("registered_packs", "pack:str rule_id:str n_hits:int", f"WITH {S.SEED_LINES}, h AS (" + " UNION ALL ".join(
+    f"SELECT {S.s(p.key)} AS pack, rule_id FROM ({_pack_sql(p)})" for p in P.LINE_PACKS.values() if p.key not in _OFF)
+    + " UNION ALL SELECT 'reminders', 'OWN-1' FROM l WHERE contains(lower(line), 'manual approval')) SELECT pack, rule_id, count(*) AS n_hits FROM h GROUP BY 1, 2")
+def registered_packs(spark, d):
+    """Built-in packs but two, and a registered one."""
+    known = Detectors()
+    known.register_rule_pack("reminders", _reminders)
+    return known.run(C.seeded_files(spark, d), disabled=_OFF).groupBy("pack", "rule_id").agg(F.count("*").alias("n_hits"))
+
+
 @query("scan_secrets", HIT, f"WITH {S.DOC_LINES} {_pack_sql(P.HARDCODED_CREDENTIALS, 'doc_l')}")
 def scan_secrets(spark, d):
     """Hard-coded credentials in the documents as they are."""
