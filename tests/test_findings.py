@@ -75,6 +75,15 @@ def test_group_findings_order_and_license_merge(spark):
     assert got == [("SF-001", "V7-001", 2), ("SF-002", "V7-020", 1)]
 
 
+def test_verdict_looks_at_all_evidence(spark):
+    rows = [("s", "e", "V7-021", "high", "q", "d", "docs/a.md", i, i, "x") for i in range(6)] + [("s", "e", "V7-021", "high", "q", "d", "src/m.py", i, i, "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "skill_id string, source string, rule_id string, severity string, title string, description string, path string, line_start int, line_end int, code_snippet string")
+    g = FD.group_findings(df).first()
+    assert g["n"] == 506 and len(g["evidence"]) == 6 and not g["seen"]["docs"] and g["seen"]["tokens"] == ["docs/"]
+    only = FD.group_findings(df.where("path = 'docs/a.md'")).first()
+    assert only["seen"]["docs"]
+
+
 def profile(sid, net=False, wr=False, ex=False, sens=False, ev=()):
     return (sid, net, False, wr, ex, sens, False, False, False, False, False, [], list(ev))
 

@@ -42,7 +42,17 @@ def test_ascii_boundary(spark):
 
 def test_split_ids(spark):
     got = one(spark, T.split_ids(F.lit(" a, b,,a, " + "x" * 65 + ",c ")))
-    assert got == ["a", "b", "c"]
+    assert got == ["a", "b", "x" * 65, "c"]
+
+
+def test_user_pattern_syntax(spark):
+    import pytest
+    from vetlake.functions.literals import guarded_match
+
+    for pattern, text in (("[[:alpha:]]bc", "xbc"), ("(?P<n_1>x)bc", "xbc"), ("[[:^digit:]]9", "a9"), ("(?i)über", "ÜBER")):
+        assert one(spark, T.matches(F.lit(text), pattern)) and one(spark, guarded_match(F.lit(text), [pattern])), pattern
+    with pytest.raises(ValueError):
+        T.jrx("[[:nothing:]]")
 
 
 def test_decode_layers(spark):

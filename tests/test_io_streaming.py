@@ -77,8 +77,9 @@ def test_code_summary(make_files):
 def test_propagate_stops_at_hops(spark):
     e = spark.createDataFrame([("s", "p", f"v{i}", f"v{i + 1}", "alias") for i in range(8)], "skill_id string, path string, src string, dst string, kind string")
     seeds = spark.createDataFrame([("s", "p", "v0")], "skill_id string, path string, name string")
-    got = {r["name"]: r["hop"] for r in flow.propagate(e, seeds).collect()}
+    got = {r["name"]: r["hop"] for r in flow.propagate(e, seeds, hops=4).collect()}
     assert got == {f"v{i}": i for i in range(5)}
+    assert {r["name"]: r["hop"] for r in flow.propagate(e, seeds).collect()} == {f"v{i}": i for i in range(9)}
 
 
 def test_stream_scan_equals_batch(spark, tmp_path):
