@@ -61,15 +61,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TEXT_PARTITIONS = "vetlake.text.partitions"
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table as it is stored; dealt to ``vetlake.text.partitions`` tasks only where the session sets that.
+
+    Files of many row groups split by themselves and need no shuffle.  The setting is for the opposite
+    case: a small table written as one row group, which is one task whatever the session's split size.
+    """
+    df, n = table(spark, sf_dir, name), spark.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> files: source as skill, ``scripts/doc_<id>`` as path."""
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents")
     return artifacts_from_table(d, F.col("source"), F.concat(F.lit("scripts/doc_"), F.col("doc_id").cast("string")), F.col("text"))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages -> files: host as skill; entities that hide quotes and angle brackets are restored."""
-    p = table(spark, sf_dir, "pages")
+    p = text_table(spark, sf_dir, "pages")
     html = F.col("html")
     for ent, ch in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         html = F.replace(html, F.lit(ent), F.lit(ch))
@@ -97,7 +110,7 @@ def seeded_files(spark: SparkSession, sf_dir: str, manifests: bool = True) -> Da
     Sample lines are planted after the document's own lines (a declaration before the first one);
     every line of the document stays.
     """
-    d = table(spark, sf_dir, "documents").withColumn("g", F.floor(F.col("doc_id") / 5).cast("long")).withColumn("k", F.col("doc_id") % 5)
+    d = text_table(spark, sf_dir, "documents").withColumn("g", F.floor(F.col("doc_id") / 5).cast("long")).withColumn("k", F.col("doc_id") % 5)
     doc, g, k = F.col("doc_id"), F.col("g"), F.col("k")
     lines = lambda l, i: (
         F.when((k == 0) & (i == 0), F.array(_pick(DECLARATIONS, g % len(DECLARATIONS)), l))
@@ -152,22 +165,24 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         sec.alias("line_no"), F.element_at(cat, F.col("event_type")).alias("category"), F.col("event_type").alias("evidence"))
 
 
-# Brand -> behaviour list of a supplier.
-BRAND_BEHAVIOR = {
-    "Brand#1": "network_targets", "Brand#2": "outbound", "Brand#3": "c2_beacon", "Brand#4": "file_targets", "Brand#5": "credential", "Brand#6": "drop", "Brand#7": "persistence",
-    "Brand#8": "exec_targets", "Brand#9": "execute", "Brand#10": "download", "Brand#11": "collection", "Brand#12": "priv_esc", "Brand#13": "behavior_chains", "Brand#14": "sequence_alerts",
-}
+# Behaviour lists that suppliers show.
+BEHAVIORS = [
+    "network_targets", "outbound", "c2_beacon", "file_targets", "credential", "drop", "persistence", "exec_targets", "execute", "download", "collection", "priv_esc", "behavior_chains", "sequence_alerts",
+]
 BEHAVIOR_PREFIX = {"network_targets": "http://", "exec_targets": "exec ", "execute": "command ", "credential": "token ", "drop": "write "}
-BEHAVIOR_MIN_QTY = 49
 
 
 def supplier_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem ⋈ part -> behaviour rows per supplier: large orders of a brand show its behaviour."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= BEHAVIOR_MIN_QTY).select("l_partkey", "l_suppkey")
-    cat = F.create_map(*[F.lit(x) for kv in BRAND_BEHAVIOR.items() for x in kv])
-    part = table(spark, sf_dir, "part").where(F.col("p_brand").isin(list(BRAND_BEHAVIOR))).select("p_partkey", F.element_at(cat, F.col("p_brand")).alias("category"), "p_name")
+    """lineitem ⋈ part -> behaviour rows per supplier: every order line shows one.
+
+    Which one follows from the part's brand and the supplier; a supplier shows one to six of them.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 9).cast("long").alias("brand"), "p_name")
     pre = F.create_map(*[F.lit(x) for kv in BEHAVIOR_PREFIX.items() for x in kv])
-    return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    shown = _pick(BEHAVIORS, (F.col("l_suppkey") * 5 + F.col("brand") % (F.col("l_suppkey") % 6 + 1)) % len(BEHAVIORS))
+    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name", shown.alias("category"))
+    return rows.select(
         F.concat(F.lit("supp_"), F.col("l_suppkey").cast("string")).alias("skill_id"), "category",
         F.concat(F.coalesce(F.element_at(pre, F.col("category")), F.concat("category", F.lit(" "))), "p_name").alias("item"))
 

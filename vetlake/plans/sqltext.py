@@ -113,10 +113,10 @@ p2 AS (SELECT *, sum(CASE WHEN prev IS NULL OR line_no - prev > {C.EVENT_GAP} TH
 sc AS (SELECT skill_id, path, seg, category, count(*) AS n, min(line_no) AS first, max(line_no) AS last FROM p2 GROUP BY ALL),
 sg AS (SELECT skill_id, path, seg, min(first) AS range_start, max(last) AS range_end, count(*) AS n_categories, sum(n)::BIGINT AS total FROM sc GROUP BY ALL)"""
 
-_CASE_BR = "CASE p_brand " + " ".join(f"WHEN {s(a)} THEN {s(b)}" for a, b in C.BRAND_BEHAVIOR.items()) + " END"
+_SHOWN = f"({lst(C.BEHAVIORS)})[(l_suppkey * 5 + substr(p_brand, 7)::BIGINT % (l_suppkey % 6 + 1)) % {len(C.BEHAVIORS)} + 1]"
 _CASE_PRE = "CASE category " + " ".join(f"WHEN {s(a)} THEN {s(b)}" for a, b in C.BEHAVIOR_PREFIX.items()) + " ELSE category || ' ' END"
 SUPPLIER = f"""
-bh0 AS (SELECT 'supp_' || l_suppkey AS skill_id, {_CASE_BR} AS category, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= {C.BEHAVIOR_MIN_QTY}),
+bh0 AS (SELECT 'supp_' || l_suppkey AS skill_id, {_SHOWN} AS category, p_name FROM lineitem JOIN part ON l_partkey = p_partkey),
 bh AS (SELECT skill_id, category, {_CASE_PRE} || p_name AS item FROM bh0 WHERE category IS NOT NULL),
 sel AS (SELECT 'sel_' || s_nationkey AS selection_id, 'supp_' || s_suppkey AS skill_id FROM supplier)"""
 
