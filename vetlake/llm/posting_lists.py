@@ -13,7 +13,9 @@ among the nearest.
 the tasks that read the queries.  A query takes all lists within a ratio of its nearest centroid's
 distance; the ratio is the smallest that reaches ``RECALL`` on the sample.  It also takes more until they
 hold enough entries for ``TOP`` results.  Queries and entries meet by list, both dealt in blocks of
-bounded size, so that a popular list is many tasks.  Scores are exact, in double precision.
+bounded size, so that a popular list is many tasks.  The nearest ``FIRST_LISTS`` lists come first; from the
+others only entries return that score no less than the last of the best found there, so what is returned
+for a query does not grow with the number of lists.  Scores are exact, in double precision.
 
 *Bounds.*  The broadcast holds at most ``MAX_LISTS`` centroids and ``LINKS`` links each.  Task memory is a block of
 ``BLOCK_ROWS`` entries and one of ``BLOCK_ROWS`` queries.
@@ -49,6 +51,7 @@ COPIES = 8
 LINKS = 16
 RECALL = 0.97
 BLOCK_ROWS = 8192
+FIRST_LISTS = 4
 SEED = 7
 
 
@@ -202,9 +205,10 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
             x = np.array(batch.column("v").to_pylist())
             for i in range(0, len(x), 4096):
                 r, k = _lists_of(_distances(_lift(x[i : i + 4096], longest), centroids))
-                yield pa.RecordBatch.from_arrays([pa.array(k), *[batch.column(c).take(pa.array(r + i)) for c in ("k1", "k2", "v")]], names=["list", "k1", "k2", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), *[batch.column(c).take(pa.array(r + i)) for c in ("k1", "k2", "first", "v")]], names=["list", "k1", "k2", "first", "v"])
 
-    entries = stage_table(classes.select("k1", "k2", "v").mapInArrow(spread, "list long, k1 long, k2 long, v array<double>"), "ann-entries")
+    entries = classes.select("k1", "k2", F.element_at("ids", 1).alias("first"), "v").mapInArrow(spread, "list long, k1 long, k2 long, first long, v array<double>")
+    entries = stage_table(entries, "ann-entries")
     counted = {r["list"]: r["count"] for r in entries.groupBy("list").count().collect()}  # at most MAX_LISTS rows
     sizes = np.array([counted.get(k, 0) for k in range(len(centroids))], np.int64)
     sent = spark.sparkContext.broadcast((graph, sizes))
@@ -214,11 +218,12 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
         for batch in batches:
             found = [graph.near(np.append(q, 0.0), ratio, COPIES * (top + 1), sizes) for q in np.array(batch.column("q").to_pylist())]
             owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([pa.array([k for x in found for k in x], pa.int64()), *[batch.column(c).take(owner) for c in ("q1", "q2", "q")]], names=["list", "q1", "q2", "q"])
+            place = pa.array([n for x in found for n in range(len(x))], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([k for x in found for k in x], pa.int64()), place, *[batch.column(c).take(owner) for c in ("q1", "q2", "q")]], names=["list", "place", "q1", "q2", "q"])
 
     asked = rows.where(is_query)
     queries = asked.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("v").alias("q")).dropDuplicates(["q1", "q2"])
-    taken = stage_table(queries.mapInArrow(look, "list long, q1 long, q2 long, q array<double>"), "ann-taken")
+    taken = stage_table(queries.mapInArrow(look, "list long, place int, q1 long, q2 long, q array<double>"), "ann-taken")
     asks = {r["list"]: r["count"] for r in taken.groupBy("list").count().collect()}  # at most MAX_LISTS rows
 
     def blocks(many: dict[int, int]) -> Column:
@@ -232,15 +237,23 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), n - 1))
 
     e, t = blocks(counted), blocks(asks)
-    left = taken.select("list", "q1", "q2", "q", F.pmod(F.xxhash64("q2", "q1"), t).cast("int").alias("tb"), every(e).alias("eb"))
-    right = entries.select("list", "k1", "k2", "v", F.pmod(F.xxhash64("k2", "k1"), e).cast("int").alias("eb"), every(t).alias("tb"))
+    right = entries.select("list", "k1", "k2", "first", "v", F.pmod(F.xxhash64("k2", "k1"), e).cast("int").alias("eb"), every(t).alias("tb"))
     by = ["list", "tb", "eb"]
-    pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(partial(_best, top=top + 1), "q1 long, q2 long, k1 long, k2 long, score double")
-    pairs = pairs.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"))
-    near = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "first")
-    named = pairs.join(classes.select("k1", "k2", "ids", F.element_at("ids", 1).alias("first")), ["k1", "k2"])
-    # classes before the last that can matter: one may hold only the query itself
-    named = named.withColumn("n", F.row_number().over(near)).where(F.col("n") <= top + 1)
+
+    def search(some: DataFrame) -> DataFrame:
+        left = some.select("list", "q1", "q2", "q", "bound", F.pmod(F.xxhash64("q2", "q1"), t).cast("int").alias("tb"), every(e).alias("eb"))
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(partial(_best, top=top + 1), "q1 long, q2 long, k1 long, k2 long, first long, score double")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        """Each pair once, ``n`` by score and smallest id."""
+        once = pairs.groupBy("q1", "q2", "k1", "k2").agg(F.min("first").alias("first"), F.max("score").alias("score"))
+        return once.withColumn("n", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "first")))
+
+    near = stage_table(search(taken.where(F.col("place") < FIRST_LISTS).withColumn("bound", F.lit(float("-inf")))), "ann-near")
+    bounds = stage_table(ranked(near).where(F.col("n") == top + 1).select("q1", "q2", F.col("score").alias("bound")), "ann-bounds")
+    rest = taken.where(F.col("place") >= FIRST_LISTS).join(bounds, ["q1", "q2"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    # one class more than asked for: one may hold only the query itself
+    named = ranked(near.unionByName(search(rest))).where(F.col("n") <= top + 1).join(classes.select("k1", "k2", "ids"), ["k1", "k2"])
     hits = asked.select(F.col("vec_id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2")).join(named.select("q1", "q2", "ids", "score"), ["q1", "q2"])
     hits = hits.select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -248,17 +261,18 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
 
 
 def _best(queries: pd.DataFrame, entries: pd.DataFrame, top: int) -> pd.DataFrame:
-    """Of a block of entries the ``top`` best, and all that tie with the last, for each query of a block."""
-    names = ["q1", "q2", "k1", "k2", "score"]
+    """Of a block of entries the ``top`` best, and all that tie with the last, for each query of a block; none below its bound."""
+    names = ["q1", "q2", "k1", "k2", "first", "score"]
     if queries.empty or entries.empty:
-        return pd.DataFrame({c: [] for c in names}).astype({"q1": "int64", "q2": "int64", "k1": "int64", "k2": "int64", "score": "float64"})
+        return pd.DataFrame({c: [] for c in names}).astype({c: "int64" for c in names[:-1]} | {"score": "float64"})
     q, v = np.array(queries["q"].tolist()), np.array(entries["v"].tolist())
     out: list[pd.DataFrame] = []
     for at in range(0, len(q), 256):
         rough = q[at : at + 256] @ v.T
         k = min(top, len(v))
         last = np.partition(rough, len(v) - k, axis=1)[:, len(v) - k]
+        last = np.maximum(last, queries["bound"].to_numpy()[at : at + 256])
         i, j = np.nonzero(rough >= (last - 1e-9 * np.abs(last) - 1e-300)[:, None])
         exact = (q[at + i] * v[j]).sum(axis=1)  # the same sum wherever a pair meets
-        out.append(pd.DataFrame({"q1": queries["q1"].to_numpy()[at + i], "q2": queries["q2"].to_numpy()[at + i], "k1": entries["k1"].to_numpy()[j], "k2": entries["k2"].to_numpy()[j], "score": exact}))
+        out.append(pd.DataFrame({"q1": queries["q1"].to_numpy()[at + i], "q2": queries["q2"].to_numpy()[at + i], "k1": entries["k1"].to_numpy()[j], "k2": entries["k2"].to_numpy()[j], "first": entries["first"].to_numpy()[j], "score": exact}))
     return pd.concat(out, ignore_index=True)
