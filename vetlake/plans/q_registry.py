@@ -336,9 +336,9 @@ _BUCKETS = "[" + ", ".join(" + ".join(f"(list_inner_product(v, {[*map(float, p)]
   s AS (SELECT query_id, m.vec_id, round(list_cosine_similarity(x.v, y.v), 9) AS cosine FROM m JOIN em x ON x.vec_id = query_id JOIN em y ON y.vec_id = m.vec_id)
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank, vec_id, cosine FROM s QUALIFY rank <= 5""")
 def similar_vectors(spark, d):
-    """The five most similar vectors of every vector whose id is divisible by 20, searched among all."""
+    """For every vector whose id is divisible by 20 the five most similar among those that share a bucket with it, as in the SQL."""
     e = C.table(spark, d, "embeddings").select("vec_id", "embedding")
-    return similarity.similar_vectors(e, e.where("vec_id % 20 = 0"))
+    return similarity.similar_vectors(e, e.where("vec_id % 20 = 0"), tables=8, bits=4)
 
 
 @query("topk_similar", "label:int rank:int vec_id:int", f"WITH {_EMB}, s AS (SELECT em.label, vec_id, row_number() OVER (PARTITION BY em.label ORDER BY round({_COS}, 9) DESC, vec_id) AS rank FROM em JOIN ct ON em.label = ct.label) SELECT * FROM s WHERE rank <= 5")
