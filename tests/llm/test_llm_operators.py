@@ -143,6 +143,27 @@ def test_license_scan(spark, docs, rows):
     assert bag((*r[:7], round(r[7], 9), len(r[8])) for r in got) == bag((d[0], *want(d[1])) for d in data)
 
 
+def test_license_scan_whole_texts(spark):
+    """A template longer than a stride is met wherever it stands, also when it has lost some words."""
+    body = " ".join(f"clause{i}" for i in range(150))
+    data = [(i, "x " * before + body.replace("clause7 ", ""), None, None, None, None, None) for i, before in enumerate((0, 1, 31, 200, 255, 511))]
+    data.append((9, " ".join(body.split()[:100]), None, None, None, None, None))
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_join.scan_licenses(spark.createDataFrame(data, SCHEMA), [*license_join.NOTICES, ("whole", body)]).collect()}
+    assert got == {i: ("whole", round(149 / 150, 9)) for i in range(6)} | {9: ("", 0.0)}
+
+
+def test_license_scan_siblings(spark):
+    header = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation"
+    cases = [
+        ("licensed under cc by 4 0", {"cc-by"}), ("licensed under cc by sa 4 0", {"cc-by", "cc-by-sa"}), ("licensed under cc by nc 4 0", {"cc-by", "cc-by-nc"}),
+        ("released under the apache license", {"apache"}), ("released under the bsd license", set()), ("released under the mit license", {"mit"}),
+        (header.format("program", "general"), {"gpl"}), (header.format("library", "lesser general"), {"lgpl"}), ("licensed under the mozilla public license version 2 0", set()),
+    ]
+    data = [(i, text, None, None, None, None, None) for i, (text, _) in enumerate(cases)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in license_join.scan_licenses(spark.createDataFrame(data, SCHEMA), apart=True).collect()}
+    assert got == {i: labels for i, (_, labels) in enumerate(cases)}
+
+
 # ---- mixing
 
 

@@ -1,8 +1,10 @@
 """License scans as an exact set-similarity join of text blocks with license notices.
 
 Blocks are all runs of ``BLOCK`` words that start at multiples of ``STRIDE``; a notice of up to ``STRIDE`` words
-standing in a text lies whole in one of them.  A block meets a notice if it contains at least
-``THRESHOLD`` of the notice's different words.
+standing in a text lies whole in one of them.  A longer notice, such as the text of a whole license, has blocks
+of its own, whose stride is the least multiple of ``STRIDE`` by a power of two that holds it.  A block meets a notice if it
+contains at least ``THRESHOLD`` of the notice's different words and, with ``apart``, all its ``TELLING`` words: sibling notices
+differ in one word, which no containment below 1 can see.
 
 The words of all notices are counted over the whole corpus (at most one row per notice word and task
 is shuffled) and ordered from rare to frequent.  A notice of ``n`` words that needs ``a`` of them in a block
@@ -63,6 +65,9 @@ NOTICES = [
     ("all-rights-reserved", "all rights reserved"),
 ]
 
+# Words that tell sibling licenses apart.
+TELLING = frozenset("affero apache bsd commons creative isc lesser library mit mozilla nc nd program sa".split())
+
 _NOT_WORD = bytes(c if c >= 0x80 or chr(c).isdigit() or "a" <= chr(c) <= "z" else 0x20 for c in range(256))
 
 
@@ -89,13 +94,16 @@ def count_words(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 class NoticeIndex:
     """Notices with their words from rare to frequent, and the prefix words that lead to them."""
 
-    def __init__(self, notices: list[tuple[str, str]], frequency: dict[str, int], threshold: Fraction):
+    def __init__(self, notices: list[tuple[str, str]], frequency: dict[str, int], threshold: Fraction, stride: int = STRIDE, apart: bool = False):
+        self.stride = stride
         vocabulary = sorted({w for _, text in notices for w in text.split()}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w.encode(): k for k, w in enumerate(vocabulary)}
         self.labels = [label for label, _ in notices]
         self.ranks = [sorted({self.rank[w.encode()] for w in text.split()}) for _, text in notices]
         self.sets = [frozenset(r) for r in self.ranks]
         self.need = [ceil(threshold * len(r)) for r in self.ranks]
+        telling = {self.rank[w.encode()] for w in vocabulary if apart and w in TELLING}
+        self.telling = [s & telling for s in self.sets]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, (ranks, need) in enumerate(zip(self.ranks, self.need)):
             for place, r in enumerate(ranks[: len(ranks) - need + 1]):
@@ -110,18 +118,18 @@ class NoticeIndex:
                 if shared.get(k, 0) + min(len(self.ranks[k]) - place, len(ordered) - i) >= self.need[k]:
                     shared[k] = shared.get(k, 0) + 1
         exact = [(k, len(self.sets[k] & block)) for k in shared]
-        return [(k, n) for k, n in exact if n >= self.need[k]]
+        return [(k, n) for k, n in exact if n >= self.need[k] and self.telling[k] <= block]
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """``(first word, notice, words shared)`` of every block that meets a notice."""
         hits = [(i, self.rank[w]) for i, w in enumerate(words) if w in self.rank]
-        blocks: dict[int, set[int]] = {k: set() for i, r in hits if r in self.prefix for k in (i // STRIDE - 1, i // STRIDE) if k >= 0}
+        blocks: dict[int, set[int]] = {k: set() for i, r in hits if r in self.prefix for k in (i // self.stride - 1, i // self.stride) if k >= 0}
         if blocks:
             for i, r in hits:
-                for k in (i // STRIDE - 1, i // STRIDE):
+                for k in (i // self.stride - 1, i // self.stride):
                     if k in blocks:
                         blocks[k].add(r)
-        return [(k * STRIDE, notice, n) for k in sorted(blocks) for notice, n in self.matches(blocks[k])]
+        return [(k * self.stride, notice, n) for k in sorted(blocks) for notice, n in self.matches(blocks[k])]
 
 
 def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
@@ -139,14 +147,23 @@ def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) ->
 _RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<first_word:long,label:string,containment:double>>"
 
 
-def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, threshold: Fraction = THRESHOLD) -> DataFrame:
+def indexes(notices: list[tuple[str, str]], frequency: dict[str, int], threshold: Fraction, apart: bool = False) -> list[NoticeIndex]:
+    """One index per stride, the shortest first; each notice is in the one of the least stride that holds it."""
+    strided: dict[int, list[tuple[str, str]]] = {}
+    for label, text in notices:
+        stride = STRIDE
+        while stride < len(text.split()):
+            stride *= 2
+        strided.setdefault(stride, []).append((label, text))
+    return [NoticeIndex(some, frequency, threshold, stride, apart) for stride, some in sorted(strided.items())]
+
+
+def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, threshold: Fraction = THRESHOLD, apart: bool = False) -> DataFrame:
     """One row per document: phrase places, labels, score and the ``blocks`` that meet a notice.
 
     ``score`` is 1 where a phrase stands, else the largest containment of a block that meets a notice, else 0.
     """
-    if any(len(text.split()) > STRIDE for _, text in notices):
-        raise ValueError(f"a notice has more than {STRIDE} words")
-    index = NoticeIndex(notices, count_words(docs, sorted({w for _, text in notices for w in text.split()})), threshold)
+    every = indexes(notices, count_words(docs, sorted({w for _, text in notices for w in text.split()})), threshold, apart)
     phrases = [(p.encode().split(), label) for p, label in PHRASES]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +172,7 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, thr
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 base = phrase_places(words, phrases)
-                blocks = [(at, index.labels[k], n / len(index.ranks[k])) for at, k, n in index.scan(words)]
+                blocks = [(at, index.labels[k], n / len(index.ranks[k])) for index in every for at, k, n in index.scan(words)]
                 starts, own = [at for at, _ in base], {label for _, label in base}
                 row = (
                     len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | {b[1] for b in blocks})),
