@@ -529,6 +529,14 @@ def test_one_nameless_document_stays(spark):
     assert sorted(r["text"][0] for r in kept) == ["T", "a", "o"]
 
 
+def test_groups_of_one_name_keep_a_row_each(spark):
+    """An id that stands on unrelated texts names both components."""
+    one, other = "a b c d e f", "other words here now again"
+    rows = [(1, one, "x"), (1, one, "y"), (4, one, "x"), (1, other, "x"), (5, other, "x"), (6, other, "y"), (3, "Third text is this one here", "w")]
+    kept = simhash_bk.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
+    assert sorted((r["doc_id"], r["text"][0]) for r in kept) == [(1, "a"), (1, "o"), (3, "T")]
+
+
 @pytest.mark.parametrize("limit", [3, 4096])
 def test_links_survive_full_shards(spark, limit):
     rnd = random.Random(9)

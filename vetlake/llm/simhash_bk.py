@@ -215,23 +215,27 @@ def components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` per component, the one that names it, with all its columns.
 
-    Of rows that repeat that id one stays, as does one row of a component without any id.  The rows
+    Of rows of the component that repeat that id one stays, as does one row of a component without any id; components
+    that bear the same id keep a row each.  The rows
     to drop (id and text hash) are written first: the join that leaves them out is planned from their known size, and
     the texts are shuffled only when that list is too long to broadcast.
     """
     groups = stage_table(_grouped(docs), "simhash-groups")
     dropped = stage_table(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1")).distinct(), "simhash-dropped")
-    twice = stage_table(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "simhash-twice")
+    named = groups.where("doc_id = component_id")
+    again = named.groupBy("root", "doc_id").count().where("count > 1").select("root", F.col("doc_id").alias("__again"))
+    twice = stage_table(named.join(again, (named["root"] == again["root"]) & (F.col("doc_id") == F.col("__again")), "left_semi").select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1"), "root").distinct(), "simhash-twice")
     key = F.col("doc_id").cast("long") == F.col("__id")
     rows = docs.select(pack_row(docs), "doc_id", "text")
-    kept = rows.where("doc_id is not null").join(dropped, key & (F.xxhash64(whole_text()) == F.col("__k1")), "left_anti")
+    key = key & (F.xxhash64(whole_text()) == F.col("__k1"))
+    kept = rows.where("doc_id is not null").join(dropped, key, "left_anti")
 
-    def one(df: DataFrame, by: str) -> DataFrame:
-        first = Window.partitionBy(by).orderBy(F.xxhash64(ROW), F.to_json(ROW))
+    def one(df: DataFrame, *by: str) -> DataFrame:
+        first = Window.partitionBy(*by).orderBy(F.xxhash64(ROW), F.to_json(ROW))
         return df.withColumn("__n", F.row_number().over(first)).where("__n = 1")
 
     if not twice.isEmpty():
-        kept = kept.join(twice, key, "left_anti").select(ROW).unionByName(one(kept.join(twice, key, "left_semi"), "doc_id").select(ROW))
+        kept = kept.join(twice, key, "left_anti").select(ROW).unionByName(one(kept.join(twice, key), "root", "doc_id").select(ROW))
     nameless = stage_table(groups.where("component_id is null").select(F.col("fp").alias("__fp"), "root").distinct(), "simhash-nameless")
     if not nameless.isEmpty():
         lost = rows.where("doc_id is null").withColumn("fp", fingerprint(whole_text())).join(nameless, F.col("fp") == F.col("__fp"))
