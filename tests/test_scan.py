@@ -165,6 +165,23 @@ def test_flow_signals(make_files, content, signal):
     assert signal in got, got
 
 
+def test_long_chains(make_files):
+    """Aliases and wrappers in any order and number; a circle ends and keeps the rest."""
+    lines = [f"const v{i} = v{i - 1}" if i % 2 else f'const v{i} = v{i - 1} + "/{i}/x"' for i in range(12, 0, -1)]
+    calls = "strings.TrimSpace(" * 6 + "v12" + ")" * 6
+    text = "\n".join([*lines, f"const end = {calls}", 'const p1 = p2 + p2', 'const p2 = p1 + p1', f'const v0 = "{B64}"'])
+    rows = flow.decoded_variables(make_files([("s", "x.js", text)])).select("name").collect()
+    assert {r["name"] for r in rows} == {f"v{i}" for i in range(13)} | {"end"}
+    files = flow.with_analysis(make_files([("s", "x.js", text + "\neval(end)")]))
+    seeds = flow.decoded_variables(files)
+    assert "decoded variable near exec" in {r["signal"] for r in flow.flow_signals(files, seeds, flow.propagate(flow.assignment_edges(files), seeds)).collect()}
+
+
+def test_unwrapped_deep(spark):
+    deep = "strings.TrimSpace(" * 9 + "payload" + ")" * 9
+    assert spark.createDataFrame([(deep,)], "e string").select(flow.unwrapped(F.col("e"))).first()[0] == "payload"
+
+
 def test_unwrapped(spark):
     cases = [("strings.TrimSpace(payload)", "payload"), ("strings.ToLower(strings.TrimSpace(payload))", "payload"), ('fmt.Sprintf("%s", host)', "host"), ("strings.ReplaceAll(p, \" \", \"\")", "p"), ("custom(p)", "custom(p)")]
     df = spark.createDataFrame(cases, "e string, want string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,11 +37,11 @@ def hex_bytes(token: Column) -> Column:
 
 
 def readable(raw: Column) -> Column:
-    """Bytes -> trimmed text of 8..400 bytes, valid UTF-8 and at least 85 % printable; else null."""
+    """Bytes -> trimmed text of at least 8 bytes, valid UTF-8 and at least 85 % printable; else null."""
     def check(text: Column) -> Column:
         size = F.octet_length(text)
         printable = F.length(F.regexp_replace(text, NOT_PRINTABLE, ""))
-        ok = (size >= 8) & (size <= 400) & (printable * 100 >= F.length(text) * 85)
+        ok = (size >= 8) & (printable * 100 >= F.length(text) * 85)
         return F.when(ok, F.replace(text, F.lit("\x00"), F.lit("")))
 
     valid = lambda b: F.when((F.octet_length(b) >= 8) & F.is_valid_utf8(b.cast("string")), let(ws_trim(b.cast("string")), check))
@@ -56,9 +58,10 @@ def decode_once(token: Column) -> Column:
 
 
 def decode_layers(token: Column) -> Column:
-    """Up to three nested layers -> array of ``technique[depth]: text``; layer 1 must look interesting.
+    """All nested layers -> array of ``technique[depth]: text``; layer 1 must look interesting.
 
-    The chain is carried in an accumulator so each layer is decoded once.
+    The chain is carried in an accumulator so each layer is decoded once.  A layer has at most three quarters
+    of the bytes of the one around it and at least 8, which bounds the depth by the length of the token.
     """
     start = F.struct(ws_trim(token).alias("cur"), F.array().cast("array<string>").alias("out"))
 
@@ -70,7 +73,8 @@ def decode_layers(token: Column) -> Column:
 
         return F.when(acc["cur"].isNotNull(), let(decode_once(acc["cur"]), grow)).otherwise(acc)
 
-    return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, step, lambda acc: acc["out"]))
+    deepest = F.greatest(F.lit(1), F.coalesce(F.ceil(F.log(F.greatest(F.octet_length(token), F.lit(8)) / 8) / math.log(4 / 3)).cast("int"), F.lit(1)) + 1)
+    return F.array_distinct(F.aggregate(F.sequence(F.lit(1), deepest), start, step, lambda acc: acc["out"]))
 
 
 def _mostly_printable(raw: Column) -> Column:

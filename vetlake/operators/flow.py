@@ -41,6 +41,8 @@ RESULT_WORDS = {
 }
 DECODED_MARKERS = ["decoded:", "base64[", "hex[", "charcode[", "template[", "variable["]
 FLOW_REACH = 160
+# Rounds over all assignments before those still open are resolved in order of need.
+ROUNDS = 4
 
 
 def _all(c: Column, rx: str, group: int) -> Column:
@@ -122,7 +124,7 @@ def _unquote(c: Column) -> Column:
 
 
 def unwrapped(expr: Column) -> Column:
-    """Strip up to four pass-through calls, keeping the argument that carries the value."""
+    """Strip pass-through calls, however nested, keeping the argument that carries the value."""
     names = "|".join(PASS_THROUGH)
     call = rf"(?is)^(?:[\w.\s]*\.)?({names})\s*\((.*)\)$"
     arg = r"""((?:[^(),"'`]|\([^()]*\)|"[^"]*"|'[^']*'|`[^`]*`)*)"""
@@ -138,11 +140,21 @@ def unwrapped(expr: Column) -> Column:
                   .when((single == body), body).otherwise(F.lit("")))
         return F.when(e.rlike(call) & (picked != ""), picked).otherwise(e)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), ws_trim(expr), strip)
+    # a call that is stripped takes its bracket along
+    calls = F.coalesce(F.length(expr) - F.length(F.replace(expr, F.lit("("), F.lit(""))), F.lit(0))
+    def again(acc: Column, i: Column) -> Column:
+        return F.when(acc["go"], let(strip(acc["e"], i), lambda e: F.struct(e.alias("e"), (e != acc["e"]).alias("go")))).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(calls, F.lit(1))), F.struct(ws_trim(expr).alias("e"), F.lit(True).alias("go")), again, lambda acc: acc["e"])
 
 
 def variables(c: Column) -> Column:
-    """Variable -> text value after four rounds of concat, template, alias and wrapper resolution."""
+    """Variable -> text value after concat, template, alias and wrapper resolution to the end.
+
+    Rounds over all assignments end when one changes nothing.  After ``ROUNDS`` of them the values that still change are
+    long chains or circles: every variable is then resolved once, as soon as all variables it is made of
+    are.  Those of a circle never are; they keep the value of the last round.
+    """
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
 
     def put(m: Column, k: Column, v: Column) -> Column:
@@ -172,10 +184,41 @@ def variables(c: Column) -> Column:
     order = ["concat", "template", "alias", "wrapper", "call"]
     of_kind = lambda kind: lambda a: a["kind"] == kind
 
+    def made_of(a: Column) -> Column:
+        names = lambda rx, group: _all(a["expr"], rx, group)
+        return (F.when(a["kind"] == "concat", F.filter(names(r"""[\"'][^\"']*[\"']|[A-Za-z_][\w]*""", 0), lambda t: ~t.rlike(r"""^["']""")))
+                .when(a["kind"] == "template", names(r"\$\{\s*([A-Za-z_]\w*)\s*\}", 1)).when(a["kind"] == "alias", F.array(a["expr"])).otherwise(F.array(unwrapped(a["expr"]))))
+
+    def rounds(later: Column, start: Column) -> Column:
+        def one(acc: Column, _: Column) -> Column:
+            changed = lambda m: F.struct(m.alias("m"), (F.map_entries(m) != F.map_entries(acc["m"])).alias("go"))
+            return F.when(acc["go"], let(F.aggregate(later, acc["m"], resolve), changed)).otherwise(acc)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(start.alias("m"), F.lit(True).alias("go")), one)
+
+    def in_order(later: Column, start: Column) -> Column:
+        def entry(n: Column) -> Column:
+            own = F.filter(later, lambda a: a["name"] == n)
+            return F.struct(n.alias("name"), own.alias("own"), F.array_distinct(F.flatten(F.transform(own, made_of))).alias("needs"))
+
+        def one(acc: Column, _: Column) -> Column:
+            def advance(split: Column) -> Column:
+                m = F.aggregate(F.flatten(F.transform(split["ready"], lambda e: e["own"])), acc["m"], resolve)
+                return F.struct(m.alias("m"), split["open"].alias("open"), (F.size(split["ready"]) > 0).alias("go"))
+
+            waits = lambda names: F.struct(F.filter(acc["open"], lambda e: ~F.arrays_overlap(e["needs"], names)).alias("ready"), F.filter(acc["open"], lambda e: F.arrays_overlap(e["needs"], names)).alias("open"))
+            return F.when(acc["go"], let(let(F.transform(acc["open"], lambda e: e["name"]), waits), advance)).otherwise(acc)
+
+        def walk(entries: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(0), F.size(entries)), F.struct(start.alias("m"), entries.alias("open"), F.lit(True).alias("go")), one, lambda acc: acc["m"])
+
+        return let(F.transform(F.array_distinct(F.transform(later, lambda a: a["name"])), entry), walk)
+
     def solve(items: Column) -> Column:
         seeds = F.filter(items, lambda a: a["kind"].isin("literal", "join", "template"))
         later = F.concat(*[F.filter(items, of_kind(k)) for k in order])
-        return F.aggregate(F.flatten(F.array_repeat(later, 4)), F.aggregate(seeds, empty, seed), resolve)
+        last = lambda both: let(rounds(both["later"], both["m"]), lambda acc: F.when(acc["go"], in_order(both["later"], acc["m"])).otherwise(acc["m"]))
+        return let(F.struct(later.alias("later"), F.aggregate(seeds, empty, seed).alias("m")), last)
 
     # most files assign nothing
     return F.when(c.rlike(r"(?:const|let|var)\s+[A-Za-z_]\w*\s*="), let(assignments(c), solve)).otherwise(empty)
