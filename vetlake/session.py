@@ -76,6 +76,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(staged: DataFrame) -> None:
+    """Delete one staged table when nothing reads it any more."""
+    spark = staged.sparkSession
+    root = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}/"
+    for folder in {f.rpartition("/")[0] for f in staged.inputFiles()}:
+        if root in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete every staged table of this application (call it when results have been written)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}")
