@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_join, mixing, packing, posting_lists, quality_llr, sharding, simhash_bk, suffix_dedup, token_attribution, toxicity_kn
+from . import bpe_backtrack, centroid_ns, license_join, mixing, packing, posting_lists, quality_llr, sharding, simhash_bk, suffix_dedup, target_resample, token_attribution, toxicity_kn
 from .common import table
 
 
@@ -62,5 +62,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op7_nearest, op8_toxicity, op9_simhash, op10_packing)}
-ORACLES: dict[str, str] = {"op2_license_scan": license_join.LICENSE_SQL, "op3_mixing": mixing.MIX_SQL, "op5_sharding": sharding.SHARD_SQL}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text they decode to, as hashes."""
+    found = bpe_backtrack.decode(bpe_backtrack.encode(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector, exact distances and the final centroids."""
+    found = centroid_ns.clusters(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.col("centroid").cast("binary"), 256).alias("centroid_sha256"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a sample towards the benchmark."""
+    return target_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_mixing, op4_suffix_dedup, op5_sharding, op6_quality, op7_nearest, op8_toxicity, op9_simhash, op10_packing, op11_bpe, op12_clusters, op13_resample)}
+ORACLES: dict[str, str] = {"op2_license_scan": license_join.LICENSE_SQL, "op3_mixing": mixing.MIX_SQL, "op5_sharding": sharding.SHARD_SQL, "op12_clusters": centroid_ns.CLUSTER_SQL, "op13_resample": target_resample.RESAMPLE_SQL}
