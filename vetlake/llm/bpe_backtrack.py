@@ -17,8 +17,9 @@ Decoding gathers slices of one byte string: token i stands at ``offsets[i]:offse
 the blank that the tokenizer puts between tokens when it has no decoder of its own.
 
 Normalising and cutting a text into pieces is not merging and is left to the tokenizer file's own rules.
-Both are local to runs without white space, so ids of such a chunk are remembered per worker, up to the
-bound in ``word_tokens``; longer chunks are encoded each time.
+Both are local to runs without white space, so ids of such a chunk are remembered per worker; with
+``CHUNKS_KEPT`` of them the worker starts anew, and long chunks are encoded each time.  A task holds one batch of
+texts, these tables and at most ``OUT_BYTES`` (or one document) of output.
 
 Defined cases.  Null or empty text: no ids, empty decoded text.  Null ``doc_id``: encoded, id null.
 Repeated rows: each is returned.  Very long texts and pieces: whole, in memory in proportion.  Special
@@ -44,6 +45,8 @@ from .packing import default_tokenizer
 from .word_tokens import ChunkIds
 
 PAIRS_KEPT = 300_000
+CHUNKS_KEPT = 250_000
+OUT_BYTES = 8 << 20  # of a batch that leaves a task
 # the last character of a word is another symbol than the same character inside a word
 _LAST = 0x1000
 
@@ -74,7 +77,7 @@ class Merges:
         #: the longest proper prefix that is a token too
         self.shorter = [next((known[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in known), -1) for s in spelled]
         self.spelled = spelled
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
 
         import ahocorasick
 
@@ -97,11 +100,12 @@ class Merges:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges of ``a`` followed by ``b`` end with just these two."""
-        got = self._compatible.get((a, b))
+        pair = a << 32 | b
+        got = self._compatible.get(pair)
         if got is None:
             got = self._undo(a, b)
             if len(self._compatible) < PAIRS_KEPT:
-                self._compatible[a, b] = got
+                self._compatible[pair] = got
         return got
 
     def _undo(self, a: int, b: int) -> bool:
@@ -140,6 +144,13 @@ class Merges:
         return taken
 
 
+# small Latin letters, which no normal form changes: such a chunk is one piece
+_ONE_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+# the byte alphabet: printable Latin characters stand for themselves, all other bytes follow from 256 on
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class Encoder(ChunkIds):
     """chunk without white space (bytes) -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -151,9 +162,18 @@ class Encoder(ChunkIds):
         self._specials = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._specials, key=len, reverse=True))) + ")") if self._specials else None
 
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= CHUNKS_KEPT:
+            self.clear()
+        return super().__missing__(chunk)
+
     def _encode(self, chunk: bytes) -> bytes:
         out: list[int] = []
-        text, merges, t = chunk.decode(), self.merges, self._tokenizer
+        merges = self.merges
+        if _ONE_WORD(chunk):
+            got = merges.encode(merges.symbols(chunk.decode("latin-1").translate(_ALPHABET)))
+            return np.array([merges.ids[n] for n in got], "<u4").tobytes()
+        text, t = chunk.decode(), self._tokenizer
         for part in self._cut.split(text) if self._cut else [text]:
             if part in self._specials:
                 out.append(self._specials[part])
@@ -184,15 +204,18 @@ class OffsetTable:
         self.offsets = np.concatenate(([0], np.cumsum(size)))
         self.bytes = np.frombuffer(b"".join(tokens[n] for n in sorted(tokens)), np.uint8)
 
-    def text(self, ids: np.ndarray) -> bytes:
+    def decode(self, packed: bytes, some: int = 1 << 16) -> str:
+        """Text of packed ids, gathered ``some`` ids at a time."""
+        ids = np.frombuffer(packed, "<u4")
+        whole = b"".join([self._gather(ids[i : i + some]) for i in range(0, len(ids), some)])
+        return whole[:-1].decode("utf-8", "replace")  # no blank behind the last
+
+    def _gather(self, ids: np.ndarray) -> bytes:
         ids = ids[ids < len(self.offsets) - 1].astype(np.int64)
         start = self.offsets[ids]
         size = self.offsets[ids + 1] - start
         stop = np.cumsum(size)
-        if not len(stop) or not stop[-1]:
-            return b""
-        place = np.arange(stop[-1]) + np.repeat(start - (stop - size), size)
-        return self.bytes[place[:-1]].tobytes()  # no blank behind the last
+        return self.bytes[np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - size), size)].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -212,20 +235,52 @@ def offset_table(path: str) -> OffsetTable:
     return _TABLES[path]
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids`` per document; ``ids`` are packed little-endian unsigned 32-bit integers."""
-    path = tokenizer or default_tokenizer()
+def _in_parts(rows: Iterator[tuple], sizes) -> Iterator[list[tuple]]:
+    """Rows in lists of about ``OUT_BYTES``."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += sizes(row)
+        if held >= OUT_BYTES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def _encoded(docs: DataFrame, path: str, with_text: bool) -> DataFrame:
+    fields = [docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if with_text else [])]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from vetlake.llm.bpe_backtrack import encoder
+        from vetlake.llm.bpe_backtrack import _in_parts, encoder, offset_table
+
+        ids, table = encoder(path), offset_table(path) if with_text else None
+
+        def row(x: pa.Scalar) -> tuple:
+            packed = ids.text(x.as_py())
+            return (packed, table.decode(packed)) if table else (packed,)
 
-        ids = encoder(path)
         for batch in batches:
-            got = [ids.text(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            at = 0
+            for part in _in_parts(map(row, batch.column("text")), lambda r: sum(map(len, r))):
+                columns = [pa.array([len(r[0]) // 4 for r in part], pa.int64()), pa.array([r[0] for r in part], pa.binary())]
+                if table:
+                    columns.append(pa.array([r[1] for r in part], pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), *columns], names=names)
+                at += len(part)
+
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, T.StructType(fields))
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids`` per document; ``ids`` are packed little-endian unsigned 32-bit integers."""
+    return _encoded(docs, tokenizer or default_tokenizer(), False)
+
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, schema)
+def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``encode`` with the text that the ids decode to, in the same worker."""
+    return _encoded(docs, tokenizer or default_tokenizer(), True)
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None, column: str = "decoded") -> DataFrame:
@@ -233,12 +288,15 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, column: str = "deco
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from vetlake.llm.bpe_backtrack import offset_table
+        from vetlake.llm.bpe_backtrack import _in_parts, offset_table
 
         table = offset_table(path)
         for batch in batches:
-            texts = [table.text(np.frombuffer(x.as_py() or b"", "<u4")).decode("utf-8", "replace") for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, column])
+            at = 0
+            for part in _in_parts((table.decode(x.as_py() or b"") for x in batch.column("ids")), len):
+                some = batch.slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(part, pa.string())], names=[*batch.schema.names, column])
+                at += len(part)
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(column, T.StringType())]))
 

@@ -64,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and the text they decode to, as hashes."""
-    found = bpe_backtrack.decode(bpe_backtrack.encode(table(spark, sf_dir, "documents")))
+    found = bpe_backtrack.round_trip(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
