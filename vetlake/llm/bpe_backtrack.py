@@ -45,7 +45,7 @@ from .packing import default_tokenizer
 from .word_tokens import ChunkIds
 
 PAIRS_KEPT = 300_000
-CHUNKS_KEPT = 250_000
+CHUNKS_KEPT = 500_000
 OUT_BYTES = 8 << 20  # of a batch that leaves a task
 # the last character of a word is another symbol than the same character inside a word
 _LAST = 0x1000
