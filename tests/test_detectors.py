@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vetlake.operators import packs as P
-from vetlake.operators import rules, similarity
+from vetlake.operators import rules
 from vetlake.operators.detectors import Detectors
 from vetlake.sources.artifacts import read_artifacts
 
@@ -40,27 +40,3 @@ def test_root_name_further_down(spark, tmp_path):
     (root / "a" / "data" / "f.py").write_text("x = 1")
     rows = [(r["skill_id"], r["path"]) for r in read_artifacts(spark, str(root)).collect()]
     assert rows == [("a", "data/f.py")]
-
-
-def test_similar_vectors_share_a_bucket(spark):
-    rows = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(8)]) for i in range(40)] + [(40, [0.0] * 8), (41, [float(j % 11 - 5) for j in range(0, 24, 3)])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = similarity.similar_vectors(v, v.where("vec_id = 0"), k=3, dim=8).orderBy("rank").collect()
-    assert [r["rank"] for r in got] == [1, 2, 3] and got[0]["cosine"] == 1.0 and all(r["vec_id"] != 0 for r in got)
-
-
-def test_similar_vectors_recall(spark, monkeypatch):
-    """All of the five nearest of the given embeddings are found, over several blocks."""
-    monkeypatch.setattr(similarity, "QUERY_BLOCK", 10)
-    monkeypatch.setattr(similarity, "VECTOR_BLOCK", 150)
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in similarity.similar_vectors(e, e.where("vec_id % 20 = 0")).collect()}
-    rows = sorted((r["vec_id"], r["embedding"]) for r in e.collect())
-    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = {}
-    for i in np.flatnonzero(ids % 20 == 0):
-        score = np.round(x @ x[i], 9)
-        score[i] = -np.inf
-        want |= {(int(ids[i]), n + 1): int(ids[j]) for n, j in enumerate(np.argsort(-score, kind="stable")[:5])}
-    assert sum(got.get(key) == v for key, v in want.items()) >= 0.9 * len(want) and len(got) == len(want)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decode import BASE64_TOKEN, HEX_TOKEN, LONG_TOKEN, decode_layers, interesting
 from ..functions.text import bound, has_any, jrx, let, ws_trim
-from ..session import cut_lineage
+from .reach import reach, walk
 
 # Construct patterns.
 CONCAT_RX = r"""(?s)[\"'][^\"']{4,}[\"']\s*(?:\+\s*[\"'][^\"']{1,}[\"']\s*){1,}"""
@@ -301,21 +300,9 @@ def decoded_variables(files: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, hops: int | None = None, keys: tuple[str, ...] = ("skill_id", "path")) -> DataFrame:
     """Names reachable from the seeds (within ``hops``, if given): keys, name, hop (first hop that reaches it).
 
-    Only the newest frontier is joined each round; a reliable checkpoint cuts its lineage and
-    an empty frontier ends the loop.
+    Long paths take rounds in proportion to their logarithm, see ``reach``.
     """
-    k = list(keys)
-    # edges and seeds are read every round: computed once, so the text behind them is scanned once
-    e = cut_lineage(edges.select(*k, "src", "dst").distinct())
-    frontier = cut_lineage(seeds.select(*k, "name").distinct().withColumn("hop", F.lit(0)))
-    known = frontier
-    for hop in count(1) if hops is None else range(1, hops + 1):
-        nxt = e.join(frontier.withColumnRenamed("name", "src").drop("hop"), [*k, "src"]).select(*k, F.col("dst").alias("name")).distinct()
-        frontier = cut_lineage(nxt.join(known.select(*k, "name"), [*k, "name"], "left_anti").withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
-    return known
+    return reach(edges, seeds, keys) if hops is None else walk(edges, seeds, keys, hops)
 
 
 def _near(name: Column, sink: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,18 @@ from ..operators import flow
 from ..operators import incremental as INC
 from ..operators import packs as P
 from ..operators import scoring, similarity
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 from ..sources import registry as RG
 from ..sources import sinks
 from ..sources.artifacts import extract_dependencies
+from ..sources import file_tree
+from ..sources.merge_table import MergeTable
 from ..streaming import jobs as ST
+from ..streaming import keyed_sessions as KS
 from . import corpus as C
 from . import sqltext as S
 from .q_scan import _pack_sql
-from .registry import query
+from .registry import ORACLES, query
 
 # --- profiles ------------------------------------------------------------------------------------
 
@@ -205,6 +210,32 @@ def upsert_runs(spark, d):
     return sinks.upsert_runs(r.where("risk_level = 'high'").select("selection_key", "run_id", "created_at", "updated_at"), old).select(*keep)
 
 
+def _fresh_path(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("merged_runs", "selection_key:str run_id:str created_at:int updated_at:int", ORACLES["upsert_runs"])
+def merged_runs(spark, d):
+    """The runs written as a keyed table, high-risk runs merged in by key, and read back."""
+    r = runs(spark, d).select("selection_key", "run_id", "created_at", "updated_at", "risk_level")
+    keep = ["selection_key", "run_id", "created_at", "updated_at"]
+    old = r.where("risk_level <> 'high'").groupBy("selection_key").agg(F.max(F.struct("updated_at", "created_at", "run_id")).alias("m")).select("selection_key", "m.run_id", "m.created_at", "m.updated_at")
+    t = MergeTable(spark, _fresh_path(spark, "runs"), ["selection_key"], 16).create(old)
+    t.merge(r.where("risk_level = 'high'").select(*keep), matched={"created_at": F.col("old.created_at")}, order="updated_at")
+    return t.read()
+
+
+@query("merged_registry", "skill_id:str review_summary:str admission_status:str", f"""WITH {S.REPORTS}, u AS (SELECT skill_id, count(*) || ' reports' AS review_summary, max(report_id) AS last FROM rep WHERE status = 'F' GROUP BY 1)
+  SELECT reg.skill_id, coalesce(u.review_summary, reg.review_summary) AS review_summary, CASE WHEN u.skill_id IS NOT NULL THEN 'approved' ELSE admission_status END AS admission_status FROM reg LEFT JOIN u ON reg.skill_id = u.skill_id""")
+def merged_registry(spark, d):
+    """The registry written as a keyed table; review results update the skills that are there and add none."""
+    reg = C.customer_registry(spark, d).select("skill_id", "review_summary", "admission_status")
+    t = MergeTable(spark, _fresh_path(spark, "registry"), ["skill_id"], 16).create(reg)
+    u = C.order_reports(spark, d).where("status = 'F'").groupBy("skill_id").agg(F.concat(F.count("*").cast("string"), F.lit(" reports")).alias("review_summary"))
+    t.merge(u.withColumn("admission_status", F.lit("approved")), insert=False)
+    return t.read()
+
+
 # --- registry -----------------------------------------------------------------------------------------------
 
 @query("insert_registry", "skill_id:str report_id:str seq:int", f"""WITH {S.REPORTS}, free AS (SELECT skill_id, report_id, seq FROM rep WHERE skill_id NOT IN (SELECT skill_id FROM reg WHERE admission_status = 'approved') AND report_id NOT IN (SELECT report_id FROM reg WHERE admission_status = 'approved')),
@@ -327,18 +358,13 @@ def alignment_bands(spark, d):
     return scoring.semantic_alignment(p, weight=10.0)
 
 
-_PLANES = similarity.bucket_planes(8, 4, 64)
-_BUCKETS = "[" + ", ".join(" + ".join(f"(list_inner_product(v, {[*map(float, p)]}::DOUBLE[]) >= 0)::INT * {1 << b}" for b, p in enumerate(t)) for t in _PLANES) + "]"
-
-
-@query("similar_vectors", "query_id:int rank:int vec_id:int cosine:float", f"""WITH em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT vec_id, v, {_BUCKETS} AS bs FROM em), b AS (SELECT vec_id, v, unnest(bs) AS code, generate_subscripts(bs, 1) AS t FROM k),
-  m AS (SELECT DISTINCT q.vec_id AS query_id, b.vec_id FROM b q JOIN b ON q.t = b.t AND q.code = b.code WHERE q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id),
-  s AS (SELECT query_id, m.vec_id, round(list_cosine_similarity(x.v, y.v), 9) AS cosine FROM m JOIN em x ON x.vec_id = query_id JOIN em y ON y.vec_id = m.vec_id)
+@query("similar_vectors", "query_id:int rank:int vec_id:int cosine:float", """WITH em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  s AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_cosine_similarity(q.v, x.v), 9) AS cosine FROM em q JOIN em x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0)
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank, vec_id, cosine FROM s QUALIFY rank <= 5""")
 def similar_vectors(spark, d):
-    """For every vector whose id is divisible by 20 the five most similar among those that share a bucket with it, as in the SQL."""
+    """For every vector whose id is divisible by 50 the five most similar of all others, found through coarse cells."""
     e = C.table(spark, d, "embeddings").select("vec_id", "embedding")
-    return similarity.similar_vectors(e, e.where("vec_id % 20 = 0"), tables=8, bits=4)
+    return similarity.similar_vectors(e, e.where("vec_id % 50 = 0"))
 
 
 @query("topk_similar", "label:int rank:int vec_id:int", f"WITH {_EMB}, s AS (SELECT em.label, vec_id, row_number() OVER (PARTITION BY em.label ORDER BY round({_COS}, 9) DESC, vec_id) AS rank FROM em JOIN ct ON em.label = ct.label) SELECT * FROM s WHERE rank <= 5")
@@ -361,6 +387,20 @@ def code_summary(spark, d):
     return similarity.code_summary(C.seeded_files(spark, d))
 
 
+_TREE_PATH = "CASE doc_id % 3 WHEN 0 THEN 'notes/doc_' || doc_id || '.bin' WHEN 1 THEN 'src/doc_' || doc_id || '.py' ELSE 'src/doc_' || doc_id || '.JSON.js' END"
+
+
+@query("tree_files", "skill_id:str path:str language:str n_bytes:int sha256:str", f"""SELECT 'src_' || source AS skill_id, {_TREE_PATH} AS path, CASE doc_id % 3 WHEN 1 THEN 'python' ELSE 'javascript' END AS language, strlen(text) AS n_bytes, sha256(text) AS sha256
+  FROM documents WHERE doc_id % 3 <> 0""")
+def tree_files(spark, d):
+    """All documents written as a tree of files, a third of them of a kind that is dropped, and read back."""
+    path = F.expr(_TREE_PATH)
+    docs = C.table(spark, d, "documents").select(F.concat(F.lit("src_"), "source").alias("skill_id"), path.alias("path"), F.col("text").alias("content"))
+    root = _fresh_path(spark, "tree")
+    file_tree.write_tree(docs, root)
+    return file_tree.read_tree(spark, root)
+
+
 # --- incremental ------------------------------------------------------------------------------------------------------
 
 def snapshot(spark, d):
@@ -459,6 +499,18 @@ def session_alerts_stream(spark, d):
     return ST.session_alerts(ev, _PAIRS_EV).withColumn("session_start", F.unix_micros("session_start"))
 
 
+_GAP = 6 * 3600
+
+
+@query("user_sessions", "user_id:int range_start:int range_end:int n_categories:int total:int", f"""WITH e AS (SELECT user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS pos FROM events), a AS (SELECT *, lag(pos) OVER (PARTITION BY user_id ORDER BY pos) AS p FROM e),
+  b AS (SELECT *, sum(CASE WHEN p IS NULL OR pos - p > {_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS s FROM a)
+  SELECT user_id, min(pos) AS range_start, max(pos) AS range_end, count(DISTINCT event_type) AS n_categories, count(*) AS total FROM b GROUP BY user_id, s""")
+def user_sessions(spark, d):
+    """Batch twin of the keyed session stream: local sessions per user and bucket, stitched at the borders."""
+    ev = C.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return KS.stitched(KS.local_sessions(ev, _GAP), _GAP).withColumn("user_id", F.col("key").cast("long"))
+
+
 @query("login_counts", "window_start:int result:str n:int", "SELECT epoch_us(date_trunc('day', ts)) AS window_start, CASE WHEN event_type = 'error' THEN 'fail' ELSE 'success' END AS result, count(*) AS n FROM events GROUP BY 1, 2")
 def login_counts(spark, d):
     ev = C.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", F.lit("fail")).otherwise(F.lit("success")).alias("result"))
