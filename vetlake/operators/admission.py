@@ -16,7 +16,7 @@ CAPABILITY_INPUTS = {
     "persistence": ["persistence"], "privilege_use": ["priv_esc"], "tool_invocation": ["exec_targets", "execute"],
 }
 CAPABILITIES = list(CAPABILITY_INPUTS)
-# Lists whose first two items become profile evidence, in order.
+# Evidence lists, in order; a profile shows the first two items of each.
 EVIDENCE_LISTS = ["network_targets", "outbound", "file_targets", "credential", "exec_targets", "execute", "persistence", "behavior_chains", "sequence_alerts"]
 EVIDENCE_PER_LIST = 2
 
@@ -52,6 +52,11 @@ def capability_profiles(behavior: DataFrame) -> DataFrame:
     return out.withColumn("tags", detected_capabilities())
 
 
+def evidence_items(behavior: DataFrame) -> DataFrame:
+    """``skill_id, item``: every item of the nine evidence lists, which chains are inferred from (profiles show examples)."""
+    return behavior.where(F.col("category").isin(EVIDENCE_LISTS) & (ws_trim(F.col("item")) != "")).select("skill_id", "item").distinct()
+
+
 def capability_unpivot(profiles: DataFrame) -> DataFrame:
     """One row per skill and detected capability."""
     return profiles.select("skill_id", F.explode(detected_capabilities()).alias("capability"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_array, has_any, ws_trim
+from ..session import cut_lineage
 from .admission import CAPABILITIES, detected_capabilities
 from .findings import _array_map
 
@@ -44,13 +45,20 @@ def selected_profiles(selection: DataFrame, profiles: DataFrame) -> DataFrame:
     return selection.select("selection_id", "skill_id").distinct().join(profiles, "skill_id")
 
 
-def merge_profiles(selected: DataFrame) -> DataFrame:
+def evidence_of(selected: DataFrame, items: DataFrame | None) -> DataFrame:
+    """``skill_id, e``: distinct evidence per skill, from all items (skill_id, item) or else from the profiles' own."""
+    rows = selected.select("skill_id", F.explode("evidence").alias("e")) if items is None else items.select("skill_id", F.col("item").alias("e"))
+    return rows.where(ws_trim(F.col("e")) != "").distinct()
+
+
+def merge_profiles(selected: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """OR of the ten flags with tag list and evidence count per selection.
 
     Flags combine map-side; tags follow from the merged flags, so no member lists are gathered.
     """
     m = selected.groupBy("selection_id").agg(*[F.bool_or(c).alias(c) for c in CAPABILITIES], F.count("*").alias("n_skills"))
-    n_ev = selected.select("selection_id", F.explode("evidence").alias("e")).select("selection_id", ws_trim(F.col("e")).alias("e")).where("e <> ''").distinct().groupBy("selection_id").agg(F.count("*").alias("n_evidence"))
+    ev = selected.select("selection_id", "skill_id").join(evidence_of(selected, items), "skill_id")
+    n_ev = ev.select("selection_id", ws_trim(F.col("e")).alias("e")).distinct().groupBy("selection_id").agg(F.count("*").alias("n_evidence"))
     return m.join(n_ev, "selection_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0))).withColumn("tags", detected_capabilities())
 
 
@@ -65,27 +73,33 @@ def _cited(rule: str) -> Column:
     return has_any(F.lower(ws_trim(F.col("e"))), [w for c in CHAIN_RULES[rule][0] for w in EVIDENCE_WORDS[c]])
 
 
-def chain_evidence(selected: DataFrame) -> DataFrame:
-    """Evidence supporting each chain: selection_id, chain_id, skill_id, evidence (distinct per skill)."""
-    items = selected.select("selection_id", "skill_id", F.explode("evidence").alias("e")).where(ws_trim(F.col("e")) != "")
+def cited_items(evidence: DataFrame) -> DataFrame:
+    """``skill_id, chain_id, e`` for every item that carries a word of the chain; tested once per skill, not per selection."""
     cells = F.array_compact(F.array(*[F.when(_cited(r), F.lit(r)) for r in CHAIN_RULES]))
-    return items.select("selection_id", "skill_id", F.explode(cells).alias("chain_id"), F.col("e").alias("evidence")).distinct()
+    return evidence.select("skill_id", "e", F.explode(cells).alias("chain_id"))
+
+
+def chain_evidence(selected: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Evidence supporting each chain: selection_id, chain_id, skill_id, evidence (distinct per skill)."""
+    cited = cited_items(evidence_of(selected, items))
+    return selected.select("selection_id", "skill_id").distinct().join(cited, "skill_id").select("selection_id", "skill_id", "chain_id", F.col("e").alias("evidence"))
 
 
-def infer_chains(selected: DataFrame) -> DataFrame:
-    """Chain rules on the merged flags with enough support.
+def infer_chains(selected: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Chain rules on the merged flags with enough support, from all ``items`` (skill_id, item) of the skills.
 
     Support: two skills selected, two of the rule's capabilities present, and either two skills
     with cited evidence or one skill covering two capabilities with two cited items.  The
     "distinct skill" test of the source does not require different skills; reproduced.
     Without cited evidence the capability names stand in and support fails.
     """
-    per_skill = chain_evidence(selected).groupBy("selection_id", "skill_id", "chain_id").agg(F.count("*").alias("cited"))
+    cited = cut_lineage(cited_items(evidence_of(selected, items)))  # read for the support and for the count
+    per_skill = cited.groupBy("skill_id", "chain_id").agg(F.count("*").alias("cited"))
     cover = {r: sum((F.col(c).cast("int") for c in caps), F.lit(0)) for r, (caps, *_) in CHAIN_RULES.items()}
     skills = selected.select("selection_id", "skill_id", F.explode(F.array(*[F.struct(F.lit(r).alias("chain_id"), cover[r].alias("covered")) for r in CHAIN_RULES])).alias("c")).select("selection_id", "skill_id", "c.*")
-    s = skills.join(per_skill, ["selection_id", "skill_id", "chain_id"], "left").groupBy("selection_id", "chain_id").agg(
+    s = skills.join(per_skill, ["skill_id", "chain_id"], "left").groupBy("selection_id", "chain_id").agg(
         F.count("*").alias("n_skills"), F.count_if(F.coalesce("cited", F.lit(0)) > 0).alias("backed"), F.bool_or((F.col("covered") >= 2) & (F.coalesce("cited", F.lit(0)) >= 2)).alias("strong_member"))
-    ev = chain_evidence(selected).select("selection_id", "chain_id", ws_trim(F.col("evidence")).alias("e")).distinct().groupBy("selection_id", "chain_id").agg(F.count("*").alias("n_evidence"))
+    ev = selected.select("selection_id", "skill_id").join(cited, "skill_id").select("selection_id", "chain_id", ws_trim(F.col("e")).alias("e")).distinct().groupBy("selection_id", "chain_id").agg(F.count("*").alias("n_evidence"))
     flags = selected.groupBy("selection_id").agg(*[F.bool_or(c).alias(c) for c in CAPABILITIES])
     need = F.lit(False)
     for r, (caps, *_) in CHAIN_RULES.items():

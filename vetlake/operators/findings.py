@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_any, is_license_notice, let, normalize_severity, ws_trim
-from .packs import HIGH_RISK_DIFFS
+from ..functions.text import has_any, hit_lines, is_license_notice, let, normalize_severity, ws_trim
+from .packs import HIGH_RISK_DIFFS, Pack
 from .review import evidence_facts, seen_struct
 from .rules import RULES, Rule
+from .scan import hit_files, line_test
 
 FINDING_COLS = ["skill_id", "source", "rule_id", "severity", "title", "description", "path", "line_start", "line_end", "code_snippet"]
 ENGINE, ANALYZER, BEHAVIOR = "SecurityEngine", "StaticAnalyzer", "BehaviorGuard"
@@ -225,29 +226,45 @@ def mitre_summary(groups: DataFrame) -> DataFrame:
 
 # --- evidence windows -----------------------------------------------------------------------------
 
-def merge_evidence_windows(hits: DataFrame, files: DataFrame, radius: int = 3) -> DataFrame:
-    """± radius windows around hit lines, merged per file when they touch, with marked text.
-
-    Hit numbers are gathered per file (bounded by its lines) and merged inside one row.
-    """
-    per_file = hits.groupBy("skill_id", "path").agg(F.sort_array(F.collect_set("line_no")).alias("_h"))
-    src = per_file.join(files.select("skill_id", "path", "content"), ["skill_id", "path"])
+def _merged_windows(lines: Column, h: Column, radius: int) -> Column:
+    """± radius windows around the lines ``h`` (sorted, distinct), one where they touch, with marked text."""
     reach = 2 * radius + 1
 
-    def window(lines: Column, h: Column, a: Column, b: Column) -> Column:
+    def window(a: Column, b: Column) -> Column:
         s, e = F.greatest(a - radius, F.lit(1)), F.least(b + radius, F.size(lines))
+        own = F.filter(h, lambda x: (x >= a) & (x <= b))  # a window is as long as its own hits allow
         number = lambda i: F.when(i < 10000, F.lpad(i.cast("string"), 4, " ")).otherwise(i.cast("string"))
-        body = F.transform(F.sequence(s, e), lambda i: F.concat(F.when(F.array_contains(h, i), F.lit("> ")).otherwise(F.lit("  ")), number(i), F.lit(" | "), F.get(lines, i - 1)))
-        return F.struct(s.alias("win_start"), e.alias("win_end"), F.size(F.filter(h, lambda x: (x >= a) & (x <= b))).alias("n_hits"), F.array_join(body, "\n").alias("body"))
+        text = lambda hits: F.struct(
+            s.alias("win_start"), e.alias("win_end"), F.size(hits).alias("n_hits"),
+            F.array_join(F.transform(F.sequence(s, e), lambda i: F.concat(F.when(F.array_contains(hits, i), F.lit("> ")).otherwise(F.lit("  ")), number(i), F.lit(" | "), F.get(lines, i - 1))), "\n").alias("body"))
+        return let(own, text)
+
+    starts = F.filter(h, lambda x, i: (i == 0) | (x - F.get(h, i - 1) > reach))
+    ends = F.filter(h, lambda x, i: (i == F.size(h) - 1) | (F.get(h, i + 1) - x > reach))
+    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: window(g["a"], g["b"]))
+
+
+def _plain_lines(text: Column) -> Column:
+    return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1)
 
-    def merged(lines: Column, h: Column) -> Column:
-        starts = F.filter(h, lambda x, i: (i == 0) | (x - F.get(h, i - 1) > reach))
-        ends = F.filter(h, lambda x, i: (i == F.size(h) - 1) | (F.get(h, i + 1) - x > reach))
-        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: window(lines, h, g["a"], g["b"]))
 
+def pack_windows(files: DataFrame, pack: Pack, radius: int = 3) -> DataFrame:
+    """Merged windows around the hits of a pack: skill_id, path, win_start, win_end, n_hits, body.
+
+    Hits are found and windows cut in the row that is scanned: one read of the text, no join.
+    """
+    src, text = hit_files(files, pack)
+    hits = let(F.split(text, "\n", -1), lambda lines: hit_lines(lines, lambda l: line_test(pack, l)))
+    cells = let(_plain_lines(F.col("content")), lambda lines: let(F.filter(hits, lambda x: x <= F.size(lines)), lambda h: _merged_windows(lines, h, radius)))
+    return src.select("skill_id", "path", F.inline(cells))
+
+
+def merge_evidence_windows(hits: DataFrame, files: DataFrame, radius: int = 3) -> DataFrame:
+    """The same for hits from elsewhere, gathered per file (bounded by its lines) and joined to their files."""
+    per_file = hits.groupBy("skill_id", "path").agg(F.sort_array(F.collect_set("line_no")).alias("_h"))
+    src = per_file.join(files.select("skill_id", "path", "content"), ["skill_id", "path"])
     # lines and hit numbers are bound once per file, see ``let``
-    text = F.split(F.replace(F.col("content"), F.lit("\r\n"), F.lit("\n")), "\n", -1)
-    cells = let(text, lambda lines: let(F.filter("_h", lambda x: (x > 0) & (x <= F.size(lines))), lambda h: merged(lines, h)))
+    cells = let(_plain_lines(F.col("content")), lambda lines: let(F.filter("_h", lambda x: (x > 0) & (x <= F.size(lines))), lambda h: _merged_windows(lines, h, radius)))
     return src.select("skill_id", "path", F.inline(cells))
 
 
@@ -385,7 +402,7 @@ def coverage(matrix: list[tuple[str, str, str, str, str]], rules: list[Rule], ev
         cells.append(F.when(~cov, F.lit(name)))
     unc = F.array_compact(F.array(*cells)) if cells else F.array().cast("array<string>")
     return j.select("skill_id", F.lit(len(auto)).alias("auto_total"), (F.lit(len(auto)) - F.size(unc)).alias("auto_covered"), F.array_join(unc, ";").alias("uncovered"),
-                    F.lit(len(manual)).alias("manual_total"), F.lit(";".join(manual[:12])).alias("manual_items"))
+                    F.lit(len(manual)).alias("manual_total"), F.lit(";".join(manual)).alias("manual_items"))
 
 
 # --- external analyses -------------------------------------------------------------------------------------

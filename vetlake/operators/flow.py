@@ -35,6 +35,13 @@ SINKS = {
     "network": r"(?:fetch\(|axios\.(?:get|post|put|delete|request)\(|requests\.(?:get|post|put|delete|request)\(|http\.(?:get|post|newrequest)\(|urllib\.request\.(?:urlopen|request)|client\.do\(|curl\s+[^#\n]*https?://|wget\s+[^#\n]*https?://)",
     "command": r"""(?:bash\s+-c|sh\s+-c|cmd(?:\.exe)?\s+/c|powershell(?:\.exe)?\s+-|start-process\s+|processstartinfo|exec\.command\([^\n)]*(?:"bash"|"sh"|"cmd"|"cmd\.exe"|"powershell"|"powershell\.exe")|curl\s+[^#\n]*\||wget\s+[^#\n]*\|)""",
 }
+# Sinks that run on to the last of several possible ends, each with the pattern of such an end.
+_URL_END, _PIPE_END = r"(?i)(?<=https?://)", r"(?<=\|)"
+_SHELL_END = r"""(?i)(?<="bash"|"sh"|"cmd"|"cmd\.exe"|"powershell"|"powershell\.exe")"""
+OPEN_SINKS = {
+    "network": [(r"(?:curl|wget)\s+[^#\n]*https?://", _URL_END)],
+    "command": [(r"(?:curl|wget)\s+[^#\n]*\|", _PIPE_END), (r"""exec\.command\([^\n)]*(?:"bash"|"sh"|"cmd"|"cmd\.exe"|"powershell"|"powershell\.exe")""", _SHELL_END)],
+}
 RESULT_WORDS = {
     "exec": ["exec", "eval", "subprocess", "os.system"], "network": ["http", "fetch", "axios", "requests."], "command": ["bash", "curl", "wget", "cmd"],
 }
@@ -244,14 +251,11 @@ def _layers_of(texts: Column) -> Column:
 SECTION_GUARD = r"(?is)[A-Za-z0-9+/]{20}|[\"']\s*\+\s*[\"']|\.join\(|fromcharcode\(|`[^`]{12}|(?:const|let|var)\s+[A-Za-z_]\w*\s*="
 
 
-def decoded_sections(files: DataFrame) -> DataFrame:
-    """Files with recovered text: skill_id, path, sections (sorted distinct, prefixed by technique).
+def section_list(c: Column) -> Column:
+    """Recovered text of a content, sorted distinct and prefixed by technique; empty where no construct occurs.
 
-    Row-local; files without any candidate construct are skipped by one pattern test.  Every
-    intermediate list is bound once, so nothing is decoded twice.
+    Every intermediate list is bound once, so nothing is decoded twice.
     """
-    c = F.col("content")
-
     def assemble(t: Column) -> Column:
         texts = F.array_distinct(F.concat(t["m"], t["j"], t["ch"], t["t"], t["v"], t["tok"]))
         return F.array_sort(F.array_distinct(F.concat(_tagged(t["ch"], "charcode"), _tagged(t["t"], "template"), _tagged(t["v"], "variable"), _layers_of(texts))))
@@ -263,15 +267,20 @@ def decoded_sections(files: DataFrame) -> DataFrame:
                          F.transform(values, ws_trim).alias("v"), tokens.alias("tok"))
         return let(bound, assemble)
 
-    # exploding a one-element array keeps the size test below from repeating the whole expression
-    sections = let(variables(c), parts)
-    return files.where(c.rlike(SECTION_GUARD)).select("skill_id", "path", F.explode(F.array(sections)).alias("sections")).where(F.size("sections") > 0)
+    return F.when(c.rlike(SECTION_GUARD), let(variables(c), parts)).otherwise(F.array().cast("array<string>"))
+
+
+def decoded_sections(files: DataFrame) -> DataFrame:
+    """Files with recovered text: skill_id, path, sections.  Row-local."""
+    # ``bound`` keeps the size test below from repeating the whole expression
+    return files.where(F.col("content").rlike(SECTION_GUARD)).select("skill_id", "path", bound(section_list(F.col("content"))).alias("sections")).where(F.size("sections") > 0)
 
 
 def with_analysis(files: DataFrame) -> DataFrame:
-    """Add ``preprocessed`` and ``analysis_content`` (raw + decoded text) to files."""
-    sec = decoded_sections(files).withColumn("preprocessed", F.concat(F.lit("\n[preprocessed-decoded]\n"), F.array_join("sections", "\n"))).drop("sections")
-    out = files.join(sec, ["skill_id", "path"], "left")
+    """Add ``preprocessed`` and ``analysis_content`` (raw + decoded text) to files, inside each file's own row."""
+    marked = files.select("*", bound(section_list(F.col("content"))).alias("_sections"))
+    pre = F.when(F.size("_sections") > 0, F.concat(F.lit("\n[preprocessed-decoded]\n"), F.array_join("_sections", "\n")))
+    out = marked.withColumn("preprocessed", pre).drop("_sections")
     text = F.when(F.col("preprocessed").isNull(), F.col("content")).otherwise(F.concat("content", F.lit("\n\n"), "preprocessed"))
     return out.select("*", bound(text).alias("analysis_content"))
 
@@ -305,29 +314,65 @@ def propagate(edges: DataFrame, seeds: DataFrame, hops: int | None = None, keys:
     return reach(edges, seeds, keys) if hops is None else walk(edges, seeds, keys, hops)
 
 
-def _near(name: Column, sink: str) -> Column:
-    """Pattern: the variable within reach of a sink, in either order."""
-    q = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    gap = ".{0,%d}" % FLOW_REACH
-    return F.concat(F.lit("(?is)"), q, F.lit(gap + sink + "|" + sink + gap), q)
+def _longest_name(c: Column) -> Column:
+    """Length of the longest identifier that an assignment of the text names or uses, rounded up to a power of two."""
+    names = F.flatten(F.transform(assignments(c), lambda a: F.array_append(_all(a["expr"], r"[A-Za-z_]\w*", 0), a["name"])))
+    most = F.array_max(F.transform(names, lambda n: F.length(n)))
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.coalesce(most, F.lit(1)), F.lit(16)).cast("double")))).cast("int")
+
+
+def _before_sinks(c: Column, sink: str, width: Column) -> Column:
+    """Up to ``width`` characters before every place where the sink can start."""
+    # cut before every start; the mark in front keeps a start at the very beginning apart
+    pieces = F.split(F.concat(F.lit("\n"), c), f"(?is)(?={sink})", -1)
+    # every piece has a character, so ``width`` of them reach far enough
+    before = lambda p, i: F.right(F.array_join(F.slice(p, F.greatest(i - width, F.lit(1)), F.least(i, width + 1)), ""), width)
+    return let(pieces, lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: before(p, i))).otherwise(F.array().cast("array<string>")))
+
+
+def _after_sinks(c: Column, kind: str, width: Column) -> Column:
+    """Up to ``width`` characters after every place where a sink of the kind can end."""
+    follow = lambda rx: F.concat(F.lit(f"(?is)(?=({rx})(.{{0,"), width.cast("string"), F.lit("}))"))
+    out = [F.regexp_extract_all(c, follow(SINKS[kind]), F.lit(2))]
+    for rx, end in OPEN_SINKS.get(kind, []):
+        spans, rest = F.regexp_extract_all(c, follow(rx), F.lit(1)), F.regexp_extract_all(c, follow(rx), F.lit(2))
+        # what follows each earlier end: the later parts of the span, then what follows the span
+        tails = lambda parts, after: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda j: F.left(F.concat(F.array_join(F.slice(parts, j + 1, F.size(parts)), ""), after), width))
+        out.append(F.flatten(F.zip_with(spans, rest, lambda s, r: let(F.split(s, end, -1), lambda parts: tails(parts, r)))))
+    return F.concat(*out)
+
+
+def sink_windows(c: Column) -> Column:
+    """Per sink kind what stands within reach before and after it, wide enough for every name of the text."""
+    def windows(longest: Column) -> Column:
+        width = longest + FLOW_REACH
+        cells = [F.when(F.regexp_like(c, F.lit(f"(?is){rx}")), F.named_struct(F.lit("kind"), F.lit(k), F.lit("before"), _before_sinks(c, rx, width), F.lit("after"), _after_sinks(c, k, width))) for k, rx in SINKS.items()]
+        return F.array_compact(F.array(*cells))
+
+    return let(_longest_name(c), windows)
+
+
+def _within(name: Column, w: Column) -> Column:
+    """The name stands whole within reach of a sink, in either order."""
+    reach, low = F.length(name) + FLOW_REACH, F.lower(name)
+    return F.exists(w["before"], lambda t: F.lower(F.right(t, reach)).contains(low)) | F.exists(w["after"], lambda t: F.lower(F.left(t, reach)).contains(low))
 
 
 def flow_signals(files: DataFrame, seeds: DataFrame, reached: DataFrame) -> DataFrame:
     """Signals per file: decoded text or variables (direct and propagated) near an exec, network or command sink.
 
-    ``files`` carries content and preprocessed.  Variables are joined to their own file by key;
-    text tests on the file run once per file.
+    ``files`` carries content and preprocessed.  One scan finds the sinks of a file and cuts the text within
+    their reach; variables are joined to these windows, never to contents, and looked up as plain text.
     """
     joined = F.lower(F.concat_ws("\n", "content", "preprocessed"))
     f = files.select("skill_id", "path", "content", joined.alias("_j")).where(has_any(F.col("_j"), DECODED_MARKERS))
-    whole = f.select("skill_id", "path", F.explode(F.array_compact(F.array(*[F.when(has_any(F.col("_j"), w), F.lit(f"decoded result near {s}")) for s, w in RESULT_WORDS.items()]))).alias("signal"))
+    whole = F.array_compact(F.array(*[F.when(has_any(F.col("_j"), w), F.lit(f"decoded result near {s}")) for s, w in RESULT_WORDS.items()]))
+    cut = f.select("skill_id", "path", bound(whole).alias("whole"), bound(sink_windows(F.col("content"))).alias("windows"))
     names = seeds.select("skill_id", "path", "name", F.lit("decoded variable near ").alias("label")).unionByName(reached.select("skill_id", "path", "name", F.lit("decoded variable propagated near ").alias("label")))
     per_file = names.distinct().groupBy("skill_id", "path").agg(F.collect_list(F.struct("label", "name")).alias("names"))  # bounded by the file's own variables
-    j = f.select("skill_id", "path", "content").join(per_file, ["skill_id", "path"])
-    hits = F.flatten(F.transform("names", lambda n: F.array_compact(F.array(*[
-        F.when(F.regexp_like(F.col("content"), _near(n["name"], rx)), F.concat(n["label"], F.lit(s))) for s, rx in SINKS.items()]))))
-    var = j.select("skill_id", "path", F.explode(F.array_distinct(hits)).alias("signal"))
-    return whole.unionByName(var).distinct()
+    hits = F.flatten(F.transform("windows", lambda w: F.transform(F.filter("names", lambda n: _within(n["name"], w)), lambda n: F.concat(n["label"], w["kind"]))))
+    out = cut.join(per_file, ["skill_id", "path"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<label:string,name:string>>")))
+    return out.select("skill_id", "path", F.explode(F.array_distinct(F.concat("whole", hits))).alias("signal"))
 
 
 def obfuscation_evidence(files: DataFrame, signals: DataFrame) -> DataFrame:

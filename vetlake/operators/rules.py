@@ -153,7 +153,9 @@ def parse_custom_rules(raw: str) -> list[Rule]:
             raise ValueError(f"custom rule {name[:40]!r} exceeds the limits on names and patterns")
         for p in pats:
             jrx(p)  # an error here, not in the middle of a scan
-        reason = (str(item.get("reason", "")).strip() or "命中自定义规则").encode()[:MAX_REASON_BYTES].decode(errors="ignore")
+        reason = str(item.get("reason", "")).strip() or "命中自定义规则"
+        if len(reason.encode()) > MAX_REASON_BYTES:
+            raise ValueError(f"reason of custom rule {name[:40]!r} exceeds {MAX_REASON_BYTES} bytes")
         rid = str(item.get("id", "")).strip() or f"CUSTOM-{len(out) + 1}"
         out.append(Rule(rid, name, sev, patterns=tuple(pats), action=ACTION_BY_SEVERITY[sev], reason=reason).normalized())
     return out

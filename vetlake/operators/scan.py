@@ -58,6 +58,37 @@ def scan_pack(files: DataFrame, pack: P.Pack) -> DataFrame:
     return scan_packs(files, [pack])
 
 
+def line_test(pack: P.Pack, line: Column) -> Column:
+    """Whether a line is a hit of the pack, but for the test of the path.
+
+    Pattern first: lines without a hit skip the gate regexes.  No pack pattern is anchored, so the
+    untrimmed line gives the same answer as the trimmed one.
+    """
+    cond = [matches_any(line, [rx for rx, _ in pack.patterns])]
+    if pack.code_only:
+        cond.append(is_code_line(line))
+    if pack.exclude:
+        cond.append(~has_any(F.lower(line), pack.exclude))
+    return all_of(cond)
+
+
+def hit_files(files: DataFrame, pack: P.Pack) -> tuple[DataFrame, Column]:
+    """Files that can have a hit of the pack, and the text it is looked for in."""
+    text = analysis_text(files) if pack.analysis else F.col("content")
+    src = files.where(~is_low_signal_path(F.col("path"))) if pack.skip_low_signal else files
+    return src.where(may_match(text, [rx for rx, _ in pack.patterns])), text
+
+
+def pack_context(files: DataFrame, pack: P.Pack, radius: int = 2) -> DataFrame:
+    """Hits of a pack with their numbered context block: skill_id, path, line_no, code_snippet.
+
+    The block is cut in the row that is scanned, so the text is read once and joined to nothing.
+    """
+    src, text = hit_files(files, pack)
+    blocks = lambda lines: F.transform(hit_lines(lines, lambda l: line_test(pack, l)), lambda n: F.struct(n.alias("line_no"), code_snippet(lines, n, n, radius).alias("code_snippet")))
+    return src.select("skill_id", "path", F.inline(let(F.split(text, "\n", -1), blocks)))
+
+
 def scan_packs(files: DataFrame, chosen: list[P.Pack]) -> DataFrame:
     """Several packs over one pass of the lines per text variant."""
     out = None
@@ -74,15 +105,9 @@ def scan_packs(files: DataFrame, chosen: list[P.Pack]) -> DataFrame:
         lines = explode_lines(src, F.col("_text"), ["skill_id", "path", "_low"])
         tests = []
         for p in group:
-            # pattern first: lines without a hit skip the gate regexes.  No pack pattern is
-            # anchored, so the untrimmed line gives the same answer as the trimmed one.
-            cond = [matches_any(F.col("line"), [rx for rx, _ in p.patterns])]
-            if p.code_only:
-                cond.append(is_code_line(F.col("line")))
+            cond = [line_test(p, F.col("line"))]
             if p.skip_low_signal:
                 cond.append(~F.col("_low"))
-            if p.exclude:
-                cond.append(~has_any(F.lower("line"), p.exclude))
             value = F.struct(F.lit(p.key).alias("pack"), F.lit(p.rule_id).alias("rule_id"), F.lit(p.severity).alias("severity"),
                              first_label(F.col("line"), list(p.patterns)).alias("label"))
             tests.append((all_of(cond), value))
@@ -154,8 +179,8 @@ def location(path: Column, start: Column, end: Column | None = None) -> Column:
 def code_context(findings: DataFrame, files: DataFrame, radius: int = 2) -> DataFrame:
     """Add ``code_snippet`` to findings (skill_id, path, line_no, ...).
 
-    The wanted line numbers are gathered per file first (bounded by the file), so the
-    content is joined once per file instead of once per finding.
+    For findings from elsewhere; hits of a pack get their block in ``pack_context``.  The wanted line numbers are
+    gathered per file first (bounded by the file), so the content is joined once per file instead of once per finding.
     """
     wanted = findings.groupBy("skill_id", "path").agg(F.collect_set("line_no").alias("_nos"))
     snippets = (

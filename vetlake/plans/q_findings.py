@@ -71,14 +71,17 @@ def _risk_sql(src: str) -> str:
 RISK_COLS = "high:int medium:int low:int exploitability:float impact:float risk_score:float risk_level:str admission:str"
 
 
-@query("risk_by_counts", "l_suppkey:int " + RISK_COLS, f"""WITH c AS (SELECT l_suppkey, count(*) FILTER (l_quantity >= 50 AND l_returnflag = 'R') AS high, count(*) FILTER (l_quantity >= 50 AND l_returnflag = 'A') AS medium, count(*) FILTER (l_quantity >= 50 AND l_returnflag = 'N') AS low,
+_HIGH, _LOW = "l_returnflag = 'R' AND l_quantity >= 40", "l_returnflag <> 'R' AND l_quantity < 40"
+
+
+@query("risk_by_counts", "l_suppkey:int " + RISK_COLS, f"""WITH c AS (SELECT l_suppkey, count(*) FILTER ({_HIGH}) AS high, count(*) FILTER (NOT ({_HIGH}) AND NOT ({_LOW})) AS medium, count(*) FILTER ({_LOW}) AS low,
   bool_or(l_discount >= 0.1 AND l_quantity >= 50) AS veto FROM lineitem GROUP BY 1), {_risk_sql('c')}""")
 def risk_by_counts(spark, d):
-    """Line items as graded findings per supplier."""
-    li = C.table(spark, d, "lineitem")
-    big = F.col("l_quantity") >= 50
-    flag = lambda f: F.count_if(big & (F.col("l_returnflag") == f))
-    return scoring.risk_by_counts(li.groupBy("l_suppkey").agg(flag("R").alias("high"), flag("A").alias("medium"), flag("N").alias("low"), F.bool_or((F.col("l_discount") >= 0.1) & big).alias("veto")))
+    """Every line item as a finding of its supplier, graded by return flag and quantity."""
+    returned, large = F.col("l_returnflag") == "R", F.col("l_quantity") >= 40
+    counts = {"high": returned & large, "medium": returned != large, "low": ~returned & ~large}
+    veto = F.bool_or((F.col("l_discount") >= 0.1) & (F.col("l_quantity") >= 50)).alias("veto")
+    return scoring.risk_by_counts(C.table(spark, d, "lineitem").groupBy("l_suppkey").agg(*[F.count_if(c).alias(n) for n, c in counts.items()], veto))
 
 
 @query("trust_scores", "l_suppkey:int trust:float exploitability:float impact:float risk_score:float risk_level:str admission:str", """WITH c AS (SELECT l_suppkey, 100 - avg(l_quantity) AS base, count(*) FILTER (l_returnflag = 'R') / 10.0 AS p1, 100 - 200 * avg(l_tax) AS ics, -30 * avg(l_discount) * 10 AS ti, min(l_quantity) > 1 AS veto FROM lineitem GROUP BY 1),
@@ -245,8 +248,7 @@ def verdict_consensus(spark, d):
   g AS (SELECT skill_id, path, k, min(s) AS win_start, max(e) AS win_end, count(*) AS n_hits, list(line_no) AS hs FROM i GROUP BY 1, 2, 3)
   SELECT g.skill_id, g.path, win_start, win_end, n_hits, string_agg(CASE WHEN list_contains(hs, l.line_no) THEN '> ' ELSE '  ' END || lpad(l.line_no::VARCHAR, 4, ' ') || ' | ' || l.line, chr(10) ORDER BY l.line_no) AS body FROM g JOIN l ON g.skill_id = l.skill_id AND g.path = l.path AND l.line_no BETWEEN win_start AND win_end GROUP BY 1, 2, 3, 4, 5""")
 def evidence_windows(spark, d):
-    files = C.seeded_files(spark, d)
-    return FD.merge_evidence_windows(scan.scan_pack(files, P.ENVIRONMENT_EVASION), files)
+    return FD.pack_windows(C.seeded_files(spark, d), P.ENVIRONMENT_EVASION)
 
 
 @query("deduped_evidence", "skill_id:str path:str win_start:int body:str", f"""WITH {S.DOC_LINES}, w AS (SELECT skill_id, path, line_no AS win_start, line AS body, {S.trim("regexp_replace(line, '\\s+', ' ', 'g')")} AS k FROM doc_l) SELECT skill_id, path, win_start, body FROM (SELECT *, row_number() OVER (PARTITION BY skill_id, path, k ORDER BY win_start) AS rn FROM w) WHERE rn = 1""")

@@ -92,12 +92,18 @@ def selected(spark, d, p=None):
     return cut_lineage(CB.selected_profiles(C.supplier_selection(spark, d), p if p is not None else profiles(spark, d)))
 
 
-_MERGED = f"mg AS (SELECT selection_id, {', '.join(f'bool_or({c}) AS {c}' for c in A.CAPABILITIES)}, count(*) AS n_skills, (SELECT count(DISTINCT e) FROM (SELECT s2.selection_id AS s, unnest(evidence) AS e FROM sel s2 JOIN pr p2 ON s2.skill_id = p2.skill_id) WHERE s = sel.selection_id) AS n_evidence FROM sel JOIN pr ON sel.skill_id = pr.skill_id GROUP BY 1)"
+def evidence(spark, d):
+    """All evidence items of the suppliers, written once."""
+    return cut_lineage(A.evidence_items(C.supplier_behavior(spark, d)))
+
+
+_EV_LISTS = f"category IN ({', '.join(S.s(c) for c in A.EVIDENCE_LISTS)})"
+_MERGED = f"mg AS (SELECT selection_id, {', '.join(f'bool_or({c}) AS {c}' for c in A.CAPABILITIES)}, count(*) AS n_skills, (SELECT count(DISTINCT item) FROM sel s2 JOIN bh ON s2.skill_id = bh.skill_id WHERE {_EV_LISTS} AND s2.selection_id = sel.selection_id) AS n_evidence FROM sel JOIN pr ON sel.skill_id = pr.skill_id GROUP BY 1)"
 
 
 @query("merge_profiles", "selection_id:str " + " ".join(f"{c}:bool" for c in A.CAPABILITIES) + " n_skills:int n_evidence:int tags:str", f"WITH {PROFILE_CTE}, {_MERGED} SELECT *, array_to_string({_CAPS}, ',') AS tags FROM mg")
 def merge_profiles(spark, d):
-    return CB.merge_profiles(selected(spark, d)).withColumn("tags", F.array_join("tags", ","))
+    return CB.merge_profiles(selected(spark, d), evidence(spark, d)).withColumn("tags", F.array_join("tags", ","))
 
 
 _MR = "mr AS (SELECT selection_id, risk_id, title, arg_min(level, rk.skill_id) AS level, count(DISTINCT rk.skill_id) AS n_sources, min(rk.skill_id) AS first_source FROM sel JOIN rk ON sel.skill_id = rk.skill_id GROUP BY 1, 2, 3)"
@@ -108,13 +114,13 @@ def merge_risks(spark, d):
     return CB.merge_risks(C.supplier_selection(spark, d), risks(spark, d))
 
 
-_CE = "it AS (SELECT selection_id, pr.skill_id, unnest(evidence) AS e FROM sel JOIN pr ON sel.skill_id = pr.skill_id), ce AS (" + " UNION ".join(
+_CE = f"it AS (SELECT DISTINCT selection_id, sel.skill_id, item AS e FROM sel JOIN bh ON sel.skill_id = bh.skill_id WHERE {_EV_LISTS}), ce AS (" + " UNION ".join(
     f"SELECT DISTINCT selection_id, skill_id, {S.s(r)} AS chain_id, e AS evidence FROM it WHERE {S.any_in('lower(e)', [w for c in caps for w in CB.EVIDENCE_WORDS[c]])}" for r, (caps, *_) in CB.CHAIN_RULES.items()) + ")"
 
 
 @query("chain_evidence", "selection_id:str chain_id:str skill_id:str evidence:str", f"WITH {PROFILE_CTE}, {_CE} SELECT * FROM ce")
 def chain_evidence(spark, d):
-    return CB.chain_evidence(selected(spark, d))
+    return CB.chain_evidence(selected(spark, d), evidence(spark, d))
 
 
 _IC = f"""{_MERGED}, {_CE}, ic AS (""" + " UNION ALL ".join(f"""SELECT mg.selection_id, {S.s(r)} AS chain_id, {S.s(lvl)} AS level, {pri} AS priority, n_skills, (SELECT count(DISTINCT evidence) FROM ce WHERE ce.selection_id = mg.selection_id AND chain_id = {S.s(r)}) AS n_evidence FROM mg
@@ -126,7 +132,7 @@ _CHAINC = "selection_id:str chain_id:str level:str priority:int n_skills:int n_e
 
 @query("infer_chains", _CHAINC, f"WITH {PROFILE_CTE}, {_IC} SELECT * FROM ic")
 def infer_chains(spark, d):
-    return CB.infer_chains(selected(spark, d))
+    return CB.infer_chains(selected(spark, d), evidence(spark, d))
 
 
 _PATHS = "CASE chain_id " + " ".join(f"WHEN {S.s(r)} THEN {S.s(' > '.join(CB.ATTACK_STEPS[c] for c in caps))}" for r, (caps, *_) in CB.CHAIN_RULES.items()) + " END"
@@ -135,7 +141,7 @@ _TECH = "CASE chain_id " + " ".join(f"WHEN {S.s(r)} THEN {S.s(','.join(dict.from
 
 @query("fold_chains", _CHAINC + " attack_path:str techniques:str", f"WITH {PROFILE_CTE}, {_IC}, {_FOLD} SELECT *, {_PATHS} AS attack_path, {_TECH} AS techniques FROM fc")
 def fold_chains(spark, d):
-    return CB.fold_chains(cut_lineage(CB.infer_chains(selected(spark, d)))).withColumns({"attack_path": F.array_join(CB.attack_path(F.col("chain_id")), " > "), "techniques": F.array_join(CB.chain_techniques(F.col("chain_id")), ",")})
+    return CB.fold_chains(cut_lineage(CB.infer_chains(selected(spark, d), evidence(spark, d)))).withColumns({"attack_path": F.array_join(CB.attack_path(F.col("chain_id")), " > "), "techniques": F.array_join(CB.chain_techniques(F.col("chain_id")), ",")})
 
 
 @query("conclusion", "selection_id:str n_skills:int n_capabilities:int n_sensitive:int high_risks:int medium_risks:int low_risks:int n_chains:int confident_chains:int risk_level:str", f"""WITH {RISK_CTE}, {_MR}, {_IC}, {_FOLD}, q AS (SELECT s.selection_id, coalesce(n_skills, 0) AS n_skills, coalesce({' + '.join(f'{c}::INT' for c in A.CAPABILITIES)}, 0) AS n_capabilities, coalesce(network_access::INT + command_exec::INT + sensitive_data_access::INT + privilege_use::INT, 0) AS n_sensitive,
@@ -145,7 +151,8 @@ def fold_chains(spark, d):
 def conclusion(spark, d):
     sel, p = C.supplier_selection(spark, d), staged_profiles(spark, d)
     s = selected(spark, d, p)
-    return CB.conclusion(sel, CB.merge_profiles(s), CB.merge_risks(sel, risks(spark, d, p)), CB.fold_chains(cut_lineage(CB.infer_chains(s))))
+    ev = evidence(spark, d)
+    return CB.conclusion(sel, CB.merge_profiles(s, ev), CB.merge_risks(sel, risks(spark, d, p)), CB.fold_chains(cut_lineage(CB.infer_chains(s, ev))))
 
 
 @query("selection_keys", "o_custkey:int key:str", "SELECT o_custkey, sha1(string_agg(k, ',' ORDER BY k)) AS key FROM (SELECT DISTINCT o_custkey, 'R' || o_orderkey AS k FROM orders) GROUP BY 1")
@@ -404,12 +411,13 @@ def tree_files(spark, d):
 # --- incremental ------------------------------------------------------------------------------------------------------
 
 def snapshot(spark, d):
-    """Yesterday's fingerprints: shorter documents unchanged, longer ones altered, junk-free sources only."""
+    """Yesterday's fingerprints of all sizes: by a number from the document's id some are altered and some are missing."""
     f = INC.fingerprints(C.document_files(spark, d))
-    return f.where("size < 20000").withColumn("sha256", F.when(F.col("size") < 600, F.col("sha256")).otherwise(F.reverse("sha256")))
+    turn = F.regexp_extract("rel_path", "([0-9]+)$", 1).cast("long") * 7919 % 10
+    return f.where(turn < 9).withColumn("sha256", F.when(turn < 6, F.col("sha256")).otherwise(F.reverse("sha256")))
 
 
-_CMP = "cp AS (SELECT source AS skill_id, 'scripts/doc_' || doc_id AS rel_path, CASE WHEN strlen(text) < 600 OR (strlen(text) < 20000 AND reverse(sha256(text)) = sha256(text)) THEN 'hit' ELSE 'miss' END AS status FROM documents)"
+_CMP = "cp AS (SELECT source AS skill_id, 'scripts/doc_' || doc_id AS rel_path, CASE WHEN doc_id * 7919 % 10 < 6 OR (doc_id * 7919 % 10 < 9 AND reverse(sha256(text)) = sha256(text)) THEN 'hit' ELSE 'miss' END AS status FROM documents)"
 
 
 @query("changed_files", "skill_id:str rel_path:str", f"WITH {_CMP} SELECT skill_id, rel_path FROM cp WHERE status = 'miss'")

@@ -164,8 +164,7 @@ def hit_intervals(spark, d):
   SELECT h.skill_id, h.path, h.line_no, string_agg(CASE WHEN l.line_no = h.line_no THEN '> ' ELSE '  ' END || lpad(l.line_no::VARCHAR, greatest(4, len(l.line_no::VARCHAR))::INT, ' ') || ' | ' || l.line || chr(10), '' ORDER BY l.line_no) AS code_snippet
   FROM h JOIN doc_l l ON h.skill_id = l.skill_id AND h.path = l.path AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2 GROUP BY 1, 2, 3""")
 def code_context(spark, d):
-    files = C.document_files(spark, d)
-    return scan.code_context(scan.scan_pack(files, P.HARDCODED_CREDENTIALS), files, 2)
+    return scan.pack_context(C.document_files(spark, d), P.HARDCODED_CREDENTIALS, 2)
 
 
 _CUSTOM = '[{"name": "frequent words", "severity": "medium", "patterns": ["(?i)^the\\\\b", "(?i)\\\\btoken\\\\b"], "reason": "word rule"}, {"name": "questions", "severity": "low", "patterns": ["\\\\?$"]}, {"name": "", "severity": "high", "patterns": ["x"]}]'
