@@ -130,19 +130,53 @@ def test_license_scan(spark, docs, rows):
     extra = ["Licensed under the Apache License, Version 2.0. apache license", "GNU General-Public License! the MIT license cc by", "apache licence cc\nBY", "released under THE mit  license", "all of the rights were reserved", "x " * 50 + "this work is licensed under the gnu general public license version 3"]
     data = [*rows, *[(100 + i, t, None, None, None, None, None) for i, t in enumerate(extra)]]
 
+    def told(words, first, stride, notice):
+        own = [None, *notice.split(), None]
+        for w in {x for x in own if x in license_join.TELLING}:
+            near = {(own[i - 1], own[i + 1]) for i, x in enumerate(own) if x == w}
+            places = [i for i in range(first, min(len(words), first + 2 * stride)) if words[i] == w]
+            if not any((i and words[i - 1] == b and b) or (i + 1 < len(words) and words[i + 1] == a and a) for i in places for b, a in near):
+                return False
+        return True
+
     def want(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         places = [(i, label) for p, label in license_join.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-        blocks = [(k, label, Fraction(len(set(n.split()) & set(words[k : k + 64])), len(set(n.split())))) for k in range(0, len(words), 32) for label, n in notices]
-        blocks = [b for b in blocks if b[2] >= Fraction(4, 5)]
+        blocks = []
+        for label, n in notices:
+            stride = next(32 << k for k in range(20) if len(n.split()) <= 32 << k)
+            for k in range(0, len(words), stride):
+                share = Fraction(len(set(n.split()) & set(words[k : k + 2 * stride])), len(set(n.split())))
+                if share >= Fraction(4, 5) and told(words, k, stride, n):
+                    blocks.append((k, label, share))
         own = {x[1] for x in places}
         score = 1.0 if places else float(max((b[2] for b in blocks), default=0))
         return (len(words), len(places), min((p[0] for p in places), default=None), max((p[0] for p in places), default=None), ",".join(sorted(own)), ",".join(sorted(own | {b[1] for b in blocks})), round(score, 9), len(blocks))
 
+    extra += [text.upper() for _, text in license_join.NOTICES] + [text.replace(" the ", " ") + " mit sa nc apache" for _, text in license_join.NOTICES]
+    extra += ["word " * 40 + license_join.NOTICES[-1][1] + " word" * 300 + license_join.NOTICES[-3][1]]
+    data = [*rows, *[(100 + i, t, None, None, None, None, None) for i, t in enumerate(extra)]]
     got = license_join.scan_licenses(spark.createDataFrame(data, SCHEMA), notices).collect()
     assert bag((*r[:7], round(r[7], 9), len(r[8])) for r in got) == bag((d[0], *want(d[1])) for d in data)
 
 
+def test_license_scan_empty_and_long(spark, nothing):
+    assert license_join.scan_licenses(nothing).collect() == []
+    long = "word " * 400_000 + "Licensed under CC BY-NC 4.0."
+    r = license_join.scan_licenses(spark.createDataFrame([(1, long, None, None, None, None, None)], SCHEMA)).first()
+    assert (r["n_words"], r["first_word"], r["labels"]) == (400_007, 400_002, "cc-by,cc-by-nc")
+
+
+def test_notices_of_the_given_documents(spark):
+    """One label of its own kind for every notice in the wording of the documents, in any company of words."""
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache",
+    }
+    data = [(i, f"sa mit {before} {text} nd sa apache", None, None, None, None, None) for i, (text, before) in enumerate((t, b) for t in notices for b in ("", "a b " * 20))]
+    got = {r["doc_id"]: r["labels"] for r in license_join.scan_licenses(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {i: label for i, label in enumerate(x for x in notices.values() for _ in range(2))}
+
+
 def test_license_scan_whole_texts(spark):
     """A template longer than a stride is met wherever it stands, also when it has lost some words."""
     body = " ".join(f"clause{i}" for i in range(150))
@@ -160,7 +194,7 @@ def test_license_scan_siblings(spark):
         (header.format("program", "general"), {"gpl"}), (header.format("library", "lesser general"), {"lgpl"}), ("licensed under the mozilla public license version 2 0", set()),
     ]
     data = [(i, text, None, None, None, None, None) for i, (text, _) in enumerate(cases)]
-    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in license_join.scan_licenses(spark.createDataFrame(data, SCHEMA), apart=True).collect()}
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in license_join.scan_licenses(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got == {i: labels for i, (_, labels) in enumerate(cases)}
 
 
