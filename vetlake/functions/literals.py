@@ -8,6 +8,7 @@ the plan is built; a pattern without such words simply gets no pre-test.
 
 from __future__ import annotations
 
+import re
 import re._constants as sc
 import re._parser as sp
 from collections.abc import Iterable
@@ -22,7 +23,7 @@ MIN_LENGTH = 2
 
 def required_literals(pattern: str) -> frozenset[str] | None:
     """Lower-cased words of which every match contains at least one; None when there are none."""
-    if "[:" in pattern:  # a POSIX class, which Python reads as a set of letters
+    if re.search(r"\[:\^?\w+:\]", pattern):  # a POSIX class, which Python reads as a set of letters
         return None
     try:
         tree = sp.parse(pattern)
@@ -69,14 +70,19 @@ def _minimal(words: set[str]) -> list[str]:
 
 
 def guarded_match(c: Column, patterns: Iterable[str], flags: str = "") -> Column:
-    """``matches_any`` behind the word test; same answer, usually much cheaper."""
-    pats = list(patterns)
-    full = matches_any(c, [flags + p for p in pats])
-    words: set[str] = set()
-    for p in pats:
+    """``matches_any`` behind word tests; same answer, usually much cheaper.
+
+    A pattern is tried only where one of its own words stands; patterns without such words are tried last, together.
+    """
+    tested: dict[tuple[str, ...], list[str]] = {}
+    free: list[str] = []
+    for p in patterns:
         need = required_literals(p)
         if need is None:
-            return full
-        words |= need
+            free.append(flags + p)
+        else:
+            tested.setdefault(tuple(_minimal(set(need))), []).append(flags + p)
     # bound once: the lower-cased text is shared by all searches
-    return let(F.lower(c), lambda low: any_of(low.contains(w) for w in _minimal(words))) & full
+    words = let(F.lower(c), lambda low: any_of(any_of(low.contains(w) for w in need) & matches_any(c, some) for need, some in tested.items())) if tested else None
+    rest = [matches_any(c, free)] if free else []
+    return any_of([*([words] if tested else []), *rest])
