@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_trim
+from ..session import shared_dir
 
 SNAPSHOT_LIMIT = 2000
 CACHE_TTL_SECS = 24 * 3600
@@ -23,6 +26,21 @@ def compare_files(current: DataFrame, snapshot: DataFrame) -> DataFrame:
     return current.join(s, ["skill_id", "rel_path"], "left").withColumn("status", F.when(F.coalesce(same, F.lit(False)), F.lit("hit")).otherwise(F.lit("miss"))).drop("s_lang", "s_sha", "s_size")
 
 
+def bucketed(fingerprints_: DataFrame, name: str, buckets: int = 64) -> DataFrame:
+    """Fingerprints written as a table in the shared folder, dealt and sorted by file in ``buckets`` parts.
+
+    Two such tables with the same number of buckets are compared without a shuffle: write the snapshot
+    once a day like this, and the comparison of each run moves no row.
+    """
+    spark = fingerprints_.sparkSession
+    keys = ["skill_id", "rel_path"]
+    path = f"{shared_dir(spark)}/bucketed-{name}-{uuid.uuid4().hex}"
+    # one file per bucket, so that its order can be used
+    dealt = fingerprints_.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
 def changed_files(current: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Files that must be scanned again."""
     return compare_files(current, snapshot).where("status = 'miss'").drop("status")

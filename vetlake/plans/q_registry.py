@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import admission as A
+from ..operators import asof as AO
 from ..operators import combination as CB
 from ..operators import flow
 from ..operators import incremental as INC
@@ -425,6 +426,13 @@ def changed_files(spark, d):
     return INC.changed_files(INC.fingerprints(C.document_files(spark, d)), snapshot(spark, d))
 
 
+@query("changed_files_bucketed", "skill_id:str rel_path:str", f"WITH {_CMP} SELECT skill_id, rel_path FROM cp WHERE status = 'miss'")
+def changed_files_bucketed(spark, d):
+    """The same from two tables that lie bucketed by file, which are compared without a shuffle."""
+    now = INC.bucketed(INC.fingerprints(C.document_files(spark, d)), "vetlake_current_files", 16)
+    return INC.changed_files(now, INC.bucketed(snapshot(spark, d), "vetlake_snapshot_files", 16))
+
+
 @query("scan_stats", "skill_id:str candidate:int hit:int miss:int hit_rate:float", f"WITH {_CMP} SELECT skill_id, count(*) AS candidate, count(*) FILTER (status = 'hit') AS hit, count(*) FILTER (status = 'miss') AS miss, 100.0 * count(*) FILTER (status = 'hit') / count(*) AS hit_rate FROM cp GROUP BY 1")
 def scan_stats(spark, d):
     return INC.scan_stats(INC.compare_files(INC.fingerprints(C.document_files(spark, d)), snapshot(spark, d)))
@@ -447,6 +455,19 @@ def content_cache(spark, d):
     return out.withColumn("cache_key", F.substring_index("cache_key", ":", -1))
 
 
+_TTL = 36 * 3600
+
+
+@query("asof_reuse", "event_id:int result_at:int result_id:int cached:bool", f"""WITH rq AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events WHERE event_type = 'click'),
+  rs AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS at, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+  SELECT rq.event_id, rs.at AS result_at, rs.event_id AS result_id, coalesce(rq.at - rs.at < {_TTL}, FALSE) AS cached FROM rq ASOF LEFT JOIN rs ON rq.user_id = rs.user_id AND rq.at >= rs.at""")
+def asof_reuse(spark, d):
+    """Every click meets its user's latest purchase at or before it, and reuses it while it is fresh at that time."""
+    e = C.table(spark, d, "events").select("event_id", F.col("user_id").alias("cache_key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    out = AO.reusable(e.where("event_type = 'click'").drop("event_type"), e.where("event_type = 'purchase'").drop("event_type"), _TTL)
+    return out.select("event_id", F.col("result.at").alias("result_at"), F.col("result.event_id").alias("result_id"), "cached")
+
+
 @query("cache_keys", "skill_id:str key_len:int n_distinct:int", f"WITH {S.SEED_LINES} SELECT 'skill_' || g AS skill_id, 324 AS key_len, 1 AS n_distinct FROM man0")
 def cache_keys(spark, d):
     files = C.seeded_files(spark, d)
