@@ -425,6 +425,21 @@ def test_nearest_equals_brute_force_and_odd_vectors(spark):
     assert posting_lists.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_embeddings(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = sorted((r["vec_id"], r["embedding"]) for r in e.collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    want = set()
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want |= {(int(ids[q]), int(ids[j])) for j in np.lexsort((ids, -s))[:20]}
+    got = {(r["query_id"], r["vec_id"]) for r in posting_lists.nearest(e, F.col("vec_id") % 20 == 0).collect()}
+    print(sf, "recall", len(got & want) / len(want))
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_popular_lists_are_dealt_in_blocks(spark, monkeypatch):
     x = np.random.default_rng(2).normal(size=(300, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")

@@ -3,15 +3,16 @@
 *Measure.*  The largest inner product.  With one more coordinate, ``sqrt(M^2 - |x|^2)`` for vectors (``M`` the
 largest norm) and 0 for queries, it is the smallest distance, which is what the lists are built on.
 
-*Lists.*  Centroids are fitted on a bounded sample (``SAMPLE_ROWS``, smallest hash first), at most ``MAX_LISTS`` of
-them: k-means, then clusters with over twice the mean are split in two.  Every vector goes to its nearest
+*Lists.*  Centroids are fitted on a bounded sample (smallest hash first; ``SAMPLE_ROWS``, or ``SAMPLE_PER_LIST`` rows for
+each list if that is more), one per ``LIST_ROWS`` rows and at most ``MAX_LISTS`` of them: k-means, then clusters with over twice the mean are split in two.  Every vector goes to its nearest
 list and to further ones within ``1 + BOUNDARY`` times that distance, at most ``COPIES`` in all (its own lists, not
 its partners).  Equal vectors are one entry with their ``TOP + 1`` smallest ids; no more of them can be
 among the nearest.
 
 *Search.*  The centroids form a graph, each linked with its nearest ones both ways, searched best first in
 the tasks that read the queries.  A query takes all lists within a ratio of its nearest centroid's
-distance; the ratio is the smallest that reaches ``RECALL`` on the sample.  It also takes more until they
+distance; the ratio is the smallest that reaches ``RECALL`` for up to ``HELD_OUT`` rows of the sample that the centroids
+were not fitted on.  It also takes more until they
 hold enough entries for ``TOP`` results.  Queries and entries meet by list, both dealt in blocks of
 bounded size, so that a popular list is many tasks.  The nearest ``FIRST_LISTS`` lists come first; from the
 others only entries return that score no less than the last of the best found there, so what is returned
@@ -44,6 +45,8 @@ from vetlake.session import stage_table
 
 TOP = 20
 SAMPLE_ROWS = 20_000
+SAMPLE_PER_LIST = 8
+HELD_OUT = 300
 LIST_ROWS = 256
 MAX_LISTS = 1 << 14
 BOUNDARY = 0.05
@@ -51,6 +54,7 @@ COPIES = 8
 LINKS = 16
 RECALL = 0.97
 BLOCK_ROWS = 8192
+QUERIES_PER_TASK = 512
 FIRST_LISTS = 4
 SEED = 7
 
@@ -64,11 +68,17 @@ def _lift(x: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(longest * longest - (x * x).sum(1), 0.0))])
 
 
+def _some(c: np.ndarray) -> int:
+    """Rows at a time, so that their distances to all centroids stay within some 32 MB."""
+    return max(64, min(4096, (1 << 22) // len(c)))
+
+
 def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     c = x[rng.choice(len(x), min(lists, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.concatenate([np.argmin(_distances(x[i : i + 4096], c), axis=1) for i in range(0, len(x), 4096)])
+        step = _some(c)
+        near = np.concatenate([np.argmin(_distances(x[i : i + step], c), axis=1) for i in range(0, len(x), step)])
         size = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -152,20 +162,23 @@ def _lists_of(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, near[rows, at]
 
 
-def _ratio(x: np.ndarray, lifted: np.ndarray, c: np.ndarray, top: int) -> float:
-    """The smallest distance ratio with which queries from the sample find ``RECALL`` of their neighbours in it."""
-    ask = np.random.default_rng(SEED).choice(len(x), min(300, len(x)), replace=False)
+def _ratio(x: np.ndarray, lifted: np.ndarray, c: np.ndarray, top: int, ask: np.ndarray) -> float:
+    """The smallest distance ratio with which the rows ``ask`` of the sample find ``RECALL`` of their neighbours in it."""
     score = x[ask] @ x.T
     score[np.arange(len(ask)), ask] = -np.inf
     best = np.argsort(-score, axis=1)[:, : min(top, len(x) - 1)]
-    rows, lists = np.concatenate([np.stack([r + i, k]) for i in range(0, len(x), 4096) for r, k in [_lists_of(_distances(lifted[i : i + 4096], c))]], axis=1)
-    member = np.zeros((len(x), len(c)), bool)
-    member[rows, lists] = True
-    d = _distances(np.column_stack([x[ask], np.zeros(len(ask))]), c)
-    d = d / d.min(axis=1, keepdims=True)
-    # a neighbour is found as soon as the nearest of its lists is taken
-    need = np.array([np.where(member[best[i]], d[i], np.inf).min(axis=1) for i in range(len(ask))])
-    return float(np.quantile(need, RECALL)) * (1 + 1e-9) if need.size else 1.0
+    wanted, at = np.unique(best, return_inverse=True)
+    at, step = at.reshape(best.shape), _some(c)
+    lists: list[list[int]] = [[] for _ in wanted]
+    for i in range(0, len(wanted), step):
+        for r, k in zip(*(m.tolist() for m in _lists_of(_distances(lifted[wanted[i : i + step]], c)))):
+            lists[i + r].append(k)
+    need = []
+    for i, a in enumerate(ask):
+        d = _distances(np.append(x[a], 0.0)[None], c)[0]
+        # a neighbour is found as soon as the nearest of its lists is taken
+        need += [d[lists[j]].min() / d.min() for j in at[i]]
+    return float(np.quantile(need, RECALL)) * (1 + 1e-9) if need else 1.0
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -194,17 +207,21 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     if not facts["n"]:
         return spark.createDataFrame([], schema)
     longest = float(np.sqrt(facts["m"]))
-    sample = np.array([r["v"] for r in classes.orderBy("k1", "k2").limit(SAMPLE_ROWS).select("v").collect()])
+    lists = min(MAX_LISTS, -(-facts["n"] // LIST_ROWS))
+    sample = np.array([r["v"] for r in classes.orderBy("k1", "k2").limit(max(SAMPLE_ROWS, SAMPLE_PER_LIST * lists)).select("v").collect()])
     lifted = _lift(sample, longest)
-    centroids = balanced_centroids(lifted, min(MAX_LISTS, -(-facts["n"] // LIST_ROWS)))
-    ratio = _ratio(sample, lifted, centroids, top)
+    held = np.zeros(len(sample), bool)
+    held[np.random.default_rng(SEED).choice(len(sample), min(HELD_OUT, len(sample) // 3), replace=False)] = True
+    centroids = balanced_centroids(lifted[~held], lists)
+    ratio = _ratio(sample, lifted, centroids, top, np.flatnonzero(held))
     graph = CentroidGraph(centroids)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column("v").to_pylist())
-            for i in range(0, len(x), 4096):
-                r, k = _lists_of(_distances(_lift(x[i : i + 4096], longest), centroids))
+            step = _some(centroids)
+            for i in range(0, len(x), step):
+                r, k = _lists_of(_distances(_lift(x[i : i + step], longest), centroids))
                 yield pa.RecordBatch.from_arrays([pa.array(k), *[batch.column(c).take(pa.array(r + i)) for c in ("k1", "k2", "first", "v")]], names=["list", "k1", "k2", "first", "v"])
 
     entries = classes.select("k1", "k2", F.element_at("ids", 1).alias("first"), "v").mapInArrow(spread, "list long, k1 long, k2 long, first long, v array<double>")
@@ -223,7 +240,9 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
 
     asked = rows.where(is_query)
     queries = asked.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("v").alias("q")).dropDuplicates(["q1", "q2"])
-    taken = stage_table(queries.mapInArrow(look, "list long, place int, q1 long, q2 long, q array<double>"), "ann-taken")
+    # dealt to tasks of their own: the search costs far more than the bytes of a query tell
+    dealt = queries.repartition(max(1, -(-asked.count() // QUERIES_PER_TASK)), "q1", "q2")
+    taken = stage_table(dealt.mapInArrow(look, "list long, place int, q1 long, q2 long, q array<double>"), "ann-taken")
     asks = {r["list"]: r["count"] for r in taken.groupBy("list").count().collect()}  # at most MAX_LISTS rows
 
     def blocks(many: dict[int, int]) -> Column:
