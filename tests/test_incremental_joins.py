@@ -61,3 +61,22 @@ def test_word_guard_gives_the_same_hits(spark):
     assert df.where(guarded_match(F.col("line"), pats)).count() == df.where(matches_any(F.col("line"), pats)).count() > 50
     both = df.select(guarded_match(F.col("line"), pats).alias("a"), matches_any(F.col("line"), pats).alias("b"))
     assert both.where("a <> b").count() == 0
+
+
+def test_signatures_leave_out_blocks_but_no_hit(spark):
+    from vetlake.operators import scan, signatures
+
+    words = ["alpha", "beta", "gamma", "delta", "tok", "open", "password", "ünïcode"]
+    rows = [(f"s{i // 40}", f"f{i:03d}", " ".join(RND.choice(words) for _ in range(30)) + ("\nTOKEN = 'x'" if i in (17, 350) else "")) for i in range(400)] + [("s0", "empty", ""), ("s1", "null", None), ("s2", "ab", "ab")]
+    files = spark.createDataFrame(rows, "skill_id string, path string, content string").repartition(3)
+    signed = signatures.sign(files, 40)
+
+    hits = lambda df, rx: sorted(map(tuple, scan.explode_lines(df).where(F.col("line").rlike(rx)).collect()))
+    kept = signatures.may_hold(signed, [r"(?i)token\s*="])
+    assert hits(kept, r"(?i)token\s*=") == hits(files, r"(?i)token\s*=") and len(hits(kept, r"(?i)token\s*=")) == 2
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [block" in plan
+    paths = {r["f"] for r in kept.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert 1 <= len(paths) <= 8 < len(signed.texts.inputFiles())
+    assert hits(signatures.may_hold(signed, [r"a.z", r"token"]), "beta$") == hits(files, "beta$")  # no words: every block
+    assert signatures.may_hold(signed, ["zzzzzz"]).count() == 0

@@ -11,6 +11,7 @@ from ..operators.detectors import Detectors
 from ..operators import flow, scan
 from ..operators import packs as P
 from ..operators import rules as R
+from ..operators import signatures as SG
 from . import corpus as C
 from . import sqltext as S
 from .registry import query
@@ -160,6 +161,18 @@ def hit_intervals(spark, d):
     return scan.hit_intervals(C.seeded_files(spark, d), R.default_rules())
 
 
+_HEX_TOKEN = r"""(?i)token\s*=\s*"([0-9a-f]{40})\""""
+
+
+@query("signed_tokens", "skill_id:str path:str line_no:int token:str", f"WITH {S.DOC_LINES} SELECT skill_id, path, line_no, regexp_extract(line, {S.s(_HEX_TOKEN)}, 1) AS token FROM doc_l WHERE regexp_matches(line, {S.s(_HEX_TOKEN)})")
+def signed_tokens(spark, d):
+    """Assigned tokens of all documents: written in blocks with their signatures, then read only where a token can stand."""
+    files = C.document_files(spark, d).select("skill_id", "path", "content")
+    signed = SG.sign(files, max(8, files.count() // 16))
+    lines = scan.explode_lines(SG.may_hold(signed, [_HEX_TOKEN]))
+    return lines.where(FT.matches(F.col("line"), _HEX_TOKEN)).withColumn("token", F.regexp_extract("line", FT.jrx(_HEX_TOKEN), 1))
+
+
 @query("code_context", "skill_id:str path:str line_no:int code_snippet:str", f"""WITH {S.DOC_LINES}, h AS ({_pack_sql(P.HARDCODED_CREDENTIALS, 'doc_l')})
   SELECT h.skill_id, h.path, h.line_no, string_agg(CASE WHEN l.line_no = h.line_no THEN '> ' ELSE '  ' END || lpad(l.line_no::VARCHAR, greatest(4, len(l.line_no::VARCHAR))::INT, ' ') || ' | ' || l.line || chr(10), '' ORDER BY l.line_no) AS code_snippet
   FROM h JOIN doc_l l ON h.skill_id = l.skill_id AND h.path = l.path AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2 GROUP BY 1, 2, 3""")
