@@ -40,6 +40,11 @@ PROFILE_CTE = f"""{S.SUPPLIER}, pf AS (SELECT skill_id, {_FLAGS} FROM bh GROUP B
 _PROFILE_COLS = "skill_id:str " + " ".join(f"{c}:bool" for c in A.CAPABILITIES)
 
 
+def shown(spark, d):
+    """What suppliers show, each once, written once: profiles and evidence are both taken from it."""
+    return cut_lineage(C.supplier_behavior(spark, d).distinct())
+
+
 def profiles(spark, d):
     return A.capability_profiles(C.supplier_behavior(spark, d))
 
@@ -93,9 +98,10 @@ def selected(spark, d, p=None):
     return cut_lineage(CB.selected_profiles(C.supplier_selection(spark, d), p if p is not None else profiles(spark, d)))
 
 
-def evidence(spark, d):
-    """All evidence items of the suppliers, written once."""
-    return cut_lineage(A.evidence_items(C.supplier_behavior(spark, d)))
+def selected_with_evidence(spark, d):
+    """Selected profiles and all evidence items."""
+    b = shown(spark, d)
+    return selected(spark, d, A.capability_profiles(b)), A.evidence_items(b)
 
 
 _EV_LISTS = f"category IN ({', '.join(S.s(c) for c in A.EVIDENCE_LISTS)})"
@@ -104,7 +110,7 @@ _MERGED = f"mg AS (SELECT selection_id, {', '.join(f'bool_or({c}) AS {c}' for c
 
 @query("merge_profiles", "selection_id:str " + " ".join(f"{c}:bool" for c in A.CAPABILITIES) + " n_skills:int n_evidence:int tags:str", f"WITH {PROFILE_CTE}, {_MERGED} SELECT *, array_to_string({_CAPS}, ',') AS tags FROM mg")
 def merge_profiles(spark, d):
-    return CB.merge_profiles(selected(spark, d), evidence(spark, d)).withColumn("tags", F.array_join("tags", ","))
+    return CB.merge_profiles(*selected_with_evidence(spark, d)).withColumn("tags", F.array_join("tags", ","))
 
 
 _MR = "mr AS (SELECT selection_id, risk_id, title, arg_min(level, rk.skill_id) AS level, count(DISTINCT rk.skill_id) AS n_sources, min(rk.skill_id) AS first_source FROM sel JOIN rk ON sel.skill_id = rk.skill_id GROUP BY 1, 2, 3)"
@@ -121,7 +127,7 @@ _CE = f"it AS (SELECT DISTINCT selection_id, sel.skill_id, item AS e FROM sel JO
 
 @query("chain_evidence", "selection_id:str chain_id:str skill_id:str evidence:str", f"WITH {PROFILE_CTE}, {_CE} SELECT * FROM ce")
 def chain_evidence(spark, d):
-    return CB.chain_evidence(selected(spark, d), evidence(spark, d))
+    return CB.chain_evidence(*selected_with_evidence(spark, d))
 
 
 _IC = f"""{_MERGED}, {_CE}, ic AS (""" + " UNION ALL ".join(f"""SELECT mg.selection_id, {S.s(r)} AS chain_id, {S.s(lvl)} AS level, {pri} AS priority, n_skills, (SELECT count(DISTINCT evidence) FROM ce WHERE ce.selection_id = mg.selection_id AND chain_id = {S.s(r)}) AS n_evidence FROM mg
@@ -133,7 +139,7 @@ _CHAINC = "selection_id:str chain_id:str level:str priority:int n_skills:int n_e
 
 @query("infer_chains", _CHAINC, f"WITH {PROFILE_CTE}, {_IC} SELECT * FROM ic")
 def infer_chains(spark, d):
-    return CB.infer_chains(selected(spark, d), evidence(spark, d))
+    return CB.infer_chains(*selected_with_evidence(spark, d))
 
 
 _PATHS = "CASE chain_id " + " ".join(f"WHEN {S.s(r)} THEN {S.s(' > '.join(CB.ATTACK_STEPS[c] for c in caps))}" for r, (caps, *_) in CB.CHAIN_RULES.items()) + " END"
@@ -142,7 +148,7 @@ _TECH = "CASE chain_id " + " ".join(f"WHEN {S.s(r)} THEN {S.s(','.join(dict.from
 
 @query("fold_chains", _CHAINC + " attack_path:str techniques:str", f"WITH {PROFILE_CTE}, {_IC}, {_FOLD} SELECT *, {_PATHS} AS attack_path, {_TECH} AS techniques FROM fc")
 def fold_chains(spark, d):
-    return CB.fold_chains(cut_lineage(CB.infer_chains(selected(spark, d), evidence(spark, d)))).withColumns({"attack_path": F.array_join(CB.attack_path(F.col("chain_id")), " > "), "techniques": F.array_join(CB.chain_techniques(F.col("chain_id")), ",")})
+    return CB.fold_chains(cut_lineage(CB.infer_chains(*selected_with_evidence(spark, d)))).withColumns({"attack_path": F.array_join(CB.attack_path(F.col("chain_id")), " > "), "techniques": F.array_join(CB.chain_techniques(F.col("chain_id")), ",")})
 
 
 @query("conclusion", "selection_id:str n_skills:int n_capabilities:int n_sensitive:int high_risks:int medium_risks:int low_risks:int n_chains:int confident_chains:int risk_level:str", f"""WITH {RISK_CTE}, {_MR}, {_IC}, {_FOLD}, q AS (SELECT s.selection_id, coalesce(n_skills, 0) AS n_skills, coalesce({' + '.join(f'{c}::INT' for c in A.CAPABILITIES)}, 0) AS n_capabilities, coalesce(network_access::INT + command_exec::INT + sensitive_data_access::INT + privilege_use::INT, 0) AS n_sensitive,
@@ -150,9 +156,9 @@ def fold_chains(spark, d):
     (SELECT count(*) FROM fc WHERE fc.selection_id = s.selection_id) AS n_chains, (SELECT count(*) FROM fc WHERE fc.selection_id = s.selection_id AND n_skills >= 2 AND n_evidence >= 2) AS confident_chains FROM (SELECT DISTINCT selection_id FROM sel) s LEFT JOIN mg ON s.selection_id = mg.selection_id)
   SELECT *, CASE WHEN high_risks > 0 OR confident_chains > 0 THEN 'high' WHEN medium_risks > 0 OR n_sensitive >= 3 OR (n_sensitive >= 2 AND n_chains > 0) THEN 'medium' ELSE 'low' END AS risk_level FROM q""")
 def conclusion(spark, d):
-    sel, p = C.supplier_selection(spark, d), staged_profiles(spark, d)
+    sel, b = C.supplier_selection(spark, d), shown(spark, d)
+    p, ev = cut_lineage(A.capability_profiles(b)), cut_lineage(A.evidence_items(b))
     s = selected(spark, d, p)
-    ev = evidence(spark, d)
     return CB.conclusion(sel, CB.merge_profiles(s, ev), CB.merge_risks(sel, risks(spark, d, p)), CB.fold_chains(cut_lineage(CB.infer_chains(s, ev))))
 
 
