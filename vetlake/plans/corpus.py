@@ -1,7 +1,7 @@
 """Adapters: the driver tables as files, skills, points, profiles, reports, registry rows and verdicts.
 
 The text tables hold prose, so most code rules find nothing in them.  ``seeded_files`` keeps
-every document and replaces some of its lines by sample code lines chosen from the document id
+every line of every document and adds sample code lines between them, chosen from the document id
 and line number; the result grows with ``documents`` and gives each rule real hits.
 """
 
