@@ -284,6 +284,24 @@ def test_suffix_dedup_overfull_anchor(spark):
         assert gone == w[4]
 
 
+@pytest.mark.parametrize("limit", [suffix_dedup.BLOCK, 2500])
+def test_suffix_dedup_many_copies(spark, limit):
+    # copies of one text are most of the table, and others share a passage with it, with or without room in a block
+    passage = prose(70)
+    hot = prose(30) + " " + passage + " " + prose(30)
+    texts = [hot] * 120 + [prose(15) + " " + passage + " " + prose(15) for _ in range(25)] + [prose(40), None, "", "short", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    whole = brute_removed(texts)
+    keys = docs.select("doc_id", *suffix_dedup.text_key(F.coalesce("text", F.lit(""))))
+    got = {r["doc_id"]: suffix_dedup._merged(r["spans"]) for r in keys.join(suffix_dedup.repeated_spans(docs, limit), ["k1", "k2"], "left").collect()}
+    for i, w in enumerate(whole):
+        gone = bytearray(w[0])
+        for a, b in got[i]:
+            gone[a:b] = b"\1" * (b - a)
+        assert gone == w[4], i
+    assert got[0] == [(0, len(hot.encode()))]
+
+
 def test_cut_documents_keeps_characters_whole(spark):
     tail = "é" * 150
     rows = [(1, "xéa" + tail, "k", 3), (2, "yèa" + tail, "k", 3), (3, None, "n", None)]

@@ -16,8 +16,13 @@ value is then the length at hand.  The expansion stops at ``WIDTH``: places stil
 that share ``WIDTH`` bytes or more.  A window whose class has weight 2 or more is repeated.
 
 An anchor with more than ``BLOCK`` bytes of different segments (a passage in very many contexts) is dealt
-again window by window, by the hash of the whole window, through the same search; equal windows then count
-as one.  No task holds more than a block.
+again window by window, by the hash of the whole window, through the same search.  Equal windows are summed to
+one row before they are dealt, and the repeated ones are joined back to the segments that hold them, so no task
+holds more than a block and the list of a window's places is never gathered.
+
+*Copies.*  A task cuts a text at most twice (twice says that it is repeated; ``SEEN`` texts are remembered, and a
+forgotten one is cut again), and bytes are fetched from one copy, so a text that is a third of all rows costs two
+rows a segment and task.
 
 *Cutting.*  Repeated windows go back to the places of their segment, and the spans of a text to the text.
 Texts are known by 128 hash bits, so copies share one set of spans and null or repeated ids do no harm.
@@ -47,6 +52,7 @@ WIDTH = 200
 GRAM = 48
 LONGEST_RUN = 512
 BLOCK = 2 << 20
+SEEN = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _GAP = 0xFF  # never a byte of UTF-8
@@ -202,14 +208,24 @@ _PLACE = "anchor long, seg long, k1 long, k2 long, at long, windows int, twin bo
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """One row per segment place: its anchor and hash, the text it is in, its first window and their number."""
+    """One row per segment place: its anchor and hash, the text it is in, its first window and their number.
+
+    A text with copies in its task is cut twice there, which is enough to call all of it repeated.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                times = seen.get((k1, k2), 0)
+                if times == 2:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen[k1, k2] = times + 1
                 raw = text.as_py().encode()
                 anchor, start, count, twin = segments(np.frombuffer(raw, np.uint8))
                 if not len(start):
@@ -260,7 +276,10 @@ def _shared(places: DataFrame) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The bytes of one copy of each shared segment: ``anchor, seg, weight, part``."""
+    """The bytes of each shared segment, from one copy of its text: ``anchor, seg, weight, part``.
+
+    Copies are left out on the way to the join, which finds the texts dealt by its own keys.
+    """
     wanted = shared.where("weight > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "seg", "at", "windows", "weight")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,52 +292,45 @@ def _fetched(docs: DataFrame, shared: DataFrame) -> DataFrame:
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["anchor", "seg", "weight", "part"])
 
-    return docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(cut, "anchor long, seg long, weight int, part binary")
+    once = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    return once.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(cut, "anchor long, seg long, weight int, part binary")
 
 
 def _searched(parts: DataFrame, limit: int) -> DataFrame:
-    """Runs of repeated windows ``anchor, seg, a, b`` of ``parts(key, anchor, seg, shift, weight, part)``.
+    """Runs of repeated windows ``anchor, seg, a, b`` of ``parts(key, anchor, seg, weight, part)``, whose parts differ within a key.
 
-    Rows of an over-full key have ``a`` null.  Equal parts of a key are one, with both weights.
+    Rows of an over-full key have ``a`` null.
     """
-    dealt = parts.repartition("key").sortWithinPartitions("key", "part", "anchor", "seg", "shift")
+    dealt = parts.repartition("key").sortWithinPartitions("key", "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple[list[tuple[int, int, int]], bytes, int]] = []  # owners, bytes, weight
+        block: list[tuple[int, int, bytes, int]] = []  # anchor, segment, bytes, weight
         held, key, at, over, size = 0, None, 0, False, 0  # block[at:] is the open key, of size bytes
-        last = None
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "seg", "a", "b"])
 
         def solved(ready: list) -> list[tuple]:
-            part, a, b = repeated_windows([x[1] for x in ready], [x[2] for x in ready])
-            return [(anchor, seg, shift + i, shift + j) for k, i, j in zip(part.tolist(), a.tolist(), b.tolist()) for anchor, seg, shift in ready[k][0]]
+            part, a, b = repeated_windows([x[2] for x in ready], [x[3] for x in ready])
+            return [(*ready[k][:2], i, j) for k, i, j in zip(part.tolist(), a.tolist(), b.tolist())]
 
         for batch in batches:
             rows: list[tuple] = []
-            for key_, anchor, seg, shift, weight, part in zip(*[batch.column(n).to_pylist() for n in ("key", "anchor", "seg", "shift", "weight", "part")]):
+            for key_, anchor, seg, weight, part in zip(*[batch.column(n).to_pylist() for n in ("key", "anchor", "seg", "weight", "part")]):
                 if key_ != key:
                     if held >= BLOCK:
                         rows += solved(block)
                         block, held = [], 0
-                    key, at, over, size, last = key_, len(block), False, 0, None
+                    key, at, over, size = key_, len(block), False, 0
                 if over:
                     rows.append((anchor, seg, None, None))
                     continue
-                if last and last[1] == part:
-                    owners, _, w = last
-                    if (anchor, seg, shift) != owners[-1]:  # a copy of the text gave the same segment again
-                        owners.append((anchor, seg, shift))
-                        last[2] = w + weight
-                    continue
-                last = [[(anchor, seg, shift)], part, weight]
-                block.append(last)
+                block.append((anchor, seg, part, weight))
                 held += len(part) + 1
                 size += len(part) + 1
                 if limit and size > limit:
-                    rows += [(*o[:2], None, None) for x in block[at:] for o in x[0]]
+                    rows += [(*x[:2], None, None) for x in block[at:]]
                     held -= size
                     del block[at:]
                     over = True
@@ -330,7 +342,7 @@ def _searched(parts: DataFrame, limit: int) -> DataFrame:
 
 
 def _by_window(parts: DataFrame) -> DataFrame:
-    """Each window of ``parts`` as a part of its own, keyed by its hash."""
+    """Each window of ``parts`` by itself, keyed by its hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,18 +355,33 @@ def _by_window(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(cut, "key long, anchor long, seg long, shift long, weight int, part binary")
 
 
+def _window_runs(parts: DataFrame) -> DataFrame:
+    """Repeated windows ``anchor, seg, a, b`` of over-full anchors.
+
+    The search sees each different window once, with the weight of all its places (2 stands for more); its result,
+    hashes alone, finds the places by a join that leaves no row of a window's places waiting for another.
+    """
+    windows = _by_window(parts)
+    name = F.xxhash64("part").alias("seg")
+    different = windows.groupBy("key", "part").agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"))
+    found = _searched(different.select("key", F.col("key").alias("anchor"), name, "weight", "part"), 0)
+    repeated = stage_table(found.select(F.col("anchor").alias("key"), F.col("seg").alias("window")), "repeat-windows")
+    places = windows.select("key", F.xxhash64("part").alias("window"), "anchor", "seg", "shift")
+    return places.join(repeated, ["key", "window"], "left_semi").select("anchor", "seg", F.col("shift").alias("a"), F.col("shift").alias("b"))
+
+
 def repeated_spans(docs: DataFrame, limit: int = BLOCK) -> DataFrame:
     """``k1, k2, spans``: the byte spans to remove from the texts with these hash bits, sorted; they may touch or overlap."""
     keyed = docs.select(*text_key(whole_text()), whole_text().alias("text"))
     shared = stage_table(_shared(_places(keyed)), "repeat-places")
     parts = stage_table(_fetched(keyed, shared), "repeat-parts")
-    first = parts.select(F.col("anchor").alias("key"), "anchor", "seg", F.lit(0).cast("long").alias("shift"), "weight", "part")
+    first = parts.select(F.col("anchor").alias("key"), "anchor", "seg", "weight", "part")
     found = stage_table(_searched(first, limit), "repeat-runs")
     runs = found.where("a is not null")
     over = found.where("a is null").select("anchor", "seg").distinct()
     if not over.isEmpty():
-        again = parts.dropDuplicates(["anchor", "seg"]).join(over, ["anchor", "seg"], "left_semi")
-        runs = runs.unionByName(stage_table(_searched(_by_window(again), 0), "repeat-windows"))
+        again = parts.join(over, ["anchor", "seg"], "left_semi")
+        runs = runs.unionByName(stage_table(_window_runs(again), "repeat-window-places"))
     spans = shared.join(runs, ["anchor", "seg"]).select("k1", "k2", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + WIDTH).alias("b")).alias("s"))
     return spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("s")).alias("spans"))
 
