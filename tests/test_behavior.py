@@ -18,7 +18,7 @@ def test_malicious_script(make_files):
     alerts = {r["alert"] for r in B.sequence_alerts(segs).collect()}
     assert {"download then execute", "credential then outbound"} <= alerts
     assert B.behavior_points(f).where("category = 'c2_beacon'").count() == 1
-    risk = B.behavior_risk(B.behavior_counts(B.behavior_points(f), segs)).first()
+    risk = B.behavior_risk(B.behavior_counts(segs)).first()
     assert risk["veto"]
 
 

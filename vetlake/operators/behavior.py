@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.literals import guarded_match
 from ..functions.paths import is_signal_file
-from ..functions.text import has_any, is_code_line, jrx, matches, ws_trim
+from ..functions.text import any_of, has_any, is_code_line, jrx, matches, ws_trim
 from . import packs as P
 from .scan import explode_lines, explode_tests
 
@@ -206,15 +206,15 @@ ALERT_PAIRS = {
 VETO_ALERTS = ["credential then outbound", "evasion then execute", "lateral then control"]
 
 
+def _alert_tests(pairs: dict[str, list[tuple[str, str]]]) -> dict[str, Column]:
+    """Per alert: an A stands before the last B of the segment, for any of its pairs."""
+    met = lambda a, b: F.coalesce(F.col("cats")[a]["first"] < F.col("cats")[b]["last"], F.lit(False))
+    return {name: any_of(met(a, b) for a, b in combos) for name, combos in pairs.items()}
+
+
 def sequence_alerts(segs: DataFrame, pairs: dict[str, list[tuple[str, str]]] | None = None, owner: str = "skill_id") -> DataFrame:
     """Alerts whose first A precedes the last B inside one segment; segments counted per (owner, alert)."""
-    cells = []
-    for name, combos in (pairs or ALERT_PAIRS).items():
-        tests = [F.coalesce(F.col("cats")[a]["first"] < F.col("cats")[b]["last"], F.lit(False)) for a, b in combos]
-        cond = tests[0]
-        for t in tests[1:]:
-            cond = cond | t
-        cells.append(F.when(cond, F.lit(name)))
+    cells = [F.when(cond, F.lit(name)) for name, cond in _alert_tests(pairs or ALERT_PAIRS).items()]
     return segs.select(owner, F.explode(F.array_compact(F.array(*cells))).alias("alert")).groupBy(owner, "alert").agg(F.count("*").alias("n_segments"))
 
 
@@ -258,23 +258,21 @@ RISK_INPUTS = ["download", "drop", "execute", "outbound", "persistence", "priv_e
                "lateral_move", "collection", "c2_beacon", "chains", "alerts", "veto_alerts", "warnings"]
 
 
-def behavior_counts(points: DataFrame, segs: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+def behavior_counts(segs: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
     """Counts per skill that the risk assessment needs.
 
-    Every input is reduced to one row per skill by partial aggregation, then unioned and
-    summed: no join, one small shuffle.
+    Every point lies in one segment, so points, chains and alerts are one aggregate over the segments,
+    which combines before its only shuffle.
     """
-    pts = points.groupBy("skill_id").agg(*[F.count_if(F.col("category") == c).alias(c) for c in P.BEHAVIOR_CATEGORIES])
-    ch = correlated(segs).groupBy("skill_id").agg(F.count("*").alias("chains"))
-    al = sequence_alerts(segs).groupBy("skill_id").agg(F.count("*").alias("alerts"), F.count_if(F.col("alert").isin(VETO_ALERTS)).alias("veto_alerts"))
-    parts = [pts, ch, al]
-    if warnings is not None:
-        parts.append(warnings.groupBy("skill_id").agg(F.count_distinct("warning").alias("warnings")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    alerts = _alert_tests(ALERT_PAIRS)
+    seen = {name: F.coalesce(F.bool_or(cond), F.lit(False)).cast("long") for name, cond in alerts.items()}
+    total = lambda names: sum((seen[n] for n in names), F.lit(0).cast("long"))
+    out = segs.groupBy("skill_id").agg(
+        *[F.coalesce(F.sum(F.col("cats")[c]["n"]), F.lit(0)).alias(c) for c in P.BEHAVIOR_CATEGORIES],
+        F.count_if(F.col("n_categories") >= 2).alias("chains"), total(alerts).alias("alerts"), total(VETO_ALERTS).alias("veto_alerts"))
     if warnings is None:
-        out = out.withColumn("warnings", F.lit(0).cast("long"))
+        return out.select("skill_id", *[F.lit(0).cast("long").alias(c) if c == "warnings" else c for c in RISK_INPUTS])
+    out = out.unionByName(warnings.groupBy("skill_id").agg(F.count_distinct("warning").alias("warnings")), allowMissingColumns=True)
     return out.groupBy("skill_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in RISK_INPUTS])
 
 

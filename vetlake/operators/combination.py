@@ -6,8 +6,13 @@ selection is one with a constant id.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_array, has_any, ws_trim
 from ..session import cut_lineage
@@ -41,6 +46,45 @@ def selection_key(ids: Column) -> Column:
     return F.sha1(F.array_join(F.array_sort(clean_array(ids)), ","))
 
 
+def selection_keys(selection: DataFrame, owner: str, member: str) -> DataFrame:
+    """``owner, key``: ``selection_key`` of each owner's members, for selections of any length.
+
+    A hash of a sorted list is sequential, so an owner's members pass through one task, but one at a time: they are
+    made distinct first, sorted by Spark (which spills), and fed to the running hash.  Null and blank members count as none;
+    rows without an owner are one owner.
+    """
+    members = selection.select(F.col(owner).alias("owner"), F.coalesce(ws_trim(F.col(member).cast("string")), F.lit("")).alias("member")).distinct()
+    dealt = members.repartition("owner").sortWithinPartitions("owner", "member")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        now = digest = kind = None
+        some = False  # the open owner has a member
+
+        def ready() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([o for o, _ in done], kind), pa.array([k for _, k in done], pa.string())], names=[owner, "key"])
+            done.clear()
+            return out
+
+        for batch in batches:
+            kind = batch.schema.field("owner").type
+            for o, m in zip(batch.column("owner").to_pylist(), batch.column("member").to_pylist()):
+                if digest is None or o != now:
+                    if digest is not None:
+                        done.append((now, digest.hexdigest()))
+                    now, digest, some = o, hashlib.sha1(), False
+                if m:
+                    digest.update((b"," if some else b"") + m.encode())
+                    some = True
+            if done:
+                yield ready()
+        if digest is not None:
+            done.append((now, digest.hexdigest()))
+            yield ready()
+
+    return dealt.mapInArrow(keys, T.StructType([T.StructField(owner, selection.schema[owner].dataType), T.StructField("key", T.StringType())]))
+
+
 def selected_profiles(selection: DataFrame, profiles: DataFrame) -> DataFrame:
     return selection.select("selection_id", "skill_id").distinct().join(profiles, "skill_id")
 

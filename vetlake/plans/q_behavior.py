@@ -8,6 +8,7 @@ from ..operators import behavior as B
 from ..operators import intel as I
 from ..operators import packs as P
 from ..operators.scan import explode_lines
+from ..session import stage_table
 from . import corpus as C
 from . import sqltext as S
 from .q_rules import _SIGL
@@ -116,8 +117,7 @@ _VETO = """((priv_esc > 0 AND (execute > 0 OR chains > 0)) OR (credential > 0 AN
 
 @query("behavior_risk", "skill_id:str chains:int alerts:int deduction:int veto:bool ics:int", f"WITH {S.EVENT_POINTS}, {_CHAIN}, {_ALERT}, {_RISK_IN} SELECT skill_id, chains, alerts, {_DED} AS deduction, {_VETO} AS veto, 100 - least({_DED}, 100) AS ics FROM rc")
 def behavior_risk(spark, d):
-    pts = C.event_points(spark, d)
-    return B.behavior_risk(B.behavior_counts(pts, B.segments(pts, C.EVENT_GAP)))
+    return B.behavior_risk(B.behavior_counts(event_segments(spark, d)))
 
 
 # --- segments over files --------------------------------------------------------------------------
@@ -183,6 +183,11 @@ def _distinct_targets(spark, d):
     return page_and_seed_targets(spark, d).select("target").distinct()
 
 
+def _staged_targets(spark, d):
+    """Distinct (skill_id, target), written once: every provider reads this table and none the texts."""
+    return stage_table(page_and_seed_targets(spark, d), "targets")
+
+
 @query("reputation_local", "target:str reputation:str confidence:float", f"WITH {_TI_CTE}, {_local_sql('pt')} SELECT * FROM lr")
 def reputation_local(spark, d):
     return I.local_reputation(_distinct_targets(spark, d))
@@ -193,8 +198,8 @@ def _feed(spark, d, token):
     return C.table(spark, d, "pages").where(F.col("url").contains(token)).select(F.col("url").alias("indicator"))
 
 
-def _providers(spark, d):
-    t = _distinct_targets(spark, d)
+def _providers(spark, d, targets):
+    t = targets.select("target").distinct()
     return [I.feed_reputation(t, _feed(spark, d, "#"), "feed1"), I.feed_reputation(t, _feed(spark, d, "?"), "feed2"), I.local_reputation(t)]
 
 
@@ -209,12 +214,12 @@ MERGED_CTE = f"{_TI_CTE}, {_local_sql('pt')}, {_FEEDS}, {_MERGED}"
 
 @query("reputation_feeds", "target:str reputation:str confidence:float", f"WITH {_TI_CTE}, {_local_sql('pt')}, {_FEEDS} SELECT target, reputation, confidence FROM fd WHERE o = 1")
 def reputation_feeds(spark, d):
-    return _providers(spark, d)[0]
+    return _providers(spark, d, page_and_seed_targets(spark, d))[0]
 
 
 @query("reputation_merged", "target:str reputation:str confidence:float", f"WITH {MERGED_CTE} SELECT * FROM mr")
 def reputation_merged(spark, d):
-    return I.merge_reputations(_providers(spark, d))
+    return I.merge_reputations(_providers(spark, d, _staged_targets(spark, d)))
 
 
 _ADJ = "CASE r WHEN 'malicious' THEN -10 * c WHEN 'high-risk' THEN -10 * c WHEN 'suspicious' THEN -8 * c WHEN 'policy' THEN -3 * c WHEN 'unknown' THEN -1 WHEN 'trusted' THEN 2 * c WHEN 'internal' THEN 2 * c WHEN 'benign' THEN 2 * c ELSE 0 END"
@@ -223,7 +228,8 @@ _ADJ = "CASE r WHEN 'malicious' THEN -10 * c WHEN 'high-risk' THEN -10 * c WHEN
 @query("ti_adjustment", "skill_id:str n_targets:int adjustment:float malicious:bool suspicious:bool", f"""WITH {MERGED_CTE}, j AS (SELECT skill_id, coalesce(reputation, 'unknown') AS r, coalesce(confidence, 0.4) AS c FROM pt LEFT JOIN mr ON pt.target = mr.target)
   SELECT skill_id, count(*) AS n_targets, greatest(least(sum({_ADJ}), 10), -30) AS adjustment, bool_or(r IN ('malicious', 'high-risk', 'suspicious') AND c >= 0.85) AS malicious, bool_or(r IN ('malicious', 'high-risk', 'suspicious')) AS suspicious FROM j GROUP BY 1""")
 def ti_adjustment(spark, d):
-    return I.ti_adjustment(page_and_seed_targets(spark, d), I.merge_reputations(_providers(spark, d)))
+    targets = _staged_targets(spark, d)
+    return I.ti_adjustment(targets, I.merge_reputations(_providers(spark, d, targets)))
 
 
 @query("finding_reputation", "finding_id:str reputation:str", f"""WITH {S.PAGE_FILES}, {S.SEED_LINES}, {_PT}, {_local_sql('pt')}, ev AS (SELECT skill_id || '/' || path || ':' || line_no AS finding_id, {_TGT} AS t FROM l)

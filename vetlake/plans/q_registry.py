@@ -165,9 +165,8 @@ def conclusion(spark, d):
 @query("selection_keys", "o_custkey:int key:str", "SELECT o_custkey, sha1(string_agg(k, ',' ORDER BY k)) AS key FROM (SELECT DISTINCT o_custkey, 'R' || o_orderkey AS k FROM orders) GROUP BY 1")
 def selection_keys(spark, d):
     """Key of every customer's set of orders; repeats and order do not matter."""
-    o = C.table(spark, d, "orders")
-    ids = o.groupBy("o_custkey").agg(F.collect_set(F.concat(F.lit(" R"), F.col("o_orderkey").cast("string"))).alias("ids"))
-    return ids.select("o_custkey", CB.selection_key(F.col("ids")).alias("key"))
+    o = C.table(spark, d, "orders").select("o_custkey", F.concat(F.lit(" R"), F.col("o_orderkey").cast("string")).alias("id"))
+    return CB.selection_keys(o, "o_custkey", "id")
 
 
 _PAIRS = " UNION ALL ".join(f"SELECT '{a}+{b}' AS pair, count(*) FILTER ({a}) AS n_a, count(*) FILTER ({b}) AS n_b, count(*) FILTER ({a} AND {b}) AS n_ab, (SELECT count(*) FROM pr x JOIN pr y ON x.skill_id < y.skill_id WHERE (x.{a} AND y.{b}) OR (x.{b} AND y.{a})) AS n_pairs FROM pr" for a, b in CB.COMPLEMENT)

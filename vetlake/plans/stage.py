@@ -63,7 +63,7 @@ class Stage:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return B.behavior_counts(self.points, self.segments)
+        return B.behavior_counts(self.segments)
 
     @cached_property
     def groups(self) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_OPEN_SCOPES: list[list[str]] = []
 
 
 def build_session(app: str = "vetlake", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -72,21 +74,44 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _OPEN_SCOPES:
+        _OPEN_SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(staged: DataFrame) -> None:
     """Delete one staged table when nothing reads it any more."""
     spark = staged.sparkSession
     root = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}/"
     for folder in {f.rpartition("/")[0] for f in staged.inputFiles()}:
         if root in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
+
+
+def stage_result(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stage what ``build`` returns and delete the tables that it staged on the way.
+
+    The result no longer reads them.  A failed build leaves its tables to ``drop_staged``.  For one driver thread at a time.
+    """
+    made: list[str] = []
+    _OPEN_SCOPES.append(made)
+    try:
+        out = stage_table(build(), name)
+    finally:
+        _OPEN_SCOPES.pop()
+    for folder in made[:-1]:
+        _delete(spark, folder)
+    if _OPEN_SCOPES:
+        _OPEN_SCOPES[-1].append(made[-1])
+    return out
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete every staged table of this application (call it when results have been written)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}")
