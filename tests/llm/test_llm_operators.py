@@ -103,6 +103,19 @@ def test_token_counts(docs, rows):
         assert bag((r[0], r[1], r[2], r[3], round(r[4], 6), r[5]) for r in got) == bag((d[0], *x) for d in small for x in want(d[1], rule))
 
 
+@pytest.mark.parametrize("rule", token_attribution.RULES)
+def test_token_counts_empty_and_long(spark, nothing, rule):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    assert token_attribution.count_tokens(nothing, rule).count() == 0
+    long = prose(40_000) + "\n" + "x" * 50_000 + " é" * 20_000
+    got = token_attribution.count_tokens(spark.createDataFrame([(1, long), (2, "")], "doc_id long, text string"), rule).where("doc_id = 1").collect()
+    assert sum(r["n_tokens"] for r in got) == pytest.approx(len(t.encode(long, add_special_tokens=False).ids))
+
+
 def test_token_spans_cross_sections():
     first, last = np.array([0, 3, 5]), np.array([2, 4, 9])
     starts = np.array([0, 4, 6, 8])

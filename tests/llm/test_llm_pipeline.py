@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vetlake.llm import mixing, packing, quality_llr, simhash_bk, suffix_dedup
+from vetlake.session import shared_dir
 
 from .test_llm_operators import WORDS
 
@@ -58,3 +60,21 @@ def test_run(spark, folder):
     assert set(packing._PIECES.names) < set(rows.columns)
     fill = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert fill.where("n <> end OR n > 2048").count() == 0 and fill.count() > 0
+
+
+def test_run_leaves_one_document_table(spark, folder):
+    staged = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}".removeprefix("file:")
+    names = lambda: set(os.listdir(staged)) if os.path.isdir(staged) else set()
+    before = names()
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    assert [n for n in names() - before if n.startswith("pipeline")] == [n for n in names() - before if n.startswith("pipeline-3")]
+    assert not any(n.startswith(("simhash", "repeat")) for n in names() - before)
+
+
+@pytest.mark.parametrize("texts", [[], [None, "", " \n"], ["too short"]])
+def test_run_without_good_documents(spark, folder, tmp_path, texts):
+    full = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", "s", 0, "more") for i, t in enumerate(texts)], full.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows.count() == 0 and set(packing._PIECES.names) < set(rows.columns)
