@@ -21,8 +21,8 @@ one row before they are dealt, and the repeated ones are joined back to the segm
 holds more than a block and the list of a window's places is never gathered.
 
 *Copies.*  A task cuts a text at most twice (twice says that it is repeated; ``SEEN`` texts are remembered, and a
-forgotten one is cut again), and bytes are fetched from one copy, so a text that is a third of all rows costs two
-rows a segment and task.
+forgotten one is cut again), and bytes are cut out of one copy a task, so a text that is a third of all rows costs
+two rows a segment and task.
 
 *Cutting.*  Repeated windows go back to the places of their segment, and the spans of a text to the text.
 Texts are known by 128 hash bits, so copies share one set of spans and null or repeated ids do no harm.
@@ -278,28 +278,33 @@ def _shared(places: DataFrame) -> DataFrame:
 def _fetched(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """The bytes of each shared segment, from one copy of its text: ``anchor, seg, weight, part``.
 
-    Copies are left out on the way to the join, which finds the texts dealt by its own keys.
+    A task remembers ``SEEN`` texts; copies in other tasks, or forgotten ones, give equal parts, which the search drops.
     """
     wanted = shared.where("weight > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "seg", "at", "windows", "weight")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, wants in zip(batch.column(0), batch.column(1)):
+            for k1, k2, text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if (k1, k2) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add((k1, k2))
                 raw = text.as_py().encode()
                 for x in wants.as_py():
                     for column, v in zip(out, (x["anchor"], x["seg"], x["weight"], raw[x["at"] : x["at"] + x["windows"] + WIDTH - 1])):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["anchor", "seg", "weight", "part"])
 
-    once = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    return once.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(cut, "anchor long, seg long, weight int, part binary")
+    return docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(cut, "anchor long, seg long, weight int, part binary")
 
 
 def _searched(parts: DataFrame, limit: int) -> DataFrame:
-    """Runs of repeated windows ``anchor, seg, a, b`` of ``parts(key, anchor, seg, weight, part)``, whose parts differ within a key.
+    """Runs of repeated windows ``anchor, seg, a, b`` of ``parts(key, anchor, seg, weight, part)``.
 
-    Rows of an over-full key have ``a`` null.
+    Rows of an over-full key have ``a`` null.  Equal parts of a key are one segment with one weight, told again by a copy of its text.
     """
     dealt = parts.repartition("key").sortWithinPartitions("key", "part")
 
@@ -326,6 +331,8 @@ def _searched(parts: DataFrame, limit: int) -> DataFrame:
                 if over:
                     rows.append((anchor, seg, None, None))
                     continue
+                if len(block) > at and block[-1][2] == part:
+                    continue
                 block.append((anchor, seg, part, weight))
                 held += len(part) + 1
                 size += len(part) + 1
@@ -380,7 +387,7 @@ def repeated_spans(docs: DataFrame, limit: int = BLOCK) -> DataFrame:
     runs = found.where("a is not null")
     over = found.where("a is null").select("anchor", "seg").distinct()
     if not over.isEmpty():
-        again = parts.join(over, ["anchor", "seg"], "left_semi")
+        again = parts.dropDuplicates(["anchor", "seg"]).join(over, ["anchor", "seg"], "left_semi")
         runs = runs.unionByName(stage_table(_window_runs(again), "repeat-window-places"))
     spans = shared.join(runs, ["anchor", "seg"]).select("k1", "k2", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + WIDTH).alias("b")).alias("s"))
     return spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("s")).alias("spans"))
