@@ -131,3 +131,12 @@ def test_visibility(spark):
     see = lambda who: sorted((r["report_id"], r["can_delete"]) for r in A.visible_reports(rep, users, who).collect())
     assert see("ann") == [("1", True), ("2", False)] and see("cat") == [("3", True)]
     assert see("root") == [("1", True), ("2", True), ("3", True)] and see("bob") == [("2", False)]
+
+
+def test_skill_records(spark):
+    reg = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "skill_id string, name string")
+    rec = spark.createDataFrame([("a", "r1", 5), ("a", "r2", 9), ("a", "r3", 9), ("b", "r4", None), ("x", "r5", 1)], "skill_id string, record_id string, created_at long")
+    got = sorted((tuple(r[c] for c in ("skill_id", "record_id", "name", "n_records", "is_last")) for r in A.skill_records(reg, rec).collect()), key=str)
+    assert got == [("a", "r1", "A", 3, False), ("a", "r2", "A", 3, True), ("a", "r3", "A", 3, True), ("b", "r4", "B", 1, None), ("c", None, "C", 0, None)]
+    empty = A.skill_records(reg, rec.limit(0)).collect()
+    assert sorted((r["skill_id"], r["n_records"], r["record_id"]) for r in empty) == [("a", 0, None), ("b", 0, None), ("c", 0, None)]

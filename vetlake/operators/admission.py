@@ -136,6 +136,20 @@ def skill_detail(registry: DataFrame, profiles: DataFrame, risks: DataFrame, rec
     return registry.join(p, "skill_id", "left").join(r, "skill_id", "left").join(rec, "skill_id", "left")
 
 
+def skill_records(registry: DataFrame, records: DataFrame) -> DataFrame:
+    """Every review record of the registered skills, one row each: the record, ``name``, ``n_records`` and ``is_last``.
+
+    A history is rows, not one nested list, so a skill with a third of all records is no hot row; the join with the records is
+    an inner one, whose record side may be split.  Several records of the last moment are all last.  A skill without records is
+    one row of nulls with ``n_records`` 0, and records of skills that are not registered are left out.
+    """
+    last = records.groupBy("skill_id").agg(F.count("*").alias("n_records"), F.max("created_at").alias("_last"))
+    known = registry.select("skill_id", "name").join(last, "skill_id", "left")
+    listed = records.join(known.where("n_records is not null"), "skill_id").withColumn("is_last", F.col("created_at") == F.col("_last")).drop("_last")
+    none = known.where("n_records is null").select("skill_id", "name", F.lit(0).cast("long").alias("n_records"))
+    return listed.unionByName(none, allowMissingColumns=True)
+
+
 SEARCH_FIELDS = ["skill_id", "name", "display_name", "version", "description", "review_summary"]
 
 

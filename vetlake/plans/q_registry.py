@@ -288,6 +288,18 @@ def skill_detail(spark, d):
     return A.skill_detail(reg, profiles(spark, d), risks(spark, d), rec)
 
 
+@query("skill_records", "skill_id:str name:str record_id:str report_id:str decision:str created_at:int n_records:int is_last:bool", """WITH rc AS (SELECT 'supp_' || l_suppkey AS skill_id, l_orderkey || '-' || l_linenumber AS record_id, 'R' || l_orderkey AS report_id, CASE WHEN l_linestatus = 'O' THEN 'review' ELSE 'pass' END AS decision, epoch(l_shipdate)::BIGINT AS created_at FROM lineitem WHERE l_returnflag = 'R')
+  SELECT sp.skill_id, sp.name, record_id, report_id, decision, created_at, count(record_id) OVER w AS n_records, created_at = max(created_at) OVER w AS is_last FROM (SELECT 'supp_' || s_suppkey AS skill_id, s_name AS name FROM supplier) sp LEFT JOIN rc ON rc.skill_id = sp.skill_id WINDOW w AS (PARTITION BY sp.skill_id)""")
+def skill_records(spark, d):
+    """The records behind ``skill_detail``: returned order lines of each supplier."""
+    key = lambda c: F.concat(F.lit("supp_"), F.col(c).cast("string")).alias("skill_id")
+    reg = C.table(spark, d, "supplier").select(key("s_suppkey"), F.col("s_name").alias("name"))
+    rec = C.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(
+        key("l_suppkey"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record_id"), F.concat(F.lit("R"), F.col("l_orderkey").cast("string")).alias("report_id"),
+        F.when(F.col("l_linestatus") == "O", "review").otherwise("pass").alias("decision"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("created_at"))
+    return A.skill_records(reg, rec)
+
+
 @query("search_registry", "skill_id:str name:str seq:int", f"WITH {S.REPORTS} SELECT skill_id, name, seq FROM reg WHERE contains(lower(concat_ws(' ', skill_id, name, display_name, version, description, review_summary)), 'machinery') ORDER BY seq LIMIT 20")
 def search_registry(spark, d):
     """Top-k report: the first 20 matches in insertion order."""
