@@ -427,6 +427,33 @@ def test_quality(docs, rows, labels, nothing):
     assert all(r["score"] == 0 and r["kept"] != r["base_failed"] for r in unlabelled)
 
 
+def test_quality_takes_every_trusted_row(spark):
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_llr.trusted_sample(labels).count() == 30_000
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_quality_counts_do_not_depend_on_the_join(spark, docs, rows, labels, broadcast):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        short = docs.withColumn("doc_id", F.col("doc_id").cast("int"))  # ids of another type than the labels'
+        got = quality_llr.score_quality(short, labels).collect()
+        trusted = {r["__id"]: r["__part"] for r in quality_llr.trusted_sample(labels).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert bag((r["doc_id"], round(r["score"], 8)) for r in got) == bag((r[0], round(s, 8)) for r, s in zip(rows, brute_scores(rows, trusted)))
+
+
+def test_quality_percentile(spark):
+    rng = np.random.default_rng(4)
+    for x in ([0.5], [1.0, 1.0, 2.0], rng.normal(size=3000).tolist(), [*[0.25] * 900, *rng.exponential(1e-9, 400).tolist(), 1e6]):
+        df = spark.createDataFrame([(v,) for v in x], "s double").repartition(3)
+        for share in (0.005, 0.3, 0.5, 0.9):
+            assert abs(quality_llr._percentile(df, share) - np.percentile(x, 100 * share)) < 1e-9 * max(1, abs(np.percentile(x, 100 * share)))
+    assert quality_llr._percentile(spark.createDataFrame([], "s double"), 0.5) is None
+
+
 # ---- nearest neighbours
 
 

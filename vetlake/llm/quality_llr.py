@@ -5,13 +5,14 @@ and bigrams.  A document's score is the mean over its n-grams of ``ln(p_target /
 independent of its length.  The target is smoothed towards the raw corpus with as much weight as it
 has counts itself, so a bucket it never saw costs ``ln 2`` and no more.
 
-The target is fitted on a bounded sample of trusted rows (``TRUSTED_ROWS``, those with the smallest
-hash of their id); the raw counts cover every document.  A fifth of the sample is kept out of the
-counts: the threshold is ``THRESHOLD``, or lower if more than 1 in 200 of those documents would fall
-below it, less a margin.
+The target is fitted on every trusted row and the raw counts cover every document.  A fifth of the
+trusted rows, by the hash of their id, is kept out of the counts: the threshold is ``THRESHOLD``, or lower
+if more than 1 in 200 of those documents would fall below it, less a margin.
 
-Everything is row-local but one count per bucket: each task sends at most ``BUCKETS`` rows, whatever
-the size of a source or the length of a text.  Only DataFrame functions are used.
+Trusted ids meet the texts in one join: a row can only be held out or counted, as the hash of its id
+says, so each text is joined once; the planner broadcasts the ids while they are few.  Beyond that there is one
+count per bucket, at most ``BUCKETS`` rows a task, and the threshold is found by counting written
+scores, whatever the size of a source or the length of a text.  Only DataFrame functions are used.
 
 Defined cases.  Null text: no words, score 0, fails the base rule.  Null ``doc_id``: never trusted,
 scored like any other.  Repeated rows: each is scored.  Ids labelled both ways are not trusted.  No
@@ -30,11 +31,13 @@ from vetlake.session import stage_table
 from .common import BLANKS, ROW, WORD, pack_row, unpack_row, whole_text
 
 BUCKETS = 1 << 14
-TRUSTED_ROWS = 20_000
 THRESHOLD = -0.015
 MARGIN = 0.005
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
+# One in this many trusted rows is held out; bins a round of the threshold's search.
+HELD_OUT = 5
+BINS = 1024
 
 
 def _hashes(text: Column) -> Column:
@@ -58,17 +61,32 @@ def _hashed(docs: DataFrame, *keep: Column) -> DataFrame:
     return docs.select(*keep, whole_text().alias("__text")).select("*", bound(_hashes(F.col("__text"))).alias("__h"))
 
 
-def trusted_sample(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``rows`` trusted ids with their part: 0 is held out for the threshold, 1 is counted."""
+def _id_hash(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(HELD_OUT))
+
+
+def trusted_sample(labels: DataFrame) -> DataFrame:
+    """Every trusted id with its part: 0 is held out for the threshold, 1 is counted."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    h = F.xxhash64(F.col("doc_id"))
-    return good.orderBy(h, "doc_id").limit(rows).select(F.col("doc_id").alias("__id"), (F.pmod(h, F.lit(5)) != 0).cast("int").alias("__part"))
+    return good.select(F.col("doc_id").alias("__id"), (_id_hash(F.col("doc_id")) != 0).cast("int").alias("__part"))
+
+
+def _held_out(docs: DataFrame, trusted: DataFrame) -> Column:
+    """Whether a document's id belongs to the part that is held out; null where no trusted id can equal it."""
+    own, other = docs.schema["doc_id"].dataType, trusted.schema["__id"].dataType
+    same = F.col("doc_id") if own == other else F.col("doc_id").try_cast(other)
+    return F.when(same.isNotNull(), _id_hash(same) == 0)
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row per bucket: its weight ``ln(p_target / p_raw)``.  ``trusted``: a bounded sample of ids."""
+    """One row per bucket: its weight ``ln(p_target / p_raw)``.  ``trusted``: ids with their part."""
     spark = docs.sparkSession
-    part = _hashed(docs, F.col("doc_id")).join(F.broadcast(trusted), F.col("doc_id") == F.col("__id"), "left")
+    held = F.coalesce(_held_out(docs, trusted), F.lit(True))
+    texts = docs.select("doc_id", "text", held.alias("__held"))
+    # held-out documents only add to the raw counts and need no join
+    free = texts.where("__held").select("text", F.lit(None).cast("int").alias("__part"))
+    met = texts.where("not __held").join(trusted.where("__part = 1"), F.col("doc_id") == F.col("__id"), "left").select("text", "__part")
+    part = _hashed(met, F.col("__part")).unionByName(_hashed(free, F.col("__part")))
     grams = part.select("__part", F.explode(_ngrams(F.col("__h"))).alias("g"))
     seen = grams.groupBy(_bucket(F.col("g")).alias("bucket")).agg(F.count("*").alias("raw"), F.count(F.when(F.col("__part") == 1, 1)).alias("target"))
     every = spark.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
@@ -89,13 +107,43 @@ def _score(weights: Column, grams: Column) -> Column:
     return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
 
 
+def _at_rank(scores: DataFrame, rank: int) -> tuple[float, float]:
+    """The score ``s`` at a place of the ascending order (from 0) and the one after it.
+
+    Rounds of counts per bin, at most ``BINS`` rows each, close in on the one value; no task holds the scores.
+    """
+    low, high = scores.agg(F.min("s"), F.max("s")).first()
+    after = high
+    while low < high:
+        place = F.least(F.floor((F.col("s") - low) / F.lit(high - low) * BINS), F.lit(BINS - 1))
+        bins = scores.where(F.col("s").between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("b").collect()
+        for i, r in enumerate(bins):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        low, high, last = r["low"], r["high"], rank == r["n"] - 1
+        after = bins[i + 1]["low"] if last and i + 1 < len(bins) else after if last else high
+    same = scores.where(F.col("s") == low).count()
+    return low, low if rank + 1 < same else after
+
+
+def _percentile(scores: DataFrame, share: float) -> float | None:
+    """The interpolated percentile of ``s``, as ``F.percentile`` gives it; None without rows."""
+    n = scores.count()
+    if not n:
+        return None
+    place = (n - 1) * share
+    low, after = _at_rank(scores, int(place))
+    return low if place == int(place) else low + (place - int(place)) * (after - low)
+
+
 def threshold(docs: DataFrame, trusted: DataFrame, weights: DataFrame) -> float:
     """``THRESHOLD``, lowered until at most 1 in 200 held-out trusted documents falls below it."""
-    held = docs.join(F.broadcast(trusted.where("__part = 0")), F.col("doc_id") == F.col("__id"), "left_semi")
+    held = docs.select("doc_id", "text").where(_held_out(docs, trusted)).join(trusted.where("__part = 0"), F.col("doc_id") == F.col("__id"), "left_semi")
     # short documents are left to the base rule
     scored = _hashed(held).where(F.size("__h") >= MIN_WORDS).select(bound(_ngrams(F.col("__h"))).alias("__g"), _as_array(weights).alias("__w"))
-    scored = scored.select(_score(F.col("__w"), F.col("__g")).alias("s"))
-    low = scored.agg(F.percentile("s", 0.005).alias("p")).first()["p"]
+    scored = stage_table(scored.select(_score(F.col("__w"), F.col("__g")).alias("s")), "quality-held")
+    low = _percentile(scored, 0.005)
     return THRESHOLD if low is None else min(THRESHOLD, low - MARGIN)
 
 
