@@ -6,6 +6,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,19 @@ def test_recall_of_the_nearest_cells(spark, sf):
     assert share >= 0.9
 
 
+def test_chosen_cells_come_in_bounded_parts():
+    rng = np.random.default_rng(5)
+    full, middles = np.arange(700), rng.normal(size=(700, 4))
+    asked = pd.DataFrame({"query_id": np.arange(1000), "q": list(rng.normal(size=(1000, 4)))})
+    held = []
+    every = lambda apart, some: held.append(apart.size) or np.ones(apart.shape, bool)
+    parts = [*cells._chosen(iter([asked, asked.iloc[:0]]), (full, middles), every)]
+    assert max(map(len, parts)) <= cells.PAIRS_OUT and max(held) <= cells.PAIRS_HELD
+    out = pd.concat(parts)
+    assert len(out) == 700_000 and len(out[["query_id", "cell"]].drop_duplicates()) == 700_000
+    assert all((asked["q"].iloc[r.query_id] == r.q).all() for r in out.sample(50, random_state=1).itertuples())
+
+
 def test_cells_follow_the_rows():
     assert [cells.cell_count(n) for n in (0, 1, 500, 1_000_000, 10**12)] == [1, 1, 22, 1000, cells.MOST_CELLS]
 

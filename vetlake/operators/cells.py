@@ -34,6 +34,9 @@ MOST_CELLS = 1 << 14
 SAMPLE_PER_CELL = 48
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 8192
+# Distances of queries to centroids that a task holds, and rows of a query's vector with a cell that it gives out at a time.
+PAIRS_HELD = 1 << 18
+PAIRS_OUT = 4096
 ROUNDS = 2
 # Scores are compared to nine places; cells are left out only beyond that.
 PLACES = 9
@@ -160,21 +163,27 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _chosen(parts: Iterator[pd.DataFrame], index_rows: tuple[np.ndarray, np.ndarray], pick) -> Iterator[pd.DataFrame]:
+    """Rows of ``_cells_of`` for frames of queries: at most ``PAIRS_HELD`` distances and ``PAIRS_OUT`` rows at a time, however many cells there are."""
+    full, centroids = index_rows
+    square = (centroids**2).sum(1)[None]
+    step = max(1, min(512, PAIRS_HELD // max(1, len(full))))
+    for p in parts:
+        for i in range(0, len(p), step):
+            some = p.iloc[i : i + step]
+            q = _matrix(some["q"], centroids.shape[1])
+            row, col = np.nonzero(pick(np.sqrt(np.maximum(1 + square - 2 * q @ centroids.T, 0)), some))
+            ids, vectors = some["query_id"].to_numpy(), some["q"].to_numpy()
+            for j in range(0, len(row), PAIRS_OUT):
+                at = row[j : j + PAIRS_OUT]
+                yield pd.DataFrame({"query_id": ids[at], "q": vectors[at], "cell": full[col[j : j + PAIRS_OUT]].astype("int32")})
+
+
 def _cells_of(queries: DataFrame, index: CellIndex, pick) -> DataFrame:
     """``query_id, q, cell`` for the cells that ``pick(distances to all centroids, frame of queries)`` names."""
-    centroids, dim = index.centroids, index.centroids.shape[1]
     full = np.flatnonzero(index.size)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for i in range(0, len(p), 512):
-                some = p.iloc[i : i + 512]
-                q = _matrix(some["q"], dim)
-                square = 1 + (centroids[full] ** 2).sum(1)[None] - 2 * q @ centroids[full].T
-                row, col = np.nonzero(pick(np.sqrt(np.maximum(square, 0)), some))
-                yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[row], "q": some["q"].to_numpy()[row], "cell": full[col].astype("int32")})
-
-    return queries.mapInPandas(run, "query_id long, q array<double>, cell int")
+    rows = full, index.centroids[full]
+    return queries.mapInPandas(lambda parts: _chosen(parts, rows, pick), "query_id long, q array<double>, cell int")
 
 
 def _first(apart: np.ndarray, probes: int) -> np.ndarray:
