@@ -63,6 +63,13 @@ def test_word_guard_gives_the_same_hits(spark):
     assert both.where("a <> b").count() == 0
 
 
+def test_number_of_blocks_does_not_follow_the_texts():
+    from vetlake.operators import signatures
+
+    assert [signatures.block_count(n) for n in (0, 100, 800)] == [8, 8, 50]
+    assert signatures.block_count(3_000_000) < 1000
+
+
 def test_signatures_leave_out_blocks_but_no_hit(spark):
     from vetlake.operators import scan, signatures
 

@@ -25,6 +25,9 @@ from ..session import shared_dir
 
 BITS = 1 << 15
 BLOCKS_HELD = 2000
+# Blocks that a small table is cut into, and texts of a block of a large one.
+FEW_BLOCKS = 64
+BLOCK_ROWS = 4096
 # Words shorter than this have no piece; their patterns read every block.
 PIECE = 3
 
@@ -38,6 +41,14 @@ class SignedTexts:
     bits: DataFrame
 
 
+def block_count(n_rows: int) -> int:
+    """Blocks for so many texts: small ones while there are few texts, then up to ``BLOCK_ROWS`` texts each.
+
+    Every block is a folder, a task when written and a part of the listing, so their number must not follow the texts'.
+    """
+    return max(8, min(n_rows // 16, FEW_BLOCKS + n_rows // BLOCK_ROWS))
+
+
 def piece_bits(text: bytes) -> np.ndarray:
     """Distinct bits of the pieces of a text, whose ASCII letters count as small."""
     codes = np.frombuffer(text.lower(), np.uint8).astype(np.uint64)
