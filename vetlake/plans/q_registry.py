@@ -15,7 +15,7 @@ from ..operators import flow
 from ..operators import incremental as INC
 from ..operators import packs as P
 from ..operators import scoring, similarity
-from ..session import cut_lineage, shared_dir
+from ..session import cut_lineage, shared_dir, stage_table
 from ..sources import registry as RG
 from ..sources import sinks
 from ..sources.artifacts import extract_dependencies
@@ -510,25 +510,29 @@ def assignment_edges(spark, d):
     return flow.assignment_edges(C.seeded_files(spark, d))
 
 
+def analysed_files(spark, d):
+    """The seeded files with their decoded text, and the variables that hold such text: decoded once, written, then read by every step."""
+    done = flow.with_analysis(flow.with_variables(C.seeded_files(spark, d)))
+    files = stage_table(done.select("skill_id", "path", "content", "_variables", "preprocessed"), "analysed")
+    return files, stage_table(flow.decoded_variables(files), "decoded-variables")
+
+
 @query("flow_signals", "skill_id:str path:str signal:str")
 def flow_signals(spark, d):
     """Row-dependent patterns have no plain SQL form; checked on fixtures."""
-    files = flow.with_analysis(C.seeded_files(spark, d))
-    seeds = flow.decoded_variables(files)
+    files, seeds = analysed_files(spark, d)
     return flow.flow_signals(files, seeds, flow.propagate(flow.assignment_edges(files), seeds))
 
 
 @query("flow_chains", "skill_id:str path:str kind:str category:str")
 def flow_chains(spark, d):
-    files = flow.with_analysis(C.seeded_files(spark, d))
-    seeds = flow.decoded_variables(files)
+    files, seeds = analysed_files(spark, d)
     return flow.flow_chains(flow.flow_signals(files, seeds, flow.propagate(flow.assignment_edges(files), seeds)))
 
 
 @query("obfuscation_evidence", "skill_id:str path:str techniques:str n_sections:int signals:str")
 def obfuscation_evidence(spark, d):
-    files = flow.with_analysis(C.seeded_files(spark, d))
-    seeds = flow.decoded_variables(files)
+    files, seeds = analysed_files(spark, d)
     return flow.obfuscation_evidence(files, flow.flow_signals(files, seeds, seeds))
 
 
