@@ -10,7 +10,8 @@ trusted rows, by the hash of their id, is kept out of the counts: the threshold
 if more than 1 in 200 of those documents would fall below it, less a margin.
 
 Trusted ids meet the texts in one join: a row can only be held out or counted, as the hash of its id
-says, so each text is joined once; the planner broadcasts the ids while they are few.  Beyond that there is one
+says, so each text that may be counted is shuffled once, whatever the number of ids, and none is for the threshold:
+held-out documents are scored where they lie and their scores meet the ids.  Beyond that there is one
 count per bucket, at most ``BUCKETS`` rows a task, and the threshold is found by counting written
 scores, whatever the size of a source or the length of a text.  Only DataFrame functions are used.
 
@@ -85,7 +86,7 @@ def fit(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text", held.alias("__held"))
     # held-out documents only add to the raw counts and need no join
     free = texts.where("__held").select("text", F.lit(None).cast("int").alias("__part"))
-    met = texts.where("not __held").join(trusted.where("__part = 1"), F.col("doc_id") == F.col("__id"), "left").select("text", "__part")
+    met = texts.where("not __held").join(trusted.where("__part = 1").hint("merge"), F.col("doc_id") == F.col("__id"), "left").select("text", "__part")
     part = _hashed(met, F.col("__part")).unionByName(_hashed(free, F.col("__part")))
     grams = part.select("__part", F.explode(_ngrams(F.col("__h"))).alias("g"))
     seen = grams.groupBy(_bucket(F.col("g")).alias("bucket")).agg(F.count("*").alias("raw"), F.count(F.when(F.col("__part") == 1, 1)).alias("target"))
@@ -139,10 +140,12 @@ def _percentile(scores: DataFrame, share: float) -> float | None:
 
 def threshold(docs: DataFrame, trusted: DataFrame, weights: DataFrame) -> float:
     """``THRESHOLD``, lowered until at most 1 in 200 held-out trusted documents falls below it."""
-    held = docs.select("doc_id", "text").where(_held_out(docs, trusted)).join(trusted.where("__part = 0"), F.col("doc_id") == F.col("__id"), "left_semi")
+    held = docs.select("doc_id", "text").where(_held_out(docs, trusted))
     # short documents are left to the base rule
-    scored = _hashed(held).where(F.size("__h") >= MIN_WORDS).select(bound(_ngrams(F.col("__h"))).alias("__g"), _as_array(weights).alias("__w"))
-    scored = stage_table(scored.select(_score(F.col("__w"), F.col("__g")).alias("s")), "quality-held")
+    grams = _hashed(held, F.col("doc_id")).where(F.size("__h") >= MIN_WORDS).select("doc_id", bound(_ngrams(F.col("__h"))).alias("__g"), _as_array(weights).alias("__w"))
+    # scored where they lie: ids and scores meet the trusted ids, not texts
+    scores = grams.select("doc_id", bound(_score(F.col("__w"), F.col("__g"))).alias("s"))
+    scored = stage_table(scores.join(trusted.where("__part = 0").hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi").select("s"), "quality-held")
     low = _percentile(scored, 0.005)
     return THRESHOLD if low is None else min(THRESHOLD, low - MARGIN)
 
