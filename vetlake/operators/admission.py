@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, clean_array, ws_trim
+from ..functions.text import any_of, clean_array, has_text, ws_trim
 from ..sources.sinks import first_come
 from .sets import declared_capabilities
 
@@ -54,7 +54,7 @@ def capability_profiles(behavior: DataFrame) -> DataFrame:
 
 def evidence_items(behavior: DataFrame) -> DataFrame:
     """``skill_id, item``: every item of the nine evidence lists, which chains are inferred from (profiles show examples)."""
-    return behavior.where(F.col("category").isin(EVIDENCE_LISTS) & (ws_trim(F.col("item")) != "")).select("skill_id", "item").distinct()
+    return behavior.where(F.col("category").isin(EVIDENCE_LISTS) & has_text(F.col("item"))).select("skill_id", "item").distinct()
 
 
 def capability_unpivot(profiles: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_array, has_any, ws_trim
+from ..functions.text import any_of, bound, clean_array, has_text, ws_trim
 from ..session import cut_lineage
 from .admission import CAPABILITIES, detected_capabilities
 from .findings import _array_map
@@ -92,7 +92,7 @@ def selected_profiles(selection: DataFrame, profiles: DataFrame) -> DataFrame:
 def evidence_of(selected: DataFrame, items: DataFrame | None) -> DataFrame:
     """``skill_id, e``: distinct evidence per skill, from all items (skill_id, item) or else from the profiles' own."""
     rows = selected.select("skill_id", F.explode("evidence").alias("e")) if items is None else items.select("skill_id", F.col("item").alias("e"))
-    return rows.where(ws_trim(F.col("e")) != "").distinct()
+    return rows.where(has_text(F.col("e"))).distinct()
 
 
 def merge_profiles(selected: DataFrame, items: DataFrame | None = None) -> DataFrame:
@@ -112,15 +112,17 @@ def merge_risks(selection: DataFrame, risks: DataFrame) -> DataFrame:
     return j.groupBy("selection_id", "risk_id", "title").agg(F.min_by("level", "skill_id").alias("level"), F.count_distinct("skill_id").alias("n_sources"), F.min("skill_id").alias("first_source"))
 
 
-def _cited(rule: str) -> Column:
-    """Evidence item carries a word of one of the rule's capabilities."""
-    return has_any(F.lower(ws_trim(F.col("e"))), [w for c in CHAIN_RULES[rule][0] for w in EVIDENCE_WORDS[c]])
+def _cited(low: Column, rule: str) -> Column:
+    """Evidence item, lower-cased, carries a word of one of the rule's capabilities."""
+    return any_of(low.contains(w.lower()) for c in CHAIN_RULES[rule][0] for w in EVIDENCE_WORDS[c])
 
 
 def cited_items(evidence: DataFrame) -> DataFrame:
     """``skill_id, chain_id, e`` for every item that carries a word of the chain; tested once per skill, not per selection."""
-    cells = F.array_compact(F.array(*[F.when(_cited(r), F.lit(r)) for r in CHAIN_RULES]))
-    return evidence.select("skill_id", "e", F.explode(cells).alias("chain_id"))
+    cells = F.array_compact(F.array(*[F.when(_cited(F.col("_low"), r), F.lit(r)) for r in CHAIN_RULES]))
+    # trimmed and lower-cased once, bound cells are not computed again for the generator's test
+    low = evidence.select("skill_id", "e", bound(F.lower(ws_trim(F.col("e")))).alias("_low"))
+    return low.select("skill_id", "e", bound(cells).alias("_rules")).select("skill_id", "e", F.explode("_rules").alias("chain_id"))
 
 
 def chain_evidence(selected: DataFrame, items: DataFrame | None = None) -> DataFrame:
