@@ -11,6 +11,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -323,6 +324,45 @@ def test_cut_documents_keeps_characters_whole(spark):
     assert (out[1]["n_chars"], out[3]["n_chars"], out[1]["spans"]) == (2, None, "k")
 
 
+def test_cut_documents_longer_than_a_batch(spark):
+    shared = "".join(random.Random(3).choices("abcdefgh ", k=400))
+    rows = [(i, chr(65 + i % 26) * (1 + i % 7) + (shared if i % 3 == 0 else "") + f"{i}") for i in range(1300)]
+    out = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    gone = [x[4] for x in brute_removed([t for _, t in rows])]
+    assert out == {i: "".join(c for c, g in zip(t, gone[i]) if not g) for i, t in rows}
+
+
+def test_block_search_memory():
+    import tracemalloc
+
+    parts = [bytes(random.Random(i).choices(b"abcdefgh ", k=300)) for i in range(3000)]
+    tracemalloc.start()
+    suffix_dedup.repeated_windows(parts, [1] * len(parts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 301 * len(parts)  # 79 bytes a byte with 64-bit places
+
+
+def test_keys_do_not_fill_a_block_twice(spark, monkeypatch):
+    # two keys, each near the limit, are two blocks; a key is never in two
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda parts, weights: (sizes.append(sum(map(len, parts)) + len(parts)), *[np.zeros(0, int)] * 3)[1:])
+    captured = {}
+
+    class Dealt:
+        repartition = sortWithinPartitions = lambda self, *a: self
+
+        def mapInArrow(self, f, schema):
+            captured["f"] = f
+
+    suffix_dedup._searched(Dealt(), 3000)
+    rows = [(key, key, n, 1, bytes([97 + n]) * 250) for key in range(6) for n in range(11)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["key", "anchor", "seg", "weight", "part"])
+    told = [x for b in captured["f"](iter([batch])) for x in b.to_pylist()]
+    assert not told and sizes == [11 * 251] * 6
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_interval_expansion(seed):
     rnd = random.Random(seed)
@@ -695,6 +735,19 @@ def test_packing(docs, rows, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_chunks_are_given_back(spark):
+    docs = spark.createDataFrame([(i, prose(50)) for i in range(40)], "doc_id long, text string").repartition(4)
+    assert packing.pieces(docs).count() >= 40
+
+    def kept(batches):
+        from vetlake.llm import word_tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, word_tokens._BY_PATH.values()))], pa.int64())], names=["n"])
+
+    assert {r["n"] for r in docs.mapInArrow(kept, "n long").collect()} == {0}
+
+
 def test_bounded_bins():
     rnd = random.Random(4)
     for most in (1, 3, 50):

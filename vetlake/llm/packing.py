@@ -56,21 +56,24 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from vetlake.llm.word_tokens import chunk_ids
 
-        ids = chunk_ids(path)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = ids.text(text.as_py()) + end
-                for k, at in enumerate(range(0, len(whole), width)):
-                    part = whole[at : at + width]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
-                        column.append(value)
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(x, pa.int64()) for x in out[2:5]]]
-            names = _PIECES.names
-            if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype("i4") for x in out[5]], pa.list_(pa.int32())))
-                names = [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        with chunk_ids(path) as ids:
+            for batch in batches:
+                yield cut(ids, batch)
+
+    def cut(ids, batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], [], []]
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            whole = ids.text(text.as_py()) + end
+            for k, at in enumerate(range(0, len(whole), width)):
+                part = whole[at : at + width]
+                for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
+                    column.append(value)
+        arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(x, pa.int64()) for x in out[2:5]]]
+        names = _PIECES.names
+        if with_ids:
+            arrays.append(pa.array([np.frombuffer(x, "<u4").astype("i4") for x in out[5]], pa.list_(pa.int32())))
+            names = [*names, "ids"]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = T.StructType([*_PIECES.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(encode, schema)

@@ -8,7 +8,7 @@ segment (their bytes overlap the neighbours' by ``WIDTH - 1``).  Only the hashes
 anchor; an anchor that occurs once, and once in its segment, cannot hold a repeat and ends there.  Equal segments are one from here on,
 with the number of their places as weight.  The bytes of one copy of each are then fetched.
 
-*Search.*  A task takes the segments of many anchors in blocks of ``BLOCK`` bytes, sorts the block's suffixes
+*Search.*  A task takes the segments of many anchors in blocks of at most ``BLOCK`` bytes, sorts the block's suffixes
 to a depth over ``WIDTH``, and finds the common prefix lengths of neighbours by increasing value: from the
 interval of the empty string, breadth first, each interval is extended backwards by every character of the
 transform in it, and an extended interval is followed only if the place after its end is still open, whose
@@ -38,7 +38,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +51,8 @@ WIDTH = 200
 GRAM = 48
 LONGEST_RUN = 512
 BLOCK = 2 << 20
+PLACES_OUT = 1 << 16
+TEXTS_OUT = 500
 SEEN = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -123,23 +124,31 @@ def segments(b: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.nd
 
 def _sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rotations of ``text`` by their first ``depth`` bytes or more, and its inverse."""
-    n = len(text)
+    n = len(text)  # a block: 32 bits hold a place, and 64 a pair of ranks
     wrapped = np.concatenate([text, np.resize(text, 7)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | wrapped[k : k + n].astype(np.uint64)
+        key <<= np.uint64(8)
+        key |= wrapped[k : k + n]
     size = 8
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        if size >= depth or rank.max() == n - 1:
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        new = np.empty(n, bool)
+        new[0], new[1:] = False, key[1:] != key[:-1]
+        del key
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32)
+        if size >= depth or rank[order[-1]] == n - 1:
             break
-        key = rank * n + np.roll(rank, -(size % n))
+        key, shift = rank.astype(np.int64), size % n
+        key *= n
+        key[: n - shift] += rank[shift:]
+        key[n - shift :] += rank[:shift]
         size *= 2
-    inverse = np.empty(n, np.int64)
-    inverse[order] = np.arange(n)
+    del rank, new
+    inverse = np.empty(n, np.int32)
+    inverse[order] = np.arange(n, dtype=np.int32)
     return order, inverse
 
 
@@ -150,7 +159,8 @@ def repeat_classes(text: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np
     """
     n = len(text)
     order, inverse = _sorted_suffixes(text, width + 1)
-    back = inverse[(order - 1) % n]  # where the suffix one byte longer stands
+    back = inverse[order - 1]  # where the suffix one byte longer stands; before the first place stands the last
+    del inverse
     first = text[order]
     opens = np.zeros(n + 1, bool)
     opens[0] = opens[n] = True
@@ -161,13 +171,15 @@ def repeat_classes(text: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np
         total = int(size.sum())
         if not total:
             break
-        rows = np.arange(total) + np.repeat(low - np.cumsum(size) + size, size)
+        rows = np.repeat((low - np.cumsum(size) + size).astype(np.int32), size)
+        rows += np.arange(total, dtype=np.int32)
         to = back[rows]
+        del rows
         owner[to] = np.repeat(np.arange(len(low), dtype=np.int32), size)
         if total > n >> 4:
             mark = np.zeros(n, bool)
             mark[to] = True
-            to = np.flatnonzero(mark)
+            to = np.flatnonzero(mark).astype(np.int32)
         else:
             to = np.sort(to)
         # a run of neighbours with one first byte and one owner is one extended interval
@@ -188,15 +200,14 @@ def repeated_windows(parts: list[bytes], weights: list[int], width: int = WIDTH)
     text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
     order, opens = repeat_classes(text, width)
     windows = np.maximum(sizes - width, 0)  # starts of windows that end within their part
-    weight = np.zeros(len(text) + 1, np.int64)
-    w = np.asarray(weights, np.int64)
+    weight = np.zeros(len(text) + 1, np.int8)  # of the one part that a place is in
+    w = np.minimum(np.asarray(weights, np.int64), 2).astype(np.int8)
     np.add.at(weight, begin, np.where(windows > 0, w, 0))
     np.add.at(weight, begin + windows, np.where(windows > 0, -w, 0))
-    weight = np.cumsum(weight[:-1])
-    group = np.cumsum(opens) - 1
-    total = np.bincount(group, weights=weight[order])
+    weight = np.cumsum(weight[:-1], dtype=np.int8)
+    twice = np.add.reduceat(weight[order], np.flatnonzero(opens), dtype=np.int64) >= 2
     hit = np.zeros(len(text) + 1, bool)
-    hit[order] = total[group] >= 2
+    hit[order] = twice[np.cumsum(opens, dtype=np.int32) - 1]
     hit[:-1] &= weight > 0
     edge = np.flatnonzero(np.diff(np.concatenate(([False], hit)).astype(np.int8)))
     starts, stops = edge[0::2], edge[1::2]
@@ -217,8 +228,16 @@ def _places(docs: DataFrame) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         seen: dict[tuple[int, int], int] = {}
+        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        held = 0
+
+        def emit() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "seg", "k1", "k2", "at", "windows", "twin"])
+            for c in out:
+                c.clear()
+            return made
+
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 times = seen.get((k1, k2), 0)
                 if times == 2:
@@ -234,8 +253,12 @@ def _places(docs: DataFrame) -> DataFrame:
                 row = (anchor.view(np.int64), np.array(seg, np.uint64).view(np.int64), np.full(len(seg), k1), np.full(len(seg), k2), start, count.astype(np.int32), twin)
                 for column, values in zip(out, row):
                     column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "seg", "k1", "k2", "at", "windows", "twin"])
+                held += len(seg)
+                if held >= PLACES_OUT:
+                    yield emit()
+                    held = 0
+        if held:
+            yield emit()
 
     return docs.select("k1", "k2", "text").mapInArrow(cut, _PLACE)
 
@@ -284,8 +307,16 @@ def _fetched(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        out: list[list] = [[], [], [], []]
+        held = 0
+
+        def emit() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["anchor", "seg", "weight", "part"])
+            for c in out:
+                c.clear()
+            return made
+
         for batch in batches:
-            out: list[list] = [[], [], [], []]
             for k1, k2, text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 if (k1, k2) in seen:
                     continue
@@ -296,7 +327,12 @@ def _fetched(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 for x in wants.as_py():
                     for column, v in zip(out, (x["anchor"], x["seg"], x["weight"], raw[x["at"] : x["at"] + x["windows"] + WIDTH - 1])):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["anchor", "seg", "weight", "part"])
+                    held += len(out[3][-1])
+                    if held >= BLOCK:
+                        yield emit()
+                        held = 0
+        if out[0]:
+            yield emit()
 
     return docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(cut, "anchor long, seg long, weight int, part binary")
 
@@ -324,15 +360,16 @@ def _searched(parts: DataFrame, limit: int) -> DataFrame:
             rows: list[tuple] = []
             for key_, anchor, seg, weight, part in zip(*[batch.column(n).to_pylist() for n in ("key", "anchor", "seg", "weight", "part")]):
                 if key_ != key:
-                    if held >= BLOCK:
-                        rows += solved(block)
-                        block, held = [], 0
                     key, at, over, size = key_, len(block), False, 0
                 if over:
                     rows.append((anchor, seg, None, None))
                     continue
                 if len(block) > at and block[-1][2] == part:
                     continue
+                if at and held + len(part) >= BLOCK:  # the open key goes on to the next block
+                    rows += solved(block[:at])
+                    del block[:at]
+                    held, at = size, 0
                 block.append((anchor, seg, part, weight))
                 held += len(part) + 1
                 size += len(part) + 1
@@ -428,7 +465,7 @@ def measure(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "spans").mapInArrow(judge, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields]))
 
 
-def _cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
+def _cut_text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     def one(x: str, s: list | None) -> str:
         raw, runs = x.encode(), []
         for a, b in _merged(s):
@@ -441,13 +478,15 @@ def _cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
                 runs.append((a, b))
         return _kept(raw, runs).decode()
 
-    return pd.Series([one(x, s) for x, s in zip(text, spans)])
+    for text, spans in batches:
+        for at in range(0, len(text), TEXTS_OUT):  # a batch of texts is not held a second time
+            yield pa.array([one(x.as_py(), s.as_py()) for x, s in zip(text[at : at + TEXTS_OUT], spans[at : at + TEXTS_OUT])], pa.string())
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without their repeated passages; ``n_chars``, where there is one, follows the text."""
     rows = docs.select(pack_row(docs), *text_key(whole_text()), whole_text().alias("__text")).join(repeated_spans(docs), ["k1", "k2"], "left")
-    cut = F.when(F.col("spans").isNull(), F.col(f"{ROW}.text")).otherwise(F.pandas_udf(_cut_text, T.StringType())("__text", "spans"))
+    cut = F.when(F.col("spans").isNull(), F.col(f"{ROW}.text")).otherwise(F.arrow_udf(_cut_text, T.StringType())("__text", "spans"))
     rows = rows.select(ROW, cut.alias("__cut"))
     new = {"text": F.col("__cut"), "n_chars": F.when(F.col(f"{ROW}.text").isNull(), F.col(f"{ROW}.n_chars") if "n_chars" in docs.columns else F.lit(None)).otherwise(F.length("__cut"))}
     fields = [new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns]
