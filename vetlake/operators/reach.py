@@ -37,20 +37,21 @@ def _hang(single: DataFrame, k: list[str], trace: list[str]) -> DataFrame:
 
     ``single``: node, anchor (its predecessor), depth (the edge's length).
     """
-    now, moving = single, None
+    now, moving = single.withColumn("moves", F.lit(True)), None
     for n in count(1):
         # the last pointers have their own next pointer; those of them that have none are anchors
-        over = now.select(*k, F.col("node").alias("anchor"), F.col("anchor").alias("next"), F.col("depth").alias("more"))
+        over = now.select(*k, F.col("node").alias("anchor"), F.col("anchor").alias("next"), F.col("depth").alias("more"), F.col("moves").alias("goes_on"))
         step = now.join(over, [*k, "anchor"], "left")
-        far = stage_table(step.select(*k, "node", F.coalesce("next", "anchor").alias("anchor"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")), "pointers")
+        # a pointer that took over one at rest is at rest too, without a round to see that
+        far = stage_table(step.select(*k, "node", F.coalesce("next", "anchor").alias("anchor"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("goes_on", F.lit(False)).alias("moves")), "pointers")
         trace.append(f"double {n}")
-        left = far.where("moved").count()
+        left = far.where("moves").count()
         if left in (0, moving):
             # pointers that still move when no other comes to rest run in circles
-            return far.select(*k, "node", F.when(~F.col("moved"), F.col("anchor")).alias("anchor"), "depth")
-        if now is not single:
+            return far.select(*k, "node", F.when(~F.col("moves"), F.col("anchor")).alias("anchor"), "depth")
+        if n > 1:
             drop_table(now)
-        now, moving = far.drop("moved"), left
+        now, moving = far, left
 
 
 def _relax(graph: DataFrame, found: DataFrame, k: list[str], trace: list[str]) -> DataFrame:
