@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -378,6 +380,37 @@ def test_interval_expansion(seed):
         assert {(int(k), i) for k, a, b in zip(*suffix_dedup.repeated_windows(parts, weights, width)) for i in range(a, b + 1)} == want
 
 
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"abcdefgh ", bytes(range(250))])
+def test_interval_expansion_beyond_the_first_key(letters):
+    rnd = random.Random(len(letters))
+    for width in (1, 2, 30, 64, 100):
+        base = bytes(rnd.choices(letters, k=300))
+        cuts = [sorted(rnd.choices(range(301), k=2)) for _ in range(14)]
+        parts = list({base[a:b] + bytes(rnd.choices(letters, k=rnd.randint(0, 20))) for a, b in cuts} | {b"", base[:90] * 2})
+        weights = [rnd.choice([1, 1, 2]) for _ in parts]
+        seen = Counter()
+        for p, w in zip(parts, weights):
+            for i in range(len(p) - width + 1):
+                seen[p[i : i + width]] += w
+        want = {(k, i) for k, p in enumerate(parts) for i in range(len(p) - width + 1) if seen[p[i : i + width]] >= 2}
+        assert {(int(k), i) for k, a, b in zip(*suffix_dedup.repeated_windows(parts, weights, width)) for i in range(a, b + 1)} == want
+
+
+def test_block_search_time():
+    # told in sorts of as many places, which take this machine's speed out: some 13 when all suffixes were sorted each round
+    def took(f, *x):
+        t = time.process_time()
+        f(*x)
+        return time.process_time() - t
+
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=45)).encode() for _ in range(3500)]
+    parts = list({t[:300] for t in texts} | {t[20:240] + b"." for t in texts[::5]})
+    places = np.random.default_rng(1).integers(0, 1 << 62, sum(map(len, parts)) + len(parts))
+    assert min(took(suffix_dedup.repeated_windows, parts, [1] * len(parts)) for _ in range(3)) < 9 * min(took(np.argsort, places) for _ in range(3))
+
+
 # ---- sharding
 
 
