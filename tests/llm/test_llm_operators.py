@@ -768,6 +768,45 @@ def test_packing(docs, rows, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_letters_go_to_their_merges(tmp_path):
+    from tokenizers import Tokenizer
+
+    from vetlake.llm import word_tokens
+
+    path = packing.default_tokenizer()
+    t, ids = Tokenizer.from_file(path), word_tokens.ChunkIds(path)
+    latin = [chr(c) for c in range(0xC0, 0x100)]
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices([*"abcdefghijklmnopqrstuvwxyzABCXYZ", *latin], k=rnd.randint(1, 16))) for _ in range(2000)]
+    words += [a + b for a in ["e", "é", "É", "s"] for b in ["", "́", "'s", "ª", "µ", "·", "×", "÷", "х", "日", "1", "."]] + latin + ["x" * 3000]
+    assert all(ids._encode(w.encode()) == np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+    # other rules, or a token that may stand inside words: as the file says
+    spec = json.loads(t.to_str())
+    for change in ({"normalizer": None}, {"added_tokens": [{**spec["added_tokens"][0], "content": "ab"}]}):
+        (other := tmp_path / "other.json").write_text(json.dumps(spec | change))
+        u, odd = Tokenizer.from_file(str(other)), word_tokens.ChunkIds(str(other))
+        assert all(odd._encode(w) == np.array(u.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in (b"cabby", b"ABBA", b"word"))
+
+
+def test_letters_pass_the_rules_by(monkeypatch):
+    from vetlake.llm import word_tokens
+
+    whole = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, chunk, **x):
+            whole.append(chunk)
+            return self.inner.encode(chunk, **x)
+
+    ids = word_tokens.ChunkIds(packing.default_tokenizer())
+    monkeypatch.setattr(ids, "_tokenizer", Counted(ids._tokenizer))
+    ids.text("Every word of this sentence goes, école, Éclair; but not 日本 nor 42")
+    assert set(whole) == {",", ";", "日本", "42"}
+
+
 def test_chunks_are_given_back(spark):
     docs = spark.createDataFrame([(i, prose(50)) for i in range(40)], "doc_id long, text string").repartition(4)
     assert packing.pieces(docs).count() >= 40

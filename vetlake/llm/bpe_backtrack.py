@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from .common import whole_text
 from .packing import default_tokenizer
-from .word_tokens import ChunkIds
+from .word_tokens import ALPHABET, ChunkIds
 
 PAIRS_KEPT = 300_000
 CHUNKS_KEPT = 500_000
@@ -146,9 +146,6 @@ class Merges:
 
 # small Latin letters, which no normal form changes: such a chunk is one piece
 _ONE_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
-# the byte alphabet: printable Latin characters stand for themselves, all other bytes follow from 256 on
-_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class Encoder(ChunkIds):
@@ -171,7 +168,7 @@ class Encoder(ChunkIds):
         out: list[int] = []
         merges = self.merges
         if _ONE_WORD(chunk):
-            got = merges.encode(merges.symbols(chunk.decode("latin-1").translate(_ALPHABET)))
+            got = merges.encode(merges.symbols(chunk.decode("latin-1").translate(ALPHABET)))
             return np.array([merges.ids[n] for n in got], "<u4").tobytes()
         text, t = chunk.decode(), self._tokenizer
         for part in self._cut.split(text) if self._cut else [text]:
