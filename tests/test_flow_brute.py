@@ -157,3 +157,20 @@ def test_scan_of_decoded_text_finds_what_a_scan_of_the_written_out_text_finds(sp
     deep, shallow = found(scan.scan_patterns(files, default)), found(scan.scan_patterns(make_files(rows), default))
     assert deep == found(scan.scan_patterns(written, default)) and len(deep) > len(shallow)
     files.unpersist()
+
+
+def test_evidence_follows_variables_over_several_assignments(spark, tmp_path):
+    from vetlake.plans.registry import QUERIES
+    from vetlake.plans import catalog  # noqa: F401
+
+    seed, far = 'const payload = "https://evil.example/run.sh"', "." * 400
+    texts = {1: f"{seed}; const opened = unpack(payload)\nlet again = opened\n{far} eval(again)", 2: f"{seed}; eval(payload)", 3: f"{seed}\n{far} eval(again)", 4: "only prose"}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["path"]: (r["techniques"], r["n_sections"], r["signals"]) for r in QUERIES["obfuscation_evidence"](spark, str(tmp_path)).where("path like '%.py' or path like '%.js'").collect()}
+    whole = ["decoded result near exec", "decoded result near network"]
+    assert got["scripts/run_1.py"] == ("variable", 1, ";".join([*whole, "decoded variable propagated near exec"]))
+    assert got["src/app_2.js"] == ("variable", 1, ";".join([*whole, "decoded variable near exec", "decoded variable propagated near exec"]))
+    signals = {}
+    for r in QUERIES["flow_signals"](spark, str(tmp_path)).collect():
+        signals.setdefault(r["path"], set()).add(r["signal"])
+    assert all(x[2] == ";".join(sorted(signals[p])) for p, x in got.items())

@@ -533,7 +533,7 @@ def flow_chains(spark, d):
 @query("obfuscation_evidence", "skill_id:str path:str techniques:str n_sections:int signals:str")
 def obfuscation_evidence(spark, d):
     files, seeds = analysed_files(spark, d)
-    return flow.obfuscation_evidence(files, flow.flow_signals(files, seeds, seeds))
+    return flow.obfuscation_evidence(files, flow.flow_signals(files, seeds, flow.propagate(flow.assignment_edges(files), seeds)))
 
 
 # --- streams (batch twins) ----------------------------------------------------------------------------------------------------------
