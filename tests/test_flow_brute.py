@@ -174,3 +174,22 @@ def test_evidence_follows_variables_over_several_assignments(spark, tmp_path):
     for r in QUERIES["flow_signals"](spark, str(tmp_path)).collect():
         signals.setdefault(r["path"], set()).add(r["signal"])
     assert all(x[2] == ";".join(sorted(signals[p])) for p, x in got.items())
+
+
+def test_assignments_are_searched_once_and_read_by_the_later_steps(spark, made):
+    _, _, _, df, s, r = made
+    stored = flow.with_variables(flow.with_assignments(df)).localCheckpoint()
+    for build in (flow.assignment_edges, flow.decoded_variables, lambda f: flow.flow_signals(f, s, r)):
+        plan = build(stored)._jdf.queryExecution().optimizedPlan().toString()
+        assert "(?:const|let|var)" not in plan
+        got, want = (sorted(map(tuple, build(f).collect())) for f in (stored, df))
+        assert got == want and got
+    # a match on its own gives the name and expression it has in its text
+    bits = ["const ", "let ", "a", "b", " = ", "=", "'lit eral'", "`x ${a} yy`", " + ", ";", "\n", "\n\n", " ", "\r\n", "trim(", "f(", ")", "['ab', 'cd'].join('')", "é", "deadbeef" * 4, "DEADbeef" * 3, "_", "A" * 19]
+    texts = ["".join(RND.choice(bits) for _ in range(RND.randint(1, 30))) for _ in range(400)] + [f"{x}const a {y}= 'lit eral'{z}" for x in bits for y in ("", "\n") for z in bits]
+    files = spark.createDataFrame([("s", f"f{i}", t) for i, t in enumerate(texts)], "skill_id string, path string, content string")
+    parts = [flow._all(flow.F.col("content"), rx, i).alias(f"{k}_{i}") for k, rx in flow.ASSIGN_RX.items() for i in (1, 2)]
+    plain = [[(k, n, e) for k in flow.ASSIGN_RX for n, e in zip(x[f"{k}_1"], x[f"{k}_2"])] for x in files.select(*parts).collect()]
+    assert [[tuple(a) for a in x["a"]] for x in files.select(flow.assignments(flow.F.col("content")).alias("a")).collect()] == plain and sum(map(bool, plain)) > 50
+    hexed = {(f"f{i}", m) for i, t in enumerate(texts) for m in re.findall(r"(?ia)\b[0-9a-f]{24,}\b", t)}
+    assert {(x["path"], x["token"]) for x in flow.encoded_tokens(files).where("kind = 'hex'").collect()} == hexed and hexed

@@ -11,7 +11,7 @@ from .text import HIDDEN_CHARS, has_any, let, matches, prompt_override, rot13, w
 
 # Token shapes.
 BASE64_TOKEN = r"[A-Za-z0-9+/]{20,}={0,2}"
-HEX_TOKEN = r"(?i)\b[0-9a-f]{24,}\b"
+HEX_TOKEN = r"(?i)(?<![0-9A-Za-z_])[0-9a-f]{24,}+(?![0-9A-Za-z_])"
 HEX_CANDIDATE = r"(?i)(?:\\x[0-9a-f]{2}){8,}|(?:0x)?[0-9a-f]{32,}"
 LONG_TOKEN = 48
 # What makes decoded text worth keeping.

@@ -17,6 +17,8 @@ CHARCODE_RX = r"(?i)string\.fromcharcode\(([^)]{4,})\)"
 TEMPLATE_RX = r"(?s)`([^`]{12,})`"
 LITERAL_RX = r"""[\"']([^\"']+)[\"']"""
 DECL = r"(?m)(?:const|let|var)\s+([A-Za-z_][\w]*)\s*=\s*"
+# Stands in every text that one of the assignments below is found in.
+DECL_GUARD = r"(?:const|let|var)\s+[A-Za-z_]\w*\s*="
 ASSIGN_RX = {
     "literal": DECL + r"""([\"'][^\"']{4,}[\"'])""",
     "join": DECL + r"""(\[(?:\s*[\"'][^\"']+[\"']\s*,?){2,}\s*\]\.join\(\s*[\"']?[^\"')]*[\"']?\s*\))""",
@@ -114,13 +116,15 @@ def charcode_texts(c: Column) -> Column:
 # --- variables ---------------------------------------------------------------------------------------
 
 def _pairs(c: Column, kind: str) -> Column:
-    names, exprs = _all(c, ASSIGN_RX[kind], 1), _all(c, ASSIGN_RX[kind], 2)
-    return F.transform(names, lambda n, i: F.struct(F.lit(kind).alias("kind"), n.alias("name"), F.get(exprs, i).alias("expr")))
+    # the text is searched once; a match on its own splits as it did in the text
+    part = lambda m, i: F.regexp_extract(m, jrx(ASSIGN_RX[kind]), i)
+    return F.transform(_all(c, ASSIGN_RX[kind], 0), lambda m: F.struct(F.lit(kind).alias("kind"), part(m, 1).alias("name"), part(m, 2).alias("expr")))
 
 
 def assignments(c: Column) -> Column:
     """All assignments of a text: array of (kind, name, expr)."""
-    return F.concat(*[_pairs(c, k) for k in ASSIGN_RX])
+    # most files assign nothing
+    return F.when(c.rlike(DECL_GUARD), F.concat(*[_pairs(c, k) for k in ASSIGN_RX])).otherwise(F.array().cast("array<struct<kind:string,name:string,expr:string>>"))
 
 
 def _unquote(c: Column) -> Column:
@@ -152,8 +156,8 @@ def unwrapped(expr: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(calls, F.lit(1))), F.struct(ws_trim(expr).alias("e"), F.lit(True).alias("go")), again, lambda acc: acc["e"])
 
 
-def variables(c: Column) -> Column:
-    """Variable -> text value after concat, template, alias and wrapper resolution to the end.
+def variables(c: Column, items: Column | None = None) -> Column:
+    """Variable -> text value after concat, template, alias and wrapper resolution to the end; ``items`` are its assignments, if known.
 
     Rounds over all assignments end when one changes nothing.  After ``ROUNDS`` of them the values that still change are
     long chains or circles: every variable is then resolved once, as soon as all variables it is made of
@@ -224,8 +228,7 @@ def variables(c: Column) -> Column:
         last = lambda both: let(rounds(both["later"], both["m"]), lambda acc: F.when(acc["go"], in_order(both["later"], acc["m"])).otherwise(acc["m"]))
         return let(F.struct(later.alias("later"), F.aggregate(seeds, empty, seed).alias("m")), last)
 
-    # most files assign nothing
-    return F.when(c.rlike(r"(?:const|let|var)\s+[A-Za-z_]\w*\s*="), let(assignments(c), solve)).otherwise(empty)
+    return let(assignments(c) if items is None else items, lambda a: F.when(F.size(a) > 0, solve(a)).otherwise(empty))
 
 
 def template_texts(c: Column, vars_: Column) -> Column:
@@ -246,16 +249,25 @@ def _layers_of(texts: Column) -> Column:
 
 
 # A file can only yield sections when one of these occurs in it.
-SECTION_GUARD = r"(?is)[A-Za-z0-9+/]{20}|[\"']\s*\+\s*[\"']|\.join\(|fromcharcode\(|`[^`]{12}|(?:const|let|var)\s+[A-Za-z_]\w*\s*="
+SECTION_GUARD = r"(?is)(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20}|[\"']\s*\+\s*[\"']|\.join\(|fromcharcode\(|`[^`]{12}|(?:const|let|var)\s+[A-Za-z_]\w*\s*="
+
+
+def with_assignments(files: DataFrame) -> DataFrame:
+    """Add ``_assignments``, the assignments of the content, which variables, edges and sink windows then read instead of searching for them again."""
+    return files.select("*", bound(assignments(F.col("content"))).alias("_assignments"))
+
+
+def _assignments_of(files: DataFrame) -> Column:
+    return F.col("_assignments") if "_assignments" in files.columns else assignments(F.col("content"))
 
 
 def with_variables(files: DataFrame) -> DataFrame:
     """Add ``_variables``, the resolved variables of the content, which ``with_analysis`` and ``decoded_variables`` then read instead of resolving them again."""
-    return files.select("*", bound(variables(F.col("content"))).alias("_variables"))
+    return files.select("*", bound(variables(F.col("content"), _assignments_of(files))).alias("_variables"))
 
 
 def _variables_of(files: DataFrame) -> Column:
-    return F.col("_variables") if "_variables" in files.columns else variables(F.col("content"))
+    return F.col("_variables") if "_variables" in files.columns else variables(F.col("content"), _assignments_of(files))
 
 
 def section_list(c: Column, vars_: Column | None = None) -> Column:
@@ -296,7 +308,7 @@ def with_analysis(files: DataFrame) -> DataFrame:
 
 def assignment_edges(files: DataFrame) -> DataFrame:
     """Variable edges: skill_id, path, dst, src, kind.  ``literal`` edges carry the value as src."""
-    a = files.select("skill_id", "path", F.explode(assignments(F.col("content"))).alias("a")).select("skill_id", "path", "a.*")
+    a = files.select("skill_id", "path", F.explode(_assignments_of(files)).alias("a")).select("skill_id", "path", "a.*")
     kind, expr = F.col("kind"), F.col("expr")
     # one pass over the texts: each assignment gives the names it is made of in its own row
     srcs = (F.when(kind.isin("literal", "join", "alias"), F.array(expr)).when(kind.isin("concat", "call"), F.array_distinct(_all(expr, r"[A-Za-z_][\w]*", 0)))
@@ -320,9 +332,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, hops: int | None = None, keys:
     return reach(edges, seeds, keys) if hops is None else walk(edges, seeds, keys, hops)
 
 
-def _longest_name(c: Column) -> Column:
-    """Length of the longest identifier that an assignment of the text names or uses, rounded up to a power of two."""
-    names = F.flatten(F.transform(assignments(c), lambda a: F.array_append(_all(a["expr"], r"[A-Za-z_]\w*", 0), a["name"])))
+def _longest_name(items: Column) -> Column:
+    """Length of the longest identifier that one of the assignments names or uses, rounded up to a power of two."""
+    names = F.flatten(F.transform(items, lambda a: F.array_append(_all(a["expr"], r"[A-Za-z_]\w*", 0), a["name"])))
     most = F.array_max(F.transform(names, lambda n: F.length(n)))
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.coalesce(most, F.lit(1)), F.lit(16)).cast("double")))).cast("int")
 
@@ -348,14 +360,14 @@ def _after_sinks(c: Column, kind: str, width: Column) -> Column:
     return F.concat(*out)
 
 
-def sink_windows(c: Column) -> Column:
-    """Per sink kind what stands within reach before and after it, wide enough for every name of the text."""
+def sink_windows(c: Column, items: Column | None = None) -> Column:
+    """Per sink kind what stands within reach before and after it, wide enough for every name of the text; ``items`` are its assignments, if known."""
     def windows(longest: Column) -> Column:
         width = longest + FLOW_REACH
         cells = [F.when(F.regexp_like(c, F.lit(f"(?is){rx}")), F.named_struct(F.lit("kind"), F.lit(k), F.lit("before"), _before_sinks(c, rx, width), F.lit("after"), _after_sinks(c, k, width))) for k, rx in SINKS.items()]
         return F.array_compact(F.array(*cells))
 
-    return let(_longest_name(c), windows)
+    return let(_longest_name(assignments(c) if items is None else items), windows)
 
 
 def _within(name: Column, w: Column) -> Column:
@@ -371,9 +383,9 @@ def flow_signals(files: DataFrame, seeds: DataFrame, reached: DataFrame) -> Data
     their reach; variables are joined to these windows, never to contents, and looked up as plain text.
     """
     joined = F.lower(F.concat_ws("\n", "content", "preprocessed"))
-    f = files.select("skill_id", "path", "content", joined.alias("_j")).where(has_any(F.col("_j"), DECODED_MARKERS))
+    f = files.select("skill_id", "path", "content", _assignments_of(files).alias("_assignments"), joined.alias("_j")).where(has_any(F.col("_j"), DECODED_MARKERS))
     whole = F.array_compact(F.array(*[F.when(has_any(F.col("_j"), w), F.lit(f"decoded result near {s}")) for s, w in RESULT_WORDS.items()]))
-    cut = f.select("skill_id", "path", bound(whole).alias("whole"), bound(sink_windows(F.col("content"))).alias("windows"))
+    cut = f.select("skill_id", "path", bound(whole).alias("whole"), bound(sink_windows(F.col("content"), F.col("_assignments"))).alias("windows"))
     names = seeds.select("skill_id", "path", "name", F.lit("decoded variable near ").alias("label")).unionByName(reached.select("skill_id", "path", "name", F.lit("decoded variable propagated near ").alias("label")))
     per_file = names.distinct().groupBy("skill_id", "path").agg(F.collect_list(F.struct("label", "name")).alias("names"))  # bounded by the file's own variables
     hits = F.flatten(F.transform("windows", lambda w: F.transform(F.filter("names", lambda n: _within(n["name"], w)), lambda n: F.concat(n["label"], w["kind"]))))

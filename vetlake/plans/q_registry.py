@@ -511,9 +511,9 @@ def assignment_edges(spark, d):
 
 
 def analysed_files(spark, d):
-    """The seeded files with their decoded text, and the variables that hold such text: decoded once, written, then read by every step."""
-    done = flow.with_analysis(flow.with_variables(C.seeded_files(spark, d)))
-    files = stage_table(done.select("skill_id", "path", "content", "_variables", "preprocessed"), "analysed")
+    """The seeded files with their assignments and decoded text, and the variables that hold such text: found once, written, then read by every step."""
+    done = flow.with_analysis(flow.with_variables(flow.with_assignments(C.seeded_files(spark, d))))
+    files = stage_table(done.select("skill_id", "path", "content", "_assignments", "_variables", "preprocessed"), "analysed")
     return files, stage_table(flow.decoded_variables(files), "decoded-variables")
 
 
