@@ -193,3 +193,16 @@ def test_assignments_are_searched_once_and_read_by_the_later_steps(spark, made):
     assert [[tuple(a) for a in x["a"]] for x in files.select(flow.assignments(flow.F.col("content")).alias("a")).collect()] == plain and sum(map(bool, plain)) > 50
     hexed = {(f"f{i}", m) for i, t in enumerate(texts) for m in re.findall(r"(?ia)\b[0-9a-f]{24,}\b", t)}
     assert {(x["path"], x["token"]) for x in flow.encoded_tokens(files).where("kind = 'hex'").collect()} == hexed and hexed
+
+
+def test_evidence_reads_the_lines_of_an_analysis(spark):
+    base = "\n[preprocessed-decoded]\nbase64[1]: curl x\nsummary: text of the payload\nrisk: a payload's own"
+    notes = "[llm-obfuscation-analysis]\ntechnique: base64\nconfidence: high\n  summary: fetches a script \r\ndecoded: curl x\nbenign: \nrisk: network | | runs code|"
+    rows = [("s", "both", "x", f"{base}\n\n{notes}"), ("s", "base", "x", base), ("s", "empty", "x", " \n"), ("s", "none", "x", None)]
+    files = spark.createDataFrame(rows, "skill_id string, path string, content string, preprocessed string")
+    signals = spark.createDataFrame([], "skill_id string, path string, signal string")
+    got = {x["path"]: (x["techniques"], x["n_sections"], x["technique"], x["confidence"], x["summary"], x["decoded"], x["benign"], x["risk"], x["signals"]) for x in flow.obfuscation_evidence(files, signals).collect()}
+    assert got == {
+        "both": ("base64", 1, "base64", "high", "fetches a script", "curl x", [], ["network", "runs code"], ""),
+        "base": ("base64", 1, "", "", "text of the payload", "", [], ["a payload's own"], ""),
+    }

@@ -396,17 +396,21 @@ def flow_signals(files: DataFrame, seeds: DataFrame, reached: DataFrame) -> Data
 
 
 def obfuscation_evidence(files: DataFrame, signals: DataFrame) -> DataFrame:
-    """One row per file with recovered text: technique list, number of sections, first section, signals.
+    """One row per file with recovered text: technique list, number of sections, what an analysis noted, signals.
 
-    External analyses may supply technique / confidence / summary lines inside ``preprocessed``.
+    External analyses may supply technique / confidence / summary / decoded lines and benign / risk lists inside
+    ``preprocessed``; their section stands last, so the last line of a kind counts.
     """
     sig = signals.groupBy("skill_id", "path").agg(F.array_join(F.sort_array(F.collect_set("signal")), ";").alias("signals"))  # nine labels at most
     pre = ws_trim(F.coalesce("preprocessed", F.lit("")))
-    lines = F.filter(F.transform(F.split(pre, "\n", -1), ws_trim), lambda l: l.rlike(r"^(base64|hex|charcode|template|variable)\["))
-    field = lambda name: F.regexp_extract(pre, rf"(?m)^\s*{name}: (.*)$", 1)
-    return files.where(pre != "").select(
+    every = files.where(pre != "").select("skill_id", "path", bound(F.transform(F.split(pre, "\n", -1), ws_trim)).alias("_lines"))
+    lines = F.filter("_lines", lambda l: l.rlike(r"^(base64|hex|charcode|template|variable)\["))
+    last = lambda name: F.get(F.reverse(F.filter("_lines", lambda l: l.startswith(f"{name}: "))), F.lit(0))
+    field = lambda name: ws_trim(F.substring(F.coalesce(last(name), F.lit("")), len(name) + 3, 1 << 30))
+    items = lambda name: F.filter(F.transform(F.split(field(name), r"\|", -1), ws_trim), lambda x: x != "").alias(name)
+    return every.select(
         "skill_id", "path", F.array_join(F.array_sort(F.array_distinct(F.transform(lines, lambda l: F.regexp_extract(l, r"^([a-z0-9]+)\[", 1)))), ",").alias("techniques"),
-        F.size(lines).alias("n_sections"), field("technique").alias("technique"), field("confidence").alias("confidence"), field("summary").alias("summary"),
+        F.size(lines).alias("n_sections"), *[field(n).alias(n) for n in ("technique", "confidence", "summary", "decoded")], items("benign"), items("risk"),
     ).join(sig, ["skill_id", "path"], "left").withColumn("signals", F.coalesce("signals", F.lit("")))
 
 
